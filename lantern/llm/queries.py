@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lantern.llm.ngram import op4_kneser_ney
+from lantern.llm.packing import op3_best_fit_packing
+from lantern.llm.quality import OP7_SQL, op7_quality_rules
 from lantern.llm.simhash import op6_simhash_near_dedup
+from lantern.llm.warc import op1_warc_zstd
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_warc_zstd, op3_best_fit_packing, op4_kneser_ney, op6_simhash_near_dedup, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": OP7_SQL}
