@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,34 +36,55 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 class Encoder:
     """Token ids as little-endian unsigned 32-bit integers.
 
-    A byte-level tokenizer encodes each pre-token by itself, so the ids of a pre-token are remembered. Texts with
-    characters beyond Latin-1 go to the tokenizer whole.
+    A byte-level tokenizer encodes each pre-token by itself, so the ids of a pre-token are remembered. New ones go to a
+    faster encoder built on the same vocabulary, once that has agreed with the tokenizer on a first lot of them; texts
+    with characters beyond Latin-1 go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        signs = [c for c in map(chr, range(33, 0x180)) if c in set(ByteLevel.alphabet())]
+        own = [ord(c) for c in signs if ord(c) < 256]
+        byte = dict(zip(map(chr, own), own, strict=True)) | dict(zip((c for c in signs if ord(c) > 255), (i for i in range(256) if i not in own), strict=True))
+        ranks = {bytes(map(byte.__getitem__, w)): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if set(w) <= byte.keys()}
+        added = {bytes(x.content, "utf-8") for x in self.tokenizer.get_added_tokens_decoder().values()}
+        self.fast = tiktoken.Encoding("pre-tokens", pat_str=r"(?s).+", mergeable_ranks={w: i for w, i in ranks.items() if w not in added}, special_tokens={})
+        self.tried = 0
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return self._encode(parts)
+        found = [array("I", self.fast.encode_ordinary(x)).tobytes() for x in parts]
+        if self.tried < 2000:
+            self.tried += len(parts)
+            if found != (sure := self._encode(parts)):
+                self.fast = None
+                return sure
+        return found
+
     def __call__(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._encode([text])[0]
-        parts = _SPLIT.findall(text)
-        new = list(set(parts) - self.known.keys())
+        parts, known = _SPLIT.findall(text), self.known
+        new = [x for x in set(parts) if x not in known]
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
                 new = list(set(parts))
-            self.known.update(zip(new, self._encode(new), strict=True))
-        return b"".join(map(self.known.__getitem__, parts))
+            known.update(zip(new, self._encode_parts(new), strict=True))
+        return b"".join(map(known.__getitem__, parts))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
