@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lantern.llm.decontam import op10_decontamination
+from lantern.llm.linededup import op5_line_dedup
 from lantern.llm.ngram import op4_kneser_ney
 from lantern.llm.packing import op3_best_fit_packing
 from lantern.llm.pii import op9_pii
@@ -12,7 +13,7 @@ from lantern.llm.toxicity import op2_toxicity
 from lantern.llm.urls import op8_url_filters
 from lantern.llm.warc import op1_warc_zstd
 
-_ALL = (op1_warc_zstd, op2_toxicity, op3_best_fit_packing, op4_kneser_ney, op6_simhash_near_dedup, op7_quality_rules, op8_url_filters, op9_pii, op10_decontamination)
+_ALL = (op1_warc_zstd, op2_toxicity, op3_best_fit_packing, op4_kneser_ney, op5_line_dedup, op6_simhash_near_dedup, op7_quality_rules, op8_url_filters, op9_pii, op10_decontamination)
 
 
 def queries() -> dict:
