@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from lantern.llm.common import prepare, read, shared_dir, written
 
 #: Text that one shard of the model stands for. The number of shards follows the corpus.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Tokens that a task gathers before it merges or scores them, and words whose hash it remembers.
-BLOCK_TOKENS, REMEMBERED = 2_000_000, 400_000
-SCORE_TOKENS = 500_000
+BLOCK_TOKENS, REMEMBERED = 1_500_000, 250_000
+SCORE_TOKENS = 400_000
 # No word holds a space, so these two stand beside all words.
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"sentence start", b"sentence end"))
 _WORD_FIELDS = ("hash", "count", "preceding", "n1", "n2", "n3")
@@ -91,6 +91,12 @@ def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In the smallest unsigned type that holds the largest value; readers know it from the file's size."""
+    most = int(x.max(initial=0))
+    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n))
+
+
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Write a file whole under its name. A repeated attempt writes the same bytes."""
     fs, path = pafs.FileSystem.from_uri(folder)
@@ -101,7 +107,7 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=600)
 def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """A file of the model, mapped into memory; one from a store without local paths is copied to this worker first."""
     fs, path = pafs.FileSystem.from_uri(folder)
@@ -122,7 +128,7 @@ class Model:
         self.folder, self.bits, self.tokens, self.words, self.texts, self.preceding = folder, bits, tokens, words, texts, preceding
         self.pair_discount, self.word_discount = discounts(*pair_counts), discounts(*word_counts)
 
-    def _find(self, keys: np.ndarray, kind: str, fields: tuple[tuple[str, str], ...]) -> list[np.ndarray]:
+    def _find(self, keys: np.ndarray, kind: str, fields: tuple[str, ...]) -> list[np.ndarray]:
         """For sorted keys, the fields of each; 0 for those that the model lacks."""
         out = [np.zeros(len(keys), dtype=np.int64) for _ in fields]
         shards = _shard(keys, self.bits)
@@ -133,8 +139,9 @@ class Model:
                 continue
             at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
             hit = np.flatnonzero(stored[at] == keys[lo:hi])
-            for values, (field, dtype) in zip(out, fields, strict=True):
-                values[lo + hit] = _mapped(self.folder, f"{kind}-{s}.{field}", dtype)[at[hit]]
+            for values, field in zip(out, fields, strict=True):
+                raw = _mapped(self.folder, f"{kind}-{s}.{field}", "u1")
+                values[lo + hit] = raw.view(f"<u{len(raw) // len(stored)}")[at[hit]]
             if kind == "pair":  # counts of 255 and more are kept apart
                 over = lo + hit[out[0][lo + hit] == 255]
                 if len(over):
@@ -147,10 +154,9 @@ class Model:
         context, word = _contexts(tokens)
         starts = np.cumsum([0, *map(len, tokens[:-1])])
         known, place = np.unique(np.concatenate([word, context]), return_inverse=True)
-        fields = tuple((f, "<i8") for f in _WORD_FIELDS[1:])
-        count, preceding, n1, n2, n3 = self._find(known, "word", fields)
+        count, preceding, n1, n2, n3 = self._find(known, "word", _WORD_FIELDS[1:])
         keys, pair_place = np.unique(pair_key(context, word), return_inverse=True)
-        (pairs,) = self._find(keys, "pair", (("count", "u1"),))
+        (pairs,) = self._find(keys, "pair", ("count",))
 
         d1, d2, d3 = self.word_discount
         weight = np.maximum(preceding - np.choose(np.minimum(preceding, 3), [0.0, d1, d2, d3]), 0.0)
@@ -245,14 +251,17 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
             contexts, runs, word, times = _arrays(blob.as_py(), "<u8", "<u4", "<u8", "<u4")
             parts.append((np.repeat(contexts, runs), word, times))
         context, word, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         pairs = pair_key(context, word)
         order = np.argsort(pairs)
-        first = np.flatnonzero(np.concatenate([[True], pairs[order][1:] != pairs[order][:-1]]))
+        pairs = pairs[order]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         n = np.add.reduceat(times[order].astype(np.int64), first)
-        at = order[first]
-        _save(folder, f"pair-{s}.hash", pairs[at].astype("<u8"))
+        at, pairs = order[first], pairs[first]
+        del order, times
+        _save(folder, f"pair-{s}.hash", pairs.astype("<u8"))
         _save(folder, f"pair-{s}.count", np.minimum(n, 255).astype("u1"))
-        _save(folder, f"pair-{s}.high", np.stack([pairs[at][n >= 255], n[n >= 255].astype("<u8")], axis=1))
+        _save(folder, f"pair-{s}.high", np.stack([pairs[n >= 255], n[n >= 255].astype("<u8")], axis=1))
         context, word, none = context[at], word[at], np.zeros(len(at), dtype=np.int64)
         both = np.concatenate([word, context])
         as_context = lambda x: np.concatenate([none, x.astype(np.int64)])
@@ -270,17 +279,17 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
         hashes, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
         found = _sums(hashes, *(v.astype(np.int64) for v in values))
         for field, x in zip(_WORD_FIELDS, found, strict=True):
-            _save(folder, f"word-{s}.{field}", x.astype("<u8" if field == "hash" else "<i8"))
+            _save(folder, f"word-{s}.{field}", x.astype("<u8") if field == "hash" else _narrow(x))
         _, n, preceding, *_ = found
         row = [int(n.sum()), int((n > 0).sum()), int(preceding.sum()), *_counts_of_counts(preceding)]
+        row += [sum(table.column(f"c{i}").to_pylist()) for i in range(5)]
         return pa.table({f"w{i}": pa.array([v], pa.int64()) for i, v in enumerate(row)})
 
     counted = texts.mapInArrow(count, "shard long, data binary")
-    pairs = written(counted.groupBy("shard").applyInArrow(merge_pairs, "shard long, data binary, " + ", ".join(f"c{i} long" for i in range(5))))
-    words = written(pairs.select("shard", "data").groupBy("shard").applyInArrow(merge_words, ", ".join(f"w{i} long" for i in range(8))))
-    c = pairs.agg(*(F.sum(f"c{i}") for i in range(5))).first()
-    w = words.agg(*(F.sum(f"w{i}") for i in range(8))).first()
-    return Model(folder, bits, w[0], w[1], rows, tuple(c[:4]), tuple(w[3:7]), w[2]).set_spare(w[3], w[4], w[7])
+    pairs = counted.groupBy("shard").applyInArrow(merge_pairs, "shard long, data binary, " + ", ".join(f"c{i} long" for i in range(5)))
+    words = written(pairs.groupBy("shard").applyInArrow(merge_words, ", ".join(f"w{i} long" for i in range(13))))
+    w = words.agg(*(F.sum(f"w{i}") for i in range(13))).first()
+    return Model(folder, bits, w[0], w[1], rows, tuple(w[8:12]), tuple(w[3:7]), w[2]).set_spare(w[3], w[4], w[7])
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
