@@ -97,3 +97,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against the whole benchmark: one row per overlap."""
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = f"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from (select distinct doc_id, text from documents where text is not null)),
+ b as (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from (select distinct item_id, text from benchmark where text is not null)),
+ dt as (select k, doc_id, unnest(w) as w, unnest(range(len(w))) as p from d),
+ bt as (select item_id, len(w) as n, unnest(w) as w, unnest(range(len(w))) as i from b where len(w) >= {WINDOW}),
+ m as (select k, doc_id, item_id, n, p - i as shift, i from dt join bt using (w)),
+ g as (select k, doc_id, item_id, n, shift from m group by all having count(*) >= {WINDOW - SUBSTITUTIONS}),
+ mm as (select m.k, m.item_id, m.shift, m.i from m join g using (k, item_id, shift)),
+ s as (select k, doc_id, item_id, shift, unnest(range(n - {WINDOW} + 1)) as st from g),
+ sw as (select s.k, s.doc_id, s.item_id, s.shift, st from s join mm using (k, item_id, shift) where mm.i between st and st + {WINDOW - 1} group by all having count(*) >= {WINDOW - SUBSTITUTIONS}),
+ c as (select distinct k, doc_id, item_id, shift, st + o as i from sw, (select unnest(range({WINDOW})) as o))
+select c.doc_id, c.item_id, min(c.i) + c.shift as doc_start, max(c.i) + 1 + c.shift as doc_end, count(mm.i) as n_matched, count(*) as n_covered
+from c left join mm on mm.k = c.k and mm.item_id = c.item_id and mm.shift = c.shift and mm.i = c.i
+group by c.k, c.doc_id, c.item_id, c.shift
+"""

@@ -267,3 +267,13 @@ def op1_warc_zstd(spark, sf_dir: str) -> DataFrame:
     """All pages, written as archives and read back."""
     archives = write_archives(records_of(read(spark, sf_dir, "pages")), shared_dir(spark))
     return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "error")
+
+
+OP1_SQL = f"""
+with p as (select page_id, url, coalesce(html, '') as html from pages),
+ f as (select *, count(*) over (partition by html) as n, min(page_id) over (partition by html) as first from p),
+ g as (select *, case when strlen(html) >= {LEAST_SHARED} and n > 1 and first is distinct from page_id then first end as refers_to from f)
+select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
+  url as target_uri, cast(null as varchar) as error
+from g
+"""
