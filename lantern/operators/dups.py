@@ -106,7 +106,7 @@ def duplicates_of(hashes: DataFrame, files: DataFrame, locations: DataFrame, fil
     other = group_members(hashes, file_ids).where("file_id <> selected_id")
     total = other.groupBy("selected_id").agg(F.count("*").alias("total"))
     first = other.withColumn("rank", F.row_number().over(Window.partitionBy("selected_id").orderBy("file_id"))).where(F.col("rank") <= limit)
-    named = first.join(files.select("file_id", "rel_path"), "file_id").join(F.broadcast(locations.select("location_id", "name", "agent_name")), "location_id")
+    named = first.join(files.select("file_id", "rel_path"), "file_id").join(locations.select("location_id", "name", "agent_name"), "location_id")
     return named.join(total, "selected_id").select("selected_id", "file_id", "rank", "total", "rel_path", F.col("name").alias("location_name"), "agent_name")
 
 

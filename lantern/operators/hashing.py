@@ -127,7 +127,7 @@ def verify_group(hashes: DataFrame, file_ids: DataFrame, files: DataFrame, onlin
     """(file_id, location_id, state): members of the files' fast groups; have a strong hash, are to get one, or are offline."""
     fast = hashes.join(file_ids.select("file_id"), "file_id", "left_semi").where("hash_fast is not null").select("hash_fast").distinct()
     group = hashes.where("excluded = 0 and stale = 0").join(fast, "hash_fast", "left_semi")
-    marked = group.join(F.broadcast(online.select("location_id", F.lit(True).alias("__on")).distinct()), "location_id", "left")
+    marked = group.join(online.select("location_id", F.lit(True).alias("__on")).distinct(), "location_id", "left")
     state = F.when(F.col("hash_strong").isNotNull(), "have").when(F.col("__on"), "todo").otherwise("offline")
     return marked.select("file_id", "location_id", state.alias("state"))
 

@@ -74,7 +74,7 @@ def folder_name_is(value: str, mode: str = "anywhere") -> Column:
 
 
 def online_only(files: DataFrame, online: DataFrame) -> DataFrame:
-    return files.join(F.broadcast(online.select("location_id").distinct()), "location_id", "left_semi")
+    return files.join(online.select("location_id").distinct(), "location_id", "left_semi")
 
 
 def ignored(files: DataFrame, rules: DataFrame, drop: bool = False) -> DataFrame:
@@ -135,7 +135,7 @@ def folder_condition(c: dict) -> Column | None:
 
 def _shown(files: DataFrame, hashes: DataFrame, locations: DataFrame) -> DataFrame:
     """Search results: names of locations, hashes, and live duplicate counts of the hashes found."""
-    rows = files.drop("dup_count", "hash_strong", "hash_fast").join(F.broadcast(locations.select("location_id", F.col("name").alias("location_name"))), "location_id").join(hashes.select("file_id", "hash_strong", "hash_fast"), "file_id", "left")
+    rows = files.drop("dup_count", "hash_strong", "hash_fast").join(locations.select("location_id", F.col("name").alias("location_name")), "location_id").join(hashes.select("file_id", "hash_strong", "hash_fast"), "file_id", "left")
     rows = rows.withColumn("hash", effective_hash(F.col("hash_strong"), F.col("hash_fast")))
     strong = rows.where("hash_strong <> ''").select(F.col("hash_strong").alias("hash")).distinct()
     fast = rows.where("coalesce(hash_strong, '') = '' and hash_fast <> ''").select(F.col("hash_fast").alias("hash")).distinct()
@@ -181,7 +181,7 @@ def search_folders(folders: DataFrame, stats: DataFrame, locations: DataFrame, c
     own = [(c.get("op") == "exclude", p) for c in conditions if (p := folder_condition(c)) is not None]
     counted = folders.join(stats, KEY, "left").na.fill(0, ["total_size", "duplicate_count", "file_count"])
     rows = reduce(lambda df, x: df.where(~x[1] if x[0] else x[1]), own, counted) if own else counted.where(F.lit(False))
-    rows = rows.join(F.broadcast(locations.select("location_id", F.col("name").alias("location_name"))), "location_id")
+    rows = rows.join(locations.select("location_id", F.col("name").alias("location_name")), "location_id")
     blank = {"modified_at": "timestamp", "hash_strong": "string", "hash_fast": "string"}
     rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in blank.items()} | {
         "file_id": -F.shiftrightunsigned(F.xxhash64("location_id", "rel_path"), 1), "filename": F.substring_index("rel_path", "/", -1), "type_high": F.lit("folder"), "file_size": F.col("total_size"),
@@ -240,7 +240,7 @@ def page_of(df: DataFrame, file_id: int, by: str = "name", descending: bool = Fa
     rows = df.select("file_id", key.alias("k"))
     own = rows.where(F.col("file_id") == file_id).limit(1).select(F.col("k").alias("k0"))
     before = (F.col("k") > F.col("k0")) if descending else (F.col("k") < F.col("k0"))
-    counted = rows.crossJoin(F.broadcast(own)).where(before | ((F.col("k") == F.col("k0")) & (F.col("file_id") < file_id)))  # one row broadcast
+    counted = rows.crossJoin(own).where(before | ((F.col("k") == F.col("k0")) & (F.col("file_id") < file_id)))  # one row broadcast
     return counted.agg(F.floor(F.count("*") / size).cast("long").alias("page"))
 
 
@@ -251,7 +251,7 @@ def top_files(files: DataFrame, k: int = 50) -> DataFrame:
 
 
 def recent_scans(scans: DataFrame, locations: DataFrame, k: int = 5) -> DataFrame:
-    return scans.join(F.broadcast(locations.select("location_id", F.col("name").alias("location_name"))), "location_id").orderBy(F.desc("started_at"), F.desc("scan_id")).limit(k)
+    return scans.join(locations.select("location_id", F.col("name").alias("location_name")), "location_id").orderBy(F.desc("started_at"), F.desc("scan_id")).limit(k)
 
 
 def last_scan_attempt(scans: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def breadcrumb(folders: DataFrame, locations: DataFrame, wanted: DataFrame) -> D
     """(location_id, rel_path, level, name, path): for each wanted folder, its location (level 0) and the chain down to it."""
     up = wanted.select(*KEY, F.posexplode(ancestors(F.col("rel_path"))).alias("level", "path")).withColumn("level", F.col("level") + 1)
     known = up.join(folders.select("location_id", F.col("rel_path").alias("path")), ["location_id", "path"]).select(*KEY, "level", basename(F.col("path")).alias("name"), "path")
-    top = wanted.join(F.broadcast(locations.select("location_id", "name")), "location_id").select(*KEY, F.lit(0).alias("level"), "name", F.lit("").alias("path"))
+    top = wanted.join(locations.select("location_id", "name"), "location_id").select(*KEY, F.lit(0).alias("level"), "name", F.lit("").alias("path"))
     return top.unionByName(known)
 
 
@@ -76,7 +76,7 @@ def treemap(files: DataFrame, folders: DataFrame, stats: DataFrame, location_id:
 def treemap_items(treemap_rows: DataFrame) -> DataFrame:
     """(kind, name, size): folders above 0 bytes, files of a hundredth of the total or more, and the rest as one item."""
     total = treemap_rows.agg(F.sum("size").alias("total"))
-    rows = treemap_rows.where("size > 0").crossJoin(F.broadcast(total))  # one row
+    rows = treemap_rows.where("size > 0").crossJoin(total)  # one row
     small = (F.col("kind") == "file") & (F.col("size") < F.col("total") * 0.01)
     big = rows.where(~small).select("kind", "name", "size")
     rest = rows.where(small).groupBy().agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 0")
@@ -113,7 +113,7 @@ def list_folder(files: DataFrame, folders: DataFrame, location_id: int, folder:
 def favourites(locations: DataFrame, folders: DataFrame) -> DataFrame:
     """(kind, location_id, label): flagged locations and folders, a folder's label being its path from the location."""
     own = locations.where("is_favourite = 1").select(F.lit("location").alias("kind"), "location_id", F.col("name").alias("label"))
-    sub = folders.where("is_favourite = 1").join(F.broadcast(locations.select("location_id", "name")), "location_id")
+    sub = folders.where("is_favourite = 1").join(locations.select("location_id", "name"), "location_id")
     return own.unionByName(sub.select(F.lit("folder").alias("kind"), "location_id", F.concat_ws(" / ", "name", F.replace("rel_path", F.lit("/"), F.lit(" / "))).alias("label")))
 
 
@@ -128,7 +128,7 @@ def download_manifest(files: DataFrame, selected: DataFrame, locations: DataFram
     """(full_path, archive_name, location_id): files below selected folders, named by folder and the path below it."""
     wanted = selected.select("location_id", F.col("rel_path").alias("folder"))
     up = files.where("stale = 0").select("location_id", "rel_path", F.explode(ancestors(F.col("rel_dir"))).alias("folder"))
-    found = up.join(wanted, ["location_id", "folder"]).join(F.broadcast(locations.select("location_id", "root_path")), "location_id")
+    found = up.join(wanted, ["location_id", "folder"]).join(locations.select("location_id", "root_path"), "location_id")
     name = F.concat(basename(F.col("folder")), F.substring(F.col("rel_path"), F.length("folder") + 1, F.length("rel_path")))
     return found.select(F.concat_ws("/", "root_path", "rel_path").alias("full_path"), name.alias("archive_name"), "location_id")
 

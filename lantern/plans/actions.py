@@ -65,7 +65,7 @@ def consolidate_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, o
     members = group_members(hashes, own).select("selected_id", "file_id")
     alone = own.select(F.col("file_id").alias("selected_id"), "file_id")
     copies = members.union(alone).distinct().join(files.where("stale = 0").select("file_id", "location_id", "rel_dir", "excluded"), "file_id")
-    copies = copies.join(F.broadcast(online.select("location_id", F.lit(True).alias("__on")).distinct()), "location_id", "left")
+    copies = copies.join(online.select("location_id", F.lit(True).alias("__on")).distinct(), "location_id", "left")
     if mode == "keep_here":
         kept = F.col("file_id") == F.col("selected_id")
         rows = copies
@@ -87,7 +87,7 @@ def copy_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, online:
     """(selected_id, source_id, result): an online copy to read each selected file from, itself if it is online, or an error."""
     alone = file_ids.select(F.col("file_id").alias("selected_id"), "file_id")
     copies = group_members(hashes, file_ids).select("selected_id", "file_id").union(alone).distinct()
-    there = copies.join(files.where("stale = 0").select("file_id", "location_id"), "file_id").join(F.broadcast(online.select("location_id").distinct()), "location_id", "left_semi")
+    there = copies.join(files.where("stale = 0").select("file_id", "location_id"), "file_id").join(online.select("location_id").distinct(), "location_id", "left_semi")
     best = there.groupBy("selected_id").agg(F.min_by("file_id", F.struct((F.col("file_id") != F.col("selected_id")).alias("other"), "file_id")).alias("source_id"))
     out = file_ids.select(F.col("file_id").alias("selected_id")).distinct().join(best, "selected_id", "left")
     return out.withColumn("result", F.when(F.col("source_id").isNotNull(), "copied").otherwise("error: no online copy"))
@@ -166,7 +166,7 @@ def move_folder(files: DataFrame, folders: DataFrame, location_id: int, folder:
     target = f"{dest_folder}/{name}" if dest_folder else name
     cycle = target == folder or (dest_folder + "/").startswith(folder + "/")
     clash = folders.where((F.col("location_id") == location_id) & (F.lower("rel_path") == target.lower())).agg((F.count("*") > 0).alias("__clash"))
-    own = files.where((F.col("location_id") == location_id) & below(F.col("rel_path"), folder)).crossJoin(F.broadcast(clash))  # one row
+    own = files.where((F.col("location_id") == location_id) & below(F.col("rel_path"), folder)).crossJoin(clash)  # one row
     path = F.concat(F.lit(target), F.substring("rel_path", len(folder) + 1, 1 << 20))
     return own.select("file_id", path.alias("rel_path"), hidden_inherited(path).cast("int").alias("hidden"), (F.lit(cycle) | F.col("__clash")).alias("refused"))
 
@@ -174,7 +174,7 @@ def move_folder(files: DataFrame, folders: DataFrame, location_id: int, folder:
 def delete_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, online: DataFrame, all_duplicates: bool = False) -> DataFrame:
     """(file_id, location_id, action): files to delete now, or once their location is online."""
     ids = expand_to_duplicates(hashes, file_ids) if all_duplicates else file_ids.select("file_id").distinct()
-    own = files.join(ids, "file_id", "left_semi").join(F.broadcast(online.select("location_id", F.lit(True).alias("__on")).distinct()), "location_id", "left")
+    own = files.join(ids, "file_id", "left_semi").join(online.select("location_id", F.lit(True).alias("__on")).distinct(), "location_id", "left")
     return own.select("file_id", "location_id", F.when(F.col("__on"), "delete").otherwise("deferred").alias("action"))
 
 
@@ -192,7 +192,7 @@ def delete_folder(files: DataFrame, folders: DataFrame, location_id: int, folder
 def drain_pending(pending: DataFrame, files: DataFrame, online: DataFrame) -> DataFrame:
     """(op_id, file_id, state) of pending operations: run if the file is there, marked for it and online; wait offline; else completed without action."""
     known = files.select("file_id", "location_id", F.col("pending_op").alias("__mark"))
-    both = pending.where("status = 'pending'").join(known, "file_id", "left").join(F.broadcast(online.select("location_id", F.lit(True).alias("__on")).distinct()), "location_id", "left")
+    both = pending.where("status = 'pending'").join(known, "file_id", "left").join(online.select("location_id", F.lit(True).alias("__on")).distinct(), "location_id", "left")
     state = F.when(F.col("__mark").isNull() | (F.col("__mark") != F.col("op_type")), "completed").when(F.col("__on"), "run").otherwise("wait")
     return both.select("op_id", "file_id", state.alias("state"))
 

@@ -35,13 +35,13 @@ def set_tags(tags: DataFrame, hashes: DataFrame, file_id: int, wanted: list[str]
     one = hashes.where(own).select("file_id")
     lost = tags.where(~own | F.col("tag").isin(*wanted) if wanted else ~own)
     gained = hashes.sparkSession.createDataFrame([(t,) for t in wanted], "tag string").join(tags.where(own).select("tag"), "tag", "left_anti")
-    more = expand_to_duplicates(hashes, one).crossJoin(F.broadcast(gained)).select("file_id", "tag")  # the call's few tags
+    more = expand_to_duplicates(hashes, one).crossJoin(gained).select("file_id", "tag")  # the call's few tags
     return lost.select("file_id", "tag").union(more).distinct()
 
 
 def copy_tags(tags: DataFrame, source_id: int, target_ids: DataFrame) -> DataFrame:
     own = tags.where(F.col("file_id") == source_id).select("tag")
-    more = target_ids.select("file_id").crossJoin(F.broadcast(own))  # one file's tags
+    more = target_ids.select("file_id").crossJoin(own)  # one file's tags
     return tags.select("file_id", "tag").union(more.select("file_id", "tag")).distinct()
 
 
@@ -49,5 +49,5 @@ def intern_tags(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
     """The (tag_id, tag) vocabulary with the new names, numbered on by name. The numbering window sees new names only."""
     new = names.select("tag").distinct().join(vocabulary, "tag", "left_anti")
     top = vocabulary.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("tag"))).crossJoin(F.broadcast(top))  # one row
+    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("tag"))).crossJoin(top)  # one row
     return vocabulary.select("tag_id", "tag").unionByName(numbered.select((F.col("top") + F.col("n")).cast("long").alias("tag_id"), "tag"))

@@ -381,5 +381,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, f, w = spark_views(spark, sf_dir, "f_hashes0", "f_line", "f_locations")
     done = three_gate(h, f)
     rows = dups.active(done).withColumn("hash", fn.effective_hash(F.col("hash_strong"), F.col("hash_fast")))
-    places = rows.join(F.broadcast(dups.top_groups(done).select("hash")), "hash").join(F.broadcast(w.select("location_id", "name")), "location_id")
+    places = rows.join(dups.top_groups(done).select("hash"), "hash").join(w.select("location_id", "name"), "location_id")
     return places.groupBy("hash").agg(F.count("*").alias("copies"), F.max("file_size").alias("file_size"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("locations")).orderBy(F.desc("file_size"), "hash")

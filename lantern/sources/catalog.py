@@ -186,4 +186,4 @@ def add_ignore_rule(rules: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def read_ignore_rules(rules: DataFrame, locations: DataFrame) -> DataFrame:
-    return rules.join(F.broadcast(locations.select("location_id", F.col("name").alias("location_name"))), "location_id", "left").select("filename", "file_size", "location_id", "location_name")
+    return rules.join(locations.select("location_id", F.col("name").alias("location_name")), "location_id", "left").select("filename", "file_size", "location_id", "location_name")
