@@ -70,8 +70,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     both = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).join(
         broadcast_if_small(items.select(F.col("item_id").alias("i"), "item"), 100_000), F.col("item_id").eqNullSafe(F.col("i"))
     )
-    each = both.select("doc_id", "item_id", "h", "item", F.explode("shifts").alias("shift"))
-    same = F.transform("item", lambda w, i: F.coalesce((F.get(F.col("h"), i + F.col("shift")) == w) & (i + F.col("shift") >= 0), F.lit(False)).cast("int"))
+    # each alignment takes along only the document's tokens beside the item, never the whole document
+    beside = lambda s: F.slice("h", F.greatest(s, F.lit(0)) + 1, F.greatest(F.size("item") + F.least(s, F.lit(0)), F.lit(0)))
+    each = both.select("doc_id", "item_id", "item", F.explode(F.transform("shifts", lambda s: F.struct(s.alias("shift"), beside(s).alias("own")))).alias("a"))
+    each = each.select("doc_id", "item_id", "item", "a.shift", "a.own")
+    at = lambda i: i + F.least(F.col("shift"), F.lit(0))
+    same = F.transform("item", lambda w, i: F.coalesce((F.get(F.col("own"), at(i)) == w) & (at(i) >= 0), F.lit(False)).cast("int"))
     each = each.select("doc_id", "item_id", "shift", same.alias("same"))
     sums = F.aggregate("same", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     starts = F.filter(F.sequence(F.lit(0), F.size("same") - WINDOW), lambda i: F.get(F.col("sums"), i + WINDOW) - F.get(F.col("sums"), i) >= WINDOW - SUBSTITUTIONS)
