@@ -110,11 +110,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group, with all their columns.
+    """The rows of docs whose id is the smallest of its near-duplicate group, with all their columns."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, width, radius), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is its group's component_id in found.
 
     Rows that repeat that id stay together; rows with a null id stay only in groups that have no id at all.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
 
