@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,15 +87,36 @@ def treemap_items(treemap_rows: DataFrame) -> DataFrame:
 
 
 def materialise_paths(folders: DataFrame) -> DataFrame:
-    """(id, rel_path, depth) from (id, parent_id, name), by a recursive query."""
-    spark = folders.sparkSession
-    return spark.sql(
-        """with recursive up(id, rel_path, depth) as (
-             select id, name, 1 from {folders} where parent_id is null
-             union all select f.id, concat(up.rel_path, '/', f.name), up.depth + 1 from {folders} f join up on f.parent_id = up.id)
-           select id, rel_path, depth from up""",
-        folders=folders,
-    )
+    """(id, rel_path, depth) from (id, parent_id, name), for the folders that a root can be reached from.
+
+    Each round joins a path with that of the folder it ends below, so paths double and a tree of depth d takes some
+    log2(d) rounds, each a written table, whatever its depth and its number of folders. A round that brings no path to
+    a root leaves cycles only.
+    """
+    now = _written(folders.select("id", F.col("parent_id").alias("up"), F.col("name").alias("rel_path"), F.lit(1).alias("depth")))
+    left = now.where("up is not null").count()
+    while left:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("rel_path").alias("__path"), F.col("depth").alias("__depth"))
+        longer = now.join(above, "up").select("id", F.col("__up").alias("up"), F.concat("__path", F.lit("/"), "rel_path").alias("rel_path"), (F.col("depth") + F.col("__depth")).alias("depth"))
+        rooted = now.where("up is null").count()
+        now = _written(now.where("up is null").unionByName(longer))
+        left = now.where("up is not null").count()
+        if now.where("up is null").count() == rooted:
+            break
+    return now.where("up is null").select("id", "rel_path", "depth")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as a written table below spark.checkpoint.dir; where that is missing, as in tests, below a folder of our own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def list_folder(files: DataFrame, folders: DataFrame, location_id: int, folder: str, name: str | None = None, page: int = 0, size: int = 120) -> DataFrame:
