@@ -101,18 +101,29 @@ def group_members(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
     return own.join(rows.where(ACTIVE).select("__verified", "__hash", "file_id", "location_id"), ["__verified", "__hash"]).select("selected_id", "file_id", "location_id")
 
 
+def selected_groups(hashes: DataFrame, file_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The selected files (selected_id, __active) with their group's __verified and __hash, and the groups' active rows: in proportion to the files."""
+    rows = hashes.withColumns(dict(zip(("__verified", "__hash"), kind_and_hash(), strict=True))).where("__hash is not null")
+    own = rows.join(file_ids.select("file_id").distinct(), "file_id", "left_semi").select("__verified", "__hash", F.col("file_id").alias("selected_id"), F.coalesce(F.expr(ACTIVE), F.lit(False)).alias("__active"))
+    return own, rows.where(ACTIVE).join(own.select("__verified", "__hash").distinct(), ["__verified", "__hash"], "left_semi")
+
+
 def duplicates_of(hashes: DataFrame, files: DataFrame, locations: DataFrame, file_ids: DataFrame, limit: int = 10) -> DataFrame:
     """The first `limit` other members of each selected file's group by file_id, with their number in all."""
-    other = group_members(hashes, file_ids).where("file_id <> selected_id")
-    total = other.groupBy("selected_id").agg(F.count("*").alias("total"))
-    first = other.withColumn("rank", F.row_number().over(Window.partitionBy("selected_id").orderBy("file_id"))).where(F.col("rank") <= limit)
-    named = first.join(files.select("file_id", "rel_path"), "file_id").join(locations.select("location_id", "name", "agent_name"), "location_id")
-    return named.join(total, "selected_id").select("selected_id", "file_id", "rank", "total", "rel_path", F.col("name").alias("location_name"), "agent_name")
+    key = ["__verified", "__hash"]
+    own, members = selected_groups(hashes, file_ids)
+    total = members.groupBy(*key).agg(F.count("*").alias("__n"))
+    # one more than the limit, as a selected file may be among them
+    first = members.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("file_id"))).where(F.col("__r") <= limit + 1).select(*key, "file_id", "location_id")
+    other = own.join(total, key).join(first, key).where("file_id <> selected_id").withColumn("total", F.col("__n") - F.col("__active").cast("long"))
+    ranked = other.withColumn("rank", F.row_number().over(Window.partitionBy("selected_id").orderBy("file_id"))).where(F.col("rank") <= limit)
+    named = ranked.join(files.select("file_id", "rel_path"), "file_id").join(locations.select("location_id", "name", "agent_name"), "location_id")
+    return named.select("selected_id", "file_id", "rank", "total", "rel_path", F.col("name").alias("location_name"), "agent_name")
 
 
 def expand_to_duplicates(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
     """(file_id): the selected files and all active members of their groups."""
-    return file_ids.select("file_id").union(group_members(hashes, file_ids).select("file_id")).distinct()
+    return file_ids.select("file_id").union(selected_groups(hashes, file_ids)[1].select("file_id")).distinct()
 
 
 def location_dup_counts(hashes: DataFrame) -> DataFrame:
@@ -146,9 +157,13 @@ def arrivals_dup_check(arrivals: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def consolidate_preview(hashes: DataFrame, files: DataFrame, file_ids: DataFrame) -> DataFrame:
     """(selected_id, members, same_name): sizes of the selected files' groups; a group selected twice counts twice."""
+    key = ["__verified", "__hash"]
+    own, members = selected_groups(hashes, file_ids)
     names = files.select("file_id", "filename")
-    pairs = group_members(hashes, file_ids).join(names, "file_id").join(names.select(F.col("file_id").alias("selected_id"), F.col("filename").alias("__own")), "selected_id")
-    return pairs.groupBy("selected_id").agg(F.count("*").alias("members"), F.count_if(F.col("filename") == F.col("__own")).alias("same_name"))
+    by_name = members.join(names, "file_id").groupBy(*key, "filename").agg(F.count("*").alias("same_name"))
+    sizes = by_name.groupBy(*key).agg(F.sum("same_name").alias("members"))
+    mine = own.join(names.select(F.col("file_id").alias("selected_id"), "filename"), "selected_id")
+    return mine.join(sizes, key).join(by_name, [*key, "filename"], "left").select("selected_id", "members", F.coalesce("same_name", F.lit(0)).cast("long").alias("same_name"))
 
 
 def batch_unique(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
