@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lantern.functions.fn import classify_high, classify_low, dirname, effective_hash, file_ext, file_stem, hidden_inherited, location_label, sources_text, stub_text, suffix_name
-from lantern.operators.dups import batch_unique, dup_recount, expand_to_duplicates, group_members
+from lantern.operators.dups import batch_unique, dup_recount, expand_to_duplicates, group_members, selected_groups
 from lantern.operators.tree import KEY, below
 
 
@@ -46,12 +46,15 @@ def merge_plan(files: DataFrame, hashes: DataFrame, source_id: int, dest_id: int
 def merged_metadata(files: DataFrame, hashes: DataFrame, tags: DataFrame, file_ids: DataFrame, same_name: bool = False) -> DataFrame:
     """(selected_id, tags, description, modified_at) over each selected file's active, non-stale copies: all tags, the first description by id, the earliest time."""
     info = files.where("stale = 0").select("file_id", "filename", "description", "modified_at")
-    copies = group_members(hashes, file_ids).join(info, "file_id")
+    own, members = selected_groups(hashes, file_ids)
+    key = ["__verified", "__hash"] + ["filename"] * same_name
     if same_name:
-        copies = copies.join(files.select(F.col("file_id").alias("selected_id"), F.col("filename").alias("__n")), "selected_id").where("filename = __n")
-    words = copies.join(tags, "file_id").groupBy("selected_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+        own = own.join(files.select(F.col("file_id").alias("selected_id"), "filename"), "selected_id")
+    copies = members.select("__verified", "__hash", "file_id").join(info, "file_id")
+    words = copies.join(tags, "file_id").groupBy(*key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     said = F.when(F.coalesce("description", F.lit("")) != "", F.col("file_id"))
-    rest = copies.groupBy("selected_id").agg(F.min_by("description", said).alias("description"), F.min("modified_at").alias("modified_at"))
+    rest = copies.groupBy(*key).agg(F.min_by("description", said).alias("description"), F.min("modified_at").alias("modified_at"))
+    rest, words = own.select("selected_id", *key).join(rest, key), own.select("selected_id", *key).join(words, key).select("selected_id", "tags")
     return rest.join(words, "selected_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).select("selected_id", "tags", "description", "modified_at")
 
 
@@ -85,10 +88,13 @@ def consolidate_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, o
 
 def copy_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, online: DataFrame) -> DataFrame:
     """(selected_id, source_id, result): an online copy to read each selected file from, itself if it is online, or an error."""
-    alone = file_ids.select(F.col("file_id").alias("selected_id"), "file_id")
-    copies = group_members(hashes, file_ids).select("selected_id", "file_id").union(alone).distinct()
-    there = copies.join(files.where("stale = 0").select("file_id", "location_id"), "file_id").join(online.select("location_id").distinct(), "location_id", "left_semi")
-    best = there.groupBy("selected_id").agg(F.min_by("file_id", F.struct((F.col("file_id") != F.col("selected_id")).alias("other"), "file_id")).alias("source_id"))
+    key = ["__verified", "__hash"]
+    own, members = selected_groups(hashes, file_ids)
+    there = files.where("stale = 0").select("file_id", "location_id").join(online.select("location_id").distinct(), "location_id", "left_semi").select("file_id")
+    first = members.select(*key, "file_id").join(there, "file_id").groupBy(*key).agg(F.min("file_id").alias("__first"))
+    itself = there.select(F.col("file_id").alias("selected_id"), F.col("file_id").alias("__self"))
+    wanted = file_ids.select(F.col("file_id").alias("selected_id")).distinct().join(own.join(first, key).select("selected_id", "__first"), "selected_id", "left")
+    best = wanted.join(itself, "selected_id", "left").select("selected_id", F.coalesce("__self", "__first").alias("source_id"))
     out = file_ids.select(F.col("file_id").alias("selected_id")).distinct().join(best, "selected_id", "left")
     return out.withColumn("result", F.when(F.col("source_id").isNotNull(), "copied").otherwise("error: no online copy"))
 
