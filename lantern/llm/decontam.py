@@ -15,6 +15,8 @@ from lantern.llm.common import BROADCAST_ROWS, broadcast_if_small, read, written
 
 #: Tokens of a window that must agree, but for so many substitutions.
 WINDOW, SUBSTITUTIONS = 13, 2
+#: Items of fewer tokens are not looked for.
+LEAST_TOKENS = 5
 # Fixed masks: the positions that each selects. However two tokens of thirteen differ, one of these, somewhere in the
 # thirteen, selects neither; a test goes through all cases.
 MASKS = ((0, 2, 6, 7, 8, 10, 11), (0, 1, 2, 3, 5, 7, 8), (0, 1, 3, 4, 7, 8, 9))
@@ -40,29 +42,82 @@ def _placed(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _known_seeds(placed: DataFrame, known: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of placed whose seed is in known.
+
+    Up to a counted bound known is broadcast. Beyond it a bitmap of 2 ** 28 bits, in at most 2 ** 20 rows whatever
+    the benchmark's size, is broadcast first; only what it lets through is joined by a shuffle.
+    """
+    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return placed.join(F.broadcast(known), "seed")
+    word, part, bit = f"seed & {(1 << 20) - 1}", "shiftrightunsigned(seed, 20) & 3", "shiftleft(1L, cast(shiftrightunsigned(seed, 22) & 63 as int))"
+    bitmap = written(known.groupBy(F.expr(word).alias("word")).agg(*(F.expr(f"bit_or(if(({part}) = {j}, {bit}, 0L))").alias(f"bits{j}") for j in range(4))))
+    stored = "case {} when 0 then bits0 when 1 then bits1 when 2 then bits2 else bits3 end".format(part)
+    likely = placed.withColumn("word", F.expr(word)).join(F.broadcast(bitmap), "word").where(F.expr(f"(({stored}) & {bit}) <> 0"))
+    return likely.select(*placed.columns).join(known, "seed")
+
+
+def _coverage(same: str = "same") -> Column:
+    """(first, last, covered, matched) of an alignment, whose tokens agree (1) or not (0): the first and last window that
+    agrees, and how many positions such windows cover and how many of those agree. One step a token, with a state of
+    fixed size."""
+    token = F.col(same)
+    start = F.struct(*(F.lit(v).alias(k) for k, v in (("held", 0), ("since", 0), ("end", 0), ("first", -1), ("last", -1), ("covered", 0), ("matched", 0))))
+
+    def step(acc: Column, i: Column) -> Column:
+        # held: agreeing tokens in the window that ends here; since: those after the covered part
+        now = F.get(token, i)
+        held = acc["held"] + now - F.when(i >= WINDOW, F.get(token, i - WINDOW)).otherwise(0)
+        since, from_ = acc["since"] + now, i - (WINDOW - 1)
+        hit = (i >= WINDOW - 1) & (held >= WINDOW - SUBSTITUTIONS)
+        pick = lambda yes, no: F.when(hit, yes).otherwise(no)
+        return F.struct(
+            held.alias("held"),
+            pick(F.lit(0), since).alias("since"),
+            pick(i + 1, acc["end"]).alias("end"),
+            pick(F.when(acc["first"] < 0, from_).otherwise(acc["first"]), acc["first"]).alias("first"),
+            pick(from_, acc["last"]).alias("last"),
+            (acc["covered"] + pick(i + 1 - F.greatest(from_, acc["end"]), F.lit(0))).alias("covered"),
+            (acc["matched"] + pick(F.when(acc["end"] > from_, since).otherwise(held), F.lit(0))).alias("matched"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(token) - 1), start, step)
+
+
+def _whole(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Overlaps with items of fewer tokens than a window: all of the item's tokens stand in the document."""
+    lengths = sorted(r.n for r in items.select(F.size("item").alias("n")).distinct().collect())  # fewer than WINDOW values
+    if not lengths:
+        return None
+    spots = docs.select("doc_id", "key", "h", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.size("h") >= F.col("n"))
+    spots = spots.select("doc_id", "key", "h", "n", F.explode(F.expr("sequence(0, size(h) - n)")).alias("at")).select("doc_id", "key", "at", F.expr("slice(h, at + 1, n)").alias("own"))
+    found = spots.withColumn("seed", F.xxhash64("own")).join(broadcast_if_small(items.withColumn("seed", F.xxhash64("item")), broadcast_rows), "seed").where("own = item")
+    n = F.size("item").cast("long")
+    return found.dropDuplicates(["doc_id", "key", "item_id", "item", "at"]).select("doc_id", "item_id", F.col("at").cast("long").alias("doc_start"), (F.col("at") + n).alias("doc_end"), n.alias("n_matched"), n.alias("n_covered"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(doc_id, item_id, doc_start, doc_end, n_matched, n_covered): each overlap of a document with an item.
 
     An overlap is one alignment's windows of 13 tokens that agree in at least 11: doc_start and doc_end (exclusive)
     bound them in the document's tokens, n_covered counts the item's tokens in them and n_matched those that agree.
-    Substitutions only, no insertions. Texts of fewer than 13 tokens, null and empty texts have no overlap. Documents
-    with a null id are reported with it; rows that repeat both id and text are reported once; items likewise. Extra
-    columns are not read. Benchmark seeds are broadcast up to a counted bound; beyond it Spark joins by shuffle, where
-    each document sends a seed once.
+    Substitutions only, no insertions. Of items of fewer than 13 tokens all must stand in the document, in order and
+    side by side; items of fewer than `least_tokens` are everyday phrases and are left out. Null and empty texts have
+    no overlap. Documents with a null id are reported with it; rows that repeat both id and text are reported once;
+    items likewise. Extra columns are not read. Benchmark seeds are broadcast up to a counted bound; beyond it a bitmap
+    of fixed size keeps most of the documents' seeds from the shuffle.
     """
-    items = written(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item")).where(F.size("item") >= WINDOW).distinct())
-    seeds = written(_placed(items.select("item_id", F.col("item").alias("h")), "item_id", "h").select("seed", "item_id", F.col("at").alias("item_at"), "n"))
-    known = written(seeds.select("seed").distinct())
-    rows = known.limit(broadcast_rows + 1).count()
+    items = written(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item")).where(F.size("item") >= least_tokens).distinct())
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     keyed = source.withColumn("key", F.xxhash64("text"))
-    placed = _placed(keyed.select("doc_id", "key", tokens(F.col("text")).alias("h")), "doc_id", "key")
-    if rows <= broadcast_rows:
-        hits = placed.join(F.broadcast(known), "seed")
-    else:
-        hits = placed.join(known, "seed")
+    hashed = keyed.select("doc_id", "key", tokens(F.col("text")).alias("h"))
+    short = _whole(hashed, items.where(F.size("item") < WINDOW), broadcast_rows)
+    items = items.where(F.size("item") >= WINDOW)
+
+    seeds = written(_placed(items.select("item_id", F.col("item").alias("h")), "item_id", "h").select("seed", "item_id", "h", F.col("at").alias("item_at")))
+    hits = _known_seeds(_placed(hashed, "doc_id", "key"), written(seeds.select("seed").distinct()), broadcast_rows)
     hits = written(hits.groupBy("doc_id", "key", "seed").agg(F.collect_list("at").alias("ats")))
-    aligned = hits.join(broadcast_if_small(seeds), "seed").select("doc_id", "key", "item_id", F.explode("ats").alias("at"), "item_at").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    aligned = hits.join(broadcast_if_small(seeds.select("seed", "item_id", "item_at")), "seed").select("doc_id", "key", "item_id", F.explode("ats").alias("at"), "item_at").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     by_doc = written(aligned.groupBy("doc_id", "key", "item_id").agg(F.collect_list("shift").alias("shifts")))
     keys = broadcast_if_small(written(by_doc.select(F.col("key").alias("hit_key")).distinct()))
     texts = keyed.join(keys, F.col("key") == F.col("hit_key"), "left_semi").dropDuplicates(["doc_id", "key"])
@@ -76,20 +131,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     each = each.select("doc_id", "item_id", "item", "a.shift", "a.own")
     at = lambda i: i + F.least(F.col("shift"), F.lit(0))
     same = F.transform("item", lambda w, i: F.coalesce((F.get(F.col("own"), at(i)) == w) & (at(i) >= 0), F.lit(False)).cast("int"))
-    each = each.select("doc_id", "item_id", "shift", same.alias("same"))
-    sums = F.aggregate("same", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    starts = F.filter(F.sequence(F.lit(0), F.size("same") - WINDOW), lambda i: F.get(F.col("sums"), i + WINDOW) - F.get(F.col("sums"), i) >= WINDOW - SUBSTITUTIONS)
-    each = each.withColumn("sums", sums).withColumn("starts", starts).where(F.size("starts") > 0)
-    inside = F.filter(F.sequence(F.lit(0), F.size("same") - 1), lambda i: F.exists("starts", lambda s: (s <= i) & (i < s + WINDOW)))
-    each = each.withColumn("inside", inside)
-    return each.select(
+    walked = each.select("doc_id", "item_id", "shift", same.alias("same")).select("doc_id", "item_id", "shift", _coverage().alias("w")).where("w.first >= 0")
+    shifted = lambda x: (x + F.col("shift")).cast("long")
+    long = walked.select(
         "doc_id",
         "item_id",
-        (F.array_min("starts") + F.col("shift")).cast("long").alias("doc_start"),
-        (F.array_max("starts") + WINDOW + F.col("shift")).cast("long").alias("doc_end"),
-        F.aggregate("inside", F.lit(0), lambda acc, i: acc + F.get(F.col("same"), i)).cast("long").alias("n_matched"),
-        F.size("inside").cast("long").alias("n_covered"),
+        shifted(F.col("w.first")).alias("doc_start"),
+        shifted(F.col("w.last") + WINDOW).alias("doc_end"),
+        F.col("w.matched").cast("long").alias("n_matched"),
+        F.col("w.covered").cast("long").alias("n_covered"),
     )
+    return long if short is None else long.unionByName(short)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,13 +159,13 @@ OP10_SQL = f"""
 with d as (select row_number() over () as k, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from (select distinct doc_id, text from documents where text is not null)),
  b as (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from (select distinct item_id, text from benchmark where text is not null)),
  dt as (select k, doc_id, unnest(w) as w, unnest(range(len(w))) as p from d),
- bt as (select item_id, len(w) as n, unnest(w) as w, unnest(range(len(w))) as i from b where len(w) >= {WINDOW}),
+ bt as (select item_id, len(w) as n, unnest(w) as w, unnest(range(len(w))) as i from b where len(w) >= {LEAST_TOKENS}),
  m as (select k, doc_id, item_id, n, p - i as shift, i from dt join bt using (w)),
- g as (select k, doc_id, item_id, n, shift from m group by all having count(*) >= {WINDOW - SUBSTITUTIONS}),
+ g as (select k, doc_id, item_id, n, shift from m group by all having count(*) >= case when n < {WINDOW} then n else {WINDOW - SUBSTITUTIONS} end),
  mm as (select m.k, m.item_id, m.shift, m.i from m join g using (k, item_id, shift)),
- s as (select k, doc_id, item_id, shift, unnest(range(n - {WINDOW} + 1)) as st from g),
- sw as (select s.k, s.doc_id, s.item_id, s.shift, st from s join mm using (k, item_id, shift) where mm.i between st and st + {WINDOW - 1} group by all having count(*) >= {WINDOW - SUBSTITUTIONS}),
- c as (select distinct k, doc_id, item_id, shift, st + o as i from sw, (select unnest(range({WINDOW})) as o))
+ s as (select k, doc_id, item_id, n, shift, unnest(range(greatest(n - {WINDOW}, 0) + 1)) as st from g),
+ sw as (select s.k, s.doc_id, s.item_id, s.n, s.shift, st from s join mm using (k, item_id, shift) where mm.i between st and st + {WINDOW - 1} group by all having count(*) >= case when n < {WINDOW} then n else {WINDOW - SUBSTITUTIONS} end),
+ c as (select distinct k, doc_id, item_id, shift, st + o as i from sw, (select unnest(range({WINDOW})) as o) where o < n)
 select c.doc_id, c.item_id, min(c.i) + c.shift as doc_start, max(c.i) + 1 + c.shift as doc_end, count(mm.i) as n_matched, count(*) as n_covered
 from c left join mm on mm.k = c.k and mm.item_id = c.item_id and mm.shift = c.shift and mm.i = c.i
 group by c.k, c.doc_id, c.item_id, c.shift

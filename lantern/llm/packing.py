@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,6 @@ from lantern.llm.common import prepare, read, written
 CAPACITY = 2048
 #: Documents that one partition packs; some 5 MB of lengths.
 GROUP = 100_000
-ROUNDS = 6
 #: Pre-tokens whose ids a worker remembers; about 60 MB.
 REMEMBERED = 300_000
 
@@ -166,12 +166,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return sequence, offset, n
 
 
-_PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, bins long, bound long, spare boolean"
+_PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, bins long, bound long, spare boolean, part long"
 
 
 def _pack(loose: DataFrame, rows: int, capacity: int, group: int, turn: int) -> DataFrame:
     """Deals rows to partitions of about `group` rows, and packs each."""
     parts = max(1, -(-rows // group))
+    own_bits = max(20, (2 * group).bit_length())
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("uid", ignore_index=True)
@@ -180,37 +181,43 @@ def _pack(loose: DataFrame, rows: int, capacity: int, group: int, turn: int) ->
         filled = np.bincount(own, weights=lengths, minlength=n)
         emptiest = int(filled.argmin())
         return x[["uid", "doc_id", "piece", "start", "length", "ids_crc32"]].assign(
-            sequence_id=((turn << 32) + int(key[0]) << 24) + own, offset=offset, bins=n, bound=lower_bound(lengths, capacity), spare=(own == emptiest) & (filled[emptiest] < capacity)
+            sequence_id=((turn << 24) + int(key[0]) << own_bits) + own, offset=offset, bins=n, bound=lower_bound(lengths, capacity), spare=(own == emptiest) & (filled[emptiest] < capacity), part=int(key[0])
         )
 
     dealt = loose.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(run, _PACKED)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """One row per piece: where it comes from, its checksum, the sequence it goes to and its place there.
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, rounds: int | None = None) -> DataFrame:
+    """One row per piece: where it comes from, its checksum, the sequence it goes to and its place there; bins and bound.
 
-    Full pieces fill a sequence each and are not shuffled. Null ids, repeated ids and repeated rows are packed like
-    any other row; a null or empty text is packed as its end id; extra columns are not read; no rows give no rows.
-    Only lengths move between partitions, never ids or texts.
+    Partitions with a gap to their bound exchange their pieces and are packed again, as long as that saves sequences
+    (in at most `rounds` rounds, where given).
+    bins is the number of sequences of the partition that packed the piece, and bound how many any packing of that
+    partition needs; where they are equal its count is proved least. Full pieces fill a sequence each (bins and bound
+    1) and are not shuffled. Null ids, repeated ids and repeated rows are packed like any other row; a null or empty
+    text is packed as its end id; extra columns are not read; no rows give no rows. Only lengths move between
+    partitions, never ids or texts.
     """
     cut = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    settled = [cut.where(F.col("length") == capacity).select(*names[:5], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = [*names, "sequence_id", "offset", "bins", "bound"]
+    one = F.lit(1).cast("long")
+    settled = [cut.where(F.col("length") == capacity).select(*names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("bound"))]
     loose = cut.where(F.col("length") < capacity)
     packed = written(_pack(loose, loose.count(), capacity, group, 0))
-    for turn in range(1, rounds):
+    for turn in count(1) if rounds is None else range(1, rounds):
         moves = (F.col("bins") > F.col("bound")) | F.col("spare")
         pool = packed.where(moves)
-        rows, before, parts = pool.agg(F.count("*"), F.count_if(F.col("offset") == 0), F.count_distinct(F.shiftright("sequence_id", 24))).first()
+        rows, before, parts = pool.agg(F.count("*"), F.count_if(F.col("offset") == 0), F.count_distinct("part")).first()
         if parts < 2:  # alone, a partition would only be packed the same way again
             break
-        again = written(_pack(pool.select("uid", *names[:5]), rows, capacity, group, turn))
+        again = written(_pack(pool.select("uid", *names), rows, capacity, group, turn))
         if again.where("offset = 0").count() >= before:
             break
-        settled.append(packed.where(~moves).select(*names))
+        settled.append(packed.where(~moves).select(*placed))
         packed = again
-    settled.append(packed.select(*names))
+    settled.append(packed.select(*placed))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)

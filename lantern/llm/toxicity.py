@@ -1,9 +1,11 @@
 """Toxicity of whole texts: a lexicon learned from labels, matched with spelling errors, weighed by its context.
 
-Terms are held in a trie. A word that is not a term is read by a Levenshtein automaton (a bit-parallel one, its states
-the positions reached with 0 to k errors), which walks the trie and gives up a branch once no state is left. Around
-each match a window of words tells use from mention: quotation marks and verbs of saying lower the match's weight, a
-second person raises it. A logistic curve turns the summed weights into a probability.
+Terms are whole words and stems (beginnings that words share). Words are held in a trie. A word that is neither is read
+by a Levenshtein automaton (a bit-parallel one, its states the positions reached with 0 to k errors), which walks the
+trie and gives up a branch once no state is left: one error for terms of 5 to 7 letters, where neighbours that change
+places are one error too, and two for longer ones. Around each match a window of words tells use from mention:
+quotation marks and verbs of saying lower the match's weight, a second person raises it. A logistic curve turns the
+summed weights into a probability.
 
 The lexicon and the curve are fitted on a bounded sample of the labelled rows, MAX_SAMPLE by default.
 """
@@ -11,6 +13,7 @@ The lexicon and the curve are fitted on a bounded sample of the labelled rows, M
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +28,16 @@ MAX_SAMPLE, MAX_TERMS = 20_000, 20_000
 THRESHOLD = 0.7
 #: A learned term needs this log odds of its toxic use, and this share of toxic texts to itself.
 LEAST_WEIGHT, LEAST_SUPPORT = 2.0, 0.75
-#: Shorter terms must be met as they are.
-FUZZY_LENGTH = 5
+#: Shorter terms must be met as they are; terms from the second length on may have two errors.
+FUZZY_LENGTH, TWO_ERRORS = 5, 8
+#: Lengths of the stems that may be learned, and the different words that must share one.
+STEMS, STEM_WORDS = (4, 8), 3
 FUZZY_FACTOR = 0.8
 WINDOW = 6
 QUOTED, TOLD, ADDRESSED = 0.4, 0.6, 1.3
 REMEMBERED = 300_000
 
-# Insults that any model knows, with the weight of each until labels teach another.
+# Insults for a model whose labels teach no term, and their weight.
 KNOWN_WEIGHT = 3.5
 KNOWN_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "imbecile", "cretin")
 # Verbs that introduce what others said, and words that address a reader.
@@ -40,48 +45,62 @@ TELLING = frozenset("said says say wrote writes called calls quoted quote quotes
 ADDRESSING = frozenset("you your you're youre u ur tu te vous du dich ihr euch tú usted".split())
 OPENING, ENDING = "\"“«„‘'", "\"”»“’'"
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$") + "“”«»„‘’…–—¡¿"
+_INNER = re.compile(r"[^\w'’@$-]+")
 _PLAIN = str.maketrans("013457@$", "oieastas")
 
 
+def errors_allowed(term: str) -> int:
+    return 0 if len(term) < FUZZY_LENGTH else 1 if len(term) < TWO_ERRORS else 2
+
+
 class Trie:
     """Terms as nested dicts; None holds the term that ends at a node."""
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.terms = terms
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
+        self.pieces: dict[tuple[int, int, int], set[str]] = {}  # (piece's place from the front, or from the end, its length, slack)
         for term in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[None] = term
-            if len(term) >= FUZZY_LENGTH:
-                cut = len(term) // 2
-                self.heads.setdefault(cut, set()).add(term[:cut])
-                self.tails.setdefault(len(term) - cut, set()).add(term[cut:])
+            errors = errors_allowed(term)
+            cuts = [len(term) * k // (errors + 1) for k in range(errors + 2)]
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if errors:
+                    place = (0, hi, 0) if not k else (lo - len(term), hi - lo, 0) if k == errors else (lo, hi - lo, errors)
+                    self.pieces.setdefault(place, set()).add(term[lo:hi])
 
     def may_match(self, word: str) -> bool:
-        """One error leaves a term's first or its second half as it is."""
-        return any(word[:n] in x for n, x in self.heads.items()) or any(word[-n:] in x for n, x in self.tails.items())
-
-    def near(self, word: str, errors: int = 1) -> list[str]:
-        """The terms within so many insertions, deletions and substitutions of the word."""
+        """Some errors leave one of a term's pieces, one more than they are, as it is and nearly where it was."""
+        for (at, n, slack), known in self.pieces.items():
+            if slack:
+                if any(word[i : i + n] in known for i in range(max(at - slack, 0), at + slack + 1)):
+                    return True
+            elif (word[:n] if not at else word[-n:]) in known:
+                return True
+        return False
+
+    def near(self, word: str, errors: int | None = None) -> list[tuple[str, int]]:
+        """(term, errors) within so many insertions, deletions and substitutions of the word; by default, as many as the term allows."""
         chars: dict[str, int] = {}
         for i, c in enumerate(word):
             chars[c] = chars.get(c, 0) | 1 << i
-        goal, found = 1 << len(word), []
-        start = tuple((1 << (k + 1)) - 1 for k in range(errors + 1))  # k deletions of the word's first characters
+        goal, found, most = 1 << len(word), [], 2 if errors is None else errors
+        start = tuple((1 << (k + 1)) - 1 for k in range(most + 1))  # k deletions of the word's first characters
 
         def walk(node: dict, states: tuple[int, ...]) -> None:
-            if (term := node.get(None)) is not None and len(term) >= FUZZY_LENGTH and states[-1] & goal:
-                found.append(term)
+            if (term := node.get(None)) is not None:
+                needed = next((k for k, state in enumerate(states) if state & goal), most + 1)
+                if needed <= (errors_allowed(term) if errors is None else errors):
+                    found.append((term, needed))
             for c, child in node.items():
                 if c is None:
                     continue
                 match = chars.get(c, 0)
                 after = [(states[0] & match) << 1]
-                for k in range(1, errors + 1):
+                for k in range(1, most + 1):
                     # read c from both, or skip it, replace it, or skip a character of the word
                     after.append(((states[k] & match) << 1) | states[k - 1] | (states[k - 1] << 1) | (after[k - 1] << 1))
                 if after[-1]:
@@ -92,21 +111,37 @@ class Trie:
 
 
 class Matcher:
-    """(weight, term) of a raw token, or None; remembered up to a bound."""
+    """(weight, term) of a raw token, or None; remembered up to a bound. Stems are terms that end in a star."""
 
     def __init__(self, terms: dict[str, float], innocent: frozenset[str] = frozenset()) -> None:
-        self.trie, self.innocent, self.known = Trie(terms), innocent, {}
+        self.trie = Trie({t: w for t, w in terms.items() if t[-1] != "*"})
+        self.stems = {t[:-1]: w for t, w in terms.items() if t[-1] == "*"}
+        self.stem_lengths = sorted({len(t) for t in self.stems})
+        self.innocent, self.known = innocent, {}
 
     def match(self, token: str) -> tuple[float, str] | None:
+        """The heaviest term that the token, or a part of it between punctuation, stands for."""
         word = token.strip(_EDGE)
+        if found := self._word(word):
+            return found
+        parts = _INNER.split(word)
+        return max((f for x in parts if x and (f := self._word(x))), default=None) if len(parts) > 1 else None
+
+    def _word(self, word: str) -> tuple[float, str] | None:
         terms = self.trie.terms
-        for w in (word, word.translate(_PLAIN)):
-            if w in terms:
-                return terms[w], w
+        forms = {word, word.translate(_PLAIN)}
+        exact = [(terms[w], w) for w in forms if w in terms]
+        exact += [(self.stems[word[:n]], word[:n] + "*") for n in self.stem_lengths if n < len(word) and word[:n] in self.stems]
+        if exact:
+            return max(exact)
         if len(word) < FUZZY_LENGTH - 1 or word in self.innocent:
             return None
-        found = [t for w in {word, word.translate(_PLAIN)} if self.trie.may_match(w) for t in self.trie.near(w)]
-        return max(((FUZZY_FACTOR * terms[t], t) for t in found), default=None)
+        found = [(FUZZY_FACTOR**k * terms[t], t) for w in forms if self.trie.may_match(w) for t, k in self.trie.near(w)]
+        for w in forms:
+            if FUZZY_LENGTH <= len(w) < TWO_ERRORS:
+                swapped = (w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1))
+                found += [(FUZZY_FACTOR * terms[x], x) for x in swapped if x in terms]
+        return max(found, default=None)
 
     def __call__(self, token: str) -> tuple[float, str] | None:
         try:
@@ -133,7 +168,7 @@ def context_factor(words: list[str], i: int) -> float:
 
 
 def evidence(text: str, match: Matcher) -> tuple[float, int]:
-    """The summed weights of a text's terms, and its matches. A term's second use counts half, its third a quarter."""
+    """The summed weights of a text's terms, and its matches. A term's second use counts half, its third a quarter, and so on."""
     words = text.lower().split()
     known, lookup = match.known, match
     best: dict[str, list[float]] = {}
@@ -146,7 +181,7 @@ def evidence(text: str, match: Matcher) -> tuple[float, int]:
         if hit:
             n += 1
             best.setdefault(hit[1], []).append(hit[0] * context_factor(words, i))
-    return sum(x / 2**k for own in best.values() for k, x in enumerate(sorted(own, reverse=True)[:8])), n
+    return sum(math.ldexp(x, -k) for own in best.values() for k, x in enumerate(sorted(own, reverse=True))), n
 
 
 class Model:
@@ -172,50 +207,56 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.1), float(beta[1])
 
 
-def _weigh(docs: DataFrame, terms: dict[str, float], innocent: frozenset[str], text_col: str, keep: list[str]) -> DataFrame:
-    """The columns `keep`, then weight and n_hits."""
-    prepare(docs.sparkSession)
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", weight double, n_hits long"
+def _weight(terms: dict[str, float], innocent: frozenset[str]):
+    """A function of a text column: (weight, n_hits). Only the text goes to Python workers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<weight double, n_hits bigint>")
+    def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = Matcher(terms, innocent)
-        for b in batches:
-            found = [evidence(x.as_py() or "", match) for x in b.column(b.num_columns - 1)]
-            extra = [pa.array([w for w, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], [*b.schema.names[:-1], "weight", "n_hits"])
+        for texts in batches:
+            found = [evidence(x.as_py() or "", match) for x in texts]
+            yield pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["weight", "n_hits"])
 
-    return source.mapInArrow(run, schema)
+    return weigh
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_sample: int = MAX_SAMPLE) -> Model:
     """Fit on docs joined with labels (0 or 1; null or other labels and null ids teach nothing).
 
     Of more than max_sample labelled rows, those with the smallest id hashes up to about that number are used, so the
-    ids are few enough to broadcast and no text is shuffled. Without usable rows the known terms stand alone.
+    ids are few enough to broadcast and no text is shuffled. Where labels teach no term, the known terms stand in.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     rows = own.count()
     if rows > max_sample:
-        own = own.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(1_000_000 * max_sample // rows))
+        own = own.where(F.xxhash64("__id").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit((1 << 62) * max_sample // rows))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     sample = written(texts.join(F.broadcast(own), "__id"))
     positive, total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
-    terms: dict[str, float] = dict.fromkeys(KNOWN_TERMS, KNOWN_WEIGHT)
+    prepare(docs.sparkSession)
+    terms: dict[str, float] = {}
     innocent: frozenset[str] = frozenset()
     if positive and positive < total:
-        counts, learned = lexicon(sample, positive, total)
-        terms |= learned
+        counts, terms = lexicon(sample, positive, total)
+    terms = terms or dict.fromkeys(KNOWN_TERMS, KNOWN_WEIGHT)
+    if positive and positive < total:
         innocent = innocents(counts, terms)
-    seen = [(w, y) for w, y in _weigh(sample, terms, innocent, "text", ["y"]).select("weight", "y").collect()]  # at most the bounded sample
+    seen = [(r.e.weight, r.y) for r in sample.select(_weight(terms, innocent)("text").alias("e"), "y").collect()]  # at most the bounded sample
     slope, offset = logistic(np.log1p(np.array([w for w, _ in seen], dtype=float)), np.array([y for _, y in seen], dtype=float))
     return Model(terms, innocent, slope, offset)
 
 
+def _stems(word: Column) -> Column:
+    """The beginnings of a word that may be stems."""
+    lo, hi = STEMS
+    return F.filter(F.array(*(F.when(F.length(word) > n, F.left(word, F.lit(n))) for n in range(lo, hi + 1))), lambda x: x.isNotNull())
+
+
 def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, dict[str, float]]:
     """Counts of texts by word, and the weights of the terms to learn.
 
-    A text's word is a candidate by its log odds. A toxic text lends each of its candidates an equal part of one vote,
+    Candidates are words, and stems that several words share (written with a star), with high log odds. A stem
+    goes where a shorter one says as much. A toxic text lends each of its candidates an equal part of one vote,
     so the many rare words of one text's copies outweigh nothing, while terms that toxic texts share gather votes.
     """
     distinct = sample.dropDuplicates(["text", "y"])
@@ -223,9 +264,17 @@ def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, di
     words = distinct.select("__id", "y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).select("__id", "y", word.alias("w")).where("length(w) between 3 and 40")
     words = words.where("w rlike '[a-zA-Z\\\\p{L}]'").distinct()
     counts = written(words.groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n")))
+    star = lambda x: F.concat(x, F.lit("*"))
+    shared = counts.select("t", "n", F.explode(_stems(F.col("w"))).alias("w")).groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).where(F.col("words") >= STEM_WORDS)
+    forms = counts.select("w", "t", "n").unionByName(shared.select(star(F.col("w")).alias("w"), "t", "n")).where("t >= 3")
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - F.lit(math.log((positive + 0.5) / (total - positive + 0.5)))
-    candidates = counts.where("t >= 3").select("w", odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
-    of_toxic = words.where("y = 1").join(candidates, "w")
+    candidates = written(forms.select("w", odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT))
+    stems = F.transform(_stems(F.col("w")), star)  # of a stem with its star: the shorter ones and itself
+    shorter = candidates.select("w", "weight", F.explode(stems).alias("stem")).where("endswith(w, '*') and stem <> w").join(candidates.select(F.col("w").alias("stem"), F.col("weight").alias("stem_weight")), "stem")
+    covered = shorter.where(F.col("stem_weight") >= F.col("weight") - 0.5).select("w").distinct()
+    candidates = candidates.join(covered, "w", "left_anti")
+    said = words.where("y = 1").select("__id", "w").unionByName(words.where("y = 1").select("__id", F.explode(stems).alias("w"))).distinct()
+    of_toxic = written(said.join(candidates, "w"))
     shares = of_toxic.groupBy("__id").agg((1 / F.count("*")).alias("share"))
     votes = of_toxic.join(shares, "__id").groupBy("w").agg(F.sum("share").alias("votes"), F.max("weight").alias("weight"))
     chosen = votes.where(F.col("votes") >= LEAST_SUPPORT).orderBy(F.desc("votes"), "w").limit(MAX_TERMS)
@@ -239,7 +288,7 @@ def innocents(counts: DataFrame, terms: dict[str, float]) -> frozenset[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(terms)
         for b in batches:
-            kept = [w for w in b.column(0).to_pylist() if w not in terms and match.match(w)]
+            kept = [w for w in b.column(0).to_pylist() if w not in match.trie.terms and match.match(w)]
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(kept)], ["w"])
 
@@ -252,7 +301,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null ids, repeated ids and repeated rows are scored like any other row; extra columns are not read.
     """
-    weighed = _weigh(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), model.terms, model.innocent, text_col, ["doc_id"])
+    prepare(docs.sparkSession)
+    weighed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _weight(model.terms, model.innocent)(F.col(text_col).cast("string")).alias("e")).select("doc_id", "e.weight", "e.n_hits")
     x = F.log1p("weight") * model.slope + F.lit(model.offset)
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))))
     return weighed.select("doc_id", p.alias("score"), (p >= threshold).cast("int").alias("predicted"), "n_hits")
@@ -270,10 +320,9 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_hits")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns; a null text stays."""
-    model = train(docs.where(~held_out()), labels.where(~held_out()))
-    names = docs.columns
-    weighed = _weigh(docs, model.terms, model.innocent, "text", names)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns, whatever their names; a null text stays."""
+    model = train(docs.where(~held_out(id_col)), labels.where(~held_out(id_col)), id_col, text_col, label_col)
     least = (math.log(threshold / (1 - threshold)) - model.offset) / model.slope
-    return weighed.where(F.log1p("weight") < least).select(*names)
+    weight = _weight(model.terms, model.innocent)(docs[text_col].cast("string"))["weight"]
+    return docs.where(docs[text_col].isNull() | (F.log1p(weight) < least))

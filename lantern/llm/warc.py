@@ -27,7 +27,7 @@ LEAST_SHARED = 100
 DICTIONARY_BYTES, TRAINING_BYTES, TRAINING_RECORDS = 64 << 10, 4 << 20, 400
 #: An archive is closed beyond this size.
 ARCHIVE_BYTES = 1 << 30
-#: A record that claims to be longer is refused.
+#: A record that is longer is reported as an error and passed over.
 RECORD_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 
@@ -140,8 +140,12 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return written(rows.mapInArrow(run, "archive string, records long, bytes long"))
 
 
-def frames(stream) -> Iterator[bytes | Exception]:
-    """The content of each frame after the dictionary; an error ends the archive, as nothing tells where to go on."""
+def frames(stream, longest: int = RECORD_BYTES) -> Iterator[bytes | Exception]:
+    """The content of each frame after the dictionary.
+
+    A frame that is longer than a record may be gives an error and is passed over; one that cannot be decoded ends the
+    archive, as nothing tells where the next begins.
+    """
     head = stream.read(8)
     dictionary, rest = None, head
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_FRAME:
@@ -164,12 +168,12 @@ def frames(stream) -> Iterator[bytes | Exception]:
                 parts.append(frame.decompress(rest))
                 total += len(parts[-1])
                 rest = frame.unused_data if frame.eof else b""
-                if total > RECORD_BYTES:
-                    raise ValueError("a frame is longer than a record may be")
+                if total > longest:
+                    parts.clear()
         except (zstd.ZstdError, ValueError) as e:
             yield ValueError(str(e))
             return
-        yield b"".join(parts)
+        yield b"".join(parts) if total <= longest else ValueError(f"a frame holds {total} bytes, more than a record may have")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:

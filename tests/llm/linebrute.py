@@ -3,6 +3,8 @@
 import itertools
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import xxhash
 
@@ -12,8 +14,8 @@ def normalised(line):
 
 
 def simhash(words):
-    values = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+    values = Counter(map(xxhash.xxh64_intdigest, words))
+    return sum(1 << b for b in range(64) if 2 * sum(n for v, n in values.items() if v >> b & 1) > len(words))
 
 
 def edits(a, b):
@@ -25,12 +27,43 @@ def edits(a, b):
     return row[-1]
 
 
-def dedup(docs, similarity=0.8, least_words=3, radius=3):
+def blocks(words):
+    """What a line's blocks hold; lines that agree in one meet."""
+    n, hashed = len(words), [(xxhash.xxh64_intdigest(w), w) for w in words]
+    bits = max(2, (n // 4).bit_length() - 1)
+    if n < 10:
+        own = {(0, two): tuple(sorted(w for h, w in hashed if h >> 62 in two)) for two in itertools.combinations(range(4), 2)}
+        return {(k, v) for k, v in own.items() if len(v) >= 2}
+    times = Counter(words)
+    own = {(bits, i): tuple(sorted(w for h, w in hashed if h >> (64 - bits) == i and times[w] == 1)) for i in range(6)}
+    return {(k, v) for k, v in own.items() if len(v) >= (3 if bits > 2 else 2)}
+
+
+def alike(a, b, similarity=0.8):
+    allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-6)
+    return abs(len(a) - len(b)) <= allowed and edits(a, b) <= allowed
+
+
+def meet(a, b, radius=16):
+    return not _blocks(a).isdisjoint(_blocks(b)) and (_simhash(a) ^ _simhash(b)).bit_count() <= radius
+
+
+@lru_cache(maxsize=None)
+def _blocks(line):
+    return blocks(line.split(" "))
+
+
+@lru_cache(maxsize=None)
+def _simhash(line):
+    return simhash(line.split(" "))
+
+
+def dedup(docs, similarity=0.8, least_words=1):
     """docs: (doc_id, text) pairs with distinct ids. Returns {doc_id: text}."""
     places = [(d, i, normalised(x)) for d, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
-    places = [(d, i, n) for d, i, n in places if len(n.split(" ")) >= least_words]
+    places = [(d, i, n) for d, i, n in places if n and len(n.split(" ")) >= least_words]
     norms = sorted({n for *_, n in places})
-    sims = {n: simhash(n.split(" ")) for n in norms}
+    own = {n: _blocks(n) for n in norms}
     parent = {n: n for n in norms}
 
     def find(x):
@@ -39,10 +72,8 @@ def dedup(docs, similarity=0.8, least_words=3, radius=3):
         return x
 
     for a, b in itertools.combinations(norms, 2):
-        if (sims[a] ^ sims[b]).bit_count() <= radius:
-            allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-6)
-            if abs(len(a) - len(b)) <= allowed and edits(a, b) <= allowed:
-                parent[find(a)] = find(b)
+        if not own[a].isdisjoint(own[b]) and find(a) != find(b) and meet(a, b) and alike(a, b, similarity):
+            parent[find(a)] = find(b)
     first = {}
     for d, i, n in places:
         g = find(n)
