@@ -1,15 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model of order 2 or 3, counted in Spark and scored from memory-mapped sorted hash arrays.
 
-Tasks count the bigrams of their texts and deal them by bigram hash, so that no frequent context makes one shard
-large. Each shard is merged, written as a sorted array of hashes beside its counts, and reports per word what the
-lower order needs. Those reports are dealt by word hash and written as sorted arrays too. To score, workers map the
-arrays of a shard into memory and look up a block of sorted hashes at once.
+Tasks count the n-grams of their texts and deal the distinct ones to shards by hash: trigrams by their last two words, so
+that a shard knows how many words stand before each such pair; bigrams by both words. A shard merges its n-grams, writes
+their sorted hashes and counts, and reports what shorter contexts need: pairs as contexts of trigrams, to the pair's shard,
+and words. To score, workers map the arrays into memory and look up a block of sorted hashes at once.
+
+Texts are padded with order - 1 starts. At the highest order counts are occurrences, below it the number of different words
+that stand before. Where a context was never seen, the shorter one's probability stands.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,14 +25,19 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import prepare, read, shared_dir, written
 
+ORDER = 3
 #: Text that one shard of the model stands for. The number of shards follows the corpus.
-SHARD_BYTES = 16 << 20
-#: Tokens that a task gathers before it merges or scores them, and words whose hash it remembers.
-BLOCK_TOKENS, REMEMBERED = 1_500_000, 250_000
-SCORE_TOKENS = 400_000
+SHARD_BYTES = 32 << 20
+#: Bits of the shard's number by which n-grams are dealt at once; more shards take another round of dealing.
+DEAL_BITS = 10
+#: Tokens that a task gathers before it counts or scores them, and words whose hash it remembers.
+BLOCK_TOKENS, SCORE_TOKENS, REMEMBERED = 1_500_000, 400_000, 250_000
+#: Model files that a worker keeps mapped.
+MAPPED = 1000
 # No word holds a space, so these two stand beside all words.
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"sentence start", b"sentence end"))
-_WORD_FIELDS = ("hash", "count", "preceding", "n1", "n2", "n3")
+_WORD_FIELDS = ("count", "preceding", "total", "n1", "n2", "n3")
+_U = np.uint64
 
 
 class Words(dict):
@@ -52,153 +59,293 @@ class Words(dict):
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = context * np.uint64(0x9E3779B97F4A7C15) + word
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    """The hash of a context's hash and a word's; that of a trigram takes the first two words' for its context."""
+    x = context * _U(0x9E3779B97F4A7C15) + word
+    x ^= x >> _U(29)
+    x *= _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
 
 
 def _shard(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def _columns(word: np.ndarray, starts: np.ndarray, order: int, start) -> list[np.ndarray]:
+    """The words of each token's n-gram, the token's own last. starts: the texts' first places, which `start` stands before."""
+    out = [word]
+    for _ in range(order - 1):
+        before = np.empty_like(word)
+        before[1:], before[:1] = out[0][:-1], start
+        before[starts] = start
+        out.insert(0, before)
+    return out
+
 
+def _blocks(tokens: list[np.ndarray], order: int, most: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Slices of at most so many tokens, however long a text: (from, to, lead, words, starts), the words with `lead` earlier ones."""
+    flat, starts = np.concatenate(tokens), np.cumsum([0, *map(len, tokens[:-1])])
+    for lo in range(0, len(flat), most):
+        hi, first = min(lo + most, len(flat)), max(lo - order + 1, 0)
+        yield lo, hi, lo - first, flat[first:hi], starts[(starts >= first) & (starts < hi)] - first
 
-def _contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    words = np.concatenate(tokens)
-    context = np.empty_like(words)
-    context[1:] = words[:-1]
-    context[np.cumsum([0, *map(len, tokens[:-1])])] = START
-    return context, words
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, dtype=np.int64)
 
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and the sums of the values of each."""
     order = np.argsort(keys)
     ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.array([], dtype=np.int64)
+    first = _runs(ordered)
     return ordered[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    return zstd.ZstdCompressor(level=1).compress(b"".join(np.array([len(a)], dtype="<i8").tobytes() + a.tobytes() for a in arrays))
+def _slices(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, and the places where."""
+    order = np.argsort(shards.astype(np.uint32), kind="stable")
+    first = _runs(shards[order])
+    for lo, hi in zip(first, np.append(first[1:], len(order)), strict=True):
+        yield int(shards[order[lo]]), order[lo:hi]
+
+
+# --- blobs: what moves between tasks ---
+def _narrow(x: np.ndarray) -> np.ndarray:
+    most = int(x.max(initial=0))
+    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n or n == 8))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in bytes, those of equal weight side by side, which compress better."""
+    parts = []
+    for a in map(_narrow, arrays):
+        parts += [np.array([len(a), a.itemsize], dtype="<i8").tobytes(), np.ascontiguousarray(a.view("u1").reshape(-1, a.itemsize).T).tobytes()]
+    return zstd.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
+def _unpack(blob: bytes) -> list[np.ndarray]:
     data, at, out = zstd.ZstdDecompressor().decompress(blob), 0, []
-    for kind in kinds:
-        n = int(np.frombuffer(data, "<i8", 1, at)[0])
-        out.append(np.frombuffer(data, kind, n, at + 8))
-        at += 8 + n * np.dtype(kind).itemsize
+    while at < len(data):
+        n, size = np.frombuffer(data, "<i8", 2, at).tolist()
+        at += 16
+        out.append(np.ascontiguousarray(np.frombuffer(data, "u1", n * size, at).reshape(size, n).T).reshape(-1).view(f"<u{size}"))
+        at += n * size
     return out
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """In the smallest unsigned type that holds the largest value; readers know it from the file's size."""
-    most = int(x.max(initial=0))
-    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n))
+def _grams_blob(columns: list[np.ndarray], times: np.ndarray, words: np.ndarray) -> bytes:
+    """n-grams as columns of places in words; only the words that occur go along."""
+    if len(words) > 16 * len(times):
+        used = np.unique(np.concatenate(columns))
+        columns = [np.searchsorted(used, c) for c in columns]
+    else:
+        mark = np.zeros(len(words), dtype=bool)
+        for c in columns:
+            mark[c] = True
+        used, place = np.flatnonzero(mark), np.cumsum(mark) - 1
+        columns = [place[c] for c in columns]
+    return _pack(words[used], times, *columns)
+
+
+def _grams(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    words, times, *columns = _unpack(blob)
+    return [words[c] for c in columns], times.astype(np.int64)
+
+
+def _rows(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["shard", "data"])
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write a file whole under its name. A repeated attempt writes the same bytes."""
+# --- files: the model's arrays ---
+_MASK48, _MASK32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
+
+
+def _table(keys: np.ndarray, codes: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted keys by the 48 bits behind the shard's: where each value of the first 16 starts, the other 32, a byte of code each."""
+    starts = np.searchsorted(keys >> _U(32), np.arange(1 << 16, dtype=np.uint64))
+    return [np.append(starts, len(keys)).astype("<u4"), (keys & _MASK32).astype("<u4"), codes.astype("u1"), *extra]
+
+
+def _below(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys << _U(bits)) >> _U(16) if bits else keys >> _U(16)
+
+
+def _count_table(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Counts of 255 and more stand apart."""
+    high = counts >= 255
+    return _table(keys, np.minimum(counts, 255), [keys[high].astype("<u8"), counts[high].astype("<u8")])
+
+
+def _context_table(keys: np.ndarray, stats: np.ndarray) -> list[np.ndarray]:
+    """Contexts with (total, n1, n2, n3): the 255 most frequent such rows have a code, others stand apart."""
+    small = (stats < 1 << 15).all(axis=1)
+    packed = np.where(small, (stats.astype(np.uint64) << np.array([48, 32, 16, 0], dtype=np.uint64)).sum(axis=1, dtype=np.uint64), _U(0))
+    known, place, times = np.unique(packed, return_inverse=True, return_counts=True)
+    best = np.argsort(-times, kind="stable")[:255]
+    code = np.full(len(known), 255)
+    code[best] = np.arange(len(best))
+    codes = np.where(small, code[place], 255) if len(keys) else np.empty(0, dtype=np.int64)
+    far = codes == 255
+    rows = np.stack([(known[best] >> _U(s)) & _U(0xFFFF) for s in (48, 32, 16, 0)], axis=1) if len(keys) else np.zeros((0, 4))
+    return _table(keys, codes, [rows.astype("<u8").reshape(-1), keys[far].astype("<u8"), stats[far].astype("<u8").reshape(-1)])
+
+
+def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Write arrays as one file whole under its name. A repeated attempt writes the same bytes."""
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     part = f"{path}/{name}.{os.getpid()}.{os.urandom(4).hex()}"
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], dtype="<i8")
     with fs.open_output_stream(part, compression=None) as out:
-        out.write(np.ascontiguousarray(array).data)
+        out.write(head.tobytes())
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
     fs.move(part, f"{path}/{name}")
 
 
-@lru_cache(maxsize=600)
-def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file of the model, mapped into memory; one from a store without local paths is copied to this worker first."""
+@lru_cache(maxsize=MAPPED)
+def _mapped(folder: str, name: str) -> list[np.ndarray] | None:
+    """A file's arrays, mapped into memory; from a store without local paths they are read into it, and go when others come."""
     fs, path = pafs.FileSystem.from_uri(folder)
     path = f"{path}/{name}"
     if fs.get_file_info(path).type == pafs.FileType.NotFound:  # nothing fell into this shard
-        return np.array([], dtype=kind)
-    if not isinstance(fs, pafs.LocalFileSystem):
-        local = os.path.join(tempfile.gettempdir(), f"{os.getpid()}-{name}")
-        pafs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-        path = local
-    return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.array([], dtype=kind)
+        return None
+    if isinstance(fs, pafs.LocalFileSystem):
+        data = np.memmap(path, dtype="u1", mode="r")
+    else:
+        with fs.open_input_stream(path, compression=None) as stream:
+            data = np.frombuffer(stream.read(), dtype="u1")
+    n = int(data[:8].view("<i8")[0])
+    sizes, at, out = data[8 : 8 + 16 * n].view("<i8").reshape(-1, 2), 8 + 16 * n, []
+    for length, item in sizes.tolist():
+        out.append(data[at : at + length * item].view(f"<u{item}"))
+        at += length * item + -(length * item) % 8
+    return out
+
+
+def _search(table: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys that the table has: (which keys, where)."""
+    starts, rest = table[0], table[1]
+    head, tail = (keys >> _U(32)).astype(np.int64), (keys & _MASK32).astype(np.uint32)
+    lo, hi = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
+    end = hi
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (rest[np.minimum(mid, len(rest) - 1)] < tail)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    hit = np.flatnonzero(lo < end)
+    hit = hit[rest[lo[hit]] == tail[hit]]
+    return hit, lo[hit]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts from counts of counts; one discount for all where a small corpus lacks some."""
+    if not (n1 and n2):
+        return (0.5, 0.5, 0.5)
+    y = n1 / (n1 + 2 * n2)
+    d2 = 2 - 3 * y * n3 / n2
+    d3 = 3 - 4 * y * n4 / n3 if n3 else d2
+    return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, d2), (3, d3)))
+
+
+def _discounted(counts: np.ndarray, d: tuple) -> np.ndarray:
+    return np.maximum(counts - np.choose(np.minimum(counts, 3), [0.0, *d]), 0.0)
 
 
 class Model:
     """What scoring needs besides the arrays: where they are, and the totals and discounts."""
 
-    def __init__(self, folder: str, bits: int, tokens: int, words: int, texts: int, pair_counts: tuple, word_counts: tuple, preceding: int) -> None:
-        self.folder, self.bits, self.tokens, self.words, self.texts, self.preceding = folder, bits, tokens, words, texts, preceding
-        self.pair_discount, self.word_discount = discounts(*pair_counts), discounts(*word_counts)
-
-    def _find(self, keys: np.ndarray, kind: str, fields: tuple[str, ...]) -> list[np.ndarray]:
-        """For sorted keys, the fields of each; 0 for those that the model lacks."""
-        out = [np.zeros(len(keys), dtype=np.int64) for _ in fields]
-        shards = _shard(keys, self.bits)
-        for s in np.unique(shards):
-            lo, hi = np.searchsorted(shards, [s, s + 1])
-            stored = _mapped(self.folder, f"{kind}-{s}.hash", "<u8")
-            if not len(stored):
-                continue
-            at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
-            hit = np.flatnonzero(stored[at] == keys[lo:hi])
-            for values, field in zip(out, fields, strict=True):
-                raw = _mapped(self.folder, f"{kind}-{s}.{field}", "u1")
-                values[lo + hit] = raw.view(f"<u{len(raw) // len(stored)}")[at[hit]]
-            if kind == "pair":  # counts of 255 and more are kept apart
-                over = lo + hit[out[0][lo + hit] == 255]
-                if len(over):
-                    high = _mapped(self.folder, f"pair-{s}.high", "<u8").reshape(-1, 2)
-                    out[0][over] = high[np.searchsorted(high[:, 0], keys[over]), 1]
+    def __init__(self, folder: str, bits: int, order: int, totals: dict[str, int], counted: list[list[int]]) -> None:
+        """counted: per level, words first, the numbers of n-grams with counts 1, 2, 3, 4 and above 2."""
+        self.folder, self.bits, self.order = folder, bits, order
+        self.tokens, self.words, self.preceding = (totals[k] for k in ("tokens", "words", "preceding"))
+        self.discount = [discounts(*c[:4]) for c in counted]
+        d1, d2, d3 = self.discount[0]
+        self.spare = d1 * counted[0][0] + d2 * counted[0][1] + d3 * counted[0][4]  # what the lowest level leaves for words never seen
+
+    def _found(self, keys: np.ndarray, shards: np.ndarray, name: str, arrays: slice, bits: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """Per shard: a table, which keys it has, where, and the 48 bits behind their first `bits`."""
+        for s, own in _slices(shards):
+            table = (_mapped(self.folder, f"{name}-{s}") or [])[arrays]
+            if table and len(table[1]):
+                below = _below(keys[own], bits)
+                hit, at = _search(table, below)
+                yield table, own[hit], at, below[hit]
+
+    def counts(self, keys: np.ndarray, shards: np.ndarray, level: int) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=np.int64)
+        for table, own, at, below in self._found(keys, shards, "grams", slice(0, 5) if level == self.order else slice(5, 10), self.bits if level == 2 else 0):
+            out[own] = table[2][at]
+            over = np.flatnonzero(out[own] == 255)
+            out[own[over]] = table[4][np.searchsorted(table[3], below[over])]
         return out
 
-    def score(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def contexts(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), 4), dtype=np.int64)
+        for table, own, at, below in self._found(keys, _shard(keys, self.bits), "reports", slice(0, 6), self.bits):
+            code = table[2][at].astype(np.int64)
+            near, far = np.flatnonzero(code < 255), np.flatnonzero(code == 255)
+            out[own[near]] = table[3].reshape(-1, 4)[code[near]]
+            out[own[far]] = table[5].reshape(-1, 4)[np.searchsorted(table[4], below[far])]
+        return out
+
+    def of_words(self, words: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(words), dtype=np.int64) for _ in _WORD_FIELDS]
+        for s, own in _slices(_shard(words, self.bits)):
+            stored = (_mapped(self.folder, f"reports-{s}") or [])[-7:]
+            if stored and len(stored[0]):
+                at = np.minimum(np.searchsorted(stored[0], words[own]), len(stored[0]) - 1)
+                hit = stored[0][at] == words[own]
+                for values, field in zip(out, stored[1:], strict=True):
+                    values[own[hit]] = field[at[hit]]
+        return out
+
+    def score(self, tokens: list[np.ndarray], most: int = SCORE_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: known tokens, log10 probability under the add-one unigram model and under this one."""
-        context, word = _contexts(tokens)
+        parts = [self._score(*(c[lead:] for c in _columns(words, starts, self.order, START))) for _, _, lead, words, starts in _blocks(tokens, self.order, most)]
         starts = np.cumsum([0, *map(len, tokens[:-1])])
-        known, place = np.unique(np.concatenate([word, context]), return_inverse=True)
-        count, preceding, n1, n2, n3 = self._find(known, "word", _WORD_FIELDS[1:])
-        keys, pair_place = np.unique(pair_key(context, word), return_inverse=True)
-        (pairs,) = self._find(keys, "pair", ("count",))
+        return tuple(np.add.reduceat(np.concatenate(x), starts) for x in zip(*parts, strict=True))
 
-        d1, d2, d3 = self.word_discount
-        weight = np.maximum(preceding - np.choose(np.minimum(preceding, 3), [0.0, d1, d2, d3]), 0.0)
-        low = (weight + self.spare_words() / (self.words + 1)) / max(self.preceding, 1) if self.preceding else np.full(len(known), 1.0 / (self.words + 1))
+    def _score(self, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of each token."""
+        word, context = columns[-1], columns[-2]
+        known, place = np.unique(np.concatenate([word, context]), return_inverse=True)
+        count, preceding, total, n1, n2, n3 = self.of_words(known)
         of_word, of_context = place[: len(word)], place[len(word) :]
 
-        d1, d2, d3 = self.pair_discount
-        total = np.where(known == START, self.texts, count).astype(float)[of_context]
-        spare = (d1 * n1 + d2 * n2 + d3 * n3)[of_context]
-        seen = pairs[pair_place]
-        high = np.maximum(seen - np.choose(np.minimum(seen, 3), [0.0, d1, d2, d3]), 0.0)
-        p = np.where(total > 0, (high + spare * low[of_word]) / np.maximum(total, 1.0), low[of_word])
+        low = (_discounted(preceding, self.discount[0]) + self.spare / (self.words + 1)) / self.preceding if self.preceding else np.full(len(known), 1.0 / (self.words + 1))
+        p, d = low[of_word], self.discount[1]
+        pair = pair_key(context, word)
+        keys, at = np.unique(pair, return_inverse=True)
+        seen = _discounted(self.counts(keys, _shard(keys, self.bits), 2), d)[at]
+        whole, spare = total[of_context], (d[0] * n1 + d[1] * n2 + d[2] * n3)[of_context]
+        p = np.where(whole > 0, (seen + spare * p) / np.maximum(whole, 1), p)
+        if self.order == 3:
+            d, before = self.discount[2], pair_key(columns[0], context)
+            keys, first, at = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
+            seen = _discounted(self.counts(keys, _shard(pair[first], self.bits), 3), d)[at]
+            keys, at = np.unique(before, return_inverse=True)
+            stats = self.contexts(keys)
+            whole, spare = stats[:, 0][at], (stats[:, 1:] @ np.array(d))[at]
+            p = np.where(whole > 0, (seen + spare * p) / np.maximum(whole, 1), p)
         base = np.log10((count[of_word] + 1) / (self.tokens + self.words + 1))
-        add = lambda x: np.add.reduceat(x, starts)
-        return add((count[of_word] > 0).astype(np.int64)), add(base), add(np.log10(p))
-
-    def spare_words(self) -> float:
-        """What the discounts take from the lower order, for words never seen."""
-        return self._spare
-
-    def set_spare(self, n1: int, n2: int, n3: int) -> Model:
-        d1, d2, d3 = self.word_discount
-        self._spare = d1 * n1 + d2 * n2 + d3 * n3
-        return self
-
-
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from counts of counts; one discount for all where a small corpus lacks some."""
-    if not (n1 and n2):
-        return (0.5, 0.5, 0.5)
-    y = n1 / (n1 + 2 * n2)
-    d2 = 2 - 3 * y * n3 / n2
-    d3 = 3 - 4 * y * n4 / n3 if n3 else d2
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, d2), (3, d3)))
+        return (count[of_word] > 0).astype(np.int64), base, np.log10(p)
 
 
 def _counts_of_counts(x: np.ndarray) -> list[int]:
     return [int((x == k).sum()) for k in (1, 2, 3, 4)] + [int((x > 2).sum())]
 
 
-def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model | None:
+def _by_context(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per context: total, and the numbers of counts 1, 2 and above 2."""
+    return _sums(keys, counts, *(x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2)))
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD_BYTES, deal_bits: int = DEAL_BITS, block_tokens: int = BLOCK_TOKENS) -> Model | None:
     """Count all texts of docs; None without rows. A null text is an empty one."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     prepare(spark)
     folder = shared_dir(spark)
@@ -207,92 +354,142 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
     if not rows:
         return None
     bits = max(0, int(np.ceil(np.log2(max(size, 1) / shard_bytes))))
-
-    def dealt(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        shards = _shard(keys, bits)
-        order = np.argsort(shards, kind="stable")
-        cuts = np.searchsorted(shards[order], np.arange((1 << bits) + 1))
-        for s in range(1 << bits):
-            if cuts[s] < cuts[s + 1]:
-                yield s, order[cuts[s] : cuts[s + 1]]
-
-    def rows_of(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["shard", "data"])
+    shard_key = lambda columns: pair_key(columns[-2], columns[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Words(), [], 0
-
-        def merged() -> pa.RecordBatch:
-            context, word = _contexts(held)
-            key = pair_key(context, word)
-            order = np.argsort(key)
-            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            at, times = order[first], np.diff(np.append(first, len(order))).astype("<u4")
-            made = []
-            for s, own in dealt(key[at]):
-                own = own[np.argsort(context[at[own]])]
-                contexts, runs = np.unique(context[at[own]], return_counts=True)
-                made.append((s, _blob(contexts, runs.astype("<u4"), word[at[own]], times[own])))
-            return rows_of(made)
+        known, held, n = Words(), [], 0
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            for _, _, lead, own, starts in _blocks(held, order, block_tokens):
+                words, ids = np.unique(np.append(own, START), return_inverse=True)
+                columns = [c[lead:] for c in _columns(ids[:-1].astype(np.uint64), starts, order, _U(ids[-1]))]
+                # the last two words first, so that n-grams with equal ones lie together
+                width = _U(max(int(len(words) - 1).bit_length(), 1))
+                both = np.zeros(len(columns[0]), dtype=np.uint64)
+                for c in (*columns[-2:], *columns[:-2]):
+                    both = (both << width) | c
+                both.sort()
+                first = _runs(both)
+                times, both, mask = np.diff(np.append(first, len(both))), both[first], (_U(1) << width) - _U(1)
+                found = [(both >> (width * _U(k)) & mask).astype(np.int64) for k in range(order)]  # the last packed first
+                found = [*found[: order - 2], found[-1], found[-2]]
+                shards = _shard(shard_key([words[c] for c in found]), min(bits, deal_bits))
+                yield _rows([(s, _grams_blob([c[at] for c in found], times[at], words)) for s, at in _slices(shards)])
 
         for b in batches:
             for text in b.column(0):
-                held.append(words.of(text.as_py()))
+                held.append(known.of(text.as_py()))
                 n += len(held[-1])
-                if n >= BLOCK_TOKENS:
-                    yield merged()
+                if n >= block_tokens:
+                    yield from merged()
                     held, n = [], 0
         if held:
-            yield merged()
-
-    def merge_pairs(key: tuple, table: pa.Table) -> pa.Table:
-        s, parts = key[0].as_py(), []
-        for blob in table.column("data"):
-            contexts, runs, word, times = _arrays(blob.as_py(), "<u8", "<u4", "<u8", "<u4")
-            parts.append((np.repeat(contexts, runs), word, times))
-        context, word, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from merged()
+
+    def deal_on(done: int, to: int):
+        """Splits the blobs of 2 ** done shards into those of 2 ** to, gathering a block's worth first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+
+            def split() -> pa.RecordBatch:
+                parts, times = zip(*held, strict=True)
+                columns, counts = [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(times)
+                words, ids = np.unique(np.concatenate(columns), return_inverse=True)
+                found = np.split(ids, order)
+                return _rows([(s, _grams_blob([c[own] for c in found], counts[own], words)) for s, own in _slices(_shard(shard_key(columns), to))])
+
+            for b in batches:
+                for blob in b.column(1):
+                    held.append(_grams(blob.as_py()))
+                    n += len(held[-1][1])
+                    if n >= block_tokens:
+                        yield split()
+                        held, n = [], 0
+            if held:
+                yield split()
+
+        return run
+
+    def merge_grams(key: tuple, table: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        parts, times = zip(*(_grams(blob.as_py()) for blob in table.column("data")), strict=True)
+        columns, times = [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(times)
         del parts
-        pairs = pair_key(context, word)
-        order = np.argsort(pairs)
-        pairs = pairs[order]
-        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        n = np.add.reduceat(times[order].astype(np.int64), first)
-        at, pairs = order[first], pairs[first]
-        del order, times
-        _save(folder, f"pair-{s}.hash", pairs.astype("<u8"))
-        _save(folder, f"pair-{s}.count", np.minimum(n, 255).astype("u1"))
-        _save(folder, f"pair-{s}.high", np.stack([pairs[n >= 255], n[n >= 255].astype("<u8")], axis=1))
-        context, word, none = context[at], word[at], np.zeros(len(at), dtype=np.int64)
-        both = np.concatenate([word, context])
-        as_context = lambda x: np.concatenate([none, x.astype(np.int64)])
-        found = _sums(both, np.concatenate([n, none]), np.concatenate([none + 1, none]), as_context(n == 1), as_context(n == 2), as_context(n > 2))
-        made = [(w, _blob(*(f[own].astype("<u8" if i == 0 else "<u4" if i > 1 else "<i8") for i, f in enumerate(found)))) for w, own in dealt(found[0])]
-        stats = _counts_of_counts(n)
-        out = pa.table({"shard": pa.array([w for w, _ in made], pa.int64()), "data": pa.array([x for _, x in made], pa.binary())})
-        for i, v in enumerate(stats):
-            out = out.append_column(f"c{i}", pa.array([v] + [0] * (len(made) - 1), pa.int64()))
-        return out
-
-    def merge_words(key: tuple, table: pa.Table) -> pa.Table:
+        suffix = shard_key(columns)
+        before = pair_key(columns[0], columns[1]) if order == 3 else columns[0]
+        whole = pair_key(before, columns[-1])
+        at = np.argsort(whole)
+        whole = whole[at]
+        first = _runs(whole)
+        n, whole, at = np.add.reduceat(times[at], first), whole[first], at[first]
+        del times
+        tables = _count_table(_below(whole, bits if order == 2 else 0), n)  # trigrams are not dealt by their own hash
+        columns, suffix, before = [c[at] for c in columns], suffix[at], before[at]
+        levels, made = [_counts_of_counts(n)], []
+        counted, occurrences = columns[-1], n
+        if order == 3:
+            found = _by_context(before, n)
+            for target, own in _slices(_shard(found[0], bits)):
+                keys = _below(found[0][own], bits)
+                made.append((target, 0, _pack(np.diff(keys, prepend=_U(0)) & _MASK32, np.diff(keys, prepend=_U(0)) >> _U(32), *(f[own] for f in found[1:]))))
+            order_of = np.argsort(suffix)
+            first = _runs(suffix[order_of])
+            below = np.diff(np.append(first, len(order_of)))
+            tables += _count_table(_below(suffix[order_of][first], bits), below)
+            levels.append(_counts_of_counts(below))
+            one = order_of[first]
+            context, word, n = columns[1][one], columns[2][one], below
+        else:
+            context, word = columns
+        _save(folder, f"grams-{s}", tables)
+        # words: occurrences, different words before, and what they need as contexts of pairs
+        none = lambda k: np.zeros(k, dtype=np.int64)
+        k, m = len(counted), len(word)
+        stats = (n, n == 1, n == 2, n > 2)
+        found = _sums(
+            np.concatenate([counted, word, context]),
+            np.concatenate([occurrences, none(2 * m)]),
+            np.concatenate([none(k), none(m) + 1, none(m)]),
+            *(np.concatenate([none(k + m), x.astype(np.int64)]) for x in stats),
+        )
+        made += [(target, 1, _pack(*(f[own] for f in found))) for target, own in _slices(_shard(found[0], bits))]
+        tally = [x for level in levels for x in level] + [0] * (10 - 5 * len(levels))
+        out = {"shard": pa.array([t for t, _, _ in made], pa.int64()), "kind": pa.array([x for _, x, _ in made], pa.int32()), "data": pa.array([x for _, _, x in made], pa.binary())}
+        return pa.table(out | {f"c{i}": pa.array([v] + [0] * (len(made) - 1), pa.int64()) for i, v in enumerate(tally)})
+
+    def merge_reports(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        parts = [_arrays(blob.as_py(), "<u8", "<i8", "<u4", "<u4", "<u4", "<u4") for blob in table.column("data")]
-        hashes, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
-        found = _sums(hashes, *(v.astype(np.int64) for v in values))
-        for field, x in zip(_WORD_FIELDS, found, strict=True):
-            _save(folder, f"word-{s}.{field}", x.astype("<u8") if field == "hash" else _narrow(x))
-        _, n, preceding, *_ = found
-        row = [int(n.sum()), int((n > 0).sum()), int(preceding.sum()), *_counts_of_counts(preceding)]
-        row += [sum(table.column(f"c{i}").to_pylist()) for i in range(5)]
+        kinds = np.array(table.column("kind"))
+        blobs, tables = table.column("data"), []
+        if (kinds == 0).any():
+            parts = [_unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == 0)]
+            keys = np.concatenate([np.cumsum((p[1].astype(np.uint64) << _U(32)) | p[0].astype(np.uint64), dtype=np.uint64) for p in parts])
+            found = _sums(keys, *(np.concatenate([p[i].astype(np.int64) for p in parts]) for i in range(2, 6)))
+            tables = _context_table(found[0], np.stack(found[1:], axis=1))
+        row, found = [0] * 8, [np.empty(0, dtype=np.int64)] * 7
+        if (kinds == 1).any():
+            parts = [_unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == 1)]
+            hashes, *values = (np.concatenate([p[i].astype(np.uint64 if not i else np.int64) for p in parts]) for i in range(7))
+            found = _sums(hashes, *values)
+            row = [int(found[1].sum()), int((found[1] > 0).sum()), int(found[2].sum()), *_counts_of_counts(found[2])]
+        _save(folder, f"reports-{s}", [*tables, found[0].astype("<u8"), *map(_narrow, found[1:])])
+        row += [sum(table.column(f"c{i}").to_pylist()) for i in range(10)]
         return pa.table({f"w{i}": pa.array([v], pa.int64()) for i, v in enumerate(row)})
 
-    counted = texts.mapInArrow(count, "shard long, data binary")
-    pairs = counted.groupBy("shard").applyInArrow(merge_pairs, "shard long, data binary, " + ", ".join(f"c{i} long" for i in range(5)))
-    words = written(pairs.groupBy("shard").applyInArrow(merge_words, ", ".join(f"w{i} long" for i in range(13))))
-    w = words.agg(*(F.sum(f"w{i}") for i in range(13))).first()
-    return Model(folder, bits, w[0], w[1], rows, tuple(w[8:12]), tuple(w[3:7]), w[2]).set_spare(w[3], w[4], w[7])
+    blobs, done = texts.mapInArrow(count, "shard long, data binary"), min(bits, deal_bits)
+    while done < bits:
+        to = min(bits, done + deal_bits)
+        blobs, done = blobs.repartition("shard").mapInArrow(deal_on(done, to), "shard long, data binary"), to
+    tally = ", ".join(f"c{i} long" for i in range(10))
+    reports = blobs.groupBy("shard").applyInArrow(merge_grams, "shard long, kind int, data binary, " + tally)
+    merged = written(reports.groupBy("shard").applyInArrow(merge_reports, ", ".join(f"w{i} long" for i in range(18))))
+    w = list(merged.agg(*(F.sum(f"w{i}") for i in range(18))).first())
+    levels = [w[3:8], w[8:13]] if order == 2 else [w[3:8], w[13:18], w[8:13]]
+    return Model(folder, bits, order, {"tokens": w[0], "words": w[1], "preceding": w[2]}, levels)
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = SCORE_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) per row: log10 probabilities of the whole text, its end included.
 
     Repeated rows and rows with null ids are scored like any other; a null text is an empty one. Without a model
@@ -305,7 +502,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         words, ids, held, n = Words(), [], [], 0
 
         def scored() -> pa.RecordBatch:
-            known, base, own = model.score(held) if model else (np.zeros(len(held), dtype=np.int64), *np.zeros((2, len(held))))
+            known, base, own = model.score(held, block_tokens) if model else (np.zeros(len(held), dtype=np.int64), *np.zeros((2, len(held))))
             columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in held], pa.int64()), pa.array(known), pa.array(base), pa.array(own)]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -314,7 +511,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 ids.append(doc_id.as_py())
                 held.append(words.of(text.as_py()))
                 n += len(held[-1])
-                if n >= SCORE_TOKENS:
+                if n >= block_tokens:
                     yield scored()
                     ids, held, n = [], [], 0
         if held:

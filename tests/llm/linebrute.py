@@ -14,7 +14,7 @@ def normalised(line):
 
 
 def simhash(words):
-    values = Counter(map(xxhash.xxh64_intdigest, words))
+    values = Counter(xxhash.xxh64_intdigest(w, 42) for w in words)
     return sum(1 << b for b in range(64) if 2 * sum(n for v, n in values.items() if v >> b & 1) > len(words))
 
 
@@ -29,7 +29,7 @@ def edits(a, b):
 
 def blocks(words):
     """What a line's blocks hold; lines that agree in one meet."""
-    n, hashed = len(words), [(xxhash.xxh64_intdigest(w), w) for w in words]
+    n, hashed = len(words), [(xxhash.xxh64_intdigest(w, 42), w) for w in words]
     bits = max(2, (n // 4).bit_length() - 1)
     if n < 10:
         own = {(0, two): tuple(sorted(w for h, w in hashed if h >> 62 in two)) for two in itertools.combinations(range(4), 2)}

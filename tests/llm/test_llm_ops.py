@@ -278,42 +278,61 @@ def test_packing_odd_rows(odd):
 
 
 # --- 4 n-gram model ---
-def kneser_ney(train):
-    uni, bi, n = Counter(), Counter(), len(train)
+def kneser_ney(train, order):
+    uni, top = Counter(), Counter()
     for w in train:
         uni.update([*w, "</ s>"])
-        bi.update(zip(["<s >", *w], [*w, "</ s>"], strict=True))
-    preceding = Counter(b for _, b in bi)
-    d, e = (ngram.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))) for c in (bi, preceding))
-    of = defaultdict(Counter)
-    for (a, b), v in bi.items():
-        of[a][b] = v
-    off = lambda x, k: max(k - (x[min(k, 3) - 1] if k else 0), 0)
-    total, vocabulary = sum(preceding.values()), len(uni)
-    spare = sum(e[min(v, 3) - 1] for v in preceding.values())
-    low = lambda w: (off(e, preceding[w]) + spare / (vocabulary + 1)) / total
-
-    def p(a, b):
-        if not of[a]:
-            return low(b)
-        return (off(d, of[a][b]) + sum(d[min(v, 3) - 1] for v in of[a].values()) * low(b)) / sum(of[a].values())
-
-    base = lambda w: math.log10((uni[w] + 1) / (sum(uni.values()) + vocabulary + 1))
-    return p, base, uni, n
-
-
-@pytest.mark.parametrize("shard_bytes", [1 << 24, 40_000])
-def test_ngram_scores_match_a_plain_model(spark, shard_bytes):
+        own = ["<s >"] * (order - 1) + [*w, "</ s>"]
+        top.update(zip(*(own[k:] for k in range(order)), strict=False))
+    levels = [top]
+    while len(next(iter(levels[0]))) > 1:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))  # different words before
+    d = [ngram.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))) for c in levels]
+    of = [defaultdict(Counter) for _ in levels]
+    for x, c in zip(of, levels, strict=True):
+        for g, v in c.items():
+            x[g[:-1]][g[-1]] = v
+    off = lambda d, k: max(k - (d[min(k, 3) - 1] if k else 0), 0)
+
+    sums = [{g: (sum(own.values()), sum(d[k][min(v, 3) - 1] for v in own.values())) for g, own in x.items()} for k, x in enumerate(of)]
+
+    def p(g):
+        level = len(g) - 1
+        own = of[level][g[:-1]] if g[:-1] in of[level] else {}
+        total, spare = sums[level].get(g[:-1], (0, 0))
+        if not level:
+            return (off(d[0], own.get(g[0], 0)) + spare / (len(uni) + 1)) / total
+        return (off(d[level], own.get(g[-1], 0)) + spare * p(g[1:])) / total if total else p(g[1:])
+
+    base = lambda w: math.log10((uni[w] + 1) / (sum(uni.values()) + len(uni) + 1))
+    return p, base, uni
+
+
+@pytest.mark.parametrize(("order", "shard_bytes", "block", "deal_bits"), [(2, 1 << 24, 1_500_000, 10), (2, 40_000, 700, 1), (3, 1 << 24, 1_500_000, 10), (3, 40_000, 700, 1)])
+def test_ngram_scores_match_a_plain_model(spark, order, shard_bytes, block, deal_bits):
     docs = table(spark, "documents").limit(80)
     texts = {r.doc_id: words(r.text) for r in docs.collect()}
-    model = ngram.train(docs.where("doc_id % 3 <> 0"), shard_bytes=shard_bytes)
-    p, base, uni, _ = kneser_ney([w for i, w in texts.items() if i % 3])
-    assert abs(sum(p("the", w) for w in uni) + p("the", "never seen") - 1) < 1e-9
-    for r in ngram.score(docs, model).collect():
+    model = ngram.train(docs.where("doc_id % 3 <> 0"), order=order, shard_bytes=shard_bytes, deal_bits=deal_bits, block_tokens=block)
+    p, base, uni = kneser_ney([w for i, w in texts.items() if i % 3], order)
+    for context in (("the",), ("of", "the"), ("<s >", "<s >"), ("never", "seen")):
+        context = context[-order + 1 :]
+        assert abs(sum(p((*context, w)) for w in uni) + p((*context, "never seen")) - 1) < 1e-9
+    for r in ngram.score(docs, model, block_tokens=block).collect():
         w = [*texts[r.doc_id], "</ s>"]
+        own = ["<s >"] * (order - 1) + w
         assert r.n_tokens == len(w) and r.n_known == sum(uni[x] > 0 for x in w)
         assert math.isclose(r.base_score, sum(map(base, w)), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["<s >", *w], w, strict=False)), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(g)) for g in zip(*(own[k:] for k in range(order)), strict=False)), rel_tol=1e-9)
+
+
+def test_ngram_tables_of_large_counts():
+    keys, counts = np.arange(1, 5000, dtype=np.uint64) * np.uint64(50_000_000_000), np.arange(1, 5000)
+    assert sorted(np.concatenate(ngram._search(ngram._count_table(keys, counts), keys)).tolist()) == sorted([*range(4999)] * 2)
+    stats = np.stack([counts * 1000, counts % 7, counts % 3, counts % 2], axis=1)
+    table_ = ngram._context_table(keys, stats)
+    far = np.flatnonzero(table_[2] == 255)
+    near = np.flatnonzero(table_[2] < 255)
+    assert (table_[3].reshape(-1, 4)[table_[2][near]] == stats[near]).all() and (table_[5].reshape(-1, 4) == stats[far]).all() and len(near) and len(far)
 
 
 def test_ngram_odd_rows(odd):
@@ -334,7 +353,7 @@ def test_line_dedup_of_many_variants(docs):
     random.seed(6)
     base = [f"word{i}x" for i in range(70)]
     rows = []
-    for i in range(60):
+    for i in range(40):
         own = list(base)
         own[random.randrange(70)] = f"new{i}"
         shuffled = random.sample(base, 70)  # equal SimHash, other order: not similar by edits
@@ -356,8 +375,8 @@ def test_line_dedup_finds_most_similar_lines(spark):
             own[random.randrange(len(own))] = random.choice(vocabulary)
         made |= {" ".join(base), " ".join(own)}
     con = duckdb.connect()
-    for kind, least, group in (("documents", 20, lines), ("made", 100, made)):
-        texts = pd.DataFrame({"t": sorted(x for x in group if x and len(x) <= 1500)})
+    for kind, least, longest, group in (("documents", 10, 300, lines), ("made", 100, 900, made)):
+        texts = pd.DataFrame({"t": sorted(x for x in group if x and len(x) <= longest)})
         found = con.sql(
             """select x.t as a, y.t as b from texts x join texts y on x.t < y.t and abs(length(x.t) - length(y.t)) <= floor(0.2 * greatest(length(x.t), length(y.t)) + 1e-6)
             where levenshtein(x.t, y.t) <= floor(0.2 * greatest(length(x.t), length(y.t)) + 1e-6)"""
@@ -375,20 +394,28 @@ def test_line_dedup_odd_rows(odd):
     assert linededup.dedup_lines(odd.where("false")).count() == 0
 
 
-def test_line_simhashes_blocks_and_edits():
+def test_line_simhashes_blocks_and_edits(spark):
     random.seed(8)
-    lines = [[f"w{random.randrange(50)}" for _ in range(n)] for n in (1, 2, 3, 9, 10, 31, 32, 63, 64, 126, 300, 33000)] + [["a"] * 40, ["a", "b"]]
+    lines = [[f"w{random.randrange(50)}" for _ in range(n)] for n in (1, 2, 3, 9, 10, 31, 32, 63, 64, 126, 127, 128, 300, 33000)] + [["a"] * 40, ["a", "b"]]
     lines += [[*x[:5], "new", *x[6:]] for x in lines]
-    hashes, sizes = np.array([xxhash.xxh64_intdigest(w) for x in lines for w in x], dtype=np.uint64), np.array([len(x) for x in lines])
-    assert linededup.simhashes(hashes, sizes).tolist() == [linebrute.simhash(x) for x in lines]
-    keys = [{int(k) for k in row if k} for row in linededup.block_keys(hashes, sizes)]
-    for (a, x), (b, y) in itertools.combinations(zip(keys, lines, strict=True), 2):
-        assert a.isdisjoint(b) == linebrute.blocks(x).isdisjoint(linebrute.blocks(y))
-    for _ in range(300):
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, w array<string>")
+    sims = {r.i: r.sim % (1 << 64) for r in linededup._simhash(df.select("i", linededup._hashed("w").alias("h"))).collect()}
+    assert [sims[i] for i in range(len(lines))] == [linebrute.simhash(x) for x in lines]
+    found = {r.i: r for r in linededup._keyed(df).collect()}
+    keys = [{k for k in found[i][-linededup.BLOCKS :] if k is not None} for i in range(len(lines))]
+    for (i, x), (j, y) in itertools.combinations(enumerate(lines), 2):
+        assert keys[i].isdisjoint(keys[j]) == linebrute.blocks(x).isdisjoint(linebrute.blocks(y))
+        assert ((found[i].l0, found[i].l1) == (found[j].l0, found[j].l1)) == (x == y)
+    texts = []
+    for _ in range(150):
         a = " ".join(random.choice(["the", "a", "bb", "of"]) for _ in range(random.randint(1, 14)))
-        b = " ".join(w if random.random() < 0.8 else random.choice(["", "x", "the"]) for w in a.split(" ")).replace("  ", " ").strip() or "q"
-        assert linededup.edits(a, b) == linebrute.edits(a, b) and linededup.alike(a, b) == linebrute.alike(a, b)
-    assert linededup.words_of("Der_Böse e\u0301t\u0301, हिन्दी-x2!") == ["der", "böse", "e\u0301t\u0301", "हिन्दी", "x2"]
+        texts += [a, " ".join(w if random.random() < 0.8 else random.choice(["", "x", "the"]) for w in a.split(" ")).replace("  ", " ").strip() or "q"]
+    norms = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 300, 2)], "a long, b long")
+    for r in linededup._similar(pairs, norms, 0.8).collect():
+        assert r.similar == linebrute.alike(texts[r.a], texts[r.b])
+    words_ = spark.createDataFrame([("Der_Böse e\u0301t\u0301, हिन्दी-x2!",)], "t string").select(linededup.words_of(F.col("t")).alias("w")).first().w
+    assert words_ == ["der", "böse", "e\u0301t\u0301", "हिन्दी", "x2"]
 
 
 # --- 6 SimHash near duplicates ---
