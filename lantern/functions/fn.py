@@ -218,3 +218,8 @@ def type_counts_json(counts: Column) -> Column:
 
 def parse_type_counts(text: Column) -> Column:
     return F.from_json(F.coalesce(F.nullif(text, F.lit("")), F.lit("{}")), "map<string,bigint>")
+
+
+def spread_key(key: Column, row: Column) -> Column:
+    """The key of a left join whose null keys match nothing: nulls are dealt by row, so that no task gets them all."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), row.cast("string")))

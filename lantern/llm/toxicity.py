@@ -32,10 +32,12 @@ LEAST_WEIGHT, LEAST_SUPPORT = 2.0, 0.75
 FUZZY_LENGTH, TWO_ERRORS = 5, 8
 #: Lengths of the stems that may be learned, and the different words that must share one.
 STEMS, STEM_WORDS = (4, 8), 3
+#: Share of a stem's texts that a word must have to be a term beside it.
+MAJOR_WORD = 0.25
 FUZZY_FACTOR = 0.8
 WINDOW = 6
 QUOTED, TOLD, ADDRESSED = 0.4, 0.6, 1.3
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 # Insults for a model whose labels teach no term, and their weight.
 KNOWN_WEIGHT = 3.5
@@ -59,7 +61,7 @@ class Trie:
     def __init__(self, terms: dict[str, float]) -> None:
         self.terms = terms
         self.root: dict = {}
-        self.pieces: dict[tuple[int, int, int], set[str]] = {}  # (piece's place from the front, or from the end, its length, slack)
+        heads, tails, middles = set(), set(), {}
         for term in terms:
             node = self.root
             for c in term:
@@ -67,20 +69,18 @@ class Trie:
             node[None] = term
             errors = errors_allowed(term)
             cuts = [len(term) * k // (errors + 1) for k in range(errors + 2)]
-            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if errors:
-                    place = (0, hi, 0) if not k else (lo - len(term), hi - lo, 0) if k == errors else (lo, hi - lo, errors)
-                    self.pieces.setdefault(place, set()).add(term[lo:hi])
+            if errors:
+                heads.add(term[: cuts[1]])
+                tails.add(term[cuts[-2] :])
+                for lo, hi in zip(cuts[1:-2], cuts[2:-1], strict=True):
+                    middles.setdefault((max(lo - errors, 0), lo + errors), set()).add(term[lo:hi])
+        one_of = lambda x: "|".join(map(re.escape, sorted(x)))
+        parts = [f"^(?:{one_of(heads)})"] + [f"^.{{{lo},{hi}}}(?:{one_of(x)})" for (lo, hi), x in sorted(middles.items())] + [f"(?:{one_of(tails)})$"]
+        self.pieces = re.compile("|".join(parts), re.DOTALL) if heads else None
 
     def may_match(self, word: str) -> bool:
         """Some errors leave one of a term's pieces, one more than they are, as it is and nearly where it was."""
-        for (at, n, slack), known in self.pieces.items():
-            if slack:
-                if any(word[i : i + n] in known for i in range(max(at - slack, 0), at + slack + 1)):
-                    return True
-            elif (word[:n] if not at else word[-n:]) in known:
-                return True
-        return False
+        return self.pieces is not None and self.pieces.search(word) is not None
 
     def near(self, word: str, errors: int | None = None) -> list[tuple[str, int]]:
         """(term, errors) within so many insertions, deletions and substitutions of the word; by default, as many as the term allows."""
@@ -117,30 +117,37 @@ class Matcher:
         self.trie = Trie({t: w for t, w in terms.items() if t[-1] != "*"})
         self.stems = {t[:-1]: w for t, w in terms.items() if t[-1] == "*"}
         self.stem_lengths = sorted({len(t) for t in self.stems})
+        # terms of one error at most, with two neighbours that changed places
+        near = [(t, w) for t, w in self.trie.terms.items() if errors_allowed(t) == 1]
+        self.swapped: dict[str, tuple[float, str]] = {}
+        for t, w in near:
+            for i in range(len(t) - 1):
+                x = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+                self.swapped[x] = max(self.swapped.get(x, (0.0, "")), (FUZZY_FACTOR * w, t))
         self.innocent, self.known = innocent, {}
 
     def match(self, token: str) -> tuple[float, str] | None:
         """The heaviest term that the token, or a part of it between punctuation, stands for."""
         word = token.strip(_EDGE)
-        if found := self._word(word):
+        found = self._word(word)
+        if found or word.isalnum():
             return found
         parts = _INNER.split(word)
         return max((f for x in parts if x and (f := self._word(x))), default=None) if len(parts) > 1 else None
 
     def _word(self, word: str) -> tuple[float, str] | None:
-        terms = self.trie.terms
-        forms = {word, word.translate(_PLAIN)}
+        terms, stems = self.trie.terms, self.stems
+        forms = (word,) if word.isalpha() else {word, word.translate(_PLAIN)}
         exact = [(terms[w], w) for w in forms if w in terms]
-        exact += [(self.stems[word[:n]], word[:n] + "*") for n in self.stem_lengths if n < len(word) and word[:n] in self.stems]
+        for n in self.stem_lengths:
+            if n < len(word) and (x := word[:n]) in stems:
+                exact.append((stems[x], x + "*"))
         if exact:
             return max(exact)
         if len(word) < FUZZY_LENGTH - 1 or word in self.innocent:
             return None
-        found = [(FUZZY_FACTOR**k * terms[t], t) for w in forms if self.trie.may_match(w) for t, k in self.trie.near(w)]
-        for w in forms:
-            if FUZZY_LENGTH <= len(w) < TWO_ERRORS:
-                swapped = (w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1))
-                found += [(FUZZY_FACTOR * terms[x], x) for x in swapped if x in terms]
+        found = [self.swapped[w] for w in forms if w in self.swapped]
+        found += [(FUZZY_FACTOR**k * terms[t], t) for w in forms if self.trie.may_match(w) for t, k in self.trie.near(w)]
         return max(found, default=None)
 
     def __call__(self, token: str) -> tuple[float, str] | None:
@@ -266,13 +273,19 @@ def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, di
     counts = written(words.groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n")))
     star = lambda x: F.concat(x, F.lit("*"))
     shared = counts.select("t", "n", F.explode(_stems(F.col("w"))).alias("w")).groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).where(F.col("words") >= STEM_WORDS)
+    covering = counts.select("w", "t", F.explode(_stems(F.col("w"))).alias("stem"))
     forms = counts.select("w", "t", "n").unionByName(shared.select(star(F.col("w")).alias("w"), "t", "n")).where("t >= 3")
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - F.lit(math.log((positive + 0.5) / (total - positive + 0.5)))
     candidates = written(forms.select("w", odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT))
     stems = F.transform(_stems(F.col("w")), star)  # of a stem with its star: the shorter ones and itself
     shorter = candidates.select("w", "weight", F.explode(stems).alias("stem")).where("endswith(w, '*') and stem <> w").join(candidates.select(F.col("w").alias("stem"), F.col("weight").alias("stem_weight")), "stem")
     covered = shorter.where(F.col("stem_weight") >= F.col("weight") - 0.5).select("w").distinct()
-    candidates = candidates.join(covered, "w", "left_anti")
+    candidates = written(candidates.join(covered, "w", "left_anti"))
+    # a word is no term of its own where a stem says as much and is made of many such words
+    chosen_stems = candidates.where("endswith(w, '*')").join(shared.select(star(F.col("w")).alias("w"), F.col("t").alias("stem_t")), "w").select(F.col("w").alias("stem"), F.col("weight").alias("stem_weight"), "stem_t")
+    under = covering.where("t >= 3").withColumn("stem", star(F.col("stem"))).join(chosen_stems, "stem").join(candidates, "w")
+    minor = under.where((F.col("stem_weight") >= F.col("weight") - 0.5) & (F.col("t") < MAJOR_WORD * F.col("stem_t"))).select("w").distinct()
+    candidates = candidates.join(minor, "w", "left_anti")
     said = words.where("y = 1").select("__id", "w").unionByName(words.where("y = 1").select("__id", F.explode(stems).alias("w"))).distinct()
     of_toxic = written(said.join(candidates, "w"))
     shares = of_toxic.groupBy("__id").agg((1 / F.count("*")).alias("share"))

@@ -154,7 +154,8 @@ def purge_stale(files: DataFrame, folders: DataFrame, location_id: int, scope: s
     if scope is not None:
         inside &= below(F.col("rel_path"), scope)
     left = files.where(~(inside & (F.col("stale") == 1)))
-    held = left.select("location_id", F.explode(ancestors(F.col("rel_dir"))).alias("rel_path")).union(folders.where("stale = 0").select("location_id", F.explode(ancestors(F.col("rel_path"))).alias("rel_path"))).distinct()
+    alive = left.select("location_id", F.col("rel_dir").alias("rel_path")).union(folders.where("stale = 0").select("location_id", "rel_path")).distinct()
+    held = alive.select("location_id", F.explode(ancestors(F.col("rel_path"))).alias("rel_path")).distinct()  # folders go up, not files
     empty = folders.where(inside & (F.col("stale") == 1)).join(held, KEY, "left_anti").select(*KEY)
     return left, folders.join(empty, KEY, "left_anti")
 
@@ -186,3 +187,19 @@ def purge_location(files: DataFrame, hashes: DataFrame, location_id: int) -> tup
     """(files, hashes) without a location; the duplicate counts of hashes that it shared are made anew."""
     left = hashes.where(F.col("location_id") != location_id)
     return files.where(F.col("location_id") != location_id), dup_recount(left)
+
+
+def purge_everywhere(tables: dict[str, DataFrame], location_id: int) -> dict[str, DataFrame]:
+    """All catalog tables, by name, without a location.
+
+    Tables with a location_id lose its rows (a rule or a table row without location stays); those with a file_id alone,
+    such as tags and pending operations, lose the rows of its files. files and hashes must be among them.
+    """
+    gone = tables["files"].where(F.col("location_id") == location_id).select("file_id")
+    out = {}
+    for name, df in tables.items():
+        if "location_id" in df.columns:
+            out[name] = df.where(F.col("location_id").isNull() | (F.col("location_id") != location_id))
+        else:
+            out[name] = df.join(gone, "file_id", "left_anti")
+    return out | {"hashes": dup_recount(out["hashes"])}

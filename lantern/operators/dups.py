@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lantern.functions.fn import SMALL, effective_hash
+from lantern.functions.fn import SMALL, effective_hash, spread_key
+from lantern.tables import written
 
 ACTIVE = "excluded = 0 and stale = 0"
 GATE = ["hash_partial", "file_size"]
@@ -52,6 +53,7 @@ def dup_recount(hashes: DataFrame, location_id: int | None = None) -> DataFrame:
     """Hashes with dup_count anew: members of the file's group less one, 0 on inactive and unhashed rows.
 
     Groups are counted by aggregation and joined back, so a hash that very many files share makes no large window.
+    Unhashed rows join nothing and are spread over all tasks.
     With location_id, only hashes present there are recounted, over all locations; other rows keep their counts.
     """
     rows = hashes.withColumns(dict(zip(("__verified", "__hash"), kind_and_hash(), strict=True)))
@@ -61,7 +63,7 @@ def dup_recount(hashes: DataFrame, location_id: int | None = None) -> DataFrame:
         touched = live.where(F.col("location_id") == location_id).select("__verified", "__hash").distinct()
         live = live.join(touched, ["__verified", "__hash"], "left_semi")
     groups = live.groupBy("__verified", "__hash").agg((F.count("*") - 1).alias("__n"))
-    counted = rows.join(groups, ["__verified", "__hash"], "left")
+    counted = rows.withColumn("__hash", spread_key(F.col("__hash"), F.col("file_id"))).join(groups, ["__verified", "__hash"], "left")
     n = F.when(F.expr(ACTIVE), F.coalesce("__n", F.lit(0))).otherwise(0).cast("long")
     if touched is not None:
         n = F.when(F.col("__n").isNotNull(), n).otherwise(F.col("dup_count"))
@@ -177,14 +179,21 @@ def three_gate(files: DataFrame, hashes: DataFrame, contents: DataFrame) -> Data
     """The whole funnel: hashes with fast hashes for all candidates, and duplicate counts.
 
     Gate 1 and 2 group by partial hash and size; small members take their partial hash; contents (file_id,
-    content_hash) is joined for the other members only, so nothing else is read; gate 3 counts equal hashes.
+    content_hash) is joined for the other members only, so nothing else is read; gate 3 counts equal hashes. hashes is
+    scanned twice, for the groups and for the rows; the filled rows are written before they are counted.
     """
-    members = dup_candidates(hashes, files).select("file_id", "file_size")
-    large = members.where(F.col("file_size") > SMALL).join(contents.select("file_id", "content_hash"), "file_id").select("file_id", F.col("content_hash").alias("__fast"))
-    small = members.where(F.col("file_size") <= SMALL).select("file_id", F.lit(True).alias("__small"))
-    filled = hashes.join(large, "file_id", "left").join(small, "file_id", "left")
-    fast = F.coalesce("hash_fast", F.when(F.col("__small"), F.col("hash_partial")), "__fast")
-    return dup_recount(filled.withColumn("hash_fast", fast).select(*hashes.columns))
+    groups = candidate_groups(hashes).select(*GATE, F.lit(True).alias("__met"))
+    key = spread_key(F.col("hash_partial"), F.col("file_id"))
+    gated = hashes.withColumn("__partial", F.col("hash_partial")).withColumn("hash_partial", key).join(groups, GATE, "left").withColumn("hash_partial", F.col("__partial"))
+    wanted = F.expr(ACTIVE) & F.col("hash_fast").isNull() & F.col("__met").isNotNull()
+    large = F.when(wanted & (F.col("file_size") > SMALL), F.col("file_id"))
+    there = files.where("stale = 0").select("file_id")
+    read = contents.join(there, "file_id", "left_semi").select(F.col("file_id").cast("string").alias("__read"), F.col("content_hash").alias("__fast"))
+    small = there.select(F.col("file_id").cast("string").alias("__small"), F.lit(True).alias("__there"))
+    filled = gated.withColumn("__read", spread_key(large.cast("string"), F.col("file_id"))).join(read, "__read", "left")
+    filled = filled.withColumn("__small", spread_key(F.when(wanted & (F.col("file_size") <= SMALL), F.col("file_id").cast("string")), F.col("file_id"))).join(small, "__small", "left")
+    fast = F.coalesce("hash_fast", F.when(F.col("__there"), F.col("hash_partial")), "__fast")
+    return dup_recount(written(filled.withColumn("hash_fast", fast).select(*hashes.columns)))
 
 
 def top_groups(hashes: DataFrame, k: int = 20) -> DataFrame:

@@ -138,6 +138,17 @@ def rehash_partial_worklist(hashes: DataFrame, location_id: int) -> DataFrame:
 
 
 def byte_batches(worklist: DataFrame, cap: int = 500 << 20) -> DataFrame:
-    """Adds batch: rows in inode order, cut where the bytes before a row pass a multiple of cap; no batch exceeds cap plus one file."""
-    order = Window.partitionBy("location_id").orderBy("inode", "file_id").rowsBetween(Window.unboundedPreceding, -1)
-    return worklist.withColumn("batch", F.floor(F.coalesce(F.sum("file_size").over(order), F.lit(0)) / cap).cast("long"))
+    """Adds batch: a location's rows in inode order, cut where the bytes before a row pass a multiple of cap; no batch exceeds cap plus one file.
+
+    Running sums are taken within runs of 2 ** 20 inodes (of file ids, where there is no inode) and shifted by the bytes of
+    the runs before, so no task sorts a whole disk.
+    """
+    run = F.struct(F.shiftright("inode", 20).alias("i"), F.when(F.col("inode").isNull(), F.shiftright("file_id", 20)).alias("f"))
+    rows = worklist.withColumn("__run", run)
+    sizes = rows.groupBy("location_id", "__run").agg(F.sum("file_size").alias("__bytes"))
+    before = Window.partitionBy("location_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("location_id", "__run", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__start"))
+    order = Window.partitionBy("location_id", "__run").orderBy("inode", "file_id").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("__sum", F.coalesce(F.sum("file_size").over(order), F.lit(0)))
+    same = (summed["location_id"].eqNullSafe(starts["location_id"])) & (summed["__run"].eqNullSafe(starts["__run"]))
+    return summed.join(starts, same).select(*(summed[c] for c in worklist.columns), F.floor((F.col("__sum") + F.col("__start")) / cap).cast("long").alias("batch"))

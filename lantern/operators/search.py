@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lantern.functions.fn import KNOWN_TYPES, effective_hash, escape_like, name_matches
+from lantern.functions.fn import KNOWN_TYPES, effective_hash, escape_like, name_matches, spread_key
 from lantern.operators.dups import live_dup_counts
 from lantern.operators.tree import KEY, below
 
@@ -133,15 +133,21 @@ def folder_condition(c: dict) -> Column | None:
     return between(column, _count_bound(c.get("from")), _count_bound(c.get("to"))) if column else None
 
 
-def _shown(files: DataFrame, hashes: DataFrame, locations: DataFrame) -> DataFrame:
-    """Search results: names of locations, hashes, and live duplicate counts of the hashes found."""
-    rows = files.drop("dup_count", "hash_strong", "hash_fast").join(locations.select("location_id", F.col("name").alias("location_name")), "location_id").join(hashes.select("file_id", "hash_strong", "hash_fast"), "file_id", "left")
+def live_counts(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """rows with their hashes and live duplicate counts (of the strong hash, or else the fast one)."""
+    rows = rows.drop("dup_count", "hash_strong", "hash_fast").join(hashes.select("file_id", "hash_strong", "hash_fast"), "file_id", "left")
     rows = rows.withColumn("hash", effective_hash(F.col("hash_strong"), F.col("hash_fast")))
     strong = rows.where("hash_strong <> ''").select(F.col("hash_strong").alias("hash")).distinct()
     fast = rows.where("coalesce(hash_strong, '') = '' and hash_fast <> ''").select(F.col("hash_fast").alias("hash")).distinct()
     counts = live_dup_counts(hashes, strong=strong, fast=fast)
-    out = rows.join(counts, "hash", "left").withColumns({"dup_count": F.coalesce("dup_count", F.lit(0)), "file_count": F.lit(None).cast("long")})
-    return out.select(*RESULT)
+    keyed = rows.withColumn("hash", spread_key(F.col("hash"), F.col("file_id")))
+    return keyed.join(counts, "hash", "left").withColumn("dup_count", F.coalesce("dup_count", F.lit(0)))
+
+
+def _shown(files: DataFrame, hashes: DataFrame, locations: DataFrame) -> DataFrame:
+    """Search results: names of locations, hashes, and live duplicate counts of the hashes found."""
+    rows = files.join(locations.select("location_id", F.col("name").alias("location_name")), "location_id")
+    return live_counts(rows, hashes).withColumn("file_count", F.lit(None).cast("long")).select(*RESULT)
 
 
 def search(
@@ -211,33 +217,50 @@ def run_saved_search(saved_params: str, files: DataFrame, hashes: DataFrame, loc
     return search(files, hashes, locations, tag_rows=tags, **params)
 
 
-def media_ids(files: DataFrame, media_type: str, online: DataFrame | None = None, location_id: int | None = None, folder: str | None = None) -> DataFrame:
-    """(file_id, filename) of image or video files: of a folder's own non-stale ones, at locations online, by name."""
+def media_ids(files: DataFrame, media_type: str, online: DataFrame | None = None, location_id: int | None = None, folder: str | None = None, found: DataFrame | None = None, by: str = "name", descending: bool = False) -> DataFrame:
+    """(file_id, filename) of image or video files, sorted: of a search result (found, with file_id), or of a folder's own
+    files, or of all. Stale files and those at locations offline are left out."""
     own = files.where((F.col("type_high") == media_type) & (F.col("stale") == 0))
-    if folder is not None:
+    if found is not None:
+        own = own.join(found.select("file_id").distinct(), "file_id", "left_semi")
+    elif folder is not None:
         own = own.where((F.col("location_id") == location_id) & (F.col("rel_dir") == folder))
     if online is not None:
         own = online_only(own, online)
-    return own.select("file_id", "filename").orderBy(F.lower("filename"), "file_id")
+    return own.orderBy(*_sort(by, descending)).select("file_id", "filename")
 
 
 SORTS = {"name": F.lower, "type": lambda _: F.col("type_high"), "size": lambda _: F.col("file_size"), "date": lambda _: F.col("modified_at"), "dups": lambda _: F.col("dup_count")}
 
 
+def _key(by: str) -> Column:
+    return F.lower("filename") if by == "name" else SORTS[by](None)
+
+
 def _sort(by: str, descending: bool) -> list[Column]:
-    key = F.lower("filename") if by == "name" else SORTS[by](None)
+    key = _key(by)
     return [key.desc() if descending else key.asc(), F.col("file_id").asc()]
 
 
-def paged(df: DataFrame, by: str = "name", descending: bool = False, page: int = 0, size: int = PAGE) -> DataFrame:
-    """One page of the sorted rows; file_id settles ties."""
+def paged(df: DataFrame, by: str = "name", descending: bool = False, page: int = 0, size: int = PAGE, after: tuple | None = None) -> DataFrame:
+    """One page of the sorted rows; file_id settles ties.
+
+    after, the sort key and file_id of the last row seen (a name in lower case), starts right behind it, so a deep page costs
+    no more than the first; `page` counts from there.
+    """
+    if after is not None:
+        key, file_id = _key(by), F.col("file_id")
+        value, last = (F.lit(x) for x in after)
+        beyond = (key < value) | key.isNull() if descending else key > value
+        if after[0] is None:
+            beyond = F.lit(False) if descending else key.isNotNull()
+        df = df.where(beyond | (key.eqNullSafe(value) & (file_id > last)))
     return df.orderBy(*_sort(by, descending)).offset(page * size).limit(size)
 
 
 def page_of(df: DataFrame, file_id: int, by: str = "name", descending: bool = False, size: int = PAGE) -> DataFrame:
     """(page): the page that shows a file, by counting the rows that sort before it; no shuffle of the rows."""
-    key = F.lower("filename") if by == "name" else SORTS[by](None)
-    rows = df.select("file_id", key.alias("k"))
+    rows = df.select("file_id", _key(by).alias("k"))
     own = rows.where(F.col("file_id") == file_id).limit(1).select(F.col("k").alias("k0"))
     before = (F.col("k") > F.col("k0")) if descending else (F.col("k") < F.col("k0"))
     counted = rows.crossJoin(own).where(before | ((F.col("k") == F.col("k0")) & (F.col("file_id") < file_id)))  # one row broadcast

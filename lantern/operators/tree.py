@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lantern.functions.fn import ancestors, basename, depth, dirname, hidden_inherited
+from lantern.tables import written
 
 KEY = ["location_id", "rel_path"]
 
@@ -93,45 +90,40 @@ def materialise_paths(folders: DataFrame) -> DataFrame:
     log2(d) rounds, each a written table, whatever its depth and its number of folders. A round that brings no path to
     a root leaves cycles only.
     """
-    now = _written(folders.select("id", F.col("parent_id").alias("up"), F.col("name").alias("rel_path"), F.lit(1).alias("depth")))
+    now = written(folders.select("id", F.col("parent_id").alias("up"), F.col("name").alias("rel_path"), F.lit(1).alias("depth")))
     left = now.where("up is not null").count()
     while left:
         above = now.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("rel_path").alias("__path"), F.col("depth").alias("__depth"))
         longer = now.join(above, "up").select("id", F.col("__up").alias("up"), F.concat("__path", F.lit("/"), "rel_path").alias("rel_path"), (F.col("depth") + F.col("__depth")).alias("depth"))
         rooted = now.where("up is null").count()
-        now = _written(now.where("up is null").unionByName(longer))
+        now = written(now.where("up is null").unionByName(longer))
         left = now.where("up is not null").count()
         if now.where("up is null").count() == rooted:
             break
     return now.where("up is null").select("id", "rel_path", "depth")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a written table below spark.checkpoint.dir; where that is missing, as in tests, below a folder of our own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def list_folder(files: DataFrame, folders: DataFrame, location_id: int, folder: str, name: str | None = None, page: int = 0, size: int = 120, by: str = "name", descending: bool = False, hashes: DataFrame | None = None) -> DataFrame:
+    """(kind, name, size): sub-folders by name, then one page of the folder's files, sorted like search results.
 
-def list_folder(files: DataFrame, folders: DataFrame, location_id: int, folder: str, name: str | None = None, page: int = 0, size: int = 120) -> DataFrame:
-    """(kind, name, size): sub-folders, then one page of the folder's files, both by name."""
+    With hashes also file_id and dup_count, the live count of copies of the files shown; a sort by "dups" uses the stored counts.
+    """
     from lantern.functions.fn import name_matches
-    from lantern.operators.search import paged
+    from lantern.operators.search import live_counts, paged
 
     sub = folders.where((F.col("location_id") == location_id) & (dirname(F.col("rel_path")) == folder)).select(basename(F.col("rel_path")).alias("name"))
     own = files.where((F.col("location_id") == location_id) & (F.col("rel_dir") == folder))
     if name:
         own = own.where(name_matches(F.col("filename"), name))
-    shown = paged(own, "name", page=page, size=size)
-    return sub.select(F.lit("folder").alias("kind"), "name", F.lit(None).cast("long").alias("size")).unionByName(
-        shown.select(F.lit("file").alias("kind"), F.col("filename").alias("name"), F.col("file_size").alias("size"))
-    )
+    if by == "dups" and hashes is not None:
+        own = own.drop("dup_count").join(hashes.select("file_id", "dup_count"), "file_id", "left")
+    shown = paged(own, by, descending, page=page, size=size)
+    extra = []
+    if hashes is not None:
+        shown = live_counts(shown, hashes)
+        extra = ["file_id", "dup_count"]
+    top = sub.select(F.lit("folder").alias("kind"), "name", F.lit(None).cast("long").alias("size"), *(F.lit(None).cast("long").alias(c) for c in extra))
+    return top.unionByName(shown.select(F.lit("file").alias("kind"), F.col("filename").alias("name"), F.col("file_size").alias("size"), *extra))
 
 
 def favourites(locations: DataFrame, folders: DataFrame) -> DataFrame:
@@ -149,15 +141,13 @@ def nested_tree(locations: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def download_manifest(files: DataFrame, selected: DataFrame, locations: DataFrame) -> DataFrame:
-    """(full_path, archive_name, location_id): files below selected folders, named by folder and the path below it."""
+    """(full_path, archive_name, location_id): files below selected folders, named by folder and the path below it.
+
+    What is exploded is folders that hold files, not files.
+    """
     wanted = selected.select("location_id", F.col("rel_path").alias("folder"))
-    up = files.where("stale = 0").select("location_id", "rel_path", F.explode(ancestors(F.col("rel_dir"))).alias("folder"))
-    found = up.join(wanted, ["location_id", "folder"]).join(locations.select("location_id", "root_path"), "location_id")
+    dirs = files.where("stale = 0").select("location_id", "rel_dir").distinct()
+    held = dirs.select("location_id", "rel_dir", F.explode(ancestors(F.col("rel_dir"))).alias("folder")).join(wanted, ["location_id", "folder"])
+    found = files.where("stale = 0").select("location_id", "rel_dir", "rel_path").join(held, ["location_id", "rel_dir"]).join(locations.select("location_id", "root_path"), "location_id")
     name = F.concat(basename(F.col("folder")), F.substring(F.col("rel_path"), F.length("folder") + 1, F.length("rel_path")))
     return found.select(F.concat_ws("/", "root_path", "rel_path").alias("full_path"), name.alias("archive_name"), "location_id")
-
-
-def rank_roots(folders: DataFrame) -> DataFrame:
-    """Folders with their position among their siblings by name."""
-    parent = dirname(F.col("rel_path"))
-    return folders.withColumn("position", F.row_number().over(Window.partitionBy("location_id", parent).orderBy(F.lower(basename(F.col("rel_path"))), "rel_path")))

@@ -45,7 +45,8 @@ def recount_sql(source: str) -> str:
 
 
 HERE, DIR = 1, "nation_15"
-ids = lambda df, k: df.where(f"file_id % {k} = 0").select("file_id")
+every = lambda df: df.select("file_id")
+here = lambda df: df.where(F.col("location_id") == HERE).select("file_id")
 online = lambda locations: locations.where("online").select("location_id")
 counted = dups.dup_recount
 
@@ -64,8 +65,8 @@ add("src_06_upsert_files", "f_line f_listing",
     case when n.rel_path is not null then n.modified_at else c.modified_at end as modified_at, c.description, case when n.rel_path is not null then 0 else c.stale end as stale
     from f_line c full join f_listing n on c.location_id=n.location_id and c.rel_path=n.rel_path""")
 add("src_07_upsert_hashes", "f_hashes0 f_hashes",
-    lambda o, n: catalog.upsert_hashes(o.where("file_id % 5 <> 1").select("file_id", "file_size", "hash_fast", "hash_strong"), n.where("file_id % 2 = 0").select("file_id", (F.col("file_size") + 1).alias("file_size"), F.when(F.col("file_id") % 4 == 0, F.col("hash_fast")).alias("hash_fast"))),
-    """with o as (select * from f_hashes0 where file_id % 5 <> 1), n as (select file_id, file_size + 1 as file_size, case when file_id % 4 = 0 then hash_fast end as hash_fast from f_hashes where file_id % 2 = 0)
+    lambda o, n: catalog.upsert_hashes(o.where("location_id <> 1").select("file_id", "file_size", "hash_fast", "hash_strong"), n.where("location_id < 4").select("file_id", (F.col("file_size") + 1).alias("file_size"), F.when(F.col("file_id") % 4 == 0, F.col("hash_fast")).alias("hash_fast"))),
+    """with o as (select * from f_hashes0 where location_id <> 1), n as (select file_id, file_size + 1 as file_size, case when file_id % 4 = 0 then hash_fast end as hash_fast from f_hashes where location_id < 4)
     select coalesce(o.file_id, n.file_id) as file_id, case when n.file_id is not null then n.file_size else o.file_size end as file_size, coalesce(n.hash_fast, o.hash_fast) as hash_fast, o.hash_strong from o full join n on o.file_id = n.file_id""")
 add("src_10_split_wide_catalog", "f_line", lambda v: catalog.split_wide_catalog(v.withColumn("hash_fast", F.col("content_fast")).withColumn("dup_count", F.lit(0))).select("file_id", "location_id", "file_size", "hash_partial", "hash_fast", "hash_strong", "excluded"),
     "select file_id, location_id, file_size, hash_partial, content_fast as hash_fast, hash_strong, excluded from f_line where stale = 0 and coalesce(hash_partial, content_fast, hash_strong) is not null")
@@ -118,18 +119,18 @@ add("hsh_01_hash_partial", "f_docs", lambda v: hashing.hash_partial(v, k=64).sel
     "select file_id, case when file_size = 0 then null when file_size <= 128 then substr(md5(content), 1, 16) else substr(md5(from_hex(concat(substr(hex(encode(content)), 1, 128), right(hex(encode(content)), 128)))), 1, 16) end as hash_partial from f_docs")
 add("hsh_02_hash_fast", "f_docs", lambda v: hashing.hash_fast(v).select("file_id", "hash_fast"), "select file_id, substr(md5(content), 1, 16) as hash_fast from f_docs")
 add("hsh_03_hash_strong", "f_docs", lambda v: hashing.hash_strong(v).select("file_id", "hash_strong"), "select file_id, sha256(content) as hash_strong from f_docs")
-add("hsh_04_promote_small", "f_hashes0", lambda v: hashing.promote_small(v, ids(v, 2)).select("file_id", "hash_fast"), "select file_id, case when file_id % 2 = 0 and file_size <= 131072 then coalesce(hash_fast, hash_partial) else hash_fast end as hash_fast from f_hashes0")
-add("hsh_05_missing_partial", "f_line f_hashes", lambda f, h: hashing.missing_partial(f, h.where("file_id % 3 <> 0"), HERE, DIR).select("file_id"), f"select file_id from f_line where stale = 0 and file_size > 0 and location_id = {HERE} and rel_path like '{DIR.replace('_', '~_')}/%' escape '~' and file_id % 3 = 0")
+add("hsh_04_promote_small", "f_hashes0", lambda v: hashing.promote_small(v, here(v)).select("file_id", "hash_fast"), f"select file_id, case when location_id = {HERE} and file_size <= 131072 then coalesce(hash_fast, hash_partial) else hash_fast end as hash_fast from f_hashes0")
+add("hsh_05_missing_partial", "f_line f_hashes", lambda f, h: hashing.missing_partial(f, h.where("hash_strong is null"), HERE, DIR).select("file_id"), f"select file_id from f_line where stale = 0 and file_size > 0 and location_id = {HERE} and rel_path like '{DIR.replace('_', '~_')}/%' escape '~' and hash_strong is not null")
 add("hsh_06_unhashed", "f_hashes0", lambda v: hashing.unhashed_candidates(v).select("file_id", "location_id"), f"select file_id, location_id from f_hashes0 where {ACT} and hash_partial is not null and hash_fast is null")
 _RESULTS = "case when file_id % 9 = 0 then 'File not found' end"
-add("hsh_07_apply_results", "f_hashes0 f_line", lambda h, f: hashing.apply_hash_results(h, f, f.where("file_id % 3 = 1").select("location_id", "rel_path", F.col("content_fast").alias("hash"), F.expr("case when file_id % 4 = 0 then 'File not found' end").alias("error")))[0].select("file_id", "hash_fast", "stale"),
-    "select h.file_id, case when h.file_id % 3 = 1 and h.file_id % 4 <> 0 then coalesce(content_fast, h.hash_fast) else h.hash_fast end as hash_fast, case when h.file_id % 3 = 1 and h.file_id % 4 = 0 then 1 else h.stale end as stale from f_hashes0 h join f_line f using (file_id)")
-add("hsh_08_clear_changed", "f_hashes", lambda v: hashing.clear_changed_hashes(v, ids(v, 13)).select("file_id", "hash_partial", "hash_fast", "hash_strong"), "select file_id, case when file_id % 13 <> 0 then hash_partial end as hash_partial, case when file_id % 13 <> 0 then hash_fast end as hash_fast, case when file_id % 13 <> 0 then hash_strong end as hash_strong from f_hashes")
-_REHASH = lambda v: hashing.rehash(v, v.where("file_id % 10 = 0").select("file_id", F.lit(None).cast("string").alias("hash_partial"), F.concat(F.lit("x"), F.substring("hash_fast", 2, 15)).alias("hash_fast")))
-add("hsh_09_rehash", "f_hashes", lambda v: _REHASH(v)[0].select("file_id", "hash_partial", "hash_fast", "hash_strong"), "select file_id, hash_partial, case when file_id % 10 = 0 then 'x' || substr(hash_fast, 2, 15) else hash_fast end as hash_fast, case when file_id % 10 <> 0 then hash_strong end as hash_strong from f_hashes")
-add("hsh_09_rehash_affected", "f_hashes", lambda v: _REHASH(v)[1], "with r as (select * from f_hashes where file_id % 10 = 0) select hash_fast as hash from r where hash_fast is not null union select hash_strong from r where hash_strong is not null union select 'x' || substr(hash_fast, 2, 15) from r where hash_fast is not null")
-add("hsh_10_verify_group", "f_hashes f_line f_locations", lambda h, f, w: hashing.verify_group(h, ids(h, 101), f, online(w)),
-    f"select file_id, location_id, case when hash_strong is not null then 'have' when location_id in (select location_id from f_locations where online) then 'todo' else 'offline' end as state from f_hashes where {ACT} and hash_fast in (select hash_fast from f_hashes where file_id % 101 = 0)")
+add("hsh_07_apply_results", "f_hashes0 f_line", lambda h, f: hashing.apply_hash_results(h, f, f.where("location_id < 4").select("location_id", "rel_path", F.col("content_fast").alias("hash"), F.expr("case when file_id % 4 = 0 then 'File not found' end").alias("error")))[0].select("file_id", "hash_fast", "stale"),
+    "select h.file_id, case when h.location_id < 4 and h.file_id % 4 <> 0 then coalesce(content_fast, h.hash_fast) else h.hash_fast end as hash_fast, case when h.location_id < 4 and h.file_id % 4 = 0 then 1 else h.stale end as stale from f_hashes0 h join f_line f using (file_id)")
+add("hsh_08_clear_changed", "f_hashes", lambda v: hashing.clear_changed_hashes(v, here(v)).select("file_id", "hash_partial", "hash_fast", "hash_strong"), f"select file_id, case when location_id <> {HERE} then hash_partial end as hash_partial, case when location_id <> {HERE} then hash_fast end as hash_fast, case when location_id <> {HERE} then hash_strong end as hash_strong from f_hashes")
+_REHASH = lambda v: hashing.rehash(v, v.where("location_id < 3").select("file_id", F.lit(None).cast("string").alias("hash_partial"), F.concat(F.lit("x"), F.substring("hash_fast", 2, 15)).alias("hash_fast")))
+add("hsh_09_rehash", "f_hashes", lambda v: _REHASH(v)[0].select("file_id", "hash_partial", "hash_fast", "hash_strong"), "select file_id, hash_partial, case when location_id < 3 then 'x' || substr(hash_fast, 2, 15) else hash_fast end as hash_fast, case when location_id >= 3 then hash_strong end as hash_strong from f_hashes")
+add("hsh_09_rehash_affected", "f_hashes", lambda v: _REHASH(v)[1], "with r as (select * from f_hashes where location_id < 3) select hash_fast as hash from r where hash_fast is not null union select hash_strong from r where hash_strong is not null union select 'x' || substr(hash_fast, 2, 15) from r where hash_fast is not null")
+add("hsh_10_verify_group", "f_hashes f_line f_locations", lambda h, f, w: hashing.verify_group(h, every(h), f, online(w)),
+    f"select file_id, location_id, case when hash_strong is not null then 'have' when location_id in (select location_id from f_locations where online) then 'todo' else 'offline' end as state from f_hashes where {ACT} and hash_fast is not null")
 add("hsh_11_rehash_worklist", "f_hashes", lambda v: hashing.rehash_partial_worklist(v, HERE).select("file_id"), f"select file_id from f_hashes where location_id = {HERE} and stale = 0 and file_size > 0 and hash_partial is not null")
 add("hsh_12_byte_batches", "f_line", lambda v: hashing.byte_batches(v, 10_000_000).select("file_id", "batch"), "select file_id, cast(floor(coalesce(sum(file_size) over (partition by location_id order by inode, file_id rows between unbounded preceding and 1 preceding), 0) / 10000000) as bigint) as batch from f_line")
 
@@ -139,7 +140,7 @@ _GROUPS = f"select hash_partial, file_size, count(*) as n from f_hashes0 where {
 add("dup_01_active", "f_hashes", lambda v: dups.active(v).select("file_id"), f"select file_id from f_hashes where {ACT}")
 add("dup_02_candidate_groups", "f_hashes0", dups.candidate_groups, _GROUPS)
 add("dup_03_groups_of_location", "f_hashes0", lambda v: dups.candidate_groups(v, location_id=HERE), f"select g.* from ({_GROUPS}) g where exists (select 1 from f_hashes0 h where {_GATED} and h.location_id = {HERE} and h.hash_partial = g.hash_partial and h.file_size = g.file_size)")
-add("dup_04_groups_of_files", "f_hashes0", lambda v: dups.candidate_groups(v, file_ids=ids(v, 17)), f"select g.* from ({_GROUPS}) g where exists (select 1 from f_hashes0 h where {_GATED} and h.file_id % 17 = 0 and h.hash_partial = g.hash_partial and h.file_size = g.file_size)")
+add("dup_04_groups_of_files", "f_hashes0", lambda v: dups.candidate_groups(v, file_ids=every(v.where("hash_strong is not null"))), f"select g.* from ({_GROUPS}) g where exists (select 1 from f_hashes0 h where {_GATED} and h.hash_strong is not null and h.hash_partial = g.hash_partial and h.file_size = g.file_size)")
 _CANDIDATES = f"select h.file_id, h.hash_partial, h.file_size from f_hashes0 h join ({_GROUPS}) g using (hash_partial, file_size) where {_GATED} and hash_fast is null"
 add("dup_05_candidates", "f_hashes0 f_line", dups.dup_candidates, f"select c.*, f.location_id, f.rel_path, f.inode from ({_CANDIDATES}) c join f_line f using (file_id) where f.stale = 0")
 _FUNNEL = f"(select h.file_id, h.location_id, h.file_size, h.hash_partial, case when c.file_id is not null then coalesce(h.hash_fast, l.content_fast) else h.hash_fast end as hash_fast, h.hash_strong, h.excluded, h.stale from f_hashes0 h join f_line l using (file_id) left join ({_CANDIDATES}) c on c.file_id = h.file_id)"
@@ -148,28 +149,28 @@ add("dup_06_three_gate", "f_hashes0 f_line", lambda h, f: three_gate(h, f).selec
 add("dup_07_recount", "f_hashes", lambda v: counted(v).select("file_id", "dup_count"), f"select file_id, n as dup_count from ({recount_sql('f_hashes')})")
 add("dup_08_recount_location", "f_hashes", lambda v: counted(v, HERE).select("file_id", "dup_count"),
     f"with r as ({recount_sql('f_hashes')}), t as (select distinct ver, eff from r where {ACT} and location_id = {HERE} and eff is not null) select file_id, case when t.eff is not null then n else dup_count end as dup_count from r left join t using (ver, eff)")
-_CHANGED = lambda h: h.where("file_id % 50 = 0").select(fn.effective_hash(F.col("hash_strong"), F.col("hash_fast")).alias("hash"))
+_CHANGED = lambda h: h.where("location_id < 3").select(fn.effective_hash(F.col("hash_strong"), F.col("hash_fast")).alias("hash"))
 add("dup_09_recount_hashes", "f_hashes", lambda v: dups.recount_hashes(v, _CHANGED(v)).select("file_id", "old_count", "new_count", "delta"),
-    f"with r as ({recount_sql('f_hashes')}) select file_id, dup_count as old_count, n as new_count, (n > 0)::int - (dup_count > 0)::int as delta from r where eff in (select eff from r where file_id % 50 = 0) and n <> dup_count")
+    f"with r as ({recount_sql('f_hashes')}) select file_id, dup_count as old_count, n as new_count, (n > 0)::int - (dup_count > 0)::int as delta from r where eff in (select eff from r where location_id < 3) and n <> dup_count")
 add("dup_10_live_counts", "f_hashes", lambda v: dups.live_dup_counts(v, strong=v.select(F.col("hash_strong").alias("hash")), fast=v.select(F.col("hash_fast").alias("hash"))),
     f"select hash_strong as hash, count(*) - 1 as dup_count from f_hashes where {ACT} and hash_strong is not null group by 1 having count(*) > 1 union all select hash_fast, count(*) - 1 from f_hashes where {ACT} and hash_fast is not null group by 1 having count(*) > 1")
 add("dup_11_inconsistencies", "f_hashes", dups.dup_inconsistencies, f"with r as ({recount_sql('f_hashes')}) select distinct eff as hash, case when dup_count = 0 then 'missed' else 'phantom' end as problem from r where {ACT} and eff is not null and ((dup_count = 0 and n > 0) or (dup_count > 0 and n = 0))")
 _PAIRS = f"select s.file_id as selected_id, m.file_id, m.location_id from (select *, {EFF} as eff, {VER} as ver from f_hashes) s join (select *, {EFF} as eff, {VER} as ver from f_hashes) m on s.eff = m.eff and s.ver = m.ver and m.excluded = 0 and m.stale = 0"
-add("dup_12_duplicates_of", "f_hashes f_line f_locations", lambda h, f, w: dups.duplicates_of(h, f, w, ids(h, 500), 3).select("selected_id", "file_id", "total", "rel_path", "location_name", "agent_name"),
-    f"with p as (select *, count(*) over (partition by selected_id) as total, row_number() over (partition by selected_id order by file_id) as k from ({_PAIRS} where s.file_id % 500 = 0 and s.file_id <> m.file_id)) select selected_id, file_id, total, rel_path, name as location_name, agent_name from p join f_line f using (file_id) join f_locations l on l.location_id = f.location_id where k <= 3")
-add("dup_13_expand", "f_hashes", lambda v: dups.expand_to_duplicates(v, ids(v, 300)), f"select file_id from ({_PAIRS} where s.file_id % 300 = 0) union select file_id from f_hashes where file_id % 300 = 0")
+add("dup_12_duplicates_of", "f_hashes f_line f_locations", lambda h, f, w: dups.duplicates_of(h, f, w, every(h), 3).select("selected_id", "file_id", "total", "rel_path", "location_name", "agent_name"),
+    f"with p as (select *, count(*) over (partition by selected_id) as total, row_number() over (partition by selected_id order by file_id) as k from ({_PAIRS} where s.file_id <> m.file_id)) select selected_id, file_id, total, rel_path, name as location_name, agent_name from p join f_line f using (file_id) join f_locations l on l.location_id = f.location_id where k <= 3")
+add("dup_13_expand", "f_hashes", lambda v: dups.expand_to_duplicates(v, here(v)), f"select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE}")
 add("dup_14_location_counts", "f_hashes", dups.location_dup_counts, f"select location_id, count(*) as duplicates from f_hashes where {ACT} and dup_count > 0 group by 1")
 _IN_DIR = f"location_id = {HERE} and rel_path like '{DIR.replace('_', '~_')}/%' escape '~'"
 _EXCLUDED = f"(select h.file_id, h.hash_strong, h.hash_fast, case when {_IN_DIR.replace('location_id', 'f.location_id')} and f.stale = 0 then 1 else h.excluded end as excluded, h.stale from f_hashes h join f_line f using (file_id))"
 add("dup_15_set_exclude", "f_line f_hashes", lambda f, h: dups.set_dup_exclude(f, h, HERE, DIR).select("file_id", "excluded", "dup_count"), f"select file_id, excluded, n as dup_count from ({recount_sql(_EXCLUDED)})")
-add("dup_16_affected", "f_hashes", lambda v: dups.affected_hashes(v, ids(v, 21)), f"select distinct {EFF} as hash from f_hashes where dup_count > 0 and file_id % 21 = 0 and {EFF} is not null")
+add("dup_16_affected", "f_hashes", lambda v: dups.affected_hashes(v, every(v)), f"select distinct {EFF} as hash from f_hashes where dup_count > 0 and {EFF} is not null")
 add("dup_17_cross_location", "f_hashes0", lambda v: dups.cross_location_candidates(v, HERE).select("file_id"), f"select file_id from f_hashes0 h where {_GATED} and location_id <> {HERE} and hash_fast is null and exists (select 1 from f_hashes0 x where x.excluded = 0 and x.stale = 0 and x.location_id = {HERE} and x.hash_fast is not null and x.hash_partial = h.hash_partial and x.file_size = h.file_size)")
-_ARRIVALS = lambda f: f.where("file_id % 12 = 0").select(F.col("file_id").alias("arrival_id"), "hash_partial", "file_size", F.when(F.col("file_id") % 24 == 0, F.col("content_fast")).alias("hash_fast"))
-add("dup_18_arrivals", "f_line f_hashes0", lambda f, h: dups.arrivals_dup_check(_ARRIVALS(f), h.where("file_id % 12 <> 0")).select("arrival_id", "match_id", "to_hash"),
-    f"with k as (select * from f_hashes0 where file_id % 12 <> 0 and {ACT}), a as (select file_id as arrival_id, hash_partial, file_size, case when file_id % 24 = 0 then content_fast end as hash_fast from f_line where file_id % 12 = 0) select arrival_id, (select min(file_id) from k where k.hash_fast = a.hash_fast) as match_id, a.hash_fast is null and exists (select 1 from k where k.hash_partial = a.hash_partial and k.file_size = a.file_size and k.file_size > 0) as to_hash from a")
-add("dup_19_preview", "f_hashes f_line", lambda h, f: dups.consolidate_preview(h, f, ids(h, 35)), f"select selected_id, count(*) as members, count(*) filter (where a.filename = b.filename) as same_name from ({_PAIRS} where s.file_id % 35 = 0) p join f_line a on a.file_id = p.file_id join f_line b on b.file_id = p.selected_id group by 1")
-_PICK = lambda h, k: h.where(f"file_id % {k} = 0").select("file_id", (F.col("file_id") * 7919 % 10007).alias("position"))
-add("dup_20_batch_unique", "f_hashes", lambda v: dups.batch_unique(v, _PICK(v, 5)), f"with p as (select file_id, {EFF} as eff, row_number() over (partition by {EFF} order by file_id * 7919 % 10007, file_id) as k from f_hashes where file_id % 5 = 0) select file_id from p where eff is null or k = 1")
+_ARRIVALS = lambda f: f.where("location_id = 1").select(F.col("file_id").alias("arrival_id"), "hash_partial", "file_size", F.when(F.col("file_id") % 24 == 0, F.col("content_fast")).alias("hash_fast"))
+add("dup_18_arrivals", "f_line f_hashes0", lambda f, h: dups.arrivals_dup_check(_ARRIVALS(f), h.where("location_id <> 1")).select("arrival_id", "match_id", "to_hash"),
+    f"with k as (select * from f_hashes0 where location_id <> 1 and {ACT}), a as (select file_id as arrival_id, hash_partial, file_size, case when file_id % 24 = 0 then content_fast end as hash_fast from f_line where location_id = 1) select arrival_id, (select min(file_id) from k where k.hash_fast = a.hash_fast) as match_id, a.hash_fast is null and exists (select 1 from k where k.hash_partial = a.hash_partial and k.file_size = a.file_size and k.file_size > 0) as to_hash from a")
+add("dup_19_preview", "f_hashes f_line", lambda h, f: dups.consolidate_preview(h, f, every(h)), f"select selected_id, count(*) as members, count(*) filter (where a.filename = b.filename) as same_name from ({_PAIRS}) p join f_line a on a.file_id = p.file_id join f_line b on b.file_id = p.selected_id group by 1")
+_PICK = lambda h: h.select("file_id", (F.col("file_id") * 7919 % 10007).alias("position"))
+add("dup_20_batch_unique", "f_hashes", lambda v: dups.batch_unique(v, _PICK(v)), f"with p as (select file_id, {EFF} as eff, row_number() over (partition by {EFF} order by file_id * 7919 % 10007, file_id) as k from f_hashes) select file_id from p where eff is null or k = 1")
 add("dup_top_groups", "f_hashes0 f_line", lambda h, f: dups.top_groups(three_gate(h, f)), f"with r as ({recount_sql(_FUNNEL)}) select eff as hash, count(*) as copies, max(file_size) as file_size, (count(*) - 1) * max(file_size) as wasted from r where {ACT} and n > 0 group by eff, ver order by wasted desc, hash limit 20")
 
 # --- filters, search, sorting ---
@@ -241,11 +242,11 @@ add("agg_04_dup_rollup", "f_line f_folders f_hashes", lambda f, o, h: stats.fold
 
 def _deltas(f: DataFrame) -> DataFrame:
     sign = F.when(F.col("file_id") % 2 == 0, 1).otherwise(-3)
-    return f.where("file_id % 9 = 0").select("location_id", "rel_dir", *(x.cast("long").alias(n) for n, x in zip(stats.COUNTERS, (sign, sign * F.col("file_size"), sign * F.col("hidden"), F.lit(0)), strict=True)))
+    return f.select("location_id", "rel_dir", *(x.cast("long").alias(n) for n, x in zip(stats.COUNTERS, (sign, sign * F.col("file_size"), sign * F.col("hidden"), F.lit(0)), strict=True)))
 
 
 add("agg_05_apply_deltas", "f_line f_folders f_hashes", lambda f, o, h: stats.apply_deltas(fstats(f, o, h), _deltas(f)),
-    f"""with d as (select location_id, rel_dir, case when file_id % 2 = 0 then 1 else -3 end as s, file_size, hidden from f_line where file_id % 9 = 0),
+    f"""with d as (select location_id, rel_dir, case when file_id % 2 = 0 then 1 else -3 end as s, file_size, hidden from f_line),
     u as (select o.location_id, o.rel_path, sum(s) as a, sum(s * file_size) as b, sum(s * hidden) as c from (select location_id, rel_path from f_folders) o join d on d.location_id = o.location_id and (d.rel_dir = o.rel_path or starts_with(d.rel_dir, o.rel_path || '/')) group by 1, 2
       union all select location_id, '', sum(s), sum(s * file_size), sum(s * hidden) from d group by 1)
     select coalesce(t.location_id, u.location_id) as location_id, coalesce(t.rel_path, u.rel_path) as rel_path, cast(greatest(0, coalesce(file_count, 0) + coalesce(a, 0)) as bigint) as file_count, cast(greatest(0, coalesce(total_size, 0) + coalesce(b, 0)) as bigint) as total_size,
@@ -262,8 +263,8 @@ add("agg_11_missing_stats", "f_locations f_line", lambda w, f: stats.missing_sta
 _DIFF = """select coalesce(c.location_id, n.location_id) as location_id, coalesce(c.rel_path, n.rel_path) as rel_path, c.file_id, case when c.rel_path is null then 'new' when n.rel_path is not null and stale = 1 then case when c.file_size <> n.file_size or c.modified_at <> n.modified_at then 'recovered_changed' else 'recovered' end
     when n.rel_path is not null then case when c.file_size <> n.file_size or c.modified_at <> n.modified_at then 'changed' else 'unchanged' end when stale = 0 then 'gone' end as change, c.file_size as old_size, n.file_size as new_size from f_line c full join f_listing n on c.location_id = n.location_id and c.rel_path = n.rel_path"""
 add("agg_12_scan_summary", "f_line f_listing", lambda c, n: stats.scan_summary(diff.diff(c, n)), f"select location_id, change, count(*) as n from ({_DIFF}) where change is not null group by 1, 2")
-add("agg_13_selection", "f_line f_folders f_hashes", lambda f, o, h: stats.selection_summary(f, ids(f, 77), fstats(f, o, h), o.where("rel_path like '%5'")),
-    f"select (select count(*) from f_line where file_id % 77 = 0) as files, count(*) as folders, cast(sum(total_size) + (select sum(file_size) from f_line where file_id % 77 = 0) as bigint) as bytes from ({_FSTATS}) where rel_path like '%5'")
+add("agg_13_selection", "f_line f_folders f_hashes", lambda f, o, h: stats.selection_summary(f, here(f), fstats(f, o, h), o.where("rel_path like '%5'")),
+    f"select (select count(*) from f_line where location_id = {HERE}) as files, count(*) as folders, cast(sum(total_size) + (select sum(file_size) from f_line where location_id = {HERE}) as bigint) as bytes from ({_FSTATS}) where rel_path like '%5'")
 
 # --- folder tree ---
 add("tree_01_build_folders", "f_line", lambda v: tree.build_folders(v), "select location_id, rel_path, regexp_extract(rel_path, '[^/]*$') as name, case when rel_path like '%/%' then regexp_replace(rel_path, '/[^/]*$', '') else '' end as parent_path, len(string_split(rel_path, '/'))::int as depth, (rel_path like '.%')::int as hidden, 0 as dup_exclude from f_folders where rel_path <> 'empty'")
@@ -314,8 +315,8 @@ add("dif_12_purge_folders", "f_line f_folders", lambda f, o: _STALE_YEAR(f, o)[1
     select location_id, rel_path from o where not (location_id = {HERE} and gone and not exists (select 1 from f where f.location_id = o.location_id and starts_with(f.rel_path, o.rel_path || '/')) and not exists (select 1 from o k where k.location_id = o.location_id and not k.gone and starts_with(k.rel_path, o.rel_path || '/')))""")
 add("dif_13_touch_seen", "f_line", lambda v: diff.touch_seen(v, 99, "2024-01-01 00:00:00", HERE).select("file_id", "scan_id"), f"select file_id, case when location_id = {HERE} and stale = 0 then 99 else scan_id end as scan_id from f_line")
 add("dif_14_reclassify", "f_line", lambda v: diff.reclassify(v.withColumn("type_high", F.when(F.col("file_id") % 5 == 0, "other").otherwise(F.col("type_high")))), f"select file_id, 'other' as old_type, {_HIGH} as new_type from {_CLASS} where file_id % 5 = 0 and {_HIGH} <> 'other'")
-add("dif_15_freshness", "f_line", lambda v: diff.freshness(v, v.where("file_id % 3 = 0").select("file_id", (F.col("file_id") % 6 == 0).alias("found"), (F.col("file_size") + F.col("file_id") % 4).alias("size"))),
-    "select * from (select file_id, case when file_id % 6 <> 0 and stale = 0 then 'stale' when file_id % 6 = 0 and stale = 1 then 'clear' when file_id % 6 = 0 and file_id % 4 <> 0 then 'update' end as action from f_line where file_id % 3 = 0) where action is not null")
+add("dif_15_freshness", "f_line", lambda v: diff.freshness(v, v.where("location_id < 4").select("file_id", (F.col("file_id") % 6 == 0).alias("found"), (F.col("file_size") + F.col("file_id") % 4).alias("size"))),
+    "select * from (select file_id, case when file_id % 6 <> 0 and stale = 0 then 'stale' when file_id % 6 = 0 and stale = 1 then 'clear' when file_id % 6 = 0 and file_id % 4 <> 0 then 'update' end as action from f_line where location_id < 4) where action is not null")
 add("dif_17_purge_location", "f_line f_hashes", lambda f, h: diff.purge_location(f, h, HERE)[1].select("file_id", "dup_count"), f"select file_id, n as dup_count from ({recount_sql(f'(select * from f_hashes where location_id <> {HERE})')})")
 
 # --- plans and tags ---
@@ -327,49 +328,49 @@ add("plan_03_merge", "f_line f_hashes", lambda f, h: actions.merge_plan(f, h, HE
     f"""with s as (select f.file_id, f.rel_path, {_HEFF} as hash from f_line f join f_hashes h using (file_id) where f.location_id = {HERE} and f.stale = 0), k as (select *, first_value(file_id) over (partition by hash order by rel_path, file_id) as f0 from s),
     r as (select k.*, i.dest_file_id as d, k.hash is null or (i.dest_file_id is null and f0 = file_id) as u from k left join ({_INDEX}) i on i.hash = k.hash)
     select file_id, rel_path, hash, case when u then 'unique' else 'duplicate' end as action, coalesce(d, case when not u then f0 end) as dest_file_id, case when u then 'copied + stubbed' else 'duplicate + stubbed' end as result from r""")
-add("plan_04_metadata", "f_line f_hashes f_tags", lambda f, h, t: actions.merged_metadata(f, h, t, ids(h, 60)).select("selected_id", F.array_join("tags", "|").alias("tags"), "description", "modified_at"),
-    f"""with p as ({_PAIRS} where s.file_id % 60 = 0), c as (select p.selected_id, f.* from p join f_line f on f.file_id = p.file_id where f.stale = 0)
+add("plan_04_metadata", "f_line f_hashes f_tags", lambda f, h, t: actions.merged_metadata(f, h, t, every(h)).select("selected_id", F.array_join("tags", "|").alias("tags"), "description", "modified_at"),
+    f"""with p as ({_PAIRS}), c as (select p.selected_id, f.* from p join f_line f on f.file_id = p.file_id where f.stale = 0)
     select selected_id, coalesce((select string_agg(distinct tag, '|' order by tag) from c x join f_tags t on t.file_id = x.file_id where x.selected_id = c.selected_id), '') as tags, arg_min(description, file_id) filter (where description is not null) as description, min(modified_at) as modified_at from c group by selected_id""")
-_COPIES = f"with o as (select file_id, row_number() over (partition by {EFF} order by file_id * 7919 % 10007, file_id) as k, {EFF} as eff from f_hashes where file_id % 45 = 0), m as ({_PAIRS}), own as (select file_id from o where eff is null or k = 1), c as (select selected_id, file_id from m where selected_id in (select file_id from own) union select file_id, file_id from own), r as (select c.selected_id, f.file_id, f.location_id, f.excluded, f.rel_dir, f.location_id in (select location_id from f_locations where online) as up from c join f_line f on f.file_id = c.file_id where f.stale = 0)"
-add("plan_05_keep_here", "f_line f_hashes f_locations", lambda f, h, w: actions.consolidate_plan(f, h, _PICK(h, 45), online(w)),
+_COPIES = f"with o as (select file_id, row_number() over (partition by {EFF} order by file_id * 7919 % 10007, file_id) as k, {EFF} as eff from f_hashes), m as ({_PAIRS}), own as (select file_id from o where eff is null or k = 1), c as (select selected_id, file_id from m where selected_id in (select file_id from own) union select file_id, file_id from own), r as (select c.selected_id, f.file_id, f.location_id, f.excluded, f.rel_dir, f.location_id in (select location_id from f_locations where online) as up from c join f_line f on f.file_id = c.file_id where f.stale = 0)"
+add("plan_05_keep_here", "f_line f_hashes f_locations", lambda f, h, w: actions.consolidate_plan(f, h, _PICK(h), online(w)),
     f"{_COPIES} select selected_id, file_id, case when file_id = selected_id then 'canonical' when excluded = 1 then 'skipped' else 'stub' end as role, case when file_id = selected_id then 'kept' when excluded = 1 then 'skipped (excluded)' when up then 'stubbed' else 'queued' end as result from r")
-add("plan_05_move_to", "f_line f_hashes f_locations", lambda f, h, w: actions.consolidate_plan(f, h, _PICK(h, 45), online(w), "move_to", HERE, _LEAF),
+add("plan_05_move_to", "f_line f_hashes f_locations", lambda f, h, w: actions.consolidate_plan(f, h, _PICK(h), online(w), "move_to", HERE, _LEAF),
     f"""{_COPIES}, b as (select selected_id, min(file_id) filter (where location_id = {HERE} and rel_dir = '{_LEAF}') as best from r group by 1)
     select r.selected_id, file_id, case when file_id = best then 'canonical' when excluded = 1 then 'skipped' else 'stub' end as role, case when file_id = best then 'kept' when excluded = 1 then 'skipped (excluded)' when up then 'stubbed' else 'queued' end as result from r join b using (selected_id)
     union all select selected_id, null, 'canonical', 'copied' from b where best is null""")
-add("plan_06_copy", "f_line f_hashes f_locations", lambda f, h, w: actions.copy_plan(f, h, ids(h, 35), online(w)),
-    f"""with c as (select selected_id, file_id from ({_PAIRS} where s.file_id % 35 = 0) union select file_id, file_id from f_hashes where file_id % 35 = 0), u as (select c.* from c join f_line f on f.file_id = c.file_id and f.stale = 0 where f.location_id in (select location_id from f_locations where online)),
-    b as (select selected_id, arg_min(file_id, case when file_id = selected_id then -1 else file_id end) as source_id from u group by 1) select h.file_id as selected_id, source_id, case when source_id is null then 'error: no online copy' else 'copied' end as result from f_hashes h left join b on b.selected_id = h.file_id where h.file_id % 35 = 0""")
-_STUB_PLAN = lambda f, w: f.where("file_id % 63 = 0").join(w, "location_id").select("file_id", F.concat(F.lit("kept/"), "filename").alias("dest_path"), F.col("name").alias("dest_location"), F.col("agent_name").alias("dest_agent"))
+add("plan_06_copy", "f_line f_hashes f_locations", lambda f, h, w: actions.copy_plan(f, h, every(h), online(w)),
+    f"""with c as (select selected_id, file_id from ({_PAIRS}) union select file_id, file_id from f_hashes), u as (select c.* from c join f_line f on f.file_id = c.file_id and f.stale = 0 where f.location_id in (select location_id from f_locations where online)),
+    b as (select selected_id, arg_min(file_id, case when file_id = selected_id then -1 else file_id end) as source_id from u group by 1) select h.file_id as selected_id, source_id, case when source_id is null then 'error: no online copy' else 'copied' end as result from f_hashes h left join b on b.selected_id = h.file_id""")
+_STUB_PLAN = lambda f, w: f.join(w, "location_id").select("file_id", F.concat(F.lit("kept/"), "filename").alias("dest_path"), F.col("name").alias("dest_location"), F.col("agent_name").alias("dest_agent"))
 add("plan_07_stub_rows", "f_line f_locations", lambda f, w: actions.stub_rows(_STUB_PLAN(f, w), f, "2024-01-01"),
-    "select file_id, location_id, rel_path || '.moved' as rel_path, filename || '.moved' as filename, 'text' as type_high, 'moved' as type_low, cast(strlen(concat('Consolidated', chr(10), 'Original: ', filename, chr(10), 'Moved to: ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': kept/', filename, chr(10), 'Date: 2024-01-01', chr(10))) as bigint) as file_size from f_line join f_locations using (location_id) where file_id % 63 = 0")
+    "select file_id, location_id, rel_path || '.moved' as rel_path, filename || '.moved' as filename, 'text' as type_high, 'moved' as type_low, cast(strlen(concat('Consolidated', chr(10), 'Original: ', filename, chr(10), 'Moved to: ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': kept/', filename, chr(10), 'Date: 2024-01-01', chr(10))) as bigint) as file_size from f_line join f_locations using (location_id)")
 add("plan_08_sources_rows", "f_line f_locations", lambda f, w: actions.sources_rows(f.join(w, "location_id").select(F.concat(F.lit("kept/"), F.col("content_fast")).alias("canonical_path"), F.col("name").alias("location"), F.col("agent_name").alias("agent"), "rel_path").where("canonical_path is not null")),
     "select 'kept/' || content_fast as canonical_path, string_agg(concat('- ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': ', rel_path, chr(10)), '' order by concat('- ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': ', rel_path, chr(10))) as content from f_line join f_locations using (location_id) where content_fast is not null group by 1")
 _CLAIMS = lambda f: f.select(F.col("file_id").alias("id"), F.concat(F.lit("d"), F.col("location_id")).alias("directory"), F.expr("concat(case when file_id % 2 = 0 then 'A' else 'a' end, file_id % 100, '.txt')").alias("filename"), "rel_path")
-add("plan_09_resolve_names", "f_line", lambda f: actions.resolve_names(_CLAIMS(f), f.where("file_id % 2000 = 0").select(F.concat(F.lit("d"), F.col("location_id")).alias("directory"), F.expr("concat('A', file_id % 100, case when file_id % 4000 = 0 then '_3' else '' end, '.TXT')").alias("filename"))).select("id", F.lower("final_name").alias("final_name")),
+add("plan_09_resolve_names", "f_line", lambda f: actions.resolve_names(_CLAIMS(f), f.where("stale = 1").select(F.concat(F.lit("d"), F.col("location_id")).alias("directory"), F.expr("concat('A', file_id % 100, case when file_id % 62 = 0 then '_3' else '' end, '.TXT')").alias("filename"))).select("id", F.lower("final_name").alias("final_name")),
     """with c as (select file_id as id, 'd' || location_id as directory, concat('a', file_id % 100) as base, rel_path from f_line),
-    t as (select distinct 'd' || location_id as directory, concat('a', file_id % 100) as base, case when file_id % 4000 = 0 then 3 else 0 end as n from f_line where file_id % 2000 = 0),
+    t as (select distinct 'd' || location_id as directory, concat('a', file_id % 100) as base, case when file_id % 62 = 0 then 3 else 0 end as n from f_line where stale = 1),
     k as (select *, row_number() over (partition by directory, base order by rel_path, id) as k from c), g as (select directory, base, max(k) as m from k group by all),
     s as (select g.directory, g.base, x.n, row_number() over (partition by g.directory, g.base order by x.n) as k from g, lateral (select unnest(range(0, g.m + 2)) as n) x where not exists (select 1 from t where t.directory = g.directory and t.base = g.base and t.n = x.n))
     select id, concat(k.base, case when s.n = 0 then '' else '_' || s.n end, '.txt') as final_name from k join s using (directory, base, k)""")
-add("plan_10_move_files", "f_line", lambda f: actions.move_files(f, ids(f, 90), HERE, _LEAF).select("file_id", "rel_path", "type_high", "stub", "clash"),
-    f"select file_id, '{_LEAF}/' || filename as rel_path, type_high, not (location_id = {HERE} and rel_dir = '{_LEAF}') as stub, not (location_id = {HERE} and rel_dir = '{_LEAF}') and lower(filename) in (select lower(filename) from f_line where location_id = {HERE} and rel_dir = '{_LEAF}') as clash from f_line where file_id % 90 = 0")
+add("plan_10_move_files", "f_line", lambda f: actions.move_files(f, every(f), HERE, _LEAF).select("file_id", "rel_path", "type_high", "stub", "clash"),
+    f"select file_id, '{_LEAF}/' || filename as rel_path, type_high, not (location_id = {HERE} and rel_dir = '{_LEAF}') as stub, not (location_id = {HERE} and rel_dir = '{_LEAF}') and lower(filename) in (select lower(filename) from f_line where location_id = {HERE} and rel_dir = '{_LEAF}') as clash from f_line")
 add("plan_11_move_folder", "f_line f_folders", lambda f, o: actions.move_folder(f, o, HERE, DIR, "nation_0/.old"), f"select file_id, 'nation_0/.old/' || rel_path as rel_path, 1 as hidden, false as refused from f_line where {_IN_DIR}")
-add("plan_12_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.delete_plan(f, h, ids(h, 125), online(w), all_duplicates=True),
-    f"select file_id, location_id, case when location_id in (select location_id from f_locations where online) then 'delete' else 'deferred' end as action from f_line where file_id in (select file_id from ({_PAIRS} where s.file_id % 125 = 0) union select file_id from f_hashes where file_id % 125 = 0)")
-add("plan_12_after_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.after_delete(h, actions.delete_plan(f, h, ids(h, 4), online(w))).select("file_id", "dup_count"),
-    f"select file_id, n as dup_count from ({recount_sql('(select * from f_hashes where not (file_id % 4 = 0 and location_id in (select location_id from f_locations where online)))')})")
+add("plan_12_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.delete_plan(f, h, here(h), online(w), all_duplicates=True),
+    f"select file_id, location_id, case when location_id in (select location_id from f_locations where online) then 'delete' else 'deferred' end as action from f_line where file_id in (select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE})")
+add("plan_12_after_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.after_delete(h, actions.delete_plan(f, h, every(h.where("location_id < 3")), online(w))).select("file_id", "dup_count"),
+    f"select file_id, n as dup_count from ({recount_sql('(select * from f_hashes where not (location_id < 3 and location_id in (select location_id from f_locations where online)))')})")
 add("plan_13_delete_folder", "f_line f_folders", lambda f, o: actions.delete_folder(f, o, HERE, DIR)[0].select("file_id"), f"select file_id from f_line where not ({_IN_DIR})")
 add("plan_14_drain", "f_pending f_line f_locations", lambda p, f, w: actions.drain_pending(p, f.withColumn("pending_op", F.when(F.col("file_id") % 4 == 0, "click").otherwise("view")), online(w)),
     "select op_id, p.file_id, case when f.file_id is null or (case when f.file_id % 4 = 0 then 'click' else 'view' end) <> op_type then 'completed' when l.online then 'run' else 'wait' end as state from f_pending p left join f_line f on f.file_id = p.file_id left join f_locations l on l.location_id = f.location_id where status = 'pending'")
 add("plan_15_cancel", "f_pending", lambda p: actions.cancel_pending(p, p.where("op_id % 2 = 0")).select("op_id"), "select op_id from f_pending where op_id % 2 <> 0")
-add("tag_01_file_tags", "f_tags", lambda t: tags.file_tags(t, ids(t, 6)).select("file_id", F.array_join("tags", "|").alias("tags")), "select file_id, string_agg(tag, '|' order by tag) as tags from f_tags where file_id % 6 = 0 group by 1")
+add("tag_01_file_tags", "f_tags", lambda t: tags.file_tags(t, every(t)).select("file_id", F.array_join("tags", "|").alias("tags")), "select file_id, string_agg(tag, '|' order by tag) as tags from f_tags group by 1")
 add("tag_01_all_tags", "f_tags", tags.all_tags, "select distinct tag from f_tags")
-add("tag_02_add", "f_tags f_hashes", lambda t, h: tags.add_tags(t, h, ids(h, 250), ["red", "promo"]), f"with e as (select file_id from ({_PAIRS} where s.file_id % 250 = 0) union select file_id from f_hashes where file_id % 250 = 0) select file_id, tag from f_tags union select file_id, 'red' from e union select file_id, 'promo' from e")
-add("tag_03_remove", "f_tags", lambda t: tags.remove_tags(t, ids(t, 3), ["promo", "brand#3"]), "select file_id, tag from f_tags where not (file_id % 3 = 0 and tag in ('promo', 'brand#3'))")
+add("tag_02_add", "f_tags f_hashes", lambda t, h: tags.add_tags(t, h, here(h), ["red", "promo"]), f"with e as (select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE}) select file_id, tag from f_tags union select file_id, 'red' from e union select file_id, 'promo' from e")
+add("tag_03_remove", "f_tags", lambda t: tags.remove_tags(t, every(t), ["promo", "brand#3"]), "select file_id, tag from f_tags where tag not in ('promo', 'brand#3')")
 add("tag_04_set", "f_tags f_hashes", lambda t, h: tags.set_tags(t, h, 20250, ["medium", "new"]),
     f"with g as (select x as tag from (values ('medium'), ('new')) v(x) where x not in (select tag from f_tags where file_id = 20250)), e as (select file_id from ({_PAIRS} where s.file_id = 20250) union select file_id from f_hashes where file_id = 20250) select file_id, tag from f_tags where file_id <> 20250 or tag in ('medium', 'new') union select e.file_id, g.tag from e, g")
-add("tag_05_copy", "f_tags f_line", lambda t, f: tags.copy_tags(t, 684, ids(f, 1000)), "select file_id, tag from f_tags union select f.file_id, t.tag from f_line f, f_tags t where f.file_id % 1000 = 0 and t.file_id = 684")
+add("tag_05_copy", "f_tags f_line", lambda t, f: tags.copy_tags(t, 684, here(f)), f"select file_id, tag from f_tags union select f.file_id, t.tag from f_line f, f_tags t where f.location_id = {HERE} and t.file_id = 684")
 add("tag_06_intern", "f_tags", lambda t: tags.intern_tags(t.where("tag like 'b%'").select("tag").distinct().withColumn("tag_id", F.length("tag").cast("long")), t),
     "with v as (select distinct tag, length(tag) as tag_id from f_tags where tag like 'b%'), n as (select distinct tag from f_tags where tag not like 'b%') select tag_id, tag from v union all select (select max(tag_id) from v) + row_number() over (order by tag), tag from n")
 add("rep_01_repair", "f_line f_folders f_hashes0", lambda f, o, h: repair(f, o, h.withColumn("hash_partial", F.when(F.col("file_id") % 6 != 0, F.col("hash_partial"))), f.select("file_id", "hash_partial"), f.select("file_id", F.col("content_fast").alias("content_hash")))[0].where("stale = 0").select("file_id", "dup_count"),
