@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lantern.functions.fn import classify_high, classify_low, dirname, effective_hash, file_ext, file_stem, hidden_inherited, location_label, sources_text, stub_text, suffix_name
+from lantern.functions.fn import classify_high, classify_low, dirname, effective_hash, hidden_inherited, location_label, sources_text, stub_text, suffix_name
 from lantern.operators.dups import batch_unique, dup_recount, expand_to_duplicates, group_members, selected_groups
-from lantern.operators.tree import KEY, below
+from lantern.operators.tree import below
+from lantern.tables import numbered, written
 
 
 def merge_source(files: DataFrame, location_id: int, folder: str | None = None) -> DataFrame:
@@ -109,15 +110,14 @@ def stub_rows(plan: DataFrame, files: DataFrame, date: str, banner: str = "Conso
     )
 
 
-def without_paths(files: DataFrame, taken: DataFrame) -> DataFrame:
-    """Catalog rows but for those whose path other rows now take."""
-    return files.join(taken.select(*KEY).distinct(), KEY, "left_anti")
+def source_entries(plan: DataFrame) -> DataFrame:
+    """(canonical_path, entry) from (canonical_path, location, agent, rel_path): a row per copy, in any number."""
+    return plan.select("canonical_path", sources_text(location_label(F.col("location"), F.col("agent")), F.col("rel_path")).alias("entry"))
 
 
 def sources_rows(plan: DataFrame) -> DataFrame:
-    """(canonical_path, content) from (canonical_path, location, agent, rel_path): the entries of all copies, sorted."""
-    entry = sources_text(location_label(F.col("location"), F.col("agent")), F.col("rel_path"))
-    return plan.groupBy("canonical_path").agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("content"))
+    """(canonical_path, content): the sources list of each kept file, its entries sorted. A list is one file's text; source_entries has its rows."""
+    return source_entries(plan).groupBy("canonical_path").agg(F.array_join(F.sort_array(F.collect_list("entry")), "").alias("content"))
 
 
 def resolve_names(claims: DataFrame, taken: DataFrame) -> DataFrame:
@@ -166,15 +166,80 @@ def move_files(files: DataFrame, file_ids: DataFrame, dest_location: int, dest_f
     )
 
 
-def move_folder(files: DataFrame, folders: DataFrame, location_id: int, folder: str, dest_folder: str, new_name: str | None = None) -> DataFrame:
-    """(file_id, rel_path, hidden, refused): new paths of all files below a folder; refused if it would move into itself or onto another."""
-    name = new_name or folder.rpartition("/")[2]
+def move_plan(files: DataFrame, file_ids: DataFrame, dest_location: int, dest_folder: str, online: DataFrame, new_name: str | None = None, copy: bool = False) -> DataFrame:
+    """(file_id, location_id, rel_path, filename, type_high, type_low, state, stub): a move or copy with names settled.
+
+    On a move or copy a name that is taken takes a suffix; as a new name it is an error. A move waits (deferred) while
+    either side is offline; a copy waits for its destination and is refused while its source is offline. A move whose
+    folder changes leaves a stub.
+    """
+    base = move_files(files, file_ids, dest_location, dest_folder, new_name)
+    source = files.join(file_ids.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.col("location_id").alias("__from"), "rel_dir")
+    if not copy:
+        stays = (F.col("__from") == dest_location) & (F.col("rel_dir") == dest_folder)
+        source = source.where(F.lit(bool(new_name)) | ~stays)
+    rows = base.join(source, "file_id")
+    if new_name:
+        settled = rows.withColumn("final_name", F.col("filename"))
+    else:
+        claims = rows.select(F.col("file_id").alias("id"), F.lit(dest_folder).alias("directory"), "filename", F.col("old_path").alias("rel_path"))
+        taken = files.where((F.col("location_id") == dest_location) & (F.col("rel_dir") == dest_folder)).select(F.lit(dest_folder).alias("directory"), "filename")
+        settled = rows.join(resolve_names(claims, taken).select(F.col("id").alias("file_id"), "final_name"), "file_id")
+    there = online.select("location_id").distinct()
+    up = settled.join(there.select(F.col("location_id").alias("__from"), F.lit(True).alias("__up")), "__from", "left").crossJoin(there.where(F.col("location_id") == dest_location).agg((F.count("*") > 0).alias("__dest_up")))  # one row
+    source_up, dest_up = F.coalesce("__up", F.lit(False)), F.col("__dest_up")
+    offline = F.when(~source_up, "refused").when(~dest_up, "deferred") if copy else F.when(~source_up | ~dest_up, "deferred")
+    state = F.coalesce(F.when(F.col("clash"), "error: name taken") if new_name else F.lit(None).cast("string"), offline, F.lit("done"))
+    name = F.col("final_name")
+    return up.select(
+        "file_id", F.lit(dest_location).cast("long").alias("location_id"), F.concat(F.lit(dest_folder + "/" if dest_folder else ""), name).alias("rel_path"), name.alias("filename"),
+        classify_high(name).alias("type_high"), classify_low(name).alias("type_low"), state.alias("state"), (F.col("stub") & (state == "done") & F.lit(not copy)).alias("stub"),
+    )
+
+
+def move_deltas(files: DataFrame, plan: DataFrame, copy: bool = False) -> DataFrame:
+    """Signed stats (location_id, rel_dir, counters) of a plan's done rows: what leaves a folder, and what comes to one. Stale files do not count."""
+    done = plan.where("state = 'done'").join(files.where("stale = 0").select("file_id", F.col("location_id").alias("__from"), "rel_dir", "file_size", "hidden"), "file_id")
+    rows = done.select("location_id", dirname(F.col("rel_path")).alias("rel_dir"), F.lit(1).alias("s"), "file_size", hidden_inherited(F.col("rel_path")).cast("int").alias("hidden"))
+    if not copy:
+        rows = rows.unionByName(done.select(F.col("__from").alias("location_id"), "rel_dir", F.lit(-1).alias("s"), "file_size", "hidden"))
+    return _signed(rows)
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    sums = (F.sum("s"), F.sum(F.col("s") * F.col("file_size")), F.sum(F.col("s") * F.col("hidden")))
+    out = rows.groupBy("location_id", "rel_dir").agg(*(x.cast("long").alias(n) for x, n in zip(sums, ("file_count", "total_size", "hidden_count"), strict=True)))
+    return out.withColumn("duplicate_count", F.lit(0).cast("long"))  # a recount settles these
+
+
+def copy_rows(plan: DataFrame, files: DataFrame, hashes: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, hashes, tags) to add for a plan's (file_id, location_id, rel_path) copies, under new file ids behind the largest."""
+    rows = plan.where("state = 'done'") if "state" in plan.columns else plan
+    top = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("__top"))
+    new = written(numbered(rows.select(F.col("file_id").alias("__old"), F.col("location_id").alias("__location"), F.col("rel_path").alias("__path")), "__path", "__old").crossJoin(top).withColumn("file_id", F.col("__top") + F.col("number")))
+    path = F.col("__path")
+    own = {"file_id": F.col("file_id"), "location_id": F.col("__location"), "rel_path": path, "rel_dir": dirname(path), "filename": F.substring_index(path, "/", -1), "hidden": hidden_inherited(path).cast("int")}
+    before = files.select(F.col("file_id").alias("__old"), *(F.col(c).alias(f"__f_{c}") for c in files.columns))
+    made = new.join(before, "__old").select(*(own[c].alias(c) if c in own else F.col(f"__f_{c}").alias(c) for c in files.columns))
+    ids = new.select("__old", F.col("file_id").alias("__new"), F.col("__location"))
+    kept = hashes.withColumnRenamed("file_id", "__old").join(ids, "__old")
+    hashed = kept.select(*(F.col("__new").alias(c) if c == "file_id" else F.col("__location").alias(c) if c == "location_id" else F.col(c) for c in hashes.columns))
+    tagged = tags.withColumnRenamed("file_id", "__old").join(ids, "__old").select(F.col("__new").alias("file_id"), "tag")
+    return made, hashed, tagged
+
+
+def move_folder(files: DataFrame, folders: DataFrame, location_id: int, folder: str, dest_folder: str, new_name: str | None = None, dest_location: int | None = None) -> DataFrame:
+    """(file_id, location_id, rel_path, hidden, refused): new paths of all files below a folder; refused if it would go into itself or onto another.
+
+    The same rows plan a copy, which keeps the old ones: see copy_rows.
+    """
+    name, goal = new_name or folder.rpartition("/")[2], location_id if dest_location is None else dest_location
     target = f"{dest_folder}/{name}" if dest_folder else name
-    cycle = target == folder or (dest_folder + "/").startswith(folder + "/")
-    clash = folders.where((F.col("location_id") == location_id) & (F.lower("rel_path") == target.lower())).agg((F.count("*") > 0).alias("__clash"))
+    cycle = goal == location_id and (target == folder or (dest_folder + "/").startswith(folder + "/"))
+    clash = folders.where((F.col("location_id") == goal) & (F.lower("rel_path") == target.lower())).agg((F.count("*") > 0).alias("__clash"))
     own = files.where((F.col("location_id") == location_id) & below(F.col("rel_path"), folder)).crossJoin(clash)  # one row
     path = F.concat(F.lit(target), F.substring("rel_path", len(folder) + 1, 1 << 20))
-    return own.select("file_id", path.alias("rel_path"), hidden_inherited(path).cast("int").alias("hidden"), (F.lit(cycle) | F.col("__clash")).alias("refused"))
+    return own.select("file_id", F.lit(goal).cast("long").alias("location_id"), path.alias("rel_path"), hidden_inherited(path).cast("int").alias("hidden"), (F.lit(cycle) | F.col("__clash")).alias("refused"))
 
 
 def delete_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, online: DataFrame, all_duplicates: bool = False) -> DataFrame:
@@ -195,6 +260,13 @@ def delete_folder(files: DataFrame, folders: DataFrame, location_id: int, folder
     return files.where(~own), folders.where(~own)
 
 
+def delete_folder_effects(files: DataFrame, hashes: DataFrame, location_id: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(deltas, hashes) of a deleted subtree: signed stats of its non-stale files, and the hashes left, their former twins counted anew."""
+    own = files.where((F.col("location_id") == location_id) & below(F.col("rel_path"), folder, True))
+    gone = own.select("file_id")
+    return _signed(own.where("stale = 0").select("location_id", "rel_dir", F.lit(-1).alias("s"), "file_size", "hidden")), dup_recount(hashes.join(gone, "file_id", "left_anti"))
+
+
 def drain_pending(pending: DataFrame, files: DataFrame, online: DataFrame) -> DataFrame:
     """(op_id, file_id, state) of pending operations: run if the file is there, marked for it and online; wait offline; else completed without action."""
     known = files.select("file_id", "location_id", F.col("pending_op").alias("__mark"))
@@ -207,7 +279,9 @@ def cancel_pending(pending: DataFrame, ids: DataFrame) -> DataFrame:
     return pending.join(ids.select("op_id").distinct(), "op_id", "left_anti")
 
 
-def parent_of(df: DataFrame) -> DataFrame:
-    """Adds the stem, extension and directory that name collisions are settled by."""
-    name = F.col("filename")
-    return df.withColumns({"stem": file_stem(name), "ext": file_ext(name), "directory": dirname(F.col("rel_path"))})
+def clear_marks(files: DataFrame, pending: DataFrame, ids: DataFrame) -> DataFrame:
+    """files without the pending mark of the operations that are cancelled."""
+    gone = pending.join(ids.select("op_id").distinct(), "op_id", "left_semi").select("file_id", F.col("op_type").alias("__type")).distinct().groupBy("file_id").agg(F.collect_set("__type").alias("__types"))
+    both = files.join(gone, "file_id", "left")
+    cleared = F.when(F.coalesce(F.array_contains("__types", F.col("pending_op")), F.lit(False)), F.lit(None)).otherwise(F.col("pending_op"))
+    return both.select(*(cleared.alias(c) if c == "pending_op" else F.col(c) for c in files.columns))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lantern.operators.dups import expand_to_duplicates
-from lantern.tables import written
+from lantern.tables import numbered
 
 
 def file_tags(tags: DataFrame, file_ids: DataFrame) -> DataFrame:
@@ -47,16 +46,8 @@ def copy_tags(tags: DataFrame, source_id: int, target_ids: DataFrame) -> DataFra
 
 
 def intern_tags(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
-    """The (tag_id, tag) vocabulary with the new names, numbered on by name.
-
-    New names are range-partitioned, numbered within their partitions, and shifted by the sizes of those before.
-    """
+    """The (tag_id, tag) vocabulary with the new names, numbered on by name."""
     new = names.select("tag").distinct().join(vocabulary, "tag", "left_anti")
-    own = written(new.repartitionByRange("tag").sortWithinPartitions("tag").select("tag", F.monotonically_increasing_id().alias("m")))
-    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = own.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     top = vocabulary.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("top"))
-    numbered = own.withColumn("part", part).join(F.broadcast(starts), "part").crossJoin(top)  # one row
-    return vocabulary.select("tag_id", "tag").unionByName(numbered.select((F.col("top") + F.col("start") + place + 1).cast("long").alias("tag_id"), "tag"))
+    added = numbered(new, "tag").crossJoin(top)  # one row
+    return vocabulary.select("tag_id", "tag").unionByName(added.select((F.col("top") + F.col("number")).cast("long").alias("tag_id"), "tag"))

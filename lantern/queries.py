@@ -13,6 +13,8 @@ from lantern.operators import diff, dups, hashing, search, stats, tree
 from lantern.plans import actions, tags
 from lantern.plans.repair import repair
 from lantern.sources import catalog
+from lantern.streaming import stream
+from lantern.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +52,42 @@ here = lambda df: df.where(F.col("location_id") == HERE).select("file_id")  # no
 online = lambda locations: locations.where("online").select("location_id")
 counted = dups.dup_recount
 
+
+
+def stored(df: DataFrame, write: Callable[..., None] | None = None) -> str:
+    """The folder that df is written to, as Parquet unless write(writer, folder) says otherwise."""
+    folder = shared_folder(df.sparkSession)
+    (write or (lambda w, f: w.parquet(f)))(df.write, folder)
+    return folder
+
+
+def streamed(df: DataFrame) -> DataFrame:
+    """df as a stream of files."""
+    return df.sparkSession.readStream.schema(df.schema).parquet(stored(df))
+
+
+def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once all its input is read."""
+    spark, out, checkpoint = rows.sparkSession, shared_folder(rows.sparkSession), shared_folder(rows.sparkSession)
+    work = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else number}")
+    rows.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def after(query, folder: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    query.awaitTermination()
+    return read(folder)
+
+
 # --- sources and sinks ---
+def _scanned(docs: DataFrame, level: bool = False) -> DataFrame:
+    folder = stored(docs.select("rel_dir", "content").repartition("rel_dir"), lambda w, f: w.partitionBy("rel_dir").text(f))
+    found = catalog.scan_level(docs.sparkSession, f"{folder}/rel_dir=en") if level else catalog.scan_tree(docs.sparkSession, folder)
+    return found.select(F.when(F.contains("rel_path", F.lit("/")), F.substring_index("rel_path", "/", 1)).otherwise("").alias("folder"), "file_size", "type_high").groupBy("folder", "type_high").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+
+
+add("src_01_scan_tree", "f_docs", _scanned, "select concat('rel_dir=', rel_dir) as folder, 'text' as type_high, 1 as files, cast(sum(coalesce(strlen(content), 0) + 1) as bigint) as bytes from f_docs group by rel_dir")
+add("src_02_scan_level", "f_docs", lambda d: _scanned(d, True), "select '' as folder, 'text' as type_high, 1 as files, cast(sum(coalesce(strlen(content), 0) + 1) as bigint) as bytes from f_docs where rel_dir = 'en'")
 add("src_03_parse_listing", "f_listing_tsv", lambda v: catalog.parse_listing(v).select("location_id", "kind", "path", "file_size", F.col("inode").cast("long").alias("inode"), "hash_partial"),
     """with p as (select location_id, string_split(value, chr(9)) as x from f_listing_tsv)
     select location_id, x[1] as kind, x[2] as path, case when x[1]='F' then cast(x[3] as bigint) end as file_size, case when x[1]='F' then cast(x[6] as bigint) end as inode, case when x[1]='H' then x[3] end as hash_partial
@@ -59,6 +96,15 @@ add("src_04_assemble_listing", "f_listing_tsv", lambda v: catalog.assemble_listi
     """with p as (select location_id, string_split(value, chr(9)) as x from f_listing_tsv),
     f as (select location_id, x[2] as rel_path, cast(x[3] as bigint) as file_size from p where x[1]='F' and len(x)>=6), h as (select location_id, x[2] as rel_path, max(nullif(x[3],'')) as hash_partial from p where x[1]='H' group by all)
     select f.*, hash_partial from f left join h using (location_id, rel_path)""")
+
+
+def _round_trip(h: DataFrame) -> DataFrame:
+    folder = shared_folder(h.sparkSession)
+    catalog.write_catalog({"hashes": h}, folder)
+    return catalog.read_catalog(h.sparkSession, folder, ["hashes"])["hashes"].select("file_id", F.col("location_id").cast("long").alias("location_id"), "hash_partial", "hash_fast", "hash_strong")
+
+
+add("src_05_write_read_catalog", "f_hashes", _round_trip, "select file_id, location_id, hash_partial, hash_fast, hash_strong from f_hashes")
 add("src_06_upsert_files", "f_line f_listing",
     lambda c, n: catalog.upsert_files(c.select("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale"), n.select("location_id", "rel_path", "file_size", "modified_at")),
     """select coalesce(c.location_id, n.location_id) as location_id, coalesce(c.rel_path, n.rel_path) as rel_path, c.file_id, case when n.rel_path is not null then n.file_size else c.file_size end as file_size,
@@ -68,10 +114,24 @@ add("src_07_upsert_hashes", "f_hashes0 f_hashes",
     lambda o, n: catalog.upsert_hashes(o.where("location_id <> 1").select("file_id", "file_size", "hash_fast", "hash_strong"), n.where("location_id < 4").select("file_id", (F.col("file_size") + 1).alias("file_size"), F.when(F.col("file_id") % 4 == 0, F.col("hash_fast")).alias("hash_fast"))),
     """with o as (select * from f_hashes0 where location_id <> 1), n as (select file_id, file_size + 1 as file_size, case when file_id % 4 = 0 then hash_fast end as hash_fast from f_hashes where location_id < 4)
     select coalesce(o.file_id, n.file_id) as file_id, case when n.file_id is not null then n.file_size else o.file_size end as file_size, coalesce(n.hash_fast, o.hash_fast) as hash_fast, o.hash_strong from o full join n on o.file_id = n.file_id""")
+
+
+def _log(plan: DataFrame, f: DataFrame) -> DataFrame:
+    rows = plan.join(f.select("file_id", "rel_path"), "file_id").select(F.lit("AFRICA").alias("source_location"), F.col("rel_path").alias("source_path"), F.lit("AMERICA").alias("destination_location"), F.col("dest_path").alias("destination_path"), "result", F.lit("").alias("detail"))
+    folder = shared_folder(f.sparkSession)
+    catalog.write_op_log(rows, folder)
+    return f.sparkSession.read.schema(rows.schema).option("header", True).csv(folder).select("source_path", "result")
+
+
+add("src_08_write_op_log", "f_line f_hashes", lambda f, h: _log(actions.merge_plan(f, h, HERE, 2).select("file_id", "result").withColumn("dest_path", F.lit(None).cast("string")), f),
+    "with s as (select f.file_id, f.rel_path, coalesce(nullif(h.hash_strong,''), nullif(h.hash_fast,'')) as hash from f_line f join f_hashes h using (file_id) where f.location_id = 1 and f.stale = 0), k as (select *, first_value(file_id) over (partition by hash order by rel_path, file_id) as f0 from s), d as (select distinct coalesce(nullif(h.hash_strong,''), nullif(h.hash_fast,'')) as hash from f_line f join f_hashes h using (file_id) where f.location_id = 2 and f.stale = 0) select rel_path as source_path, case when k.hash is null or (d.hash is null and f0 = file_id) then 'copied' else 'duplicate (skipped)' end as result from k left join d on d.hash = k.hash")
+add("src_09_op_log_row", "f_line", lambda f: f.agg(F.sum("file_size").alias("size")).select(catalog.op_log_path("merge", "logs", F.lit("2024-05-06 07:08:09").cast("timestamp")).alias("rel_path"), "size"), "select 'logs/merge-result-20240506-070809.csv' as rel_path, cast(sum(file_size) as bigint) as size from f_line")
 add("src_10_split_wide_catalog", "f_line", lambda v: catalog.split_wide_catalog(v.withColumn("hash_fast", F.col("content_fast")).withColumn("dup_count", F.lit(0))).select("file_id", "location_id", "file_size", "hash_partial", "hash_fast", "hash_strong", "excluded"),
     "select file_id, location_id, file_size, hash_partial, content_fast as hash_fast, hash_strong, excluded from f_line where stale = 0 and coalesce(hash_partial, content_fast, hash_strong) is not null")
 add("src_11_split_wide_stats", "f_scans", lambda v: catalog.split_wide_stats(v.select(F.col("scan_id").alias("location_id"), F.when(F.col("scan_id") % 3 == 0, F.lit("__deleting_x")).otherwise(F.col("status")).alias("name"), F.when(F.col("scan_id") % 2 == 0, F.col("scan_id")).alias("file_count"), F.col("location_id").alias("total_size"), F.when(F.col("scan_id") % 5 == 0, F.lit('{"text":1}')).alias("type_counts"))),
     """select scan_id as location_id, coalesce(case when scan_id % 2 = 0 then scan_id end, 0) as file_count, location_id as total_size, case when scan_id % 5 = 0 then '{"text":1}' else '{}' end as type_counts from f_scans where scan_id % 3 <> 0""")
+add("src_11_split_wide_folders", "f_folders f_locations", lambda o, w: catalog.split_wide_folder_stats(o.select("location_id", "rel_path", F.when(F.length("rel_path") > 12, F.length("rel_path")).alias("file_count"), F.lit(7).alias("total_size"), F.lit(None).cast("string").alias("type_counts")), w.select("location_id", F.when(F.col("location_id") == 3, F.lit("__deleting_x")).otherwise(F.col("name")).alias("name"))),
+    "select location_id, rel_path, cast(case when length(rel_path) > 12 then length(rel_path) else 0 end as bigint) as file_count, cast(7 as bigint) as total_size, '{}' as type_counts from f_folders where location_id <> 3")
 add("src_12_explode_legacy_tags", "f_legacy", catalog.explode_legacy_tags,
     "with t as (select file_id, unnest(string_split(tags, ',')) as x from f_legacy) select distinct file_id, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) as tag from t where trim(x) <> ''")
 add("src_13_add_ignore_rule", "f_ignore", lambda v: catalog.add_ignore_rule(v.where("file_size % 3 = 0"), v), "select distinct filename, file_size, location_id from f_ignore")
@@ -89,6 +149,9 @@ add("fn_02_format_size", "f_line", lambda v: v.select("file_id", fn.format_size(
 _SIZES = "case file_id % 7 when 0 then '5MB' when 1 then ' 1.5 gb' when 2 then '12' when 3 then 'x' when 4 then '' when 5 then '1.2.3MB' else concat(q, ' kb') end"
 add("fn_03_parse_size", "f_line", lambda v: v.select("file_id", fn.parse_size(F.expr(_SIZES)).alias("size")),
     "select file_id, case file_id % 7 when 0 then 5*1048576 when 1 then 1610612736 when 2 then 12 when 3 then null when 4 then null when 5 then null else q*1024 end as size from f_line")
+_bytes = lambda: F.substring(F.encode("content", "UTF-8"), 1, 37)
+_CUT = "(select file_id, content, (select max(j) from range(0, 38) t(j) where strlen(left(content, j::int)) <= 37)::int as j from f_docs where content is not null)"
+add("fn_04_utf8_safe", "f_docs", lambda d: d.where("content is not null").select("file_id", fn.utf8_safe(_bytes()).alias("head")), f"select file_id, left(content, j) || case when strlen(left(content, j)) < 37 and strlen(content) > 37 then chr(65533) else '' end as head from {_CUT}")
 add("fn_05_norm_inode", "f_line", lambda v: v.select("file_id", fn.norm_inode(F.expr("cast(18446744073709551615 as decimal(20,0)) - file_id * (inode % 2) * 1 - case when inode % 3 = 0 then cast(9223372036854775808 as decimal(20,0)) else 0 end")).alias("inode")),
     "select file_id, cast(case when x >= 9223372036854775808 then x - 18446744073709551616 else x end as bigint) as inode from (select file_id, cast(18446744073709551615 as hugeint) - file_id * (inode % 2) - case when inode % 3 = 0 then 9223372036854775808 else 0 end as x from f_line)")
 add("fn_06_normalise_tag", "f_legacy", lambda v: v.select("file_id", fn.normalise_tag(F.col("tags"), nfkc=True).alias("tag")), "select file_id, lower(trim(regexp_replace(replace(tags, ',', ' '), '\\s+', ' ', 'g'))) as tag from f_legacy")
@@ -223,8 +286,10 @@ add("sch_04_totals", "f_line f_folders f_hashes f_locations", lambda f, o, h, w:
     f"select (select count(*) from f_line where filename like '%9%') + count(*) as total, count(*) as folders from ({_FSTATS}) where regexp_extract(rel_path, '[^/]*$') like '199%' and file_count >= 20")
 add("sch_05_by_hash", "f_line f_hashes f_locations", lambda f, h, w: search.search_by_hash(f, h, w, _ONE_STRONG).select(*_COLS), _found_sql(f"hs.hash_strong = '{_ONE_STRONG}' or hs.hash_fast = '{_ONE_STRONG}'"))
 add("sch_06_saved", "f_line f_hashes f_locations", lambda f, h, w: search.run_saved_search('{"name": "readme", "name_match": "starts", "location_id": 2}', dup(f, h), h, w).select(*_COLS), _found_sql("f.filename ilike 'readme%' and f.location_id = 2"))
+add("sch_07_media_found", "f_line f_locations f_hashes", lambda f, w, h: search.media_ids(f, "image", online(w), found=search.search(dup(f, h), h, w, name="9", size_min="64KB"), by="size", descending=True), "select file_id, filename from f_line where type_high = 'image' and stale = 0 and filename like '%9%' and file_size >= 65536 and location_id in (select location_id from f_locations where online)")
 add("sch_07_media", "f_line f_locations", lambda f, w: search.media_ids(f, "image", online(w)), "select file_id, filename from f_line where type_high = 'image' and stale = 0 and location_id in (select location_id from f_locations where online)")
 add("srt_01_page", "f_line", lambda v: search.paged(v, "name", page=2).select("file_id", "filename"), "select file_id, filename from (select *, row_number() over (order by lower(filename), file_id) as k from f_line) where k between 241 and 360")
+add("srt_01_page_after", "f_line", lambda v: search.paged(v, "size", True, after=(65536, 30000)).select("file_id", "file_size"), "select file_id, file_size from f_line where file_size < 65536 or (file_size = 65536 and file_id > 30000) order by file_size desc, file_id limit 120")
 add("srt_02_page_of", "f_line", lambda v: search.page_of(v, 47838, "size", True), "select cast(floor(count(*) / 120) as bigint) as page from f_line f, (select file_size as s from f_line where file_id = 47838) where f.file_size > s or (f.file_size = s and f.file_id < 47838)")
 add("srt_03_top_files", "f_line", lambda v: search.top_files(v, 3).select("location_id", "rel_dir", "file_id", "rank"), "select location_id, rel_dir, file_id, k::int as rank from (select *, row_number() over (partition by location_id, rel_dir order by file_size desc, file_id) as k from f_line where stale = 0) where k <= 3")
 add("srt_04_recent_scans", "f_scans f_locations", lambda s, w: search.recent_scans(s, w).select("scan_id", "location_name", "started_at"), "select scan_id, name as location_name, started_at from f_scans join f_locations using (location_id) order by started_at desc, scan_id desc limit 5")
@@ -285,6 +350,9 @@ add("tree_08_treemap_items", "f_line f_folders f_hashes", lambda f, o, h: tree.t
 _ADJACENT = "select xxhash64(location_id, rel_path) as id, case when rel_path like '%/%' then xxhash64(location_id, regexp_replace(rel_path, '/[^/]*$', '')) end as parent_id, substring_index(rel_path, '/', -1) as name from {o}"
 add("tree_09_materialise", "f_folders", lambda o: tree.materialise_paths(o.sparkSession.sql(_ADJACENT, o=o)).select("rel_path", "depth"), "select rel_path, len(string_split(rel_path, '/'))::int as depth from f_folders")
 add("tree_10_list_folder", "f_line f_folders", lambda f, o: tree.list_folder(f, o, HERE, _LEAF, "f_"), f"select 'file' as kind, filename as name, file_size as size from f_line where location_id = {HERE} and rel_dir = '{_LEAF}' and filename ilike '%f\\_%' escape '\\' order by lower(filename), file_id limit 120")
+add("tree_10_list_sorted", "f_line f_folders f_hashes", lambda f, o, h: tree.list_folder(f, o, HERE, _LEAF, by="size", descending=True, hashes=h),
+    f"""with s as (select hash_strong as h, count(*) - 1 as c from f_hashes where {ACT} and hash_strong is not null group by 1), q as (select hash_fast as h, count(*) - 1 as c from f_hashes where {ACT} and hash_fast is not null group by 1)
+    select 'file' as kind, f.filename as name, f.file_size as size, f.file_id, coalesce(case when hs.hash_strong is not null then s.c else q.c end, 0) as dup_count from (select * from f_line where location_id = {HERE} and rel_dir = '{_LEAF}' order by file_size desc, file_id limit 120) f join f_hashes hs on hs.file_id = f.file_id left join s on s.h = hs.hash_strong left join q on q.h = hs.hash_fast""")
 add("tree_11_favourites", "f_locations f_folders", lambda w, o: tree.favourites(w.withColumn("is_favourite", (F.col("location_id") % 2).cast("int")), o.withColumn("is_favourite", F.col("rel_path").endswith("/1995").cast("int"))),
     "select 'location' as kind, location_id, name as label from f_locations where location_id % 2 = 1 union all select 'folder', location_id, concat(name, ' / ', replace(rel_path, '/', ' / ')) from f_folders join f_locations using (location_id) where rel_path like '%/1995'")
 add("tree_12_nested", "f_locations f_folders", tree.nested_tree, "select location_id, '' as sort_key, name, 0 as depth from f_locations union all select location_id, lower(rel_path), regexp_extract(rel_path, '[^/]*$'), len(string_split(rel_path, '/'))::int from f_folders")
@@ -292,6 +360,12 @@ add("tree_13_manifest", "f_line f_folders f_locations", lambda f, o, w: tree.dow
     "select concat(root_path, '/', f.rel_path) as full_path, concat('1995/', f.filename) as archive_name, f.location_id from f_line f join f_locations l on l.location_id = f.location_id where f.stale = 0 and f.rel_dir like '%/1995'")
 
 # --- snapshot diff ---
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+
+
 add("dif_01_new", "f_line f_listing", lambda c, n: diff.new_files(c, n).select("location_id", "rel_path"), f"select location_id, rel_path from ({_DIFF}) where change = 'new'")
 add("dif_02_changed", "f_line f_listing", lambda c, n: diff.changed_files(c, n).select("file_id", "file_size"), f"select file_id, new_size as file_size from ({_DIFF}) where change = 'changed'")
 add("dif_03_gone", "f_line f_listing", lambda c, n: diff.gone_files(c, n, DIR).select("file_id"), f"select file_id from ({_DIFF}) where change = 'gone' and starts_with(rel_path, '{DIR}/')")
@@ -317,6 +391,9 @@ add("dif_13_touch_seen", "f_line", lambda v: diff.touch_seen(v, 99, "2024-01-01
 add("dif_14_reclassify", "f_line", lambda v: diff.reclassify(v.withColumn("type_high", F.when(F.col("file_id") % 5 == 0, "other").otherwise(F.col("type_high")))), f"select file_id, 'other' as old_type, {_HIGH} as new_type from {_CLASS} where file_id % 5 = 0 and {_HIGH} <> 'other'")
 add("dif_15_freshness", "f_line", lambda v: diff.freshness(v, v.where("location_id < 4").select("file_id", (F.col("file_id") % 6 == 0).alias("found"), (F.col("file_size") + F.col("file_id") % 4).alias("size"))),
     "select * from (select file_id, case when file_id % 6 <> 0 and stale = 0 then 'stale' when file_id % 6 = 0 and stale = 1 then 'clear' when file_id % 6 = 0 and file_id % 4 <> 0 then 'update' end as action from f_line where location_id < 4) where action is not null")
+add("dif_16_invalid_names", "f_docs", lambda d: diff.invalid_names(d.where("content is not null").select("file_id", _bytes().alias("path_bytes"))).select("file_id"), f"select file_id from {_CUT} where strlen(left(content, j)) < 37 and strlen(content) > 37")
+add("dif_17_purge_everywhere", "f_line f_hashes f_folders f_tags f_scans f_ignore", lambda f, h, o, t, s, i: _sizes(diff.purge_everywhere({"files": f, "hashes": h, "folders": o, "tags": t, "scans": s, "rules": i}, HERE)),
+    f"select 'files' as name, count(*) as n from f_line where location_id <> {HERE} union all select 'hashes', count(*) from f_hashes where location_id <> {HERE} union all select 'folders', count(*) from f_folders where location_id <> {HERE} union all select 'tags', count(*) from f_tags where file_id not in (select file_id from f_line where location_id = {HERE}) union all select 'scans', count(*) from f_scans where location_id <> {HERE} union all select 'rules', count(*) from f_ignore where location_id is distinct from {HERE}")
 add("dif_17_purge_location", "f_line f_hashes", lambda f, h: diff.purge_location(f, h, HERE)[1].select("file_id", "dup_count"), f"select file_id, n as dup_count from ({recount_sql(f'(select * from f_hashes where location_id <> {HERE})')})")
 
 # --- plans and tags ---
@@ -355,15 +432,35 @@ add("plan_09_resolve_names", "f_line", lambda f: actions.resolve_names(_CLAIMS(f
     select id, concat(k.base, case when s.n = 0 then '' else '_' || s.n end, '.txt') as final_name from k join s using (directory, base, k)""")
 add("plan_10_move_files", "f_line", lambda f: actions.move_files(f, every(f), HERE, _LEAF).select("file_id", "rel_path", "type_high", "stub", "clash"),
     f"select file_id, '{_LEAF}/' || filename as rel_path, type_high, not (location_id = {HERE} and rel_dir = '{_LEAF}') as stub, not (location_id = {HERE} and rel_dir = '{_LEAF}') and lower(filename) in (select lower(filename) from f_line where location_id = {HERE} and rel_dir = '{_LEAF}') as clash from f_line")
-add("plan_11_move_folder", "f_line f_folders", lambda f, o: actions.move_folder(f, o, HERE, DIR, "nation_0/.old"), f"select file_id, 'nation_0/.old/' || rel_path as rel_path, 1 as hidden, false as refused from f_line where {_IN_DIR}")
+_UP = "(select location_id from f_locations where online)"
+_DEST = f"{HERE} and rel_dir = '{_LEAF}'"
+add("plan_10_move", "f_line f_locations", lambda f, w: actions.move_plan(f, every(f.where("location_id < 3")), HERE, _LEAF, online(w)).select("file_id", "rel_path", "state", "stub"),
+    f"select file_id, '{_LEAF}/' || filename as rel_path, case when location_id in {_UP} then 'done' else 'deferred' end as state, location_id in {_UP} as stub from f_line where location_id < 3 and not (location_id = {_DEST})")
+add("plan_10_copy", "f_line f_locations", lambda f, w: actions.move_plan(f, every(f.where("location_id > 2")), HERE, _LEAF, online(w), copy=True).select("file_id", "rel_path", "state", "stub"),
+    f"select file_id, '{_LEAF}/' || filename as rel_path, case when location_id in {_UP} then 'done' else 'refused' end as state, false as stub from f_line where location_id > 2")
+add("plan_10_rename", "f_line f_locations", lambda f, w: actions.move_plan(f, every(f), HERE, _LEAF, online(w), new_name="One.TXT").select("file_id", "filename", "type_high", "state"),
+    f"select file_id, 'One.TXT' as filename, 'text' as type_high, case when location_id in {_UP} then 'done' else 'deferred' end as state from f_line")
+add("plan_10_deltas", "f_line f_locations", lambda f, w: actions.move_deltas(f, actions.move_plan(f, every(f.where("location_id < 3")), HERE, _LEAF, online(w))),
+    f"""with m as (select * from f_line where location_id < 3 and location_id in {_UP} and not (location_id = {_DEST}) and stale = 0)
+    select cast({HERE} as bigint) as location_id, '{_LEAF}' as rel_dir, count(*) as file_count, cast(sum(file_size) as bigint) as total_size, count(*) filter (where filename like '.%') as hidden_count, cast(0 as bigint) as duplicate_count from m
+    union all select location_id, rel_dir, -count(*), cast(-sum(file_size) as bigint), cast(-sum(hidden) as bigint), 0 from m group by 1, 2""")
+add("plan_10_copy_rows", "f_line f_hashes f_tags f_locations", lambda f, h, t, w: actions.copy_rows(actions.move_plan(f, every(f.where("location_id = 3")), HERE, _LEAF, online(w), copy=True), f, h, t)[1].select("location_id", "file_size", "hash_partial", "hash_fast", "hash_strong"),
+    f"select cast({HERE} as bigint) as location_id, file_size, hash_partial, hash_fast, hash_strong from f_hashes where location_id = 3")
+add("plan_11_copy_folder", "f_line f_folders f_hashes f_tags", lambda f, o, h, t: actions.copy_rows(actions.move_folder(f, o, HERE, DIR, "nation_0/.old", dest_location=2).where("not refused"), f, h, t)[0].select("location_id", "rel_path", "hidden", "file_size"),
+    f"select cast(2 as bigint) as location_id, 'nation_0/.old/' || rel_path as rel_path, 1 as hidden, file_size from f_line where {_IN_DIR}")
+add("plan_11_move_folder", "f_line f_folders", lambda f, o: actions.move_folder(f, o, HERE, DIR, "nation_0/.old").drop("location_id"), f"select file_id, 'nation_0/.old/' || rel_path as rel_path, 1 as hidden, false as refused from f_line where {_IN_DIR}")
 add("plan_12_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.delete_plan(f, h, here(h), online(w), all_duplicates=True),
     f"select file_id, location_id, case when location_id in (select location_id from f_locations where online) then 'delete' else 'deferred' end as action from f_line where file_id in (select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE})")
 add("plan_12_after_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.after_delete(h, actions.delete_plan(f, h, every(h.where("location_id < 3")), online(w))).select("file_id", "dup_count"),
     f"select file_id, n as dup_count from ({recount_sql('(select * from f_hashes where not (location_id < 3 and location_id in (select location_id from f_locations where online)))')})")
 add("plan_13_delete_folder", "f_line f_folders", lambda f, o: actions.delete_folder(f, o, HERE, DIR)[0].select("file_id"), f"select file_id from f_line where not ({_IN_DIR})")
+add("plan_13_deltas", "f_line f_hashes", lambda f, h: actions.delete_folder_effects(f, h, HERE, DIR)[0], f"select location_id, rel_dir, -count(*) as file_count, cast(-sum(file_size) as bigint) as total_size, cast(-sum(hidden) as bigint) as hidden_count, cast(0 as bigint) as duplicate_count from f_line where {_IN_DIR} and stale = 0 group by 1, 2")
+add("plan_13_recount", "f_line f_hashes", lambda f, h: actions.delete_folder_effects(f, h, HERE, DIR)[1].select("file_id", "dup_count"), f"select file_id, n as dup_count from ({recount_sql(f'(select * from f_hashes where file_id not in (select file_id from f_line where {_IN_DIR}))')})")
 add("plan_14_drain", "f_pending f_line f_locations", lambda p, f, w: actions.drain_pending(p, f.withColumn("pending_op", F.when(F.col("file_id") % 4 == 0, "click").otherwise("view")), online(w)),
     "select op_id, p.file_id, case when f.file_id is null or (case when f.file_id % 4 = 0 then 'click' else 'view' end) <> op_type then 'completed' when l.online then 'run' else 'wait' end as state from f_pending p left join f_line f on f.file_id = p.file_id left join f_locations l on l.location_id = f.location_id where status = 'pending'")
 add("plan_15_cancel", "f_pending", lambda p: actions.cancel_pending(p, p.where("op_id % 2 = 0")).select("op_id"), "select op_id from f_pending where op_id % 2 <> 0")
+add("plan_15_clear_marks", "f_pending f_line", lambda p, f: actions.clear_marks(f.withColumn("pending_op", F.when(F.col("file_id") % 4 == 0, "click").otherwise("view")), p, p.where("status = 'pending'")).select("file_id", "pending_op"),
+    "select file_id, case when exists (select 1 from f_pending p where p.status = 'pending' and p.file_id = f.file_id and p.op_type = m) then null else m end as pending_op from (select *, case when file_id % 4 = 0 then 'click' else 'view' end as m from f_line) f")
 add("tag_01_file_tags", "f_tags", lambda t: tags.file_tags(t, every(t)).select("file_id", F.array_join("tags", "|").alias("tags")), "select file_id, string_agg(tag, '|' order by tag) as tags from f_tags group by 1")
 add("tag_01_all_tags", "f_tags", tags.all_tags, "select distinct tag from f_tags")
 add("tag_02_add", "f_tags f_hashes", lambda t, h: tags.add_tags(t, h, here(h), ["red", "promo"]), f"with e as (select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE}) select file_id, tag from f_tags union select file_id, 'red' from e union select file_id, 'promo' from e")
@@ -377,6 +474,29 @@ add("rep_01_repair", "f_line f_folders f_hashes0", lambda f, o, h: repair(f, o,
     f"select file_id, n as dup_count from ({recount_sql(_FUNNEL)}) where stale = 0")
 
 
+# --- streams, each drained into a table and held against the batch result ---
+_CATALOG = ("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale")
+
+
+def _ingested(c: DataFrame, n: DataFrame) -> DataFrame:
+    first, folder = c.select(*_CATALOG), shared_folder(c.sparkSession)
+    query = stream.stream_ingest(streamed(n.select("location_id", "rel_path", "file_size", "modified_at")), folder, shared_folder(c.sparkSession), first)
+    return after(query, folder, lambda x: stream.newest(c.sparkSession, x, first.schema))
+
+
+add("str_01_listing", "f_listing_tsv", lambda v: drained(stream.stream_listing(v.sparkSession, stored(v.select("value"), lambda w, f: w.text(f)))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes")),
+    """with p as (select string_split(value, chr(9)) as x from f_listing_tsv) select x[1] as kind, count(*) as n, cast(sum(case when x[1]='F' then cast(x[3] as bigint) end) as bigint) as bytes from p where (x[1]='F' and len(x)>=6) or (x[1]='D' and len(x)>=2) or (x[1]='H' and len(x)>=3) group by 1""")
+add("str_02_ingest", "f_line f_listing", _ingested, ORACLES["src_06_upsert_files"][len(duck_views("f_line", "f_listing")):])
+add("str_03_stats", "f_line", lambda f: drained(stream.stream_stats(streamed(f.where("stale = 0").select("location_id", "rel_dir", F.lit(1).cast("long").alias("file_count"), F.col("file_size").alias("total_size")))), "complete"),
+    "select o.location_id, o.rel_path, count(*) as file_count, cast(sum(f.file_size) as bigint) as total_size from (select location_id, rel_path from f_folders union all select location_id, '' from f_locations) o join f_line f on f.location_id = o.location_id and f.stale = 0 and (o.rel_path = '' or starts_with(f.rel_path, o.rel_path || '/')) group by 1, 2")
+add("str_04_dup_recount", "f_hashes", lambda h: (lambda out: after(stream.stream_dup_recount(streamed(_CHANGED(h)), h, out, shared_folder(h.sparkSession)), out, lambda x: h.sparkSession.read.parquet(x).select("file_id", "old_count", "new_count", "delta")))(shared_folder(h.sparkSession)),
+    ORACLES["dup_09_recount_hashes"][len(duck_views("f_hashes")):].lstrip().replace(", r as", "with r as", 1))
+add("str_05_hash_queue", "f_line", lambda f: (lambda out: after(stream.stream_hash_queue(streamed(f.select("location_id", "file_id", "inode", "file_size")), out, shared_folder(f.sparkSession), 1 << 40), out, lambda x: f.sparkSession.read.parquet(x).select("file_id", F.col("batch").cast("long").alias("batch"))))(shared_folder(f.sparkSession)),
+    "select file_id, cast(0 as bigint) as batch from f_line")
+add("str_06_arrivals", "f_line f_hashes0", lambda f, h: drained(stream.stream_arrivals(streamed(_ARRIVALS(f)), h.where("location_id <> 1"))).select("arrival_id", "match_id", "to_hash"),
+    ORACLES["dup_18_arrivals"][len(duck_views("f_line", "f_hashes0")):].lstrip().replace(", k as", "with k as", 1))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of identical files that waste most, found by the three-gate funnel, with their locations."""
     h, f, w = spark_views(spark, sf_dir, "f_hashes0", "f_line", "f_locations")

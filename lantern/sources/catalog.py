@@ -8,22 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.functions.fn import hidden_inherited, parse_tags
+from lantern.functions.fn import classify_high, hidden_inherited, parse_tags
 from lantern.operators.tree import KEY
 
+# The columns of an operation's log, and the fields that a listing's records have at least.
 LOG_COLUMNS = ["source_location", "source_path", "destination_location", "destination_path", "result", "detail"]
 MINIMUM_FIELDS = {"F": 6, "D": 2, "H": 3}
 
 
-def scan_tree(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(rel_path, file_size, modified_at, hidden) of the files below path; their content is not read.
+def scan_tree(spark: SparkSession, path: str, recursive: bool = True, prefix: str | None = None) -> DataFrame:
+    """(rel_path, file_size, modified_at, hidden, type_high) of the files below path, or below its folder `prefix`; their content is not read.
 
-    Spark's file index leaves out names with a leading dot or underscore; scan_hidden() lists those too.
+    Paths are relative to path either way. Spark's file index leaves out names with a leading dot or underscore;
+    scan_hidden() lists those too.
     """
     root = path.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(f"{root}/{prefix}" if prefix else root)
     rel = F.regexp_replace("path", f"^[a-z0-9]+:/+{_quoted(root.split('://')[-1].strip('/'))}/", "")
-    return df.select(rel.alias("rel_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"), hidden_inherited(rel).cast("int").alias("hidden"))
+    return df.select(rel.alias("rel_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"), hidden_inherited(rel).cast("int").alias("hidden"), classify_high(F.substring_index(rel, "/", -1)).alias("type_high"))
 
 
 def _quoted(text: str) -> str:
@@ -151,13 +153,16 @@ def write_op_log(plan: DataFrame, path: str) -> None:
     plan.select(*LOG_COLUMNS).write.option("header", True).csv(path)
 
 
+def op_log_path(op: str, folder: str, at: Column) -> Column:
+    """The path of an operation's log, named by operation and UTC time."""
+    return F.concat(F.lit(f"{folder}/" if folder else ""), F.lit(f"{op}-result-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(".csv"))
+
+
 def op_log_catalog_row(spark: SparkSession, op: str, location_id: int, folder: str, size: int, at: str) -> DataFrame:
-    """The catalog row of a written log, named by operation and UTC time."""
-    stamp = F.date_format(F.lit(at).cast("timestamp"), "yyyyMMdd-HHmmss")
-    name = F.concat(F.lit(f"{op}-result-"), stamp, F.lit(".csv"))
-    path = F.concat(F.lit(folder + "/" if folder else ""), name)
+    """The catalog row of a written log."""
+    path = op_log_path(op, folder, F.lit(at).cast("timestamp"))
     return spark.range(1).select(
-        F.lit(location_id).cast("long").alias("location_id"), path.alias("rel_path"), name.alias("filename"), F.lit("text").alias("type_high"), F.lit("csv").alias("type_low"), F.lit(size).cast("long").alias("file_size")
+        F.lit(location_id).cast("long").alias("location_id"), path.alias("rel_path"), F.substring_index(path, "/", -1).alias("filename"), F.lit("text").alias("type_high"), F.lit("csv").alias("type_low"), F.lit(size).cast("long").alias("file_size")
     )
 
 
@@ -173,6 +178,13 @@ def split_wide_stats(wide_locations: DataFrame) -> DataFrame:
     return own.select("location_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("file_count", "total_size")), F.coalesce("type_counts", F.lit("{}")).alias("type_counts"))
 
 
+def split_wide_folder_stats(wide_folders: DataFrame, wide_locations: DataFrame) -> DataFrame:
+    """Folder stats of wide rows (location_id, rel_path): nulls become 0 or {}; folders of locations being deleted are dropped."""
+    kept = wide_locations.where(~F.col("name").startswith("__deleting_")).select("location_id")
+    own = wide_folders.join(kept, "location_id", "left_semi")
+    return own.select(*KEY, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("file_count", "total_size")), F.coalesce("type_counts", F.lit("{}")).alias("type_counts"))
+
+
 def explode_legacy_tags(files: DataFrame) -> DataFrame:
     """(file_id, tag) of comma lists in column tags, normalised, each once."""
     return files.select("file_id", F.explode(parse_tags(F.col("tags"))).alias("tag")).distinct()

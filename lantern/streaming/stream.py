@@ -1,12 +1,13 @@
-"""Incremental versions over Structured Streaming. A version folder per batch makes repeated batches harmless."""
+"""Incremental versions over Structured Streaming. A folder per batch makes repeated batches harmless."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lantern.functions.fn import ancestors
 from lantern.operators.dups import arrivals_dup_check, recount_hashes
@@ -23,19 +24,42 @@ def _each(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], N
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts that rows without a location are kept in.
+PARTS = 64
+
+
+def _part(df: DataFrame, hashes: bool) -> Column:
+    return (F.pmod(F.xxhash64("file_id"), F.lit(PARTS)) if hashes else F.col("location_id")).cast("long").alias("part")
+
+
 def stream_ingest(stream: DataFrame, versions: str, checkpoint: str, first: DataFrame, hashes: bool = False) -> StreamingQuery:
-    """Upserts each batch into the newest catalog version; version n + 1 is written whole before anything reads it."""
-    first.write.mode("ignore").parquet(f"{versions}/v0")
+    """Upserts each batch into the catalog's parts (locations; for hashes, parts by file id) that it touches, and writes those whole.
+
+    Batch n writes folder batch=n+1, so a batch that is repeated writes the same. newest() reads each part from its last batch.
+    """
+    first.withColumn("part", _part(first, hashes)).write.mode("ignore").partitionBy("part").parquet(f"{versions}/batch=0")
 
     def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(first.schema).parquet(f"{versions}/v{number}")
+        touched = batch.select(_part(batch, hashes)).distinct()
+        old = _parts(batch.sparkSession, versions, first.schema, number).join(touched, "part", "left_semi").drop("part")
         new = upsert_hashes(old, batch) if hashes else upsert_files(old, batch)
-        new.write.mode("overwrite").parquet(f"{versions}/v{number + 1}")
+        new.withColumn("part", _part(new, hashes)).write.mode("overwrite").partitionBy("part").parquet(f"{versions}/batch={number + 1}")
 
     return _each(stream, checkpoint, work)
 
 
+def newest(spark: SparkSession, versions: str, schema: StructType) -> DataFrame:
+    """The catalog as the last batch left it."""
+    return _parts(spark, versions, schema, (1 << 62) - 1).drop("part")
+
+
+def _parts(spark: SparkSession, versions: str, schema: StructType, last: int) -> DataFrame:
+    """Each part's rows from its newest folder up to batch `last`; which that is, the folders' names tell."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType()), StructField("part", LongType())])).parquet(versions).where(F.col("batch") <= last)
+    top = rows.groupBy("part").agg(F.max("batch").alias("batch"))
+    return rows.join(top, ["part", "batch"]).select(*(f.name for f in schema.fields), "part")
+
+
 def stream_stats(deltas: DataFrame) -> DataFrame:
     """Running (location_id, rel_path, file_count, total_size), '' for the location; floor at 0 when read, not in state."""
     paths = F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("rel_dir"))))

@@ -178,8 +178,14 @@ def test_streams_equal_batches(spark, tmp_path, views):
     base = views["f"].select("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale")
     batch = views["n"].select("location_id", "rel_path", "file_size", "modified_at")
     stream.stream_ingest(source(batch, "s1"), str(tmp_path / "versions"), str(tmp_path / "c1"), base).awaitTermination(60)
-    got = spark.read.schema(base.schema).parquet(str(tmp_path / "versions/v1"))
-    assert got.exceptAll(catalog.upsert_files(base, batch)).count() == 0
+    want = catalog.upsert_files(base, batch)
+    got = stream.newest(spark, str(tmp_path / "versions"), base.schema)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    one = batch.where("location_id = 2").withColumn("file_size", F.col("file_size") + 1)
+    stream.stream_ingest(source(one, "s1b"), str(tmp_path / "versions2"), str(tmp_path / "c1b"), want).awaitTermination(60)
+    assert {p.name for p in (tmp_path / "versions2/batch=1").iterdir() if p.is_dir()} == {"part=2"}  # other locations stay as they are
+    again = catalog.upsert_files(want, one)
+    assert stream.newest(spark, str(tmp_path / "versions2"), base.schema).exceptAll(again).count() == 0
 
     deltas = views["f"].where("stale = 0").select("location_id", "rel_dir", F.lit(1).cast("long").alias("file_count"), F.col("file_size").alias("total_size"))
     q = stream.stream_stats(source(deltas, "s2")).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).start()
