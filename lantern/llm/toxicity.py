@@ -28,6 +28,8 @@ MAX_SAMPLE, MAX_TERMS = 20_000, 20_000
 THRESHOLD = 0.7
 #: A learned term needs this log odds of its toxic use, and this share of toxic texts to itself.
 LEAST_WEIGHT, LEAST_SUPPORT = 2.0, 0.75
+#: Labelled texts that say enough of a term.
+LEAST_TEXTS = 3
 #: Shorter terms must be met as they are; terms from the second length on may have two errors.
 FUZZY_LENGTH, TWO_ERRORS = 5, 8
 #: Lengths of the stems that may be learned, and the different words that must share one.
@@ -39,7 +41,7 @@ WINDOW = 6
 QUOTED, TOLD, ADDRESSED = 0.4, 0.6, 1.3
 REMEMBERED = 600_000
 
-# Insults for a model whose labels teach no term, and their weight.
+# Insults that stand in for labels that say too little of them, and their weight.
 KNOWN_WEIGHT = 3.5
 KNOWN_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "imbecile", "cretin")
 # Verbs that introduce what others said, and words that address a reader.
@@ -231,7 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on docs joined with labels (0 or 1; null or other labels and null ids teach nothing).
 
     Of more than max_sample labelled rows, those with the smallest id hashes up to about that number are used, so the
-    ids are few enough to broadcast and no text is shuffled. Where labels teach no term, the known terms stand in.
+    ids are few enough to broadcast and no text is shuffled. Known terms stand in where fewer
+    than LEAST_TEXTS labelled texts have them; elsewhere their labels alone say whether they are terms, and of what weight.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     rows = own.count()
@@ -242,10 +245,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive, total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     prepare(docs.sparkSession)
     terms: dict[str, float] = {}
+    judged: dict[str, float] = {}
     innocent: frozenset[str] = frozenset()
     if positive and positive < total:
         counts, terms = lexicon(sample, positive, total)
-    terms = terms or dict.fromkeys(KNOWN_TERMS, KNOWN_WEIGHT)
+        said = counts.where(F.col("w").isin(*KNOWN_TERMS) & (F.col("n") >= LEAST_TEXTS)).select("w", _odds(positive, total).alias("odds")).collect()  # at most the known terms
+        judged = {r.w: min(r.odds, 6.0) for r in said}
+    known = {t: judged.get(t, KNOWN_WEIGHT) for t in KNOWN_TERMS}
+    terms = {t: w for t, w in known.items() if w >= LEAST_WEIGHT} | terms
     if positive and positive < total:
         innocent = innocents(counts, terms)
     seen = [(r.e.weight, r.y) for r in sample.select(_weight(terms, innocent)("text").alias("e"), "y").collect()]  # at most the bounded sample
@@ -259,6 +266,11 @@ def _stems(word: Column) -> Column:
     return F.filter(F.array(*(F.when(F.length(word) > n, F.left(word, F.lit(n))) for n in range(lo, hi + 1))), lambda x: x.isNotNull())
 
 
+def _odds(positive: int, total: int) -> Column:
+    """Log odds of toxic texts among the n that have a term, t of them toxic, against those of all texts."""
+    return F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - F.lit(math.log((positive + 0.5) / (total - positive + 0.5)))
+
+
 def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, dict[str, float]]:
     """Counts of texts by word, and the weights of the terms to learn.
 
@@ -274,16 +286,15 @@ def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, di
     star = lambda x: F.concat(x, F.lit("*"))
     shared = counts.select("t", "n", F.explode(_stems(F.col("w"))).alias("w")).groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).where(F.col("words") >= STEM_WORDS)
     covering = counts.select("w", "t", F.explode(_stems(F.col("w"))).alias("stem"))
-    forms = counts.select("w", "t", "n").unionByName(shared.select(star(F.col("w")).alias("w"), "t", "n")).where("t >= 3")
-    odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - F.lit(math.log((positive + 0.5) / (total - positive + 0.5)))
-    candidates = written(forms.select("w", odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT))
+    forms = counts.select("w", "t", "n").unionByName(shared.select(star(F.col("w")).alias("w"), "t", "n")).where(F.col("t") >= LEAST_TEXTS)
+    candidates = written(forms.select("w", _odds(positive, total).alias("weight")).where(F.col("weight") >= LEAST_WEIGHT))
     stems = F.transform(_stems(F.col("w")), star)  # of a stem with its star: the shorter ones and itself
     shorter = candidates.select("w", "weight", F.explode(stems).alias("stem")).where("endswith(w, '*') and stem <> w").join(candidates.select(F.col("w").alias("stem"), F.col("weight").alias("stem_weight")), "stem")
     covered = shorter.where(F.col("stem_weight") >= F.col("weight") - 0.5).select("w").distinct()
     candidates = written(candidates.join(covered, "w", "left_anti"))
     # a word is no term of its own where a stem says as much and is made of many such words
     chosen_stems = candidates.where("endswith(w, '*')").join(shared.select(star(F.col("w")).alias("w"), F.col("t").alias("stem_t")), "w").select(F.col("w").alias("stem"), F.col("weight").alias("stem_weight"), "stem_t")
-    under = covering.where("t >= 3").withColumn("stem", star(F.col("stem"))).join(chosen_stems, "stem").join(candidates, "w")
+    under = covering.where(F.col("t") >= LEAST_TEXTS).withColumn("stem", star(F.col("stem"))).join(chosen_stems, "stem").join(candidates, "w")
     minor = under.where((F.col("stem_weight") >= F.col("weight") - 0.5) & (F.col("t") < MAJOR_WORD * F.col("stem_t"))).select("w").distinct()
     candidates = candidates.join(minor, "w", "left_anti")
     said = words.where("y = 1").select("__id", "w").unionByName(words.where("y = 1").select("__id", F.explode(stems).alias("w"))).distinct()
