@@ -209,3 +209,47 @@ def test_streams_equal_batches(spark, tmp_path, views):
 def test_tree_from_ids(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "id long, parent_id long, name string")
     assert {(r.id, r.rel_path, r.depth) for r in tree.materialise_paths(rows).collect()} == {(1, "a", 1), (2, "a/b", 2), (3, "a/b/c", 3)}
+
+
+def test_type_maps_and_subtrees(spark, views):
+    f, o, h = views["f"], views["o"], views["h"]
+    types = stats.folder_types(f)
+    maps = stats.type_maps(types, "location_id", "rel_path").withColumn("json", fn.type_counts_json(F.col("type_counts")))
+    back = maps.select("location_id", "rel_path", F.explode(fn.parse_type_counts(F.col("json"))).alias("type_high", "n")).select("location_id", "rel_path", "type_high", F.col("n").cast("long").alias("n"))
+    assert back.exceptAll(types).count() == types.exceptAll(back).count() == 0
+    assert stats.apply_type_deltas(types, types.withColumn("n", -F.col("n"))).count() == 0
+    one = stats.folder_stats(f, o, h).where("location_id = 1 and rel_path = 'nation_15'").first()
+    own = stats.subtree_stats(f, h, 1, "nation_15").first()
+    assert all(own[c] == one[c] for c in stats.COUNTERS)
+
+
+def test_moves_settle_names_and_copies_get_ids(spark):
+    files = spark.createDataFrame(
+        [(1, 1, "a/x.txt", "a", "x.txt", 5, 0, 0), (2, 1, "b/X.TXT", "b", "X.TXT", 6, 0, 0), (3, 2, "d/x.txt", "d", "x.txt", 7, 0, 0), (4, 3, "e/y.txt", "e", "y.txt", 8, 0, 0)],
+        "file_id long, location_id long, rel_path string, rel_dir string, filename string, file_size long, stale int, hidden int",
+    )
+    online = spark.createDataFrame([(1,), (2,)], "location_id long")
+    plan = actions.move_plan(files, files.where("file_id <> 3").select("file_id"), 2, "d", online)
+    assert {r.file_id: (r.rel_path, r.state, r.stub) for r in plan.collect()} == {1: ("d/x_1.txt", "done", True), 2: ("d/X_2.TXT", "done", True), 4: ("d/y.txt", "deferred", False)}
+    rename = actions.move_plan(files, files.where("file_id = 1").select("file_id"), 2, "d", online, new_name="X.txt").first()
+    assert rename.state == "error: name taken" and not rename.stub
+    copy = actions.move_plan(files, files.where("file_id in (1, 4)").select("file_id"), 2, "new", online, copy=True)
+    assert {r.file_id: r.state for r in copy.collect()} == {1: "done", 4: "refused"}
+    own = hashes(spark, [(1, 1, 5, "p", "f", None, 0, 0, 0)])
+    made, hashed, tagged = actions.copy_rows(copy, files, own, spark.createDataFrame([(1, "red"), (4, "blue")], "file_id long, tag string"))
+    assert [(r.file_id, r.location_id, r.rel_path, r.rel_dir) for r in made.collect()] == [(5, 2, "new/x.txt", "new")]
+    assert [(r.file_id, r.location_id, r.hash_fast) for r in hashed.collect()] == [(5, 2, "f")] and [tuple(r) for r in tagged.collect()] == [(5, "red")]
+    deltas = {(r.location_id, r.rel_dir): (r.file_count, r.total_size) for r in actions.move_deltas(files, plan).collect()}
+    assert deltas == {(2, "d"): (2, 11), (1, "a"): (-1, -5), (1, "b"): (-1, -6)}
+
+
+def test_batches_without_inodes_and_pages_behind_a_row(spark):
+    rows = spark.createDataFrame([(i, 1, None if i % 2 else i << 18, 10) for i in range(1, 41)], "file_id long, location_id long, inode long, file_size long")
+    want, total = {}, 0
+    for r in sorted(rows.collect(), key=lambda r: (r.inode is not None, r.inode or 0, r.file_id)):
+        want[r.file_id], total = total // 25, total + r.file_size
+    assert {r.file_id: r.batch for r in hashing.byte_batches(rows, 25).collect()} == want
+    named = rows.select("file_id", F.concat(F.lit("N"), F.col("file_id") % 7).alias("filename"))
+    whole = [(r.filename, r.file_id) for r in search.paged(named, "name", size=100).collect()]
+    behind = search.paged(named, "name", size=5, after=(whole[9][0].lower(), whole[9][1])).collect()
+    assert [(r.filename, r.file_id) for r in behind] == whole[10:15]
