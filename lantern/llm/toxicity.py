@@ -26,8 +26,8 @@ from lantern.llm.common import prepare, read, written
 #: Labelled rows that the model is fitted on at most, and terms that its lexicon has at most.
 MAX_SAMPLE, MAX_TERMS = 20_000, 20_000
 THRESHOLD = 0.7
-#: A learned term needs this log odds of its toxic use, and this share of toxic texts to itself.
-LEAST_WEIGHT, LEAST_SUPPORT = 2.0, 0.75
+#: A learned term needs this log odds of its toxic use, and so many toxic texts to itself, or this share of all of them if that is more.
+LEAST_WEIGHT, LEAST_SUPPORT, LEAST_SHARE = 2.0, 0.75, 0.005
 #: Labelled texts that say enough of a term.
 LEAST_TEXTS = 3
 #: Shorter terms must be met as they are; terms from the second length on may have two errors.
@@ -301,7 +301,7 @@ def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, di
     of_toxic = written(said.join(candidates, "w"))
     shares = of_toxic.groupBy("__id").agg((1 / F.count("*")).alias("share"))
     votes = of_toxic.join(shares, "__id").groupBy("w").agg(F.sum("share").alias("votes"), F.max("weight").alias("weight"))
-    chosen = votes.where(F.col("votes") >= LEAST_SUPPORT).orderBy(F.desc("votes"), "w").limit(MAX_TERMS)
+    chosen = votes.where(F.col("votes") >= max(LEAST_SUPPORT, LEAST_SHARE * positive)).orderBy(F.desc("votes"), "w").limit(MAX_TERMS)
     return counts, {r.w: float(min(r.weight, 6.0)) for r in chosen.collect()}
 
 

@@ -701,3 +701,34 @@ def test_clashing_columns_change_nothing(spark, number):
     }[number]
     without, having = (Counter(map(str, run(d).collect())) for d in (lambda x: x, clashing))
     assert without == having
+
+
+# --- the registered queries themselves ---
+def test_registered_queries_keep_their_contracts(spark):
+    docs = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    run = lambda name: queries()[name](spark, SF).collect()
+    toxic = run("op2_toxicity")
+    assert Counter(r.doc_id for r in toxic) == Counter(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in toxic)
+    assert all(r.held_out == (binascii.crc32(str(r.doc_id).encode()) % 3 == 1) for r in toxic)
+    packed = run("op3_best_fit_packing")
+    check_packed(packed, list(docs.values()), 2048)
+    assert all(r.bound <= r.bins for r in packed)
+    lines = run("op5_line_dedup")
+    assert {r.doc_id: r.text for r in lines} == linebrute.dedup(list(docs.items()))
+    prints = {i: plain_fingerprint(t) for i, t in docs.items()}
+    group = {i: i for i in docs}
+    for a, b in itertools.combinations(sorted(docs), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {k: low if g == high else g for k, g in group.items()}
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in run("op6_simhash_near_dedup")} == {(i, f"{prints[i]:016x}", group[i]) for i in docs}
+    pages = table(spark, "pages").collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in run("op8_url_filters")) == Counter((r.page_id, *plain_url(r.url)[:3]) for r in pages)
+
+
+def test_very_long_pages_and_urls(spark):
+    rows = [(1, "http://a/" + "x" * 200_000, "é" * 3_000_000), (2, "http://b/", "é" * 3_000_000), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.read_archives(spark, warc.write_archives(warc.records_of(pages), shared_dir(spark))).collect()}
+    assert got[1].payload_bytes == 6_000_000 and got[2].refers_to == 1 and got[3].payload_bytes == 0 and all(r.error is None for r in got.values())
+    assert urls.filter_urls(pages).count() == 3
