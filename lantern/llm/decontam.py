@@ -15,6 +15,8 @@ from lantern.llm.common import BROADCAST_ROWS, broadcast_if_small, read, written
 
 #: Tokens of a window that must agree, but for so many substitutions.
 WINDOW, SUBSTITUTIONS = 13, 2
+#: Positions that are hashed from one part of a text.
+PART = 512
 #: Items of fewer tokens are not looked for.
 LEAST_TOKENS = 5
 # Fixed masks: the positions that each selects. However two tokens of thirteen differ, one of these, somewhere in the
@@ -34,12 +36,16 @@ def _seeds(tokens_col: str, at: Column) -> Column:
 
 
 def _placed(df: DataFrame, *keep: str) -> DataFrame:
-    """A row for each position that a mask fits at, and for each mask: keep, at, seed."""
-    least = min(max(m) for m in MASKS)
-    spots = df.where(F.size("h") > least).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least - 1)).alias("at"))
-    return spots.select(*keep, "at", F.size("h").alias("n"), F.posexplode(_seeds("h", F.col("at"))).alias("mask", "seed")).where(
-        F.col("at") + F.get(F.array(*(F.lit(max(m)) for m in MASKS)), F.col("mask")) < F.col("n")
-    )
+    """A row for each position that a mask fits at, and for each mask: keep, at, seed.
+
+    Tokens are first cut into overlapping parts, so that a position's row carries a part and not the whole text.
+    """
+    least, span = min(max(m) for m in MASKS), max(max(m) for m in MASKS)
+    cut = F.transform(F.sequence(F.lit(0), F.size("h") - least - 1, F.lit(PART)), lambda b: F.struct(b.alias("base"), F.slice("h", b + 1, F.lit(PART + span)).alias("part")))
+    parts = df.where(F.size("h") > least).select(*keep, F.explode(cut).alias("c")).select(*keep, "c.base", "c.part")
+    spots = parts.select(*keep, "base", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(PART), F.size("part") - least) - 1)).alias("local"))
+    seeds = spots.select(*keep, (F.col("base") + F.col("local")).alias("at"), "local", F.size("part").alias("n"), F.posexplode(_seeds("part", F.col("local"))).alias("mask", "seed"))
+    return seeds.where(F.col("local") + F.get(F.array(*(F.lit(max(m)) for m in MASKS)), F.col("mask")) < F.col("n")).drop("local", "n")
 
 
 def _known_seeds(placed: DataFrame, known: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -114,7 +120,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     short = _whole(hashed, items.where(F.size("item") < WINDOW), broadcast_rows)
     items = items.where(F.size("item") >= WINDOW)
 
-    seeds = written(_placed(items.select("item_id", F.col("item").alias("h")), "item_id", "h").select("seed", "item_id", "h", F.col("at").alias("item_at")))
+    seeds = written(_placed(items.select("item_id", F.col("item").alias("h")), "item_id").select("seed", "item_id", F.col("at").alias("item_at")))
     hits = _known_seeds(_placed(hashed, "doc_id", "key"), written(seeds.select("seed").distinct()), broadcast_rows)
     hits = written(hits.groupBy("doc_id", "key", "seed").agg(F.collect_list("at").alias("ats")))
     aligned = hits.join(broadcast_if_small(seeds.select("seed", "item_id", "item_at")), "seed").select("doc_id", "key", "item_id", F.explode("ats").alias("at"), "item_at").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
@@ -131,7 +137,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     each = each.select("doc_id", "item_id", "item", "a.shift", "a.own")
     at = lambda i: i + F.least(F.col("shift"), F.lit(0))
     same = F.transform("item", lambda w, i: F.coalesce((F.get(F.col("own"), at(i)) == w) & (at(i) >= 0), F.lit(False)).cast("int"))
-    walked = each.select("doc_id", "item_id", "shift", same.alias("same")).select("doc_id", "item_id", "shift", _coverage().alias("w")).where("w.first >= 0")
+    # written, so that the filter below does not take the comparison along into each of its steps
+    compared = written(each.select("doc_id", "item_id", "shift", same.alias("same")))
+    walked = compared.select("doc_id", "item_id", "shift", _coverage().alias("w")).where("w.first >= 0")
     shifted = lambda x: (x + F.col("shift")).cast("long")
     long = walked.select(
         "doc_id",
