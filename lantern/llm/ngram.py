@@ -27,7 +27,7 @@ from lantern.llm.common import prepare, read, shared_dir, written
 
 ORDER = 3
 #: Text that one shard of the model stands for. The number of shards follows the corpus.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Bits of the shard's number by which n-grams are dealt at once; more shards take another round of dealing.
 DEAL_BITS = 10
 #: Tokens that a task gathers before it counts or scores them, and words whose hash it remembers.
@@ -425,6 +425,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
         n, whole, at = np.add.reduceat(times[at], first), whole[first], at[first]
         del times
         tables = _count_table(_below(whole, bits if order == 2 else 0), n)  # trigrams are not dealt by their own hash
+        del whole
         columns, suffix, before = [c[at] for c in columns], suffix[at], before[at]
         levels, made = [_counts_of_counts(n)], []
         counted, occurrences = columns[-1], n
