@@ -150,11 +150,20 @@ def cross_location_candidates(hashes: DataFrame, location_id: int) -> DataFrame:
     return _gated(hashes).where((F.col("location_id") != location_id) & F.col("hash_fast").isNull()).join(here, GATE, "left_semi")
 
 
+def known_hashes(hashes: DataFrame) -> DataFrame:
+    """(hash_fast, match_id): the smallest active file of each fast hash."""
+    return active(hashes).where("hash_fast <> ''").groupBy("hash_fast").agg(F.min("file_id").alias("match_id"))
+
+
+def known_gates(hashes: DataFrame) -> DataFrame:
+    """The (hash_partial, file_size) of active files with content, marked by __met."""
+    return _gated(hashes).select(*GATE).distinct().withColumn("__met", F.lit(True))
+
+
 def arrivals_dup_check(arrivals: DataFrame, hashes: DataFrame) -> DataFrame:
     """Arrivals with match_id, the smallest active file of equal fast hash, and whether they need hashing (partial and size met, no fast hash)."""
-    known = active(hashes).where("hash_fast <> ''").groupBy("hash_fast").agg(F.min("file_id").alias("match_id"))
-    gates = _gated(hashes).select(*GATE).distinct().withColumn("__met", F.lit(True))
-    return arrivals.join(known, "hash_fast", "left").join(gates, GATE, "left").withColumn("to_hash", F.col("hash_fast").isNull() & F.col("__met").isNotNull()).drop("__met")
+    found = arrivals.join(known_hashes(hashes), "hash_fast", "left").join(known_gates(hashes), GATE, "left")
+    return found.withColumn("to_hash", F.col("hash_fast").isNull() & F.col("__met").isNotNull()).drop("__met")
 
 
 def consolidate_preview(hashes: DataFrame, files: DataFrame, file_ids: DataFrame) -> DataFrame:

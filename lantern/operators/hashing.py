@@ -137,17 +137,20 @@ def rehash_partial_worklist(hashes: DataFrame, location_id: int) -> DataFrame:
     return hashes.where((F.col("location_id") == location_id) & (F.col("stale") == 0) & (F.col("file_size") > 0) & F.col("hash_partial").isNotNull())
 
 
-def byte_batches(worklist: DataFrame, cap: int = 500 << 20) -> DataFrame:
+def byte_batches(worklist: DataFrame, cap: int = 500 << 20, before: DataFrame | None = None) -> DataFrame:
     """Adds batch: a location's rows in inode order, cut where the bytes before a row pass a multiple of cap; no batch exceeds cap plus one file.
 
     Running sums are taken within runs of 2 ** 20 inodes (of file ids, where there is no inode) and shifted by the bytes of
-    the runs before, so no task sorts a whole disk.
+    the runs before, so no task sorts a whole disk. before (location_id, bytes): what locations have come to already, one row each.
     """
     run = F.struct(F.shiftright("inode", 20).alias("i"), F.when(F.col("inode").isNull(), F.shiftright("file_id", 20)).alias("f"))
     rows = worklist.withColumn("__run", run)
     sizes = rows.groupBy("location_id", "__run").agg(F.sum("file_size").alias("__bytes"))
-    before = Window.partitionBy("location_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("location_id", "__run", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__start"))
+    earlier = Window.partitionBy("location_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("location_id", "__run", F.coalesce(F.sum("__bytes").over(earlier), F.lit(0)).alias("__start"))
+    if before is not None:
+        had = starts.join(before.select("location_id", F.col("bytes").alias("__had")), "location_id", "left")
+        starts = had.select("location_id", "__run", (F.col("__start") + F.coalesce("__had", F.lit(0))).alias("__start"))
     order = Window.partitionBy("location_id", "__run").orderBy("inode", "file_id").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("__sum", F.coalesce(F.sum("file_size").over(order), F.lit(0)))
     same = (summed["location_id"].eqNullSafe(starts["location_id"])) & (summed["__run"].eqNullSafe(starts["__run"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from lantern.operators import diff, dups, hashing, search, stats, tree
 from lantern.plans import actions, tags
 from lantern.plans.repair import repair
 from lantern.sources import catalog
+from lantern.sources.snapshots import publish, snapshot
 from lantern.streaming import stream
 from lantern.tables import shared_folder
 
@@ -61,11 +63,6 @@ def stored(df: DataFrame, write: Callable[..., None] | None = None) -> str:
     return folder
 
 
-def streamed(df: DataFrame) -> DataFrame:
-    """df as a stream of files."""
-    return df.sparkSession.readStream.schema(df.schema).parquet(stored(df))
-
-
 def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives once all its input is read."""
     spark, out, checkpoint = rows.sparkSession, shared_folder(rows.sparkSession), shared_folder(rows.sparkSession)
@@ -74,11 +71,6 @@ def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(out)
 
 
-def after(query, folder: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    query.awaitTermination()
-    return read(folder)
-
-
 # --- sources and sinks ---
 def _scanned(docs: DataFrame, level: bool = False) -> DataFrame:
     folder = stored(docs.select("rel_dir", "content").repartition("rel_dir"), lambda w, f: w.partitionBy("rel_dir").text(f))
@@ -98,18 +90,26 @@ add("src_04_assemble_listing", "f_listing_tsv", lambda v: catalog.assemble_listi
     select f.*, hash_partial from f left join h using (location_id, rel_path)""")
 
 
-def _round_trip(h: DataFrame) -> DataFrame:
-    folder = shared_folder(h.sparkSession)
-    catalog.write_catalog({"hashes": h}, folder)
-    return catalog.read_catalog(h.sparkSession, folder, ["hashes"])["hashes"].select("file_id", F.col("location_id").cast("long").alias("location_id"), "hash_partial", "hash_fast", "hash_strong")
+def _round_trip(h: DataFrame, f: DataFrame) -> DataFrame:
+    """Two versions: the hashes of one location with the files, then all hashes; the files come along."""
+    spark, folder = h.sparkSession, shared_folder(h.sparkSession)
+    publish(spark, folder, {"hashes": h.where(F.col("location_id") == HERE), "files": f})
+    publish(spark, folder, {"hashes": h})
+    last = snapshot(spark, folder)
+    return last.table("hashes").join(last.table("files").select("file_id", "filename"), "file_id").select("file_id", "location_id", "filename", "hash_partial", "hash_fast", "hash_strong")
+
 
+add("src_05_write_read_catalog", "f_hashes f_line", _round_trip, "select h.file_id, h.location_id, filename, hash_partial, hash_fast, h.hash_strong from (select file_id, location_id, hash_fast, hash_strong from f_hashes) h join (select file_id, filename, hash_partial from f_line) f using (file_id)")
 
-add("src_05_write_read_catalog", "f_hashes", _round_trip, "select file_id, location_id, hash_partial, hash_fast, hash_strong from f_hashes")
-add("src_06_upsert_files", "f_line f_listing",
-    lambda c, n: catalog.upsert_files(c.select("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale"), n.select("location_id", "rel_path", "file_size", "modified_at")),
-    """select coalesce(c.location_id, n.location_id) as location_id, coalesce(c.rel_path, n.rel_path) as rel_path, c.file_id, case when n.rel_path is not null then n.file_size else c.file_size end as file_size,
+# A listing that names some files twice; the later row counts.
+_CATALOG = ("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale")
+_TWICE = lambda n: n.select("location_id", "rel_path", "file_size", "modified_at", F.lit(1).alias("seq")).unionByName(n.where("file_size % 3 = 0").select("location_id", "rel_path", (F.col("file_size") + 1).alias("file_size"), "modified_at", F.lit(2).alias("seq")))
+_KNOWN_ID = lambda c, rows: rows.join(c.select("location_id", "rel_path", F.col("file_id").alias("__id")), ["location_id", "rel_path"], "left").select("location_id", "rel_path", F.when(F.col("file_id") == F.col("__id"), F.col("__id")).alias("known_id"), F.col("file_id").isNotNull().alias("has_id"), "file_size", "modified_at", "description", "stale")
+_UPSERTED = """with n as (select location_id, rel_path, file_size + case when file_size % 3 = 0 then 1 else 0 end as file_size, modified_at from f_listing)
+    select coalesce(c.location_id, n.location_id) as location_id, coalesce(c.rel_path, n.rel_path) as rel_path, c.file_id as known_id, true as has_id, case when n.rel_path is not null then n.file_size else c.file_size end as file_size,
     case when n.rel_path is not null then n.modified_at else c.modified_at end as modified_at, c.description, case when n.rel_path is not null then 0 else c.stale end as stale
-    from f_line c full join f_listing n on c.location_id=n.location_id and c.rel_path=n.rel_path""")
+    from f_line c full join n on c.location_id=n.location_id and c.rel_path=n.rel_path"""
+add("src_06_upsert_files", "f_line f_listing", lambda c, n: _KNOWN_ID(c, catalog.upsert_files(c.select(*_CATALOG), _TWICE(n), "seq")), _UPSERTED)
 add("src_07_upsert_hashes", "f_hashes0 f_hashes",
     lambda o, n: catalog.upsert_hashes(o.where("location_id <> 1").select("file_id", "file_size", "hash_fast", "hash_strong"), n.where("location_id < 4").select("file_id", (F.col("file_size") + 1).alias("file_size"), F.when(F.col("file_id") % 4 == 0, F.col("hash_fast")).alias("hash_fast"))),
     """with o as (select * from f_hashes0 where location_id <> 1), n as (select file_id, file_size + 1 as file_size, case when file_id % 4 = 0 then hash_fast end as hash_fast from f_hashes where location_id < 4)
@@ -474,27 +474,82 @@ add("rep_01_repair", "f_line f_folders f_hashes0", lambda f, o, h: repair(f, o,
     f"select file_id, n as dup_count from ({recount_sql(_FUNNEL)}) where stale = 0")
 
 
-# --- streams, each drained into a table and held against the batch result ---
-_CATALOG = ("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale")
+# --- streams, most of several micro-batches, held against what the whole input gives ---
+def in_turns(parts: list[DataFrame], start: Callable[[DataFrame, str], Any]) -> None:
+    """Runs start(stream, checkpoint) after each part has arrived."""
+    spark, folder, checkpoint = parts[0].sparkSession, shared_folder(parts[0].sparkSession), shared_folder(parts[0].sparkSession)
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        start(spark.readStream.schema(part.schema).parquet(folder), checkpoint).awaitTermination()
 
 
 def _ingested(c: DataFrame, n: DataFrame) -> DataFrame:
-    first, folder = c.select(*_CATALOG), shared_folder(c.sparkSession)
-    query = stream.stream_ingest(streamed(n.select("location_id", "rel_path", "file_size", "modified_at")), folder, shared_folder(c.sparkSession), first)
-    return after(query, folder, lambda x: stream.newest(c.sparkSession, x, first.schema))
+    """Two arrivals, which name some files twice within and some across them, the second one compacted."""
+    spark, folder, rows = c.sparkSession, shared_folder(c.sparkSession), _TWICE(n)
+    publish(spark, folder, {"files": c.select(*_CATALOG)}, {"files": stream.FILES})
+    first = (F.col("location_id") < 3) | ((F.col("location_id") == 3) & (F.col("seq") == 1))
+    in_turns([rows.where(first), rows.where(~first)], lambda s, at: stream.stream_ingest(s, folder, at, order="seq", compact_every=2))
+    return _KNOWN_ID(c, stream.newest(spark, folder))
+
+
+def _counted_up(f: DataFrame) -> DataFrame:
+    spark, folder = f.sparkSession, shared_folder(f.sparkSession)
+    deltas = f.where("stale = 0").select("location_id", "rel_dir", "inode", F.lit(1).cast("long").alias("file_count"), F.col("file_size").alias("total_size"))
+    in_turns([deltas.where("inode < 500000"), deltas.where("inode >= 500000")], lambda s, at: stream.stream_stats(s, folder, at))
+    return stream.counters(spark, folder)
+
+
+def _bursts(h: DataFrame) -> DataFrame:
+    """Every changed hash is reported twice, five minutes apart; an event an hour later ends the bursts."""
+    spark, folder, changed = h.sparkSession, shared_folder(h.sparkSession), _CHANGED(h).distinct()
+    publish(spark, folder, {"hashes": h}, {"hashes": stream.HASHES})
+    at = lambda rows, clock: rows.withColumn("at", F.lit(f"2024-01-01 {clock}").cast("timestamp"))
+    turns = [at(changed, "00:00:00"), at(changed, "00:05:00"), at(h.agg(F.lit("end").alias("hash")), "01:00:00")]
+    in_turns(turns, lambda s, to: stream.stream_dup_recount(s, folder, to, late="0 seconds"))
+    return snapshot(spark, folder).table("flips").select("file_id", "old_count", "new_count", "delta")
+
+
+_CAP = 1 << 28
+
+
+def _drained_queue(f: DataFrame, h: DataFrame) -> DataFrame:
+    """Three arrivals in inode order, then the rest is closed; no hash is known before."""
+    spark, folder = f.sparkSession, shared_folder(f.sparkSession)
+    work, none = f.select("location_id", "file_id", "inode", "file_size"), F.lit(None).cast("string")
+    publish(spark, folder, {"hashes": h.withColumns({"hash_fast": none, "hash_strong": none, "dup_count": F.lit(0).cast("long")})}, {"hashes": stream.HASHES})
+    hasher = lambda rows: rows.join(f.select("file_id", F.col("content_fast").alias("hash_fast")), "file_id")
+    in_turns([work.where("inode < 300000"), work.where("inode >= 300000 and inode < 310000"), work.where("inode >= 310000")], lambda s, at: stream.stream_hash_queue(s, folder, at, hasher, _CAP))
+    stream.close_queue(spark, folder, _CAP, hasher)
+    done = snapshot(spark, folder)
+    return done.table("queue_closed").select("file_id", "batch").join(done.table("hashes").select("file_id", "dup_count"), "file_id")
+
+
+def _arrived(f: DataFrame, h: DataFrame) -> DataFrame:
+    """Two arrivals; the last word on each file."""
+    spark, out = f.sparkSession, shared_folder(f.sparkSession)
+    first, second = _ARRIVALS(f.where("inode < 500000")), _ARRIVALS(f.where("inode >= 500000"))
+    in_turns([first, second], lambda s, at: stream.stream_arrivals(s, h.where("location_id <> 1")).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start())
+    rows = spark.read.schema("arrival_id long, match_id long, to_hash boolean").parquet(out)
+    return rows.groupBy("arrival_id").agg(F.max("match_id").alias("match_id"), F.max("to_hash").alias("to_hash"))
 
 
 add("str_01_listing", "f_listing_tsv", lambda v: drained(stream.stream_listing(v.sparkSession, stored(v.select("value"), lambda w, f: w.text(f)))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes")),
     """with p as (select string_split(value, chr(9)) as x from f_listing_tsv) select x[1] as kind, count(*) as n, cast(sum(case when x[1]='F' then cast(x[3] as bigint) end) as bigint) as bytes from p where (x[1]='F' and len(x)>=6) or (x[1]='D' and len(x)>=2) or (x[1]='H' and len(x)>=3) group by 1""")
-add("str_02_ingest", "f_line f_listing", _ingested, ORACLES["src_06_upsert_files"][len(duck_views("f_line", "f_listing")):])
-add("str_03_stats", "f_line", lambda f: drained(stream.stream_stats(streamed(f.where("stale = 0").select("location_id", "rel_dir", F.lit(1).cast("long").alias("file_count"), F.col("file_size").alias("total_size")))), "complete"),
+add("str_02_ingest", "f_line f_listing", _ingested, _UPSERTED)
+add("str_03_stats", "f_line", _counted_up,
     "select o.location_id, o.rel_path, count(*) as file_count, cast(sum(f.file_size) as bigint) as total_size from (select location_id, rel_path from f_folders union all select location_id, '' from f_locations) o join f_line f on f.location_id = o.location_id and f.stale = 0 and (o.rel_path = '' or starts_with(f.rel_path, o.rel_path || '/')) group by 1, 2")
-add("str_04_dup_recount", "f_hashes", lambda h: (lambda out: after(stream.stream_dup_recount(streamed(_CHANGED(h)), h, out, shared_folder(h.sparkSession)), out, lambda x: h.sparkSession.read.parquet(x).select("file_id", "old_count", "new_count", "delta")))(shared_folder(h.sparkSession)),
-    ORACLES["dup_09_recount_hashes"][len(duck_views("f_hashes")):].lstrip().replace(", r as", "with r as", 1))
-add("str_05_hash_queue", "f_line", lambda f: (lambda out: after(stream.stream_hash_queue(streamed(f.select("location_id", "file_id", "inode", "file_size")), out, shared_folder(f.sparkSession), 1 << 40), out, lambda x: f.sparkSession.read.parquet(x).select("file_id", F.col("batch").cast("long").alias("batch"))))(shared_folder(f.sparkSession)),
-    "select file_id, cast(0 as bigint) as batch from f_line")
-add("str_06_arrivals", "f_line f_hashes0", lambda f, h: drained(stream.stream_arrivals(streamed(_ARRIVALS(f)), h.where("location_id <> 1"))).select("arrival_id", "match_id", "to_hash"),
-    ORACLES["dup_18_arrivals"][len(duck_views("f_line", "f_hashes0")):].lstrip().replace(", k as", "with k as", 1))
+add("str_04_dup_recount", "f_hashes", _bursts, ORACLES["dup_09_recount_hashes"][len(duck_views("f_hashes")):].lstrip().replace(", r as", "with r as", 1))
+add("str_05_hash_queue", "f_line f_hashes0", _drained_queue,
+    f"""with q as (select file_id, cast(floor(coalesce(sum(file_size) over (partition by location_id order by inode, file_id rows between unbounded preceding and 1 preceding), 0) / {_CAP}) as bigint) as batch from f_line)
+    select file_id, batch, n as dup_count from q join ({recount_sql("(select file_id as fid, null::varchar as hash_strong, content_fast as hash_fast, excluded, stale from f_line)")}) r on r.fid = q.file_id""")
+add("str_06_arrivals", "f_line f_hashes0", _arrived,
+    f"""with a as (select file_id as arrival_id, hash_partial, file_size, case when file_id % 24 = 0 then content_fast end as hash_fast, case when inode < 500000 then 1 else 2 end as turn from f_line where location_id = 1),
+    k as (select hash_fast, min(file_id) as match_id from f_hashes0 where {ACT} and location_id <> 1 and hash_fast <> '' group by 1),
+    g as (select distinct hash_partial, file_size from f_hashes0 where {ACT} and location_id <> 1 and hash_partial <> '' and file_size > 0),
+    w as (select a.*, first_value(arrival_id) over (partition by hash_fast order by turn, arrival_id) as first_id, count(*) over (partition by hash_partial, file_size) as twins from a)
+    select arrival_id, case when w.hash_fast is not null then coalesce(k.match_id, case when first_id <> arrival_id then first_id end) end as match_id,
+      w.hash_fast is null and w.hash_partial is not null and w.file_size > 0 and (g.file_size is not null or twins > 1) as to_hash
+    from w left join k on k.hash_fast = w.hash_fast left join g on g.hash_partial = w.hash_partial and g.file_size = w.file_size""")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

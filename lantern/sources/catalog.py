@@ -102,25 +102,31 @@ def assemble_listing(records: DataFrame, key: list[str] | None = None) -> DataFr
     return files.join(found, key, "left").withColumnRenamed("path", "rel_path")
 
 
-def write_catalog(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet, by location where it has one, in a new folder for each version."""
-    for name, df in tables.items():
-        out = df.write.mode("errorifexists")
-        (out.partitionBy("location_id") if "location_id" in df.columns else out).parquet(f"{folder}/{name}")
-
-
-def read_catalog(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}") for name in names}
-
-
 def _upsert(old: DataFrame, new: DataFrame, key: list[str], take: dict[str, Column]) -> DataFrame:
     o = old.select(*key, *(F.col(c).alias(f"__o_{c}") for c in old.columns if c not in key), F.lit(True).alias("__old"))
     n = new.select(*key, *(F.col(c).alias(f"__n_{c}") for c in new.columns if c not in key), F.lit(True).alias("__new"))
     return o.join(n, key, "full_outer").select(*(F.col(c) if c in key else take[c].alias(c) for c in old.columns))
 
 
-def upsert_files(catalog: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert or update by (location_id, rel_path). An update keeps file_id, description, excluded; stale becomes 0."""
+def with_ids(rows: DataFrame) -> DataFrame:
+    """rows with file_id set, where it is missing, from their key."""
+    own = F.shiftrightunsigned(F.xxhash64(*KEY), 1)
+    return rows.withColumn("file_id", F.coalesce("file_id", own) if "file_id" in rows.columns else own)
+
+
+def last_of_key(batch: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: that of the largest `order`; without it, or where it ties, the largest row."""
+    rest = [c for c in batch.columns if c not in key]
+    row = F.struct(*([F.col(order).alias("__order")] if order else []), *rest)
+    return batch.groupBy(*key).agg(F.max(row).alias("__row")).select(*key, *(F.col(f"__row.{c}").alias(c) for c in rest))
+
+
+def upsert_files(catalog: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
+    """Insert or update by (location_id, rel_path). An update keeps file_id, description, excluded; stale becomes 0.
+
+    Of a key that the batch repeats the row of the largest `order` counts. New rows get an id from their key.
+    """
+    batch = with_ids(last_of_key(batch, KEY, order))
     new = F.col("__new").isNotNull()
     take = {}
     for c in catalog.columns:
@@ -138,7 +144,7 @@ def upsert_files(catalog: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def upsert_hashes(hashes: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert or update by file_id; a null new hash keeps the old one, the size is replaced."""
+    """Insert or update by file_id (each once in the batch); a null new hash keeps the old one, the size is replaced."""
     new = F.col("__new").isNotNull()
     take = {}
     for c in hashes.columns:

@@ -7,7 +7,6 @@ from lantern.operators import diff, dups, hashing, search, stats, tree
 from lantern.plans import actions
 from lantern.plans.repair import repair
 from lantern.sources import catalog
-from lantern.streaming import stream
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -143,9 +142,6 @@ def test_scan_catalog_and_log(spark, tmp_path, views):
     import hashlib
 
     assert hashing.hash_partial_files(paths, k=2).first().hash_partial == hashlib.md5(b"0189").hexdigest()[:16]
-    catalog.write_catalog({"hashes": views["h"], "locations": views["w"]}, str(tmp_path / "v1"))
-    back = catalog.read_catalog(spark, str(tmp_path / "v1"), ["hashes", "locations"])
-    assert back["hashes"].count() == views["h"].count()
     log = spark.createDataFrame([("A", "x", "B", "y", "copied", "")], ", ".join(f"{c} string" for c in catalog.LOG_COLUMNS))
     catalog.write_op_log(log, str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).columns == catalog.LOG_COLUMNS
@@ -163,49 +159,6 @@ def test_repair_phases(views):
     assert sizes is None and done.count() == views["h0"].count()
 
 
-def test_streams_equal_batches(spark, tmp_path, views):
-    lines = tmp_path / "in"
-    lines.mkdir()
-    (lines / "a.tsv").write_text("F\td/x.txt\t5\t1\t2\t3\nH\td/x.txt\tabc\nbad\n")
-    q = stream.stream_listing(spark, str(lines)).writeStream.format("memory").queryName("listed").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert spark.table("listed").count() == catalog.read_listing(spark, str(lines)).count() == 2
-
-    def source(df, name):
-        df.write.parquet(str(tmp_path / name))
-        return spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
-
-    base = views["f"].select("location_id", "rel_path", "file_id", "file_size", "modified_at", "description", "stale")
-    batch = views["n"].select("location_id", "rel_path", "file_size", "modified_at")
-    stream.stream_ingest(source(batch, "s1"), str(tmp_path / "versions"), str(tmp_path / "c1"), base).awaitTermination(60)
-    want = catalog.upsert_files(base, batch)
-    got = stream.newest(spark, str(tmp_path / "versions"), base.schema)
-    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
-    one = batch.where("location_id = 2").withColumn("file_size", F.col("file_size") + 1)
-    stream.stream_ingest(source(one, "s1b"), str(tmp_path / "versions2"), str(tmp_path / "c1b"), want).awaitTermination(60)
-    assert {p.name for p in (tmp_path / "versions2/batch=1").iterdir() if p.is_dir()} == {"part=2"}  # other locations stay as they are
-    again = catalog.upsert_files(want, one)
-    assert stream.newest(spark, str(tmp_path / "versions2"), base.schema).exceptAll(again).count() == 0
-
-    deltas = views["f"].where("stale = 0").select("location_id", "rel_dir", F.lit(1).cast("long").alias("file_count"), F.col("file_size").alias("total_size"))
-    q = stream.stream_stats(source(deltas, "s2")).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    full = stats.folder_stats(views["f"], views["o"], views["h"]).where("file_count > 0").select("location_id", "rel_path", "file_count", "total_size")
-    assert full.exceptAll(spark.table("sums")).count() == 0
-
-    changed = views["h"].where("file_id % 7 = 0 and hash_fast is not null").select(F.col("hash_fast").alias("hash"))
-    stream.stream_dup_recount(source(changed, "s3"), views["h"], str(tmp_path / "recounts"), str(tmp_path / "c3")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "recounts")).count() == dups.recount_hashes(views["h"], changed).count()
-
-    stream.stream_hash_queue(source(views["f"].select("location_id", "file_id", "inode", "file_size"), "s4"), str(tmp_path / "queue"), str(tmp_path / "c4"), 1 << 20).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "queue")).count() == views["f"].count()
-
-    arrivals = views["f"].where("file_id % 3 = 0").select(F.col("file_id").alias("arrival_id"), "hash_partial", "file_size", F.col("content_fast").alias("hash_fast"))
-    q = stream.stream_arrivals(source(arrivals, "s5"), views["h0"]).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert spark.table("arrived").exceptAll(dups.arrivals_dup_check(arrivals, views["h0"])).count() == 0
-
-
 def test_tree_from_ids(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "id long, parent_id long, name string")
     assert {(r.id, r.rel_path, r.depth) for r in tree.materialise_paths(rows).collect()} == {(1, "a", 1), (2, "a/b", 2), (3, "a/b/c", 3)}
