@@ -38,7 +38,7 @@ class Encoder:
 
     A byte-level tokenizer encodes each pre-token by itself, so the ids of a pre-token are remembered. New ones go to a
     faster encoder built on the same vocabulary, once that has agreed with the tokenizer on a first lot of them; texts
-    with characters beyond Latin-1 go to the tokenizer whole.
+    with characters beyond Latin-1, or with one of the tokenizer's added tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,12 +48,12 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         signs = [c for c in map(chr, range(33, 0x180)) if c in set(ByteLevel.alphabet())]
         own = [ord(c) for c in signs if ord(c) < 256]
         byte = dict(zip(map(chr, own), own, strict=True)) | dict(zip((c for c in signs if ord(c) > 255), (i for i in range(256) if i not in own), strict=True))
         ranks = {bytes(map(byte.__getitem__, w)): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if set(w) <= byte.keys()}
-        added = {bytes(x.content, "utf-8") for x in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {bytes(x, "utf-8") for x in self.added}
         self.fast = tiktoken.Encoding("pre-tokens", pat_str=r"(?s).+", mergeable_ranks={w: i for w, i in ranks.items() if w not in added}, special_tokens={})
         self.tried = 0
         self.known: dict[str, bytes] = {}
@@ -77,6 +77,8 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._encode([text])[0]
+        if any(x in text for x in self.added):
+            return self._encode([text])[0]
         parts, known = _SPLIT.findall(text), self.known
         new = [x for x in set(parts) if x not in known]
         if new:
