@@ -34,6 +34,8 @@ LEAST_TEXTS = 3
 FUZZY_LENGTH, TWO_ERRORS = 5, 8
 #: Lengths of the stems that may be learned, and the different words that must share one.
 STEMS, STEM_WORDS = (4, 8), 3
+#: Standard errors by which a stem's log odds must be over the least weight: there are many more stems than words.
+STEM_ERRORS = 2.0
 #: Share of a stem's texts that a word must have to be a term beside it.
 MAJOR_WORD = 0.25
 FUZZY_FACTOR = 0.8
@@ -41,9 +43,6 @@ WINDOW = 6
 QUOTED, TOLD, ADDRESSED = 0.4, 0.6, 1.3
 REMEMBERED = 600_000
 
-# Insults that stand in for labels that say too little of them, and their weight.
-KNOWN_WEIGHT = 3.5
-KNOWN_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "imbecile", "cretin")
 # Verbs that introduce what others said, and words that address a reader.
 TELLING = frozenset("said says say wrote writes called calls quoted quote quotes told reported term word phrase insult slur dit écrit sagte schrieb dijo escribió".split())
 ADDRESSING = frozenset("you your you're youre u ur tu te vous du dich ihr euch tú usted".split())
@@ -232,28 +231,22 @@ def _weight(terms: dict[str, float], innocent: frozenset[str]):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_sample: int = MAX_SAMPLE) -> Model:
     """Fit on docs joined with labels (0 or 1; null or other labels and null ids teach nothing).
 
-    Of more than max_sample labelled rows, those with the smallest id hashes up to about that number are used, so the
-    ids are few enough to broadcast and no text is shuffled. Known terms stand in where fewer
-    than LEAST_TEXTS labelled texts have them; elsewhere their labels alone say whether they are terms, and of what weight.
+    Of more than max_sample labelled ids, those with the smallest hashes up to about that number are used, so the ids are
+    few enough to broadcast and only their texts are shuffled. Of rows that repeat an id one text teaches, so the
+    sample and its words are bounded. Without labels of both kinds there are no terms, and every text scores alike.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     rows = own.count()
     if rows > max_sample:
         own = own.where(F.xxhash64("__id").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit((1 << 62) * max_sample // rows))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    sample = written(texts.join(F.broadcast(own), "__id"))
+    sample = written(texts.join(F.broadcast(own), "__id").groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")))
     positive, total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     prepare(docs.sparkSession)
     terms: dict[str, float] = {}
-    judged: dict[str, float] = {}
     innocent: frozenset[str] = frozenset()
     if positive and positive < total:
         counts, terms = lexicon(sample, positive, total)
-        said = counts.where(F.col("w").isin(*KNOWN_TERMS) & (F.col("n") >= LEAST_TEXTS)).select("w", _odds(positive, total).alias("odds")).collect()  # at most the known terms
-        judged = {r.w: min(r.odds, 6.0) for r in said}
-    known = {t: judged.get(t, KNOWN_WEIGHT) for t in KNOWN_TERMS}
-    terms = {t: w for t, w in known.items() if w >= LEAST_WEIGHT} | terms
-    if positive and positive < total:
         innocent = innocents(counts, terms)
     seen = [(r.e.weight, r.y) for r in sample.select(_weight(terms, innocent)("text").alias("e"), "y").collect()]  # at most the bounded sample
     slope, offset = logistic(np.log1p(np.array([w for w, _ in seen], dtype=float)), np.array([y for _, y in seen], dtype=float))
@@ -274,9 +267,11 @@ def _odds(positive: int, total: int) -> Column:
 def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, dict[str, float]]:
     """Counts of texts by word, and the weights of the terms to learn.
 
-    Candidates are words, and stems that several words share (written with a star), with high log odds. A stem
+    Candidates are words, and stems that several words share (written with a star), with high log odds; a stem's must
+    be high beyond chance. A stem
     goes where a shorter one says as much. A toxic text lends each of its candidates an equal part of one vote,
     so the many rare words of one text's copies outweigh nothing, while terms that toxic texts share gather votes.
+    Near copies, as a minimum hash of their word triples finds them, speak for a term as one text.
     """
     distinct = sample.dropDuplicates(["text", "y"])
     word = F.btrim(F.col("w"), F.lit(_EDGE))
@@ -287,7 +282,9 @@ def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, di
     shared = counts.select("t", "n", F.explode(_stems(F.col("w"))).alias("w")).groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).where(F.col("words") >= STEM_WORDS)
     covering = counts.select("w", "t", F.explode(_stems(F.col("w"))).alias("stem"))
     forms = counts.select("w", "t", "n").unionByName(shared.select(star(F.col("w")).alias("w"), "t", "n")).where(F.col("t") >= LEAST_TEXTS)
-    candidates = written(forms.select("w", _odds(positive, total).alias("weight")).where(F.col("weight") >= LEAST_WEIGHT))
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))  # of the log odds
+    sure = F.col("weight") - F.when(F.endswith("w", F.lit("*")), STEM_ERRORS * error).otherwise(0.0)
+    candidates = written(forms.select("w", "t", "n", _odds(positive, total).alias("weight")).where(sure >= LEAST_WEIGHT).select("w", "weight"))
     stems = F.transform(_stems(F.col("w")), star)  # of a stem with its star: the shorter ones and itself
     shorter = candidates.select("w", "weight", F.explode(stems).alias("stem")).where("endswith(w, '*') and stem <> w").join(candidates.select(F.col("w").alias("stem"), F.col("weight").alias("stem_weight")), "stem")
     covered = shorter.where(F.col("stem_weight") >= F.col("weight") - 0.5).select("w").distinct()
@@ -300,13 +297,16 @@ def lexicon(sample: DataFrame, positive: int, total: int) -> tuple[DataFrame, di
     said = words.where("y = 1").select("__id", "w").unionByName(words.where("y = 1").select("__id", F.explode(stems).alias("w"))).distinct()
     of_toxic = written(said.join(candidates, "w"))
     shares = of_toxic.groupBy("__id").agg((1 / F.count("*")).alias("share"))
-    votes = of_toxic.join(shares, "__id").groupBy("w").agg(F.sum("share").alias("votes"), F.max("weight").alias("weight"))
-    chosen = votes.where(F.col("votes") >= max(LEAST_SUPPORT, LEAST_SHARE * positive)).orderBy(F.desc("votes"), "w").limit(MAX_TERMS)
+    split = F.split(F.lower("text"), r"\s+")
+    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - 3)), lambda i: F.xxhash64(F.slice("ws", i + 1, 3)))
+    prints = distinct.where("y = 1").select("__id", split.alias("ws")).select("__id", F.array_min(triples).alias("print"))
+    votes = of_toxic.join(shares, "__id").join(prints, "__id").groupBy("w").agg(F.sum("share").alias("votes"), F.max("weight").alias("weight"), F.countDistinct("print").alias("texts"))
+    chosen = votes.where((F.col("votes") >= max(LEAST_SUPPORT, LEAST_SHARE * positive)) & (F.col("texts") >= LEAST_TEXTS)).orderBy(F.desc("votes"), "w").limit(MAX_TERMS)
     return counts, {r.w: float(min(r.weight, 6.0)) for r in chosen.collect()}
 
 
 def innocents(counts: DataFrame, terms: dict[str, float]) -> frozenset[str]:
-    """Words of clean texts that are a spelling error away from a term but no error themselves."""
+    """Words of clean texts of the sample that are a spelling error away from a term but no error themselves."""
     prepare(counts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
