@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,23 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    for made in _OPEN:
+    for made in _OPEN.get():
         made.append(path)
     return path
 
 
-_OPEN: list[list[str]] = []
+#: The folders of each scratch() that is open in this thread.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Folders made inside are deleted at the end: what is to stay must be written elsewhere by then."""
     made: list[str] = []
-    _OPEN.append(made)
+    before = _OPEN.set((*_OPEN.get(), made))
     try:
         yield
     finally:
-        _OPEN.remove(made)
+        _OPEN.reset(before)
         for path in made:
             _delete(spark, path)
 
