@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import prepare, read, remove, written
+from lantern.llm.common import broadcast_if_small, prepare, read, remove, written
 
 LEAST_LETTERS, LEAST_COUNT = 6, 5
 #: A form occurs at least so many times as often as its variant.
@@ -98,13 +98,13 @@ def _neighbours() -> Column:
     return F.array(F.col("cell"), *longer, *equal)
 
 
-def blocks(words: DataFrame, least_parts: int = 1) -> DataFrame:
+def blocks(words: DataFrame) -> DataFrame:
     """(cell, part, words, counts): the words of each cell, dealt into parts by their hashes where a cell is large."""
     placed = words.withColumn("cell", _cell())
     sizes = placed.groupBy("cell").agg(F.count("*").alias("size"))
     length = F.aggregate("cell", F.lit(0), lambda a, x: a + x)
     room = F.greatest(F.lit(1), F.least(F.lit(PART_WORDS), F.floor(F.lit(PART_LETTERS) / length)))
-    sizes = sizes.select("cell", F.greatest(F.lit(least_parts), F.ceil(F.col("size") / room)).cast("int").alias("parts"))
+    sizes = broadcast_if_small(written(sizes.select("cell", F.ceil(F.col("size") / room).cast("int").alias("parts"))))
     dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("word"), "parts").cast("int"))
     return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("word", "n")).alias("own")).select("cell", "part", F.col("own.word").alias("words"), F.col("own.n").alias("counts"))
 
