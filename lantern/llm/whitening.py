@@ -34,7 +34,7 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(own.offsets.to_numpy())
     if there.size and lengths.min() != lengths.max():
         raise ValueError("the vectors have different lengths")
-    entries = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), -1)  # a null entry is nan
+    entries = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), int(lengths[0]) if there.size else 0)  # a null entry is nan
     fine = np.isfinite(entries).all(axis=1)
     return there[fine], entries[fine]
 
@@ -60,24 +60,29 @@ def _products(z: np.ndarray) -> Iterator[np.ndarray]:
         yield (real[a : a + step].T @ real[a : a + step]).astype(np.int64)
 
 
+#: Longs that a sum is kept in, by 32 bits each, the last one with all bits beyond.
+LIMBS = 4
+
+
 class _Sum:
-    """Integers of any size, added up in two longs each: the low 32 bits and the rest."""
+    """Integers of up to some 150 bits, added up limb by limb."""
 
     def __init__(self) -> None:
-        self.high = self.low = None
+        self.limbs: np.ndarray | None = None
 
     def add(self, values: np.ndarray) -> None:
-        if self.high is None:
-            self.high = np.zeros(values.shape, np.int64)
-            self.low = np.zeros(values.shape, np.int64)
-        self.high += (values >> 32).astype(np.int64)
-        self.low += (values & _MASK).astype(np.int64)
+        if self.limbs is None:
+            self.limbs = np.zeros((LIMBS, *values.shape), np.int64)
+        used = LIMBS if values.dtype == object else 2
+        for k in range(used):
+            part = values >> 32 * k
+            self.limbs[k] += (part if k == used - 1 else part & _MASK).astype(np.int64)
 
 
 def _added(rows: DataFrame) -> dict[tuple[int, int], int]:
     """Exact sums by (i, j); Spark adds up in each task before it shuffles. Some dimension's square of rows come back."""
-    sums = rows.groupBy("i", "j").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
-    return {(r.i, r.j): (r.high << 32) + r.low for r in sums.collect()}
+    sums = rows.groupBy("i", "j").agg(*(F.sum(f"limb{k}").alias(f"limb{k}") for k in range(LIMBS)))
+    return {(r.i, r.j): sum(r[f"limb{k}"] << 32 * k for k in range(LIMBS)) for r in sums.collect()}
 
 
 @dataclass(frozen=True)
@@ -107,7 +112,7 @@ class Whitening:
 
 
 def _tasks(source: DataFrame, per_batch: Callable[[np.ndarray], Iterator[np.ndarray]], integers: bool, scale: int, shift: int) -> DataFrame:
-    """(i, j, high, low) or (i, j, value): what per_batch gives for a batch's rows x, added up within each partition."""
+    """(i, j, limb0, limb1, ...) or (i, j, value): what per_batch gives for a batch's rows x, added up within each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, real = _Sum(), 0.0
@@ -121,22 +126,29 @@ def _tasks(source: DataFrame, per_batch: Callable[[np.ndarray], Iterator[np.ndar
                         total.add(values)
                     else:
                         real = real + values
-        found = [total.high, total.low] if integers else [real]
-        if found[0] is None or isinstance(found[0], float):
+        found = total.limbs if integers else None if isinstance(real, float) else real[None]
+        if found is None:
             return
-        i, j = np.nonzero(np.triu(np.ones(found[0].shape, bool)) if found[0].shape[0] > 1 else np.ones(found[0].shape, bool))
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, *(v[i, j] for v in found))], ["i", "j", "high", "low"] if integers else ["i", "j", "value"])
+        square = found.shape[1] > 1
+        i, j = np.nonzero(np.triu(np.ones(found.shape[1:], bool)) if square else np.ones(found.shape[1:], bool))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, *(v[i, j] for v in found))], ["i", "j", *names])
 
-    return source.mapInArrow(run, "i long, j long, " + ("high long, low long" if integers else "value double"))
+    names = [f"limb{k}" for k in range(LIMBS)] if integers else ["value"]
+    return source.mapInArrow(run, "i long, j long, " + ", ".join(f"{x} {'long' if integers else 'double'}" for x in names))
 
 
 def _fit(source: DataFrame, components: int, scale: int, shift: int) -> Whitening | None:
-    ones = lambda x: iter([np.concatenate([x.sum(axis=0, dtype=object) if np.abs(x).max(initial=0) >= 1 << 40 else x.sum(axis=0), [len(x)]])[None]])
-    totals = _added(_tasks(source, ones, True, scale, shift))
+    def first(x: np.ndarray) -> Iterator[np.ndarray]:
+        wide = np.abs(x).max(initial=0) >= 1 << 40
+        yield np.concatenate([[len(x), x.size], x.astype(object).sum(axis=0) if wide else x.sum(axis=0)])[None]
+
+    totals = _added(_tasks(source, first, True, scale, shift))
     if not totals:
         return None
-    *sums, n = (totals[k] for k in sorted(totals))
-    if len({j for _, j in totals}) < 2:  # vectors of no dimension
+    n, size, *sums = (totals[k] for k in sorted(totals))
+    if size != n * len(sums):
+        raise ValueError("the vectors have different lengths")
+    if not sums:
         return None
     center = np.array([(2 * s + n) // (2 * n) for s in sums], np.int64)  # the mean, rounded
     rest = [s - n * int(m) for s, m in zip(sums, center, strict=True)]
@@ -276,7 +288,7 @@ def leading(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, unit vectors by row) of the k largest eigenvalues of a symmetric matrix, without those that are 0 but for rounding."""
     diagonal, off, reflectors = tridiagonal(a)
     values = bisected(diagonal, off, k)
-    values = values[values > len(a) * np.finfo(float).eps * max(values.max(initial=0), np.finfo(float).tiny)]
+    values = values[values > max(len(a) * np.finfo(float).eps * values.max(initial=0), 1e-290)]
     vectors = iterated(diagonal, off, values).T
     for i in range(len(reflectors) - 1, -1, -1):
         v = reflectors[i]

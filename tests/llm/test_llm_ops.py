@@ -41,9 +41,7 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return path, t
+    return path, Tokenizer.from_file(path)
 
 
 # --- components ---
@@ -198,7 +196,7 @@ def test_many_uses_of_a_term_are_summed():
 
 
 def test_context_separates_quotation_from_abuse():
-    match = toxicity.Matcher(dict.fromkeys(toxicity.KNOWN_TERMS, 4.0))
+    match = toxicity.Matcher(dict.fromkeys(("idiot", "stupid", "worthless"), 4.0))
     weight = lambda t: toxicity.evidence(t, match)[0]
     assert weight("you are an id1ot today") > weight("he is an idiot today") * 0.99 > weight('he said "idiot" to them') > 0
     assert weight("a stupyd thing") > 0 and weight("a studio thing") == weight("") == 0
@@ -217,6 +215,29 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_learns_one_text_of_a_repeated_id(spark):
+    random.seed(6)
+    prose = lambda: " ".join(random.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(30))
+    rows = [(0, f"{prose()} zorkle") for _ in range(300)] + [(i, prose() + (" grumbak" if i % 2 else "")) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 or not i)) for i in range(60)], "doc_id long, toxic int")
+    assert set(toxicity.train(docs, labels).terms) == {"grumbak"}
+
+
+def test_near_copies_speak_once(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(9))
+    prose = lambda n: " ".join(random.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n))
+    base = [word() for _ in range(80)]
+    copies = [" ".join(base[: 79 - k % 2]) for k in range(6)]  # one text's copies, all labelled toxic
+    real = [f"{prose(30)} grumbak {prose(10)}" for _ in range(12)]
+    clean = [prose(40) for _ in range(60)]
+    rows = list(enumerate([*copies, *real, *clean]))
+    labels = [(i, int(i < len(copies) + len(real))) for i, _ in rows]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.terms) == {"grumbak"}
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     model = toxicity.train(odd.where("false"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(odd, model).where("predicted = 0").count() == odd.count()
@@ -271,6 +292,13 @@ def test_packing_exchanges_between_partitions(spark, docs):
     assert sum(map(len, full.values())) == sum(r.length for r in got)
 
 
+def test_packing_keeps_added_tokens(docs):
+    path, t = tokenizer()
+    texts = ["plain", "a<|endoftext|>b", "<|endoftext|>", "é <|endoftext|> x", "x <|endoftext", "日本<|endoftext|>"]
+    got = packing.pieces(docs(*enumerate(texts)), path, with_ids=True).collect()
+    assert {r.doc_id: list(np.frombuffer(r.ids, "<u4")) for r in got} == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+
+
 def test_packing_odd_rows(odd):
     path, _ = tokenizer()
     check_packed(packing.pack(odd, path).collect(), [r.text for r in odd.collect()], 2048)
@@ -700,7 +728,7 @@ def test_registered_queries_keep_their_contracts(spark):
     docs = {r.doc_id: r.text for r in table(spark, "documents").collect()}
     run = lambda name: queries()[name](spark, SF).collect()
     toxic = run("op2_toxicity")
-    assert Counter(r.doc_id for r in toxic) == Counter(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in toxic)
+    assert Counter(r.doc_id for r in toxic) == Counter(list(docs)) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in toxic)
     assert all(r.held_out == (binascii.crc32(str(r.doc_id).encode()) % 3 == 1) for r in toxic)
     packed = run("op3_best_fit_packing")
     check_packed(packed, list(docs.values()), 2048)
