@@ -192,7 +192,8 @@ def below(diagonal: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
     count = (q < 0).astype(np.int64)
     for d, e in zip(diagonal[1:], off, strict=True):
         q = np.where(np.abs(q) < tiny, -tiny, q)
-        q = d - at - e * e / q
+        with np.errstate(over="ignore"):  # an infinite pivot has the right sign
+            q = d - at - e * e / q
         count += q < 0
     return count
 
