@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.functions.fn import ancestors, classify_high, classify_low
+from lantern.functions.fn import ancestors, basename, classify_high, classify_low, dirname, hidden_inherited
 from lantern.operators.dups import dup_recount
-from lantern.operators.tree import KEY, below
+from lantern.operators.tree import KEY, below, covered
 
 
 def _scope(df: DataFrame, prefix: str | None, location_id: int | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def diff(catalog: DataFrame, listing: DataFrame, prefix: str | None = None) -> D
 def apply_diff(catalog: DataFrame, hashes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(catalog, hashes) after a diff: rows added, updated, marked stale or recovered; changed files lose their hashes.
 
-    New rows take an id from their key; only the columns of identity, size, time, stale and type are set on them.
+    New files get all that follows from their path (new_rows) and a hashes row without hashes; other columns are null.
     """
     ch = changes.where("change <> 'unchanged'").select(*KEY, F.col("change").alias("__ch"), "new_size", "new_modified")
     both = catalog.join(ch.where("__ch <> 'new'"), KEY, "left")
@@ -76,12 +76,8 @@ def apply_diff(catalog: DataFrame, hashes: DataFrame, changes: DataFrame) -> tup
             "stale": F.when(F.col("__ch") == "gone", 1).when(seen, 0).otherwise(F.col("stale")),
         }
     ).select(*catalog.columns)
-    name = F.substring_index("rel_path", "/", -1)
-    fresh = ch.where("__ch = 'new'").select(
-        *KEY, F.shiftrightunsigned(F.xxhash64(*KEY), 1).alias("file_id"), F.col("new_size").alias("file_size"), F.col("new_modified").alias("modified_at"),
-        F.lit(0).alias("stale"), name.alias("filename"), classify_high(name).alias("type_high"),
-    )
-    after = kept.unionByName(fresh, allowMissingColumns=True)
+    added = new_rows(ch.where("__ch = 'new'").select(*KEY, F.col("new_size").alias("file_size"), F.col("new_modified").alias("modified_at")))
+    after = kept.unionByName(added.select([c for c in added.columns if c in catalog.columns]), allowMissingColumns=True)
     state = changes.where("file_id is not null").select("file_id", F.col("change").alias("__ch"), "new_size")
     marked = hashes.join(state, "file_id", "left")
     lost = F.col("__ch").isin("changed", "recovered_changed")
@@ -89,26 +85,51 @@ def apply_diff(catalog: DataFrame, hashes: DataFrame, changes: DataFrame) -> tup
         {h: F.when(~F.coalesce(lost, F.lit(False)), F.col(h)) for h in ("hash_partial", "hash_fast", "hash_strong")}
         | {"stale": F.when(F.col("__ch") == "gone", 1).when(F.col("__ch").startswith("recovered"), 0).otherwise(F.col("stale")), "file_size": F.when(lost, F.col("new_size")).otherwise(F.col("file_size"))}
     ).select(*hashes.columns)
-    return after, next_hashes
+    return after, next_hashes.unionByName(new_hash_rows(added).select([c for c in NEW_HASHES if c in hashes.columns]), allowMissingColumns=True)
+
 
+def affected_ids(changes: DataFrame) -> DataFrame:
+    """(file_id) of the files that a diff adds, changes, loses or finds again: those whose hashes are to be read or recounted."""
+    own = F.coalesce("file_id", F.shiftrightunsigned(F.xxhash64(*KEY), 1))
+    return changes.where("change <> 'unchanged'").select(own.alias("file_id"))
 
-def stat_deltas(changes: DataFrame) -> DataFrame:
-    """(location_id, rel_dir, file_count, total_size) signed, of a diff."""
-    d = F.when(F.contains("rel_path", F.lit("/")), F.regexp_replace("rel_path", "/[^/]*$", "")).otherwise("")
+
+def stat_deltas(changes: DataFrame, types: bool = False) -> DataFrame:
+    """(location_id, rel_dir, file_count, total_size) signed, of a diff; with types also by type_high, and with hidden_count and a duplicate_count of 0."""
     c = F.col("change")
     arrived, left = c.isin("new", "recovered", "recovered_changed"), c == "gone"
     n = F.when(arrived, 1).when(left, -1).otherwise(0)
     size = F.when(arrived, F.col("new_size")).when(left, -F.col("old_size")).otherwise(F.col("new_size") - F.col("old_size"))
-    return changes.where("change <> 'unchanged'").groupBy("location_id", d.alias("rel_dir")).agg(F.sum(n).cast("long").alias("file_count"), F.sum(size).cast("long").alias("total_size"))
+    sums = [F.sum(n).cast("long").alias("file_count"), F.sum(size).cast("long").alias("total_size")]
+    key = ["location_id", dirname(F.col("rel_path")).alias("rel_dir")]
+    if types:
+        hidden = F.when(hidden_inherited(F.col("rel_path")), n).otherwise(0)
+        key.append(classify_high(basename(F.col("rel_path"))).alias("type_high"))
+        sums += [F.sum(hidden).cast("long").alias("hidden_count"), F.lit(0).cast("long").alias("duplicate_count")]
+    return changes.where("change <> 'unchanged'").groupBy(*key).agg(*sums)
+
+
+def new_rows(listing: DataFrame) -> DataFrame:
+    """Catalog rows of listed files (each once): ids from keys; folder, hidden and types from paths."""
+    name = basename(F.col("rel_path"))
+    return listing.select(
+        F.shiftrightunsigned(F.xxhash64(*KEY), 1).alias("file_id"), *KEY, dirname(F.col("rel_path")).alias("rel_dir"), name.alias("filename"), "file_size", "modified_at",
+        hidden_inherited(F.col("rel_path")).cast("int").alias("hidden"), classify_high(name).alias("type_high"), classify_low(name).alias("type_low"), F.lit(0).alias("stale"), F.lit(0).alias("excluded"),
+    )
+
+
+NEW_HASHES = ["file_id", "location_id", "file_size", "hash_partial", "hash_fast", "hash_strong", "dup_count", "excluded", "stale"]
+
+
+def new_hash_rows(files: DataFrame) -> DataFrame:
+    """Hashes rows of new files, without any hash yet."""
+    none = {c: F.lit(None).cast("string") for c in ("hash_partial", "hash_fast", "hash_strong")}
+    return files.select("file_id", "location_id", "file_size").withColumns({**none, "dup_count": F.lit(0).cast("long"), "excluded": F.lit(0), "stale": F.lit(0)}).select(*NEW_HASHES)
 
 
 def first_scan(listing: DataFrame) -> DataFrame:
-    """Catalog rows of a first listing: ids from keys, types from names."""
-    name = F.substring_index("rel_path", "/", -1)
-    return listing.dropDuplicates(KEY).select(
-        F.shiftrightunsigned(F.xxhash64(*KEY), 1).alias("file_id"), *KEY, name.alias("filename"), "file_size", "modified_at",
-        classify_high(name).alias("type_high"), classify_low(name).alias("type_low"), F.lit(0).alias("stale"),
-    )
+    """Catalog rows of a first listing, one per path."""
+    return new_rows(listing.dropDuplicates(KEY))
 
 
 def mark_unseen(catalog: DataFrame, scan_id: int, prefix: str | None = None, location_id: int | None = None) -> DataFrame:
@@ -137,6 +158,33 @@ def quick_diff(catalog: DataFrame, listing: DataFrame, location_id: int, folder:
     return c.join(n, "filename", "full_outer").select("filename", change.alias("change")).where("change is not null")
 
 
+def quick_diff_folders(folders: DataFrame, listed: DataFrame, location_id: int, folder: str) -> DataFrame:
+    """(rel_path, name, change) of the folders right below one folder ('' for the root), by name: new, missing or recovered. listed: location_id, rel_path."""
+    own = lambda df: df.where((F.col("location_id") == location_id) & (F.col("rel_path") != "") & (dirname(F.col("rel_path")) == folder))
+    c = own(folders).select("rel_path", F.col("stale").alias("__stale"))
+    n = own(listed).select("rel_path", F.lit(1).alias("__n")).distinct()
+    change = F.when(F.col("__stale").isNull(), "new").when(F.col("__n").isNull() & (F.col("__stale") == 0), "missing").when(F.col("__n").isNotNull() & (F.col("__stale") == 1), "recovered")
+    return c.join(n, "rel_path", "full_outer").select("rel_path", basename(F.col("rel_path")).alias("name"), change.alias("change")).where("change is not null")
+
+
+def stale_subtrees(files: DataFrame, folders: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, folders) with all that lies in missing folders (location_id, rel_path) stale, the folders themselves too."""
+    mark = lambda df, inside: df.withColumn("stale", F.when(inside, 1).otherwise(F.col("stale")))
+    f, o = covered(files, missing), covered(folders, missing, itself=True)
+    return tuple(mark(df, F.col("covered")).drop("covered") for df in (f, o))
+
+
+def apply_quick_diff(files: DataFrame, folders: DataFrame, changes: DataFrame, location_id: int) -> tuple[DataFrame, DataFrame]:
+    """(files, folders) after a quick diff of folders: missing ones are stale with all below them, recovered ones by themselves
+    alone, as what lies below was not looked at; new ones are added."""
+    at = changes.withColumn("location_id", F.lit(location_id).cast(folders.schema["location_id"].dataType))
+    files, folders = stale_subtrees(files, folders, at.where("change = 'missing'").select(*KEY))
+    back = at.where("change = 'recovered'").select(*KEY, F.lit(True).alias("__back"))
+    folders = folders.join(back, KEY, "left").withColumn("stale", F.when(F.col("__back"), 0).otherwise(F.col("stale"))).drop("__back")
+    new = at.where("change = 'new'").select(*KEY, F.lit(0).alias("stale"))
+    return files, folders.unionByName(new, allowMissingColumns=True)
+
+
 def stale_subtree(files: DataFrame, location_id: int, folder: str | None = None) -> DataFrame:
     """Files with all of a location, or all below a folder, stale."""
     inside = F.col("location_id") == location_id

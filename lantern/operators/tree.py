@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lantern.functions.fn import ancestors, basename, depth, dirname, hidden_inherited
 from lantern.tables import written
@@ -16,6 +17,30 @@ def below(path: Column, folder: str, include_self: bool = False) -> Column:
     return own | (path == folder) if include_self else own
 
 
+def covered(paths: DataFrame, roots: DataFrame, itself: bool = False) -> DataFrame:
+    """paths (location_id, rel_path, ...) with `covered`: whether they lie below one of the roots (location_id, rel_path), or with itself are one.
+
+    What lies below a folder is an interval of sorted paths, and two such intervals lie apart or one in the other. So all
+    are sorted together, and a path is covered when the largest end of the intervals begun before lies behind it. The
+    rows are dealt by ranges and the ends of earlier ranges carried over, a row per range: no path meets all roots, no
+    ancestor is listed, and no location need fit a task. Paths or roots of null are covered by nothing and cover nothing.
+    """
+    starts = roots.where("location_id is not null and rel_path is not null").select("location_id", F.concat("rel_path", F.lit("/")).alias("__at"), F.concat("rel_path", F.lit("0")).alias("__end")).distinct()  # '0' follows '/'
+    place = F.concat("rel_path", F.lit("/")) if itself else F.col("rel_path")
+    own = paths.withColumns({"__at": place, "__end": F.lit(None).cast("string"), "__path": F.lit(True)})
+    both = own.unionByName(starts.withColumn("__path", F.lit(False)), allowMissingColumns=True)
+    order = ["location_id", "__at", "__path"]  # a root comes before the same path
+    dealt = written(both.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    end = F.when(~F.col("__path"), F.struct("location_id", "__end"))
+    ends = dealt.groupBy("__part").agg(F.max(end).alias("__last"))
+    carried = ends.select("__part", F.max("__last").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))  # a row per range
+    before = F.max(end).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    top = F.greatest(F.col("__before"), F.col("__carried"))
+    inside = (top["location_id"] == F.col("location_id")) & (top["__end"] > F.col("__at"))
+    out = dealt.withColumn("__before", before).join(F.broadcast(carried), "__part").where("__path")
+    return out.withColumn("covered", F.coalesce(inside, F.lit(False))).select(*paths.columns, "covered")
+
+
 def build_folders(rel_dirs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """All folders of (location_id, rel_dir) and the missing ones above them; existing ones keep dup_exclude, hidden is set anew."""
     paths = rel_dirs.select("location_id", "rel_dir").distinct().select("location_id", F.explode(ancestors(F.col("rel_dir"))).alias("rel_path")).distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from lantern.plans.repair import repair
 from lantern.sources import catalog
 from lantern.sources.snapshots import publish, snapshot
 from lantern.streaming import stream
-from lantern.tables import shared_folder
+from lantern.tables import prepare, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +81,32 @@ def _scanned(docs: DataFrame, level: bool = False) -> DataFrame:
 
 
 add("src_01_scan_tree", "f_docs", _scanned, "select concat('rel_dir=', rel_dir) as folder, 'text' as type_high, 1 as files, cast(sum(coalesce(strlen(content), 0) + 1) as bigint) as bytes from f_docs group by rel_dir")
+def _planted(docs: DataFrame) -> DataFrame:
+    """A tree of one file per document, some of them and of their folders hidden, with a symbolic link beside each hidden file."""
+    prepare(docs.sparkSession)
+    root = shared_folder(docs.sparkSession).removeprefix("file://").removeprefix("file:")
+
+    def plant(parts):
+        for b in parts:
+            for path, text in zip(b["path"], b["content"], strict=True):
+                at = Path(root, path)
+                at.parent.mkdir(parents=True, exist_ok=True)
+                at.write_bytes(text.encode())
+                if at.name.startswith("."):
+                    with contextlib.suppress(FileExistsError):
+                        at.with_name(f"link{at.name}").symlink_to(at)
+            yield b[["path"]]
+
+    rows = docs.select(F.expr(_TREE_PATH).alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    rows.mapInPandas(plant, "path string").write.format("noop").mode("overwrite").save()
+    found = catalog.scan_all(docs.sparkSession, root)
+    return found.select(F.regexp_replace("rel_path", "/[^/]*$", "").alias("folder"), "hidden", "file_size", "type_high").groupBy("folder", "hidden", "type_high").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+
+
+_TREE_PATH = "concat(rel_dir, '/', case when file_id % 7 = 0 then '.h/deep/' when file_id % 3 = 0 then 'sub/' else '' end, case when file_id % 5 = 0 then '.' else '' end, filename)"
+add("src_01_scan_all", "f_docs", _planted,
+    f"""with t as (select {_TREE_PATH} as path, coalesce(file_size, 0) as size from f_docs)
+    select regexp_replace(path, '/[^/]*$', '') as folder, (path like '%/.%')::int as hidden, 'text' as type_high, count(*) as files, cast(sum(size) as bigint) as bytes from t group by 1, 2""")
 add("src_02_scan_level", "f_docs", lambda d: _scanned(d, True), "select '' as folder, 'text' as type_high, 1 as files, cast(sum(coalesce(strlen(content), 0) + 1) as bigint) as bytes from f_docs where rel_dir = 'en'")
 add("src_03_parse_listing", "f_listing_tsv", lambda v: catalog.parse_listing(v).select("location_id", "kind", "path", "file_size", F.col("inode").cast("long").alias("inode"), "hash_partial"),
     """with p as (select location_id, string_split(value, chr(9)) as x from f_listing_tsv)
@@ -316,10 +344,34 @@ add("agg_05_apply_deltas", "f_line f_folders f_hashes", lambda f, o, h: stats.ap
       union all select location_id, '', sum(s), sum(s * file_size), sum(s * hidden) from d group by 1)
     select coalesce(t.location_id, u.location_id) as location_id, coalesce(t.rel_path, u.rel_path) as rel_path, cast(greatest(0, coalesce(file_count, 0) + coalesce(a, 0)) as bigint) as file_count, cast(greatest(0, coalesce(total_size, 0) + coalesce(b, 0)) as bigint) as total_size,
       cast(greatest(0, coalesce(hidden_count, 0) + coalesce(c, 0)) as bigint) as hidden_count, coalesce(duplicate_count, 0) as duplicate_count from ({_FSTATS}) t full join u on t.location_id = u.location_id and t.rel_path = u.rel_path""")
-add("agg_06_dashboard", "f_line f_hashes f_locations f_pending", lambda f, h, w, p: stats.dashboard(f, counted(h), w, p),
-    f"select (select count(*) from f_locations) as locations, cast(sum(file_count) as bigint) as files, cast(sum(total_size) as bigint) as bytes, cast(sum(duplicate_count) as bigint) as duplicates, (select count(*) from f_pending where status = 'pending') as pending from ({_DIRECT})")
-add("agg_07_location_detail", "f_line f_folders f_hashes f_locations", lambda f, o, h, w: stats.location_detail(f, o, counted(h), w),
-    f"select l.location_id, l.name, cast(sum(file_count) as bigint) as file_count, cast(sum(total_size) as bigint) as total_size, cast(sum(hidden_count) as bigint) as hidden_count, cast(sum(duplicate_count) as bigint) as duplicate_count, (select count(*) from f_folders o where o.location_id = l.location_id) as folder_count, (select count(*) from f_line f where f.location_id = l.location_id and stale = 1) as stale_count from f_locations l join ({_DIRECT}) d using (location_id) group by 1, 2")
+def _typed(f: DataFrame, o: DataFrame, h: DataFrame) -> DataFrame:
+    """Folder stats with types after every file left its folder and a third of those sized in even megabytes came back twice."""
+    before = fstats(f, o, h).join(stats.type_maps(stats.folder_types(f), "location_id", "rel_path"), ["location_id", "rel_path"], "left")
+    sign = F.when(F.col("stale") == 1, 2).otherwise(-1)
+    one = f.select("location_id", "rel_dir", "type_high", sign.cast("long").alias("file_count"), (sign * F.col("file_size")).alias("total_size"), (sign * F.col("hidden")).cast("long").alias("hidden_count"), F.lit(0).cast("long").alias("duplicate_count"))
+    out = stats.apply_deltas(before, one)
+    return out.select("location_id", "rel_path", "file_count", "total_size", "hidden_count", fn.type_counts_json(F.col("type_counts")).alias("types"))
+
+
+add("agg_05_typed_deltas", "f_line f_folders f_hashes", _typed,
+    """with u as (select o.location_id, o.rel_path, f.type_high, f.stale, f.file_size, f.hidden from (select location_id, rel_path from f_folders union all select location_id, '' from f_locations) o
+      join f_line f on f.location_id = o.location_id and (o.rel_path = '' or starts_with(f.rel_path, o.rel_path || '/'))),
+    t as (select location_id, rel_path, type_high, sum(case when stale = 1 then 2 when rel_path = '' then -1 else 0 end) as n from u group by 1, 2, 3),
+    j as (select location_id, rel_path, string_agg('"' || type_high || '":' || n, ',' order by type_high) as own from t where n > 0 group by 1, 2),
+    c as (select location_id, rel_path, greatest(0, cast(sum(case when stale = 1 then 2 when rel_path = '' then -1 else 0 end) as bigint)) as file_count,
+      greatest(0, cast(sum(case when stale = 1 then 2 * file_size when rel_path = '' then -file_size else 0 end) as bigint)) as total_size,
+      greatest(0, cast(sum(case when stale = 1 then 2 * hidden when rel_path = '' then -hidden else 0 end) as bigint)) as hidden_count from u group by 1, 2),
+    a as (select location_id, rel_path from f_folders union all select location_id, '' from f_locations)
+    select a.location_id, a.rel_path, coalesce(file_count, 0) as file_count, coalesce(total_size, 0) as total_size, coalesce(hidden_count, 0) as hidden_count, '{' || coalesce(own, '') || '}' as types from a left join c using (location_id, rel_path) left join j using (location_id, rel_path)""")
+_SHOWN = lambda types: F.array_join(F.transform(types, lambda x: F.concat(x["type"], F.lit(":"), x["n"].cast("string"))), "|")
+_BY_TYPE = "string_agg(type_high || ':' || n, '|' order by n desc, type_high)"
+add("agg_06_dashboard", "f_line f_hashes f_locations f_pending", lambda f, h, w, p: stats.dashboard(f, counted(h), w, p).withColumn("types", _SHOWN(F.col("types"))),
+    f"select (select count(*) from f_locations) as locations, (select {_BY_TYPE} from (select type_high, count(*) as n from f_line where stale = 0 group by 1)) as types, cast(sum(file_count) as bigint) as files, cast(sum(total_size) as bigint) as bytes, cast(sum(duplicate_count) as bigint) as duplicates, (select count(*) from f_pending where status = 'pending') as pending from ({_DIRECT})")
+add("agg_06_recent_scans", "f_scans f_locations", lambda v, w: stats.recent_scans(v, w.withColumn("name", F.when(F.col("location_id") == 2, "__deleting_x").otherwise(F.col("name")))).select("scan_id", "location_name", "status", "started_at", "completed_at"),
+    "select scan_id, name as location_name, status, started_at, completed_at from f_scans join f_locations using (location_id) where location_id <> 2 order by started_at desc, scan_id desc limit 5")
+_PLANNED = lambda w: w.withColumns({"schedule_days": F.when(F.col("location_id") < 4, F.concat(F.col("location_id").cast("string"), F.lit(", 6,,x"))), "schedule_time": F.when(F.col("location_id") == 1, "22:15"), "schedule_enabled": F.col("location_id") % 2})
+add("agg_07_location_detail", "f_line f_folders f_hashes f_locations", lambda f, o, h, w: stats.location_detail(f, o, counted(h), _PLANNED(w)).withColumns({"types": _SHOWN(F.col("types")), "schedule_days": F.array_join("schedule_days", ",")}),
+    f"select l.location_id, l.name, (select {_BY_TYPE} from (select type_high, count(*) as n from f_line f where stale = 0 and f.location_id = l.location_id group by 1)) as types, case when l.location_id < 4 then l.location_id || ',6' else '' end as schedule_days, case when l.location_id = 1 then '22:15' else '03:00' end as schedule_time, l.location_id % 2 = 1 as schedule_enabled, cast(sum(file_count) as bigint) as file_count, cast(sum(total_size) as bigint) as total_size, cast(sum(hidden_count) as bigint) as hidden_count, cast(sum(duplicate_count) as bigint) as duplicate_count, (select count(*) from f_folders o where o.location_id = l.location_id) as folder_count, (select count(*) from f_line f where f.location_id = l.location_id and stale = 1) as stale_count from f_locations l join ({_DIRECT}) d using (location_id) group by 1, 2")
 add("agg_08_folder_detail", "f_line f_folders f_hashes", lambda f, o, h: stats.folder_detail(f, o, counted(h)),
     f"select t.*, (select count(*) from f_folders x where x.location_id = t.location_id and starts_with(x.rel_path, t.rel_path || '/')) as subfolder_count, (select count(*) from f_line f where f.stale = 1 and f.location_id = t.location_id and starts_with(f.rel_path, t.rel_path || '/')) as stale_count from ({_FSTATS}) t")
 add("agg_09_types", "f_line", stats.type_breakdown, "select type_high, count(*) as n from f_line where stale = 0 group by 1")
@@ -327,7 +379,13 @@ add("agg_10_pending", "f_pending", stats.pending_ops_count, "select status, coun
 add("agg_11_missing_stats", "f_locations f_line", lambda w, f: stats.missing_stats(w, f.where("location_id < 4")), "select location_id, name from f_locations where location_id >= 4")
 _DIFF = """select coalesce(c.location_id, n.location_id) as location_id, coalesce(c.rel_path, n.rel_path) as rel_path, c.file_id, case when c.rel_path is null then 'new' when n.rel_path is not null and stale = 1 then case when c.file_size <> n.file_size or c.modified_at <> n.modified_at then 'recovered_changed' else 'recovered' end
     when n.rel_path is not null then case when c.file_size <> n.file_size or c.modified_at <> n.modified_at then 'changed' else 'unchanged' end when stale = 0 then 'gone' end as change, c.file_size as old_size, n.file_size as new_size from f_line c full join f_listing n on c.location_id = n.location_id and c.rel_path = n.rel_path"""
-add("agg_12_scan_summary", "f_line f_listing", lambda c, n: stats.scan_summary(diff.diff(c, n)), f"select location_id, change, count(*) as n from ({_DIFF}) where change is not null group by 1, 2")
+_DIRS = lambda df, mark: df.select("location_id", "rel_dir").distinct().withColumn(mark, F.lit(1))
+_NEW_DIRS = lambda c, n: _DIRS(c.where("stale = 0"), "c").join(_DIRS(n, "n"), ["location_id", "rel_dir"], "full_outer").where("c is null or n is null").select("location_id", F.when(F.col("c").isNull(), "new").otherwise("gone").alias("change"))
+add("agg_12_scan_summary", "f_line f_listing", lambda c, n: stats.scan_summary(diff.diff(c, n), _NEW_DIRS(c, n)),
+    f"""with d as (select location_id, change, count(*) as n from ({_DIFF}) where change is not null group by 1, 2),
+    o as (select coalesce(a.location_id, b.location_id) as location_id, case when a.rel_dir is null then 'new' else 'gone' end as change, count(*) as folder_n
+      from (select distinct location_id, rel_dir from f_line where stale = 0) a full join (select distinct location_id, rel_dir from f_listing) b on a.location_id = b.location_id and a.rel_dir = b.rel_dir where a.rel_dir is null or b.rel_dir is null group by 1, 2)
+    select location_id, change, coalesce(n, 0) as n, coalesce(folder_n, 0) as folder_n from d full join o using (location_id, change)""")
 add("agg_13_selection", "f_line f_folders f_hashes", lambda f, o, h: stats.selection_summary(f, here(f), fstats(f, o, h), o.where("rel_path like '%5'")),
     f"select (select count(*) from f_line where location_id = {HERE}) as files, count(*) as folders, cast(sum(total_size) + (select sum(file_size) from f_line where location_id = {HERE}) as bigint) as bytes from ({_FSTATS}) where rel_path like '%5'")
 
@@ -371,16 +429,37 @@ add("dif_02_changed", "f_line f_listing", lambda c, n: diff.changed_files(c, n).
 add("dif_03_gone", "f_line f_listing", lambda c, n: diff.gone_files(c, n, DIR).select("file_id"), f"select file_id from ({_DIFF}) where change = 'gone' and starts_with(rel_path, '{DIR}/')")
 add("dif_04_recovered", "f_line f_listing", lambda c, n: diff.recovered_files(c, n).select("file_id", "recovered_changed"), f"select file_id, change = 'recovered_changed' as recovered_changed from ({_DIFF}) where change like 'recovered%'")
 add("dif_05_diff", "f_line f_listing", lambda c, n: diff.diff(c, n).select("location_id", "rel_path", "file_id", "change", "old_size", "new_size"), f"select * from ({_DIFF}) where change is not null")
-add("dif_06_apply_catalog", "f_line f_hashes f_listing", lambda c, h, n: diff.apply_diff(c, h, diff.diff(c, n))[0].select("location_id", "rel_path", "file_size", "stale"),
-    f"select location_id, rel_path, case when change in ('new', 'changed', 'recovered', 'recovered_changed') then new_size else old_size end as file_size, case when change = 'gone' or change is null then 1 else 0 end as stale from ({_DIFF})")
-add("dif_06_apply_hashes", "f_line f_hashes f_listing", lambda c, h, n: diff.apply_diff(c, h, diff.diff(c, n))[1].select("file_id", "hash_fast", "stale", "file_size"),
-    f"select h.file_id, case when change in ('changed', 'recovered_changed') then null else h.hash_fast end as hash_fast, case when change = 'gone' then 1 when change like 'recovered%' then 0 else h.stale end as stale, case when change in ('changed', 'recovered_changed') then new_size else h.file_size end as file_size from f_hashes h left join ({_DIFF}) d using (file_id)")
+_PATH = "regexp_replace(rel_path, '/[^/]*$', '') as rel_dir, (rel_path like '.%' or rel_path like '%/.%')::int as hidden"
+add("dif_06_apply_catalog", "f_line f_hashes f_listing", lambda c, h, n: diff.apply_diff(c, h, diff.diff(c, n))[0].select("location_id", "rel_path", "rel_dir", "hidden", "type_high", "file_size", "stale"),
+    f"""with n as (select location_id, rel_path, {_PATH}, case when change in ('new', 'changed', 'recovered', 'recovered_changed') then new_size else old_size end as file_size, case when change = 'gone' or change is null then 1 else 0 end as stale, regexp_extract(rel_path, '[^/]*$') as filename from ({_DIFF})),
+    e as (select *, case when filename like '%.%' then lower(regexp_extract(filename, '[^.]*$')) else '' end as e from n) select location_id, rel_path, rel_dir, hidden, {_HIGH} as type_high, file_size, stale from e""")
+_OLD_ID = lambda h, rows: rows.join(h.select("file_id", F.col("file_id").alias("known_id")), "file_id", "left").drop("file_id")
+add("dif_06_apply_hashes", "f_line f_hashes f_listing", lambda c, h, n: _OLD_ID(h, diff.apply_diff(c, h, diff.diff(c, n))[1].select("file_id", "location_id", "hash_fast", "stale", "file_size", "excluded")),
+    f"""with d as ({_DIFF}) select h.file_id as known_id, h.location_id, case when change in ('changed', 'recovered_changed') then null else h.hash_fast end as hash_fast, case when change = 'gone' then 1 when change like 'recovered%' then 0 else h.stale end as stale, case when change in ('changed', 'recovered_changed') then new_size else h.file_size end as file_size, h.excluded from f_hashes h left join d using (file_id)
+    union all select null, location_id, null, 0, new_size, 0 from d where change = 'new'""")
+add("dif_06_affected", "f_line f_listing", lambda c, n: _OLD_ID(c, diff.affected_ids(diff.diff(c, n))), f"select file_id as known_id from ({_DIFF}) where change is not null and change <> 'unchanged'")
+add("dif_06_typed_deltas", "f_line f_listing", lambda c, n: diff.stat_deltas(diff.diff(c, n), types=True),
+    f"""with d as (select *, {_PATH}, regexp_extract(rel_path, '[^/]*$') as filename, case when change in ('new', 'recovered', 'recovered_changed') then 1 when change = 'gone' then -1 else 0 end as s, case when change = 'gone' then -old_size when change = 'changed' then new_size - old_size else new_size end as b from ({_DIFF}) where change is not null and change <> 'unchanged'),
+    e as (select *, case when filename like '%.%' then lower(regexp_extract(filename, '[^.]*$')) else '' end as e from d)
+    select location_id, rel_dir, {_HIGH} as type_high, cast(sum(s) as bigint) as file_count, cast(sum(b) as bigint) as total_size, cast(sum(s * hidden) as bigint) as hidden_count, cast(0 as bigint) as duplicate_count from e group by 1, 2, 3""")
 add("dif_06_deltas", "f_line f_listing", lambda c, n: diff.stat_deltas(diff.diff(c, n)),
     f"select location_id, regexp_replace(rel_path, '/[^/]*$', '') as rel_dir, cast(sum(case when change in ('new', 'recovered', 'recovered_changed') then 1 when change = 'gone' then -1 else 0 end) as bigint) as file_count, cast(sum(case when change = 'gone' then -old_size when change = 'changed' then new_size - old_size else new_size end) as bigint) as total_size from ({_DIFF}) where change is not null and change <> 'unchanged' group by 1, 2")
-add("dif_07_first_scan", "f_listing", lambda n: diff.first_scan(n).select("location_id", "rel_path", "file_size", "type_high", "stale"), f"select location_id, rel_path, file_size, {_HIGH} as type_high, 0 as stale from {_CLASS.replace('f_line', 'f_listing')}")
+add("dif_07_first_scan", "f_listing", lambda n: diff.first_scan(n).select("location_id", "rel_path", "rel_dir", "hidden", "file_size", "type_high", "type_low", "stale"),
+    f"select location_id, rel_path, {_PATH}, file_size, {_HIGH} as type_high, case when {_KNOWN} then {_LOW} when filename like '.%' then 'dotfile' when e = '' then 'unknown' else e end as type_low, 0 as stale from {_CLASS.replace('f_line', 'f_listing')}")
 add("dif_08_mark_unseen", "f_line", lambda v: diff.mark_unseen(v, 1).select("file_id", "stale"), "select file_id, case when scan_id <> 1 and stale = 0 then 1 else stale end as stale from f_line")
 add("dif_09_stale_folders", "f_folders", lambda o: diff.stale_folders(o.withColumn("stale", F.col("rel_path").endswith("6").cast("int")), o.where("rel_path not like '%7'")), "select location_id, rel_path, case when rel_path like '%7' then 1 else 0 end as stale, case when rel_path like '%7' then 1 else 0 end as newly_stale from f_folders")
 add("dif_10_quick", "f_line f_listing", lambda c, n: diff.quick_diff(c, n, HERE, _LEAF), f"select regexp_extract(rel_path, '[^/]*$') as filename, case change when 'gone' then 'missing' when 'recovered_changed' then 'recovered' else change end as change from ({_DIFF}) where location_id = {HERE} and rel_path like '{_LEAF.replace('_', '~_')}/%' escape '~' and change in ('new', 'gone', 'recovered', 'recovered_changed')")
+_AGED = lambda o: o.withColumn("stale", F.col("rel_path").endswith("3").cast("int"))
+_SEEN_FOLDERS = lambda o: o.where("rel_path not like '%7'").select("location_id", "rel_path").unionByName(o.select("location_id", F.concat("rel_path", F.lit("_new")).alias("rel_path")))
+add("dif_10_folders", "f_folders", lambda o: diff.quick_diff_folders(_AGED(o), _SEEN_FOLDERS(o), HERE, DIR),
+    f"""with o as (select *, rel_path like '%3' as old from f_folders where {_IN_DIR} and rel_path not like '{DIR.replace('_', '~_')}/%/%' escape '~')
+    select rel_path, regexp_extract(rel_path, '[^/]*$') as name, case when rel_path like '%7' and not old then 'missing' else 'recovered' end as change from o where (rel_path like '%7') <> old
+    union all select rel_path || '_new', regexp_extract(rel_path, '[^/]*$') || '_new', 'new' from o""")
+_GONE_FOLDERS = lambda o: o.where("rel_path like '%5'").select("location_id", "rel_path")
+add("dif_10_subtrees", "f_line f_folders", lambda f, o: diff.stale_subtrees(f, _AGED(o), _GONE_FOLDERS(o))[0].select("file_id", "stale"),
+    "select file_id, case when exists (select 1 from f_folders o where o.rel_path like '%5' and o.location_id = f.location_id and starts_with(f.rel_path, o.rel_path || '/')) then 1 else stale end as stale from f_line f")
+add("dif_10_subtree_folders", "f_line f_folders", lambda f, o: diff.stale_subtrees(f, _AGED(o), _GONE_FOLDERS(o))[1].select("location_id", "rel_path", "stale"),
+    "select location_id, rel_path, case when exists (select 1 from f_folders o where o.rel_path like '%5' and o.location_id = f.location_id and (o.rel_path = f.rel_path or starts_with(f.rel_path, o.rel_path || '/'))) then 1 else (rel_path like '%3')::int end as stale from f_folders f")
 add("dif_11_stale_subtree", "f_line", lambda v: diff.stale_subtree(v, HERE, DIR).select("file_id", "stale"), f"select file_id, case when {_IN_DIR} then 1 else stale end as stale from f_line")
 _STALE_YEAR = lambda f, o: diff.purge_stale(f.withColumn("stale", F.when(F.col("rel_dir").endswith("1995"), 1).otherwise(F.col("stale"))), o.withColumn("stale", F.col("rel_path").rlike("(5|supplier_[0-9]*9)$").cast("int")), HERE)
 add("dif_12_purge_files", "f_line f_folders", lambda f, o: _STALE_YEAR(f, o)[0].select("file_id"), f"select file_id from f_line where not (location_id = {HERE} and (stale = 1 or rel_dir like '%1995'))")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions.fn import classify_high, hidden_inherited, parse_tags
 from lantern.operators.tree import KEY
+from lantern.tables import prepare, written
 
 # The columns of an operation's log, and the fields that a listing's records have at least.
 LOG_COLUMNS = ["source_location", "source_path", "destination_location", "destination_path", "result", "detail"]
@@ -20,7 +21,7 @@ def scan_tree(spark: SparkSession, path: str, recursive: bool = True, prefix: st
     """(rel_path, file_size, modified_at, hidden, type_high) of the files below path, or below its folder `prefix`; their content is not read.
 
     Paths are relative to path either way. Spark's file index leaves out names with a leading dot or underscore;
-    scan_hidden() lists those too.
+    scan_all() lists those too.
     """
     root = path.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(f"{root}/{prefix}" if prefix else root)
@@ -38,30 +39,106 @@ def scan_level(spark: SparkSession, path: str) -> DataFrame:
     return scan_tree(spark, path, recursive=False)
 
 
-def scan_hidden(tops: DataFrame, column: str = "directory") -> DataFrame:
-    """(directory, rel_path, file_size, modified_at, hidden) below each directory, hidden names included, one task per
-    directory; symbolic links, other special files and unreadable directories are skipped."""
+#: Names that a task hands on together, and files that a task looks up at a time.
+NAMES = 10_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import stat
 
-        for b in batches:
-            for top in b[column]:
-                rows = []
-                for folder, _, names in os.walk(top):
-                    for name in names:
+def scan_all(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(rel_path, file_size, modified_at, hidden, type_high) of all regular files below root, or below its folder `prefix`, hidden names included.
+
+    Folders are listed level by level, the folders of a level dealt over tasks; then all names are dealt anew to be
+    looked up, so a folder of many files is one task's listing but not one task's files. Symbolic links, other special
+    files and folders that cannot be read are skipped. root is a folder that all executors reach: a path or file: URI,
+    or a URI of another file system that pyarrow knows (it lists sizes and times at once).
+    """
+    prepare(spark)
+    root = root.rstrip("/")
+    many = spark.sparkContext.defaultParallelism * 4
+    level = spark.createDataFrame([(prefix.strip("/"),)], "rel_dir string")
+    found = []
+    while True:
+        names = written(level.mapInPandas(lambda parts: _listed(root, parts), "rel_path string, folder boolean, file_size long, modified_at timestamp"))
+        found.append(names.where("not folder").drop("folder"))
+        below = names.where("folder").select(F.col("rel_path").alias("rel_dir"))
+        n = below.count()
+        if not n:
+            break
+        level = below.repartition(min(n, many))
+    files = found[0]
+    for df in found[1:]:
+        files = files.unionByName(df)
+    looked_up = files.repartition(many).mapInPandas(lambda parts: _looked_up(root, parts), "rel_path string, file_size long, modified_at timestamp")
+    rel = F.col("rel_path")
+    return looked_up.select(rel, "file_size", "modified_at", hidden_inherited(rel).cast("int").alias("hidden"), classify_high(F.substring_index(rel, "/", -1)).alias("type_high"))
+
+
+def _local(root: str) -> str | None:
+    """The path of a local root; None for other file systems."""
+    from urllib.parse import unquote, urlparse
+
+    if "://" not in root and not root.startswith("file:"):
+        return root
+    parts = urlparse(root)
+    return unquote(parts.path) if parts.scheme == "file" else None
+
+
+def _listed(root: str, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names right in each folder: folders, and files, with size and time where listing gives them."""
+    import os
+
+    columns = ["rel_path", "folder", "file_size", "modified_at"]
+    local, rows = _local(root), []
+    for b in parts:
+        for folder in b["rel_dir"]:
+            top = f"{folder}/" if folder else ""
+            try:
+                if local is None:
+                    from pyarrow import fs
+
+                    system, base = fs.FileSystem.from_uri(root)
+                    for x in system.get_file_info(fs.FileSelector(f"{base}/{top}".rstrip("/"))):
+                        if x.type in (fs.FileType.File, fs.FileType.Directory):
+                            rows.append((top + x.base_name, x.type == fs.FileType.Directory, x.size, x.mtime and pd.Timestamp(x.mtime).tz_localize(None)))
+                        if len(rows) >= NAMES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                    continue
+                with os.scandir(f"{local}/{top}") as entries:
+                    for x in entries:
                         try:
-                            s = os.lstat(os.path.join(folder, name))
+                            if x.is_symlink() or not (x.is_dir(follow_symlinks=False) or x.is_file(follow_symlinks=False)):
+                                continue
+                            rows.append((top + x.name, x.is_dir(follow_symlinks=False), None, None))
                         except OSError:
                             continue
-                        if stat.S_ISREG(s.st_mode):
-                            rel = os.path.relpath(os.path.join(folder, name), top)
-                            rows.append((top, rel, s.st_size, pd.Timestamp(s.st_mtime_ns, unit="ns").floor("us"), int(any(p.startswith(".") for p in rel.split("/")))))
-                yield pd.DataFrame(rows, columns=["directory", "rel_path", "file_size", "modified_at", "hidden"])
-
-    n = max(1, tops.count())
-    return tops.select(column).repartition(n).mapInPandas(run, "directory string, rel_path string, file_size long, modified_at timestamp, hidden int")
+                        if len(rows) >= NAMES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+            except OSError:
+                continue
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _looked_up(root: str, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sizes and times of files whose listing gave none; files that are gone by then are left out."""
+    import os
+    import stat
+
+    local = _local(root)
+    for b in parts:
+        if local is None:
+            yield b
+            continue
+        rows = []
+        for path in b["rel_path"]:
+            try:
+                s = os.lstat(f"{local}/{path}")
+            except OSError:
+                continue
+            if stat.S_ISREG(s.st_mode):
+                rows.append((path, s.st_size, pd.Timestamp(s.st_mtime_ns, unit="ns").floor("us")))
+        yield pd.DataFrame(rows, columns=["rel_path", "file_size", "modified_at"])
 
 
 def parse_listing(lines: DataFrame, column: str = "value") -> DataFrame:

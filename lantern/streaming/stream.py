@@ -21,7 +21,7 @@ from lantern.operators.hashing import byte_batches
 from lantern.sources import snapshots
 from lantern.sources.catalog import parse_listing, upsert_hashes, with_ids
 from lantern.sources.snapshots import COUNTERS, FILES, HASHES, LOG, applied, compact, snapshot, upsert
-from lantern.tables import written
+from lantern.tables import prepare, written
 
 #: Versions after which a stream compacts the tables that it adds to.
 COMPACT_EVERY = 16
@@ -186,6 +186,7 @@ def stream_arrivals(arrivals: DataFrame, hashes: DataFrame) -> DataFrame:
     micro-batch gets a second row then, with to_hash true. State is one row per hash, and per partial hash and size.
     Rows of one key that a task reads together travel as one, so a hash that fills a batch is a few rows to its task.
     """
+    prepare(arrivals.sparkSession)
     with_match = arrivals.join(known_hashes(hashes), "hash_fast", "left")
     marked = with_match.join(known_gates(hashes), GATE, "left")
     full = (F.col("hash_partial").isNotNull()) & (F.col("file_size") > 0)

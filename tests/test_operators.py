@@ -4,6 +4,7 @@ import pytest
 from lantern.fixtures import spark_views
 from lantern.functions import fn
 from lantern.operators import diff, dups, hashing, search, stats, tree
+from lantern.operators.tree import KEY
 from lantern.plans import actions
 from lantern.plans.repair import repair
 from lantern.sources import catalog
@@ -74,14 +75,46 @@ def test_diff_then_apply_gives_the_listing(views):
 def test_incremental_counters_equal_full_ones(views):
     f, n, h, o = (views[x] for x in ("f", "n", "h", "o"))
     h = h.withColumn("dup_count", F.lit(0).cast("long"))
-    before = stats.folder_stats(f, o, h)
+    typed = lambda files, own: stats.folder_stats(files, o, own).join(stats.type_maps(stats.folder_types(files), *KEY), KEY, "left")
+    shown = lambda df: df.where("rel_path <> ''").select(*KEY, "file_count", "total_size", "hidden_count", fn.type_counts_json(F.coalesce("type_counts", F.create_map().cast("map<string,bigint>"))).alias("types"))
     changes = diff.diff(f, n)
-    deltas = diff.stat_deltas(changes).withColumns({"hidden_count": F.lit(0).cast("long"), "duplicate_count": F.lit(0).cast("long")})
     after, hashes_after = diff.apply_diff(f, h, changes)
-    after = after.withColumns({"rel_dir": fn.dirname(F.col("rel_path")), "hidden": F.lit(0)})
-    full = stats.folder_stats(after, o, hashes_after).select("location_id", "rel_path", "file_count", "total_size")
-    inc = stats.apply_deltas(before, deltas).where("rel_path <> ''").select("location_id", "rel_path", "file_count", "total_size")
-    assert full.exceptAll(inc).count() == inc.exceptAll(full).count() == 0
+    full, inc = shown(typed(after, hashes_after)).persist(), shown(stats.apply_deltas(typed(f, h), diff.stat_deltas(changes, types=True))).persist()
+    assert full.exceptAll(inc).count() == inc.exceptAll(full).count() == 0 and full.where("file_count > 0").count() > 50
+    assert after.select("file_id").exceptAll(hashes_after.select("file_id")).count() == 0  # a hashes row for each file
+    assert after.where("rel_dir is null or hidden is null or type_high is null").count() == 0
+    assert diff.diff(after, n).where("change <> 'unchanged'").count() == 0
+    assert diff.affected_ids(changes).join(after, "file_id", "left_anti").count() == 0
+
+
+def test_covered_paths(spark):
+    import random
+
+    random.seed(3)
+    name = lambda: random.choice(["a", "a-", "a.b", "ab", "a0", "b", "é", "a b"])
+    path = lambda: "/".join(name() for _ in range(random.randint(1, 5)))
+    paths = [(random.choice([1, 2, 3, None]), path()) for _ in range(1500)] + [(1, None), (None, None)]
+    roots = [(random.choice([1, 3]), path()) for _ in range(40)] + [(None, "a"), (1, None), (1, "a/b"), (1, "a/b"), (1, "a")]
+    df, at = spark.createDataFrame(paths, "location_id long, rel_path string"), spark.createDataFrame(roots, "location_id long, rel_path string")
+    for itself in (False, True):
+        inside = lambda k, p: any(k is not None and p is not None and x is not None and k == i and (p.startswith(x + "/") or itself and p == x) for i, x in roots)  # noqa: E731, B023
+        want = sorted(((k, p, inside(k, p)) for k, p in paths), key=str)
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted((tuple(r) for r in tree.covered(df, at, itself).collect()), key=str) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tree.covered(df, at.limit(0)).where("covered").count() == 0 and tree.covered(df.limit(0), at).count() == 0
+
+
+def test_quick_diff_of_folders(spark):
+    folders = spark.createDataFrame([(1, "a", 0), (1, "a/x", 0), (1, "a/x/y", 0), (1, "a/z", 1), (1, "a/z/q", 1), (2, "a/x", 0), (1, "ab", 0)], "location_id long, rel_path string, stale int")
+    files = spark.createDataFrame([(1, "a/x/y/f", 0), (1, "a/x-", 0), (1, "a/z/f", 1), (2, "a/x/f", 0)], "location_id long, rel_path string, stale int")
+    listed = spark.createDataFrame([(1, "a/z"), (1, "a/new"), (1, "b"), (2, "a/x")], "location_id long, rel_path string")
+    changes = diff.quick_diff_folders(folders, listed, 1, "a")
+    assert {(r.rel_path, r.name, r.change) for r in changes.collect()} == {("a/x", "x", "missing"), ("a/z", "z", "recovered"), ("a/new", "new", "new")}
+    f, o = diff.apply_quick_diff(files, folders, changes, 1)
+    assert {tuple(r) for r in f.collect()} == {(1, "a/x/y/f", 1), (1, "a/x-", 0), (1, "a/z/f", 1), (2, "a/x/f", 0)}
+    assert {tuple(r) for r in o.collect()} == {(1, "a", 0), (1, "a/x", 1), (1, "a/x/y", 1), (1, "a/z", 0), (1, "a/z/q", 1), (2, "a/x", 0), (1, "ab", 0), (1, "a/new", 0)}
 
 
 def test_merge_plan_loses_no_hash(views):
@@ -136,8 +169,23 @@ def test_scan_catalog_and_log(spark, tmp_path, views):
     (root / "top.bin").write_bytes(b"0123456789")
     assert {(r.rel_path, r.file_size) for r in catalog.scan_tree(spark, f"file://{root}").collect()} == {("a/b/x.txt", 5), ("top.bin", 10)}
     assert {r.rel_path for r in catalog.scan_level(spark, f"file://{root}").collect()} == {"top.bin"}
-    everything = catalog.scan_hidden(spark.createDataFrame([(str(root),)], "directory string")).collect()
-    assert {(r.rel_path, r.hidden) for r in everything} == {("a/b/x.txt", 0), ("a/.dot", 1), ("top.bin", 0)}
+    (root / ".h/deep").mkdir(parents=True)
+    (root / ".h/deep/_y").write_bytes(b"12")
+    (root / "a/link").symlink_to(root / "top.bin")
+    (root / "b").symlink_to(root / "a")
+    import os
+
+    os.mkfifo(root / "a/pipe")
+    want = {("a/b/x.txt", 0, 5), ("a/.dot", 1, 1), ("top.bin", 0, 10), (".h/deep/_y", 1, 2)}
+    for at in (str(root), f"file://{root}/"):
+        assert {(r.rel_path, r.hidden, r.file_size) for r in catalog.scan_all(spark, at).collect()} == want
+    assert {r.rel_path for r in catalog.scan_all(spark, str(root), "a").collect()} == {"a/b/x.txt", "a/.dot"}
+    assert catalog.scan_all(spark, str(root / "none")).count() == 0
+    (root / "wide").mkdir()
+    for i in range(3000):
+        (root / f"wide/{i}").write_bytes(b"")
+    wide = catalog.scan_all(spark, str(root), "wide").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in wide) == 3000 and len(wide) > 8 and max(r["count"] for r in wide) < 1500  # one folder, many tasks
     paths = spark.createDataFrame([(f"file://{root}/top.bin",)], "path string")
     import hashlib
 
