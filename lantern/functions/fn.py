@@ -59,12 +59,24 @@ def format_size(size: Column) -> Column:
     return F.when(size < KIB, F.format_string("%d B", size)).otherwise(out)
 
 
+SIZE = r"^([0-9.]+)\s*(B|KB|MB|GB|TB)?$"
+
+
+def size_of(text: str | float | None) -> int | None:
+    """parse_size of one text, for bounds that a plan is made with."""
+    t = str("" if text is None else text).strip().upper()
+    m = re.fullmatch(SIZE, t)
+    try:
+        return int(float(m[1]) * KIB ** UNITS.index(m[2] or "B")) if m else int(float(t))
+    except (ValueError, OverflowError):
+        return None
+
+
 def parse_size(text: Column) -> Column:
     """Bytes of "1.5 GB"-like text, truncated; a plain number is bytes; else null."""
     t = F.upper(F.btrim(text))
-    pattern = r"^([0-9.]+)\s*(B|KB|MB|GB|TB)?$"
-    number = F.regexp_extract(t, pattern, 1).try_cast("double")
-    unit = F.regexp_extract(t, pattern, 2)
+    number = F.regexp_extract(t, SIZE, 1).try_cast("double")
+    unit = F.regexp_extract(t, SIZE, 2)
     factor = F.lit(1.0)
     for i in range(1, 5):
         factor = F.when(unit == UNITS[i], float(KIB**i)).otherwise(factor)
@@ -100,8 +112,22 @@ def _nfkc():
     return fold
 
 
-def parse_tags(text: Column) -> Column:
-    """Tags of a comma list: normalised, empty ones dropped, first of equals kept, in order. Null gives no tags."""
+def _nfkc_parts():
+    import unicodedata
+
+    fold = lambda part: unicodedata.normalize("NFKC", part).replace(",", " ")  # noqa: E731  a comma that folding makes parts nothing
+
+    @F.pandas_udf("string")
+    def fold_all(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: None if s is None else s if s.isascii() else ",".join(map(fold, s.split(","))))
+
+    return fold_all
+
+
+def parse_tags(text: Column, nfkc: bool = False) -> Column:
+    """Tags of a comma list: normalised, empty ones dropped, first of equals kept, in order. Null gives no tags. nfkc folds each tag as normalise_tag does."""
+    if nfkc:
+        text = _nfkc_parts()(text)
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: normalise_tag(x))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 

@@ -138,6 +138,13 @@ def set_dup_exclude(files: DataFrame, hashes: DataFrame, location_id: int, prefi
     return dup_recount(hashes.join(own, "file_id", "left").withColumn("excluded", F.coalesce("__x", "excluded")).select(*hashes.columns))
 
 
+def exclude_folders(folders: DataFrame, location_id: int, prefix: str, flag: bool = True) -> DataFrame:
+    """Folders with dup_exclude set (or taken back) on a folder and all below it; set_dup_exclude does so for its files."""
+    inside = (F.col("location_id") == location_id) & ((F.col("rel_path") == prefix) | F.col("rel_path").startswith(prefix + "/"))
+    old = F.coalesce("dup_exclude", F.lit(0)) if "dup_exclude" in folders.columns else F.lit(0)
+    return folders.withColumn("dup_exclude", F.when(inside, int(flag)).otherwise(old))
+
+
 def affected_hashes(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
     """(hash): effective hashes of the given files that count as duplicates; to recount once the files are gone."""
     own = hashes.where("dup_count > 0").join(file_ids.select("file_id"), "file_id", "left_semi")
@@ -177,6 +184,16 @@ def consolidate_preview(hashes: DataFrame, files: DataFrame, file_ids: DataFrame
     return mine.join(sizes, key).join(by_name, [*key, "filename"], "left").select("selected_id", "members", F.coalesce("same_name", F.lit(0)).cast("long").alias("same_name"))
 
 
+def preview_places(hashes: DataFrame, files: DataFrame, locations: DataFrame, file_ids: DataFrame) -> DataFrame:
+    """(file_id, filename, rel_path, location_name, agent_name, selected): each member of the selected files' groups once, and where it lies."""
+    _, members = selected_groups(hashes, file_ids)
+    mine = file_ids.select("file_id", F.lit(True).alias("selected")).distinct()
+    rows = members.select("file_id").distinct().join(files.select("file_id", "location_id", "filename", "rel_path"), "file_id")
+    places = locations.select("location_id", F.col("name").alias("location_name"), "agent_name")
+    out = rows.join(places, "location_id").join(mine, "file_id", "left")
+    return out.select("file_id", "filename", "rel_path", "location_name", "agent_name", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
 def batch_unique(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
     """(file_id): of selected files with equal effective hash the first by column position; unhashed ones all."""
     own = file_ids.select("file_id", "position").join(hashes.select("file_id", effective_hash(F.col("hash_strong"), F.col("hash_fast")).alias("__h")), "file_id", "left")

@@ -76,13 +76,15 @@ def promote_small(hashes: DataFrame, candidates: DataFrame | None = None, limit:
     return marked.withColumn("hash_fast", F.when(small & F.col("__own"), F.col("hash_partial")).otherwise(F.col("hash_fast"))).drop("__own")
 
 
-def missing_partial(files: DataFrame, hashes: DataFrame, location_id: int | None = None, prefix: str | None = None) -> DataFrame:
-    """Non-stale files with content that have no partial hash; in a location, or below a folder."""
+def missing_partial(files: DataFrame, hashes: DataFrame, location_id: int | None = None, prefix: str | None = None, folder: str | None = None) -> DataFrame:
+    """Non-stale files with content that have no partial hash; in a location, below a folder (prefix), or right in one ('' for the root)."""
     own = files.where("stale = 0 and file_size > 0")
     if location_id is not None:
         own = own.where(F.col("location_id") == location_id)
     if prefix is not None:
         own = own.where(F.col("rel_path").startswith(prefix + "/"))
+    if folder is not None:
+        own = own.where(F.col("rel_dir") == folder)
     return own.join(hashes.where("hash_partial is not null").select("file_id"), "file_id", "left_anti")
 
 
@@ -132,6 +134,34 @@ def verify_group(hashes: DataFrame, file_ids: DataFrame, files: DataFrame, onlin
     return marked.select("file_id", "location_id", state.alias("state"))
 
 
+def apply_strong(hashes: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hashes, affected) after (file_id, hash_strong) results: strong hashes stored, and the hashes to recount, as a file that
+    gets one leaves the group of its fast hash. Results that are null, or what the file has already, change nothing."""
+    new = results.where("hash_strong is not null and hash_strong <> ''").groupBy("file_id").agg(F.max("hash_strong").alias("__s"))
+    both = hashes.join(new, "file_id", "left")
+    changed = F.col("__s").isNotNull() & ~F.col("__s").eqNullSafe(F.col("hash_strong"))
+    affected = both.where(changed).select(F.explode(F.array("hash_fast", "hash_strong", "__s")).alias("hash")).where("hash is not null and hash <> ''").distinct()
+    return both.withColumn("hash_strong", F.coalesce("__s", "hash_strong")).select(*hashes.columns), affected
+
+
+def mark_backfill(locations: DataFrame, location_id: int, needed: bool = True) -> DataFrame:
+    """Locations with the mark that a location's full hashes are to be read anew, after its partial ones changed, set or taken back."""
+    old = F.col("backfill_needed") if "backfill_needed" in locations.columns else F.lit(0)
+    return locations.withColumn("backfill_needed", F.when(F.col("location_id") == location_id, int(needed)).otherwise(F.coalesce(old, F.lit(0))))
+
+
+def apply_partial(hashes: DataFrame, results: DataFrame, limit: int = SMALL) -> DataFrame:
+    """Hashes after (file_id, hash_partial) results: of a file whose partial hash changed the others go, save that up to limit it is the fast one, too."""
+    new = results.where("hash_partial is not null").groupBy("file_id").agg(F.max("hash_partial").alias("__p"))
+    both = hashes.join(new, "file_id", "left")
+    changed = F.col("__p").isNotNull() & ~F.col("__p").eqNullSafe(F.col("hash_partial"))
+    small = F.when(F.col("file_size") <= limit, F.col("__p"))
+    return both.select(*(
+        F.coalesce("__p", "hash_partial").alias(c) if c == "hash_partial" else F.when(changed, small).otherwise(F.col(c)).alias(c) if c == "hash_fast" else F.when(~changed, F.col(c)).alias(c) if c == "hash_strong" else F.col(c)
+        for c in hashes.columns
+    ))
+
+
 def rehash_partial_worklist(hashes: DataFrame, location_id: int) -> DataFrame:
     """Non-stale rows of a location, excluded or not, with content and a partial hash."""
     return hashes.where((F.col("location_id") == location_id) & (F.col("stale") == 0) & (F.col("file_size") > 0) & F.col("hash_partial").isNotNull())

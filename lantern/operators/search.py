@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lantern.functions.fn import KNOWN_TYPES, effective_hash, escape_like, name_matches, spread_key
+from lantern.functions.fn import KNOWN_TYPES, effective_hash, escape_like, name_matches, size_of, spread_key
 from lantern.operators.dups import live_dup_counts
 from lantern.operators.tree import KEY, below
 
@@ -17,17 +17,6 @@ PAGE = 120
 RESULT = ["file_id", "filename", "type_high", "file_size", "modified_at", "stale", "hidden", "location_id", "location_name", "hash_strong", "hash_fast", "dup_count", "file_count"]
 
 
-def size_bytes(text: str | int | None) -> int | None:
-    """A bound of a size filter: a number, or text like "1.5 GB"; None if it is neither."""
-    import re
-
-    m = re.fullmatch(r"([0-9.]+)\s*(B|KB|MB|GB|TB)?", str(text or "").strip().upper())
-    try:
-        return int(float(m[1]) * 1024 ** ("B", "KB", "MB", "GB", "TB").index(m[2] or "B")) if m else None
-    except ValueError:
-        return None
-
-
 def _count_bound(value) -> int | None:
     try:
         return n if (n := int(value)) >= 0 else None
@@ -98,7 +87,7 @@ def condition(c: dict) -> Column | None:
     """The predicate of one condition on a file's own columns; None if it asks for nothing."""
     field, value, mode = c["field"], c.get("value", ""), c.get("match", "wildcard")
     if field == "size":
-        return between("file_size", size_bytes(c.get("min")), size_bytes(c.get("max")))
+        return between("file_size", size_of(c.get("min")), size_of(c.get("max")))
     if field == "date":
         return dated(c.get("from"), c.get("to"))
     if field == "duplicates":
@@ -128,7 +117,7 @@ def folder_condition(c: dict) -> Column | None:
     if field == "name":
         return name_matches(F.substring_index("rel_path", "/", -1), value, c.get("match", "wildcard")) if value else None
     if field == "size":
-        return between("total_size", size_bytes(c.get("min")), size_bytes(c.get("max")))
+        return between("total_size", size_of(c.get("min")), size_of(c.get("max")))
     column = {"duplicates": "duplicate_count", "files": "file_count"}.get(field)
     return between(column, _count_bound(c.get("from")), _count_bound(c.get("to"))) if column else None
 

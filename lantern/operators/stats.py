@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.functions.fn import ancestors
+from lantern.functions.fn import ancestors, basename
 from lantern.operators.tree import KEY, below
 
 COUNTERS = ["file_count", "total_size", "hidden_count", "duplicate_count"]
@@ -137,12 +137,13 @@ def location_detail(files: DataFrame, folders: DataFrame, hashes: DataFrame, loc
 
 
 def folder_detail(files: DataFrame, folders: DataFrame, hashes: DataFrame) -> DataFrame:
-    """folder_stats with the numbers of folders and stale files below."""
+    """folder_stats with the numbers of folders and stale files below, and the breadcrumb: (name, path) from the top folder down to it."""
     sub = folders.select("location_id", F.col("rel_path").alias("own"), F.explode(ancestors(F.col("rel_path"))).alias("rel_path")).where("own <> rel_path").groupBy(*KEY).agg(F.count("*").alias("subfolder_count"))
     gone = files.where("stale = 1").groupBy("location_id", "rel_dir").agg(F.count("*").alias("n"))
     gone = gone.select("location_id", F.explode(ancestors(F.col("rel_dir"))).alias("rel_path"), "n").groupBy(*KEY).agg(F.sum("n").alias("stale_count"))
     out = folder_stats(files, folders, hashes).join(sub, KEY, "left").join(gone, KEY, "left")
-    return out.select(*KEY, *COUNTERS, F.coalesce("subfolder_count", F.lit(0)).alias("subfolder_count"), F.coalesce("stale_count", F.lit(0)).alias("stale_count"))
+    crumbs = F.transform(ancestors(F.col("rel_path")), lambda p: F.struct(basename(p).alias("name"), p.alias("path")))
+    return out.select(*KEY, *COUNTERS, F.coalesce("subfolder_count", F.lit(0)).alias("subfolder_count"), F.coalesce("stale_count", F.lit(0)).alias("stale_count"), crumbs.alias("breadcrumb"))
 
 
 def type_breakdown(files: DataFrame) -> DataFrame:

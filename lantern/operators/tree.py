@@ -98,6 +98,15 @@ def treemap(files: DataFrame, folders: DataFrame, stats: DataFrame, location_id:
     return sub.unionByName(top.select(F.lit("file").alias("kind"), F.col("filename").alias("name"), F.col("file_size").alias("size"), F.lit(1).cast("long").alias("files")))
 
 
+def treemap_totals(files: DataFrame, folders: DataFrame, stats: DataFrame, location_id: int, folder: str) -> DataFrame:
+    """One row: folders, folder_size, direct_files, direct_size and total_size of a folder's treemap, over all direct files, not only those shown."""
+    here = files.where((F.col("location_id") == location_id) & (F.col("stale") == 0) & (F.col("rel_dir") == folder))
+    own = here.agg(F.count("*").alias("direct_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("direct_size"))
+    right_below = (F.col("location_id") == location_id) & (F.col("rel_path") != "") & (dirname(F.col("rel_path")) == folder)
+    sub = folders.where(right_below).join(stats.select(*KEY, "total_size"), KEY, "left").agg(F.count("*").alias("folders"), F.coalesce(F.sum("total_size"), F.lit(0)).alias("folder_size"))
+    return sub.crossJoin(own).withColumn("total_size", F.col("folder_size") + F.col("direct_size"))  # one row each
+
+
 def treemap_items(treemap_rows: DataFrame) -> DataFrame:
     """(kind, name, size): folders above 0 bytes, files of a hundredth of the total or more, and the rest as one item."""
     total = treemap_rows.agg(F.sum("size").alias("total"))

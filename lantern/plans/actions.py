@@ -100,6 +100,31 @@ def copy_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, online:
     return out.withColumn("result", F.when(F.col("source_id").isNotNull(), "copied").otherwise("error: no online copy"))
 
 
+def copied_rows(plan: DataFrame, files: DataFrame, hashes: DataFrame, tags: DataFrame, location_id: int, folder: str, same_name: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, hashes, tags) to add for a copy_plan's copies into a folder, with the metadata of all their copies.
+
+    Names that are taken there, or wanted twice, get a number. Description, time and tags are merged_metadata's over the
+    selected file's group (of its name alone with same_name); a file without hash keeps its own. The originals stay.
+    """
+    done = plan.where("source_id is not null").select("selected_id", "source_id")
+    wanted = done.join(files.select(F.col("file_id").alias("selected_id"), "filename", "rel_path"), "selected_id")
+    claims = wanted.select(F.col("selected_id").alias("id"), F.lit(folder).alias("directory"), "filename", "rel_path")
+    taken = files.where((F.col("location_id") == location_id) & (F.col("rel_dir") == folder)).select(F.col("rel_dir").alias("directory"), "filename")
+    path = F.concat(F.lit(f"{folder}/" if folder else ""), F.col("final_name"))
+    placed = resolve_names(claims, taken).select(F.col("id").alias("selected_id"), path.alias("rel_path"))
+    at = written(done.join(placed, "selected_id").select(F.col("selected_id").alias("file_id"), F.lit(location_id).cast("long").alias("location_id"), "rel_path"))
+    made, hashed, _ = copy_rows(at, files, hashes, tags.limit(0))
+    made = written(made)
+    ids = made.select("location_id", "rel_path", F.col("file_id").alias("__new")).join(at, ["location_id", "rel_path"]).select(F.col("file_id").alias("selected_id"), "__new")
+    merged = merged_metadata(files, hashes, tags, at.select("file_id"), same_name)
+    own = tags.groupBy(F.col("file_id").alias("selected_id")).agg(F.collect_set("tag").alias("__own"))
+    meta = written(ids.join(merged, "selected_id", "left").join(own, "selected_id", "left"))
+    new = meta.select(F.col("__new").alias("file_id"), F.col("description").alias("__d"), F.col("modified_at").alias("__m"), F.col("tags").isNotNull().alias("__grouped"))
+    rows = made.join(new, "file_id").select(*(F.when(F.col("__grouped"), F.col("__d")).otherwise(F.col(c)).alias(c) if c == "description" else F.coalesce("__m", c).alias(c) if c == "modified_at" else F.col(c) for c in files.columns))
+    words = F.coalesce("tags", "__own", F.array().cast("array<string>"))
+    return rows, hashed, meta.select(F.col("__new").alias("file_id"), F.explode(words).alias("tag"))
+
+
 def stub_rows(plan: DataFrame, files: DataFrame, date: str, banner: str = "Consolidated") -> DataFrame:
     """Catalog rows after the plan's files (file_id, dest_path, dest_location, dest_agent) became stubs."""
     rows = plan.join(files.select("file_id", "location_id", "rel_path", "filename"), "file_id")
@@ -110,6 +135,15 @@ def stub_rows(plan: DataFrame, files: DataFrame, date: str, banner: str = "Conso
     )
 
 
+def apply_stubs(files: DataFrame, stubs: DataFrame) -> DataFrame:
+    """Catalog after stubbing: the stubbed files' rows changed to stub_rows' values; another file's row at a stub's path goes."""
+    at = stubs.select("location_id", "rel_path", F.col("file_id").alias("__id"))
+    other = files.join(at, ["location_id", "rel_path"]).where("file_id <> __id").select("file_id").join(stubs.select("file_id"), "file_id", "left_anti")
+    new = stubs.select("file_id", *(F.col(c).alias(f"__s_{c}") for c in stubs.columns if c != "file_id"), F.lit(True).alias("__s"))
+    rows = files.join(other, "file_id", "left_anti").join(new, "file_id", "left")
+    return rows.select(*(F.when(F.col("__s"), F.col(f"__s_{c}")).otherwise(F.col(c)).alias(c) if c in stubs.columns and c != "file_id" else F.col(c) for c in files.columns))
+
+
 def source_entries(plan: DataFrame) -> DataFrame:
     """(canonical_path, entry) from (canonical_path, location, agent, rel_path): a row per copy, in any number."""
     return plan.select("canonical_path", sources_text(location_label(F.col("location"), F.col("agent")), F.col("rel_path")).alias("entry"))
@@ -120,6 +154,16 @@ def sources_rows(plan: DataFrame) -> DataFrame:
     return source_entries(plan).groupBy("canonical_path").agg(F.array_join(F.sort_array(F.collect_list("entry")), "").alias("content"))
 
 
+def sources_catalog_rows(kept: DataFrame, sources: DataFrame) -> DataFrame:
+    """Catalog rows of the sources lists: one beside each kept file (location_id, rel_path), of sources_rows' (canonical_path, content)."""
+    rows = kept.select("location_id", F.col("rel_path").alias("canonical_path")).join(sources, "canonical_path")
+    path = F.concat("canonical_path", F.lit(".sources"))
+    return rows.select(
+        "location_id", path.alias("rel_path"), dirname(path).alias("rel_dir"), F.substring_index(path, "/", -1).alias("filename"), hidden_inherited(path).cast("int").alias("hidden"),
+        F.lit("text").alias("type_high"), F.lit("sources").alias("type_low"), F.octet_length("content").cast("long").alias("file_size"), F.lit(0).alias("stale"),
+    )
+
+
 def resolve_names(claims: DataFrame, taken: DataFrame) -> DataFrame:
     """(id, directory, filename, final_name): names without case-insensitive collisions.
 
@@ -254,6 +298,12 @@ def after_delete(hashes: DataFrame, plan: DataFrame) -> DataFrame:
     return dup_recount(hashes.join(plan.where("action = 'delete'").select("file_id"), "file_id", "left_anti"))
 
 
+def delete_deltas(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """Signed stats, for apply_deltas, of the non-stale files that a delete_plan deletes now."""
+    own = files.where("stale = 0").join(plan.where("action = 'delete'").select("file_id"), "file_id", "left_semi")
+    return _signed(own.select("location_id", "rel_dir", F.lit(-1).alias("s"), "file_size", "hidden"))
+
+
 def delete_folder(files: DataFrame, folders: DataFrame, location_id: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """(files, folders) without a subtree."""
     own = (F.col("location_id") == location_id) & below(F.col("rel_path"), folder, True)
@@ -275,6 +325,20 @@ def drain_pending(pending: DataFrame, files: DataFrame, online: DataFrame) -> Da
     return both.select("op_id", "file_id", state.alias("state"))
 
 
+def record_outcomes(pending: DataFrame, states: DataFrame, outcomes: DataFrame, at: str) -> DataFrame:
+    """Pending operations after a drain: those of drain_pending's states that had nothing to do, or ran without error, are
+    completed at that time; those whose outcome (op_id, error) has an error are failed, with it; the rest stay as they are."""
+    told = outcomes.groupBy("op_id").agg(F.max("error").alias("__error"), F.lit(True).alias("__ran"))
+    both = pending.join(states.select("op_id", F.col("state").alias("__state")), "op_id", "left").join(told, "op_id", "left")
+    ran = (F.col("__state") == "run") & F.coalesce("__ran", F.lit(False))
+    failed = ran & F.col("__error").isNotNull()
+    done = (F.col("__state") == "completed") | ran
+    status = F.when(failed, "failed").when(done, "completed").otherwise(F.col("status"))
+    old = {c: F.col(c) if c in pending.columns else F.lit(None).cast(t) for c, t in (("error", "string"), ("completed_at", "timestamp"))}
+    set_to = {"status": status, "error": F.when(failed, F.col("__error")).otherwise(old["error"]), "completed_at": F.when(failed | done, F.lit(at).cast("timestamp")).otherwise(old["completed_at"])}
+    return both.withColumns(set_to).drop("__state", "__error", "__ran")
+
+
 def cancel_pending(pending: DataFrame, ids: DataFrame) -> DataFrame:
     return pending.join(ids.select("op_id").distinct(), "op_id", "left_anti")
 

@@ -39,6 +39,15 @@ def set_tags(tags: DataFrame, hashes: DataFrame, file_id: int, wanted: list[str]
     return lost.select("file_id", "tag").union(more).distinct()
 
 
+def propagated(tags: DataFrame, hashes: DataFrame, file_id: int, wanted: list[str]) -> DataFrame:
+    """One row: how many other files set_tags gives tags that they lack."""
+    own = F.col("file_id") == file_id
+    gained = hashes.sparkSession.createDataFrame([(t,) for t in wanted], "tag string").join(tags.where(own).select("tag"), "tag", "left_anti")
+    others = expand_to_duplicates(hashes, hashes.where(own).select("file_id")).where(~own)
+    more = others.crossJoin(gained).join(tags, ["file_id", "tag"], "left_anti")  # the call's few tags
+    return more.agg(F.countDistinct("file_id").alias("propagated"))
+
+
 def copy_tags(tags: DataFrame, source_id: int, target_ids: DataFrame) -> DataFrame:
     own = tags.where(F.col("file_id") == source_id).select("tag")
     more = target_ids.select("file_id").crossJoin(own)  # one file's tags

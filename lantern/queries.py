@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lantern.fixtures import CTES, duck_views, spark_views
 from lantern.functions import fn
@@ -51,6 +52,7 @@ def recount_sql(source: str) -> str:
 
 
 HERE, DIR = 1, "nation_15"
+_LEAF = "nation_15/supplier_000000079/2000"
 every = lambda df: df.select("file_id")
 here = lambda df: df.where(F.col("location_id") == HERE).select("file_id")
 online = lambda locations: locations.where("online").select("location_id")
@@ -177,13 +179,14 @@ add("fn_02_format_size", "f_line", lambda v: v.select("file_id", fn.format_size(
 _SIZES = "case file_id % 7 when 0 then '5MB' when 1 then ' 1.5 gb' when 2 then '12' when 3 then 'x' when 4 then '' when 5 then '1.2.3MB' else concat(q, ' kb') end"
 add("fn_03_parse_size", "f_line", lambda v: v.select("file_id", fn.parse_size(F.expr(_SIZES)).alias("size")),
     "select file_id, case file_id % 7 when 0 then 5*1048576 when 1 then 1610612736 when 2 then 12 when 3 then null when 4 then null when 5 then null else q*1024 end as size from f_line")
-_bytes = lambda: F.substring(F.encode("content", "UTF-8"), 1, 37)
-_CUT = "(select file_id, content, (select max(j) from range(0, 38) t(j) where strlen(left(content, j::int)) <= 37)::int as j from f_docs where content is not null)"
-add("fn_04_utf8_safe", "f_docs", lambda d: d.where("content is not null").select("file_id", fn.utf8_safe(_bytes()).alias("head")), f"select file_id, left(content, j) || case when strlen(left(content, j)) < 37 and strlen(content) > 37 then chr(65533) else '' end as head from {_CUT}")
+# Whole texts; two thirds have bytes before and behind them that are no text, and a cut character.
+_BYTES = "case file_id % 3 when 0 then encode(content, 'UTF-8') when 1 then concat(unhex('FF'), encode(content, 'UTF-8'), unhex('C3')) else concat(unhex('E282'), encode(content, 'UTF-8'), unhex('80')) end"
+add("fn_04_utf8_safe", "f_docs", lambda d: d.select("file_id", fn.utf8_safe(F.expr(_BYTES)).alias("text")), "select file_id, case when file_id % 3 = 0 then content else chr(65533) || content || chr(65533) end as text from f_docs")
 add("fn_05_norm_inode", "f_line", lambda v: v.select("file_id", fn.norm_inode(F.expr("cast(18446744073709551615 as decimal(20,0)) - file_id * (inode % 2) * 1 - case when inode % 3 = 0 then cast(9223372036854775808 as decimal(20,0)) else 0 end")).alias("inode")),
     "select file_id, cast(case when x >= 9223372036854775808 then x - 18446744073709551616 else x end as bigint) as inode from (select file_id, cast(18446744073709551615 as hugeint) - file_id * (inode % 2) - case when inode % 3 = 0 then 9223372036854775808 else 0 end as x from f_line)")
 add("fn_06_normalise_tag", "f_legacy", lambda v: v.select("file_id", fn.normalise_tag(F.col("tags"), nfkc=True).alias("tag")), "select file_id, lower(trim(regexp_replace(replace(tags, ',', ' '), '\\s+', ' ', 'g'))) as tag from f_legacy")
-add("fn_07_parse_tags", "f_legacy", lambda v: v.select("file_id", F.array_join(fn.parse_tags(F.col("tags")), "|").alias("tags")),
+# Every other list has its letters f and i joined to one sign, which folding takes apart again.
+add("fn_07_parse_tags", "f_legacy", lambda v: v.select("file_id", F.array_join(fn.parse_tags(F.expr("case when file_id % 2 = 0 then replace(tags, 'fi', '\ufb01') else tags end"), nfkc=True), "|").alias("tags")),
     "with t as (select file_id, unnest(string_split(tags, ',')) as x, unnest(range(len(string_split(tags, ',')))) as i from f_legacy), n as (select file_id, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) as tag, min(i) as i from t group by all) select file_id, string_agg(tag, '|' order by i) as tags from n where tag <> '' group by file_id")
 add("fn_08_parse_mtime", "f_line", lambda v: v.select("file_id", fn.parse_mtime(F.expr("case file_id % 4 when 0 then cast(file_id as string) when 1 then date_format(modified_at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") when 2 then 'never' else date_format(modified_at, 'yyyy-MM-dd') end")).alias("mtime")),
     "select file_id, case file_id % 4 when 0 then cast(file_id as double) when 2 then null else epoch(modified_at) end as mtime from f_line")
@@ -212,6 +215,7 @@ add("hsh_02_hash_fast", "f_docs", lambda v: hashing.hash_fast(v).select("file_id
 add("hsh_03_hash_strong", "f_docs", lambda v: hashing.hash_strong(v).select("file_id", "hash_strong"), "select file_id, sha256(content) as hash_strong from f_docs")
 add("hsh_04_promote_small", "f_hashes0", lambda v: hashing.promote_small(v, here(v)).select("file_id", "hash_fast"), f"select file_id, case when location_id = {HERE} and file_size <= 131072 then coalesce(hash_fast, hash_partial) else hash_fast end as hash_fast from f_hashes0")
 add("hsh_05_missing_partial", "f_line f_hashes", lambda f, h: hashing.missing_partial(f, h.where("hash_strong is null"), HERE, DIR).select("file_id"), f"select file_id from f_line where stale = 0 and file_size > 0 and location_id = {HERE} and rel_path like '{DIR.replace('_', '~_')}/%' escape '~' and hash_strong is not null")
+add("hsh_05_missing_in_folder", "f_line f_hashes", lambda f, h: hashing.missing_partial(f, h.where("hash_strong is null"), HERE, folder=_LEAF).select("file_id"), f"select file_id from f_line where stale = 0 and file_size > 0 and location_id = {HERE} and rel_dir = '{_LEAF}' and hash_strong is not null")
 add("hsh_06_unhashed", "f_hashes0", lambda v: hashing.unhashed_candidates(v).select("file_id", "location_id"), f"select file_id, location_id from f_hashes0 where {ACT} and hash_partial is not null and hash_fast is null")
 _RESULTS = "case when file_id % 9 = 0 then 'File not found' end"
 add("hsh_07_apply_results", "f_hashes0 f_line", lambda h, f: hashing.apply_hash_results(h, f, f.where("location_id < 4").select("location_id", "rel_path", F.col("content_fast").alias("hash"), F.expr("case when file_id % 4 = 0 then 'File not found' end").alias("error")))[0].select("file_id", "hash_fast", "stale"),
@@ -222,6 +226,13 @@ add("hsh_09_rehash", "f_hashes", lambda v: _REHASH(v)[0].select("file_id", "hash
 add("hsh_09_rehash_affected", "f_hashes", lambda v: _REHASH(v)[1], "with r as (select * from f_hashes where location_id < 3) select hash_fast as hash from r where hash_fast is not null union select hash_strong from r where hash_strong is not null union select 'x' || substr(hash_fast, 2, 15) from r where hash_fast is not null")
 add("hsh_10_verify_group", "f_hashes f_line f_locations", lambda h, f, w: hashing.verify_group(h, every(h), f, online(w)),
     f"select file_id, location_id, case when hash_strong is not null then 'have' when location_id in (select location_id from f_locations where online) then 'todo' else 'offline' end as state from f_hashes where {ACT} and hash_fast is not null")
+_STRONG = lambda h: hashing.apply_strong(h, h.where("file_id % 3 <> 0").select("file_id", F.when(F.col("file_id") % 3 == 1, F.sha2("hash_fast", 256)).alias("hash_strong")))
+add("hsh_10_strong", "f_hashes", lambda h: _STRONG(h)[0].select("file_id", "hash_strong"), "select file_id, case when file_id % 3 = 1 and hash_fast is not null then sha256(hash_fast) else hash_strong end as hash_strong from f_hashes")
+add("hsh_10_strong_affected", "f_hashes", lambda h: _STRONG(h)[1],
+    "with r as (select *, sha256(hash_fast) as s from f_hashes where file_id % 3 = 1 and hash_fast is not null), c as (select * from r where s is distinct from hash_strong) select hash_fast as hash from c union select s from c union select hash_strong from c where hash_strong is not null")
+add("hsh_11_apply_partial", "f_hashes", lambda h: hashing.apply_partial(h, h.where("location_id = 1").select("file_id", F.when(F.col("file_id") % 2 == 0, F.reverse("hash_partial")).otherwise(F.col("hash_partial")).alias("hash_partial"))).select("file_id", "hash_partial", "hash_fast", "hash_strong"),
+    f"with r as (select *, location_id = {HERE} and file_id % 2 = 0 and hash_partial is not null and reverse(hash_partial) <> hash_partial as c from f_hashes) select file_id, case when c then reverse(hash_partial) else hash_partial end as hash_partial, case when not coalesce(c, false) then hash_fast when file_size <= 131072 then reverse(hash_partial) end as hash_fast, case when not coalesce(c, false) then hash_strong end as hash_strong from r")
+add("hsh_11_mark_backfill", "f_locations", lambda w: hashing.mark_backfill(w, HERE).select("location_id", "backfill_needed"), f"select location_id, (location_id = {HERE})::int as backfill_needed from f_locations")
 add("hsh_11_rehash_worklist", "f_hashes", lambda v: hashing.rehash_partial_worklist(v, HERE).select("file_id"), f"select file_id from f_hashes where location_id = {HERE} and stale = 0 and file_size > 0 and hash_partial is not null")
 add("hsh_12_byte_batches", "f_line", lambda v: hashing.byte_batches(v, 10_000_000).select("file_id", "batch"), "select file_id, cast(floor(coalesce(sum(file_size) over (partition by location_id order by inode, file_id rows between unbounded preceding and 1 preceding), 0) / 10000000) as bigint) as batch from f_line")
 
@@ -247,19 +258,22 @@ add("dup_10_live_counts", "f_hashes", lambda v: dups.live_dup_counts(v, strong=v
     f"select hash_strong as hash, count(*) - 1 as dup_count from f_hashes where {ACT} and hash_strong is not null group by 1 having count(*) > 1 union all select hash_fast, count(*) - 1 from f_hashes where {ACT} and hash_fast is not null group by 1 having count(*) > 1")
 add("dup_11_inconsistencies", "f_hashes", dups.dup_inconsistencies, f"with r as ({recount_sql('f_hashes')}) select distinct eff as hash, case when dup_count = 0 then 'missed' else 'phantom' end as problem from r where {ACT} and eff is not null and ((dup_count = 0 and n > 0) or (dup_count > 0 and n = 0))")
 _PAIRS = f"select s.file_id as selected_id, m.file_id, m.location_id from (select *, {EFF} as eff, {VER} as ver from f_hashes) s join (select *, {EFF} as eff, {VER} as ver from f_hashes) m on s.eff = m.eff and s.ver = m.ver and m.excluded = 0 and m.stale = 0"
-add("dup_12_duplicates_of", "f_hashes f_line f_locations", lambda h, f, w: dups.duplicates_of(h, f, w, every(h), 3).select("selected_id", "file_id", "total", "rel_path", "location_name", "agent_name"),
-    f"with p as (select *, count(*) over (partition by selected_id) as total, row_number() over (partition by selected_id order by file_id) as k from ({_PAIRS} where s.file_id <> m.file_id)) select selected_id, file_id, total, rel_path, name as location_name, agent_name from p join f_line f using (file_id) join f_locations l on l.location_id = f.location_id where k <= 3")
+add("dup_12_duplicates_of", "f_hashes f_line f_locations", lambda h, f, w: dups.duplicates_of(h, f, w, every(h)).select("selected_id", "file_id", "total", "rel_path", "location_name", "agent_name"),
+    f"with p as (select *, count(*) over (partition by selected_id) as total, row_number() over (partition by selected_id order by file_id) as k from ({_PAIRS} where s.file_id <> m.file_id)) select selected_id, file_id, total, rel_path, name as location_name, agent_name from p join f_line f using (file_id) join f_locations l on l.location_id = f.location_id where k <= 10")
 add("dup_13_expand", "f_hashes", lambda v: dups.expand_to_duplicates(v, here(v)), f"select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE}")
 add("dup_14_location_counts", "f_hashes", dups.location_dup_counts, f"select location_id, count(*) as duplicates from f_hashes where {ACT} and dup_count > 0 group by 1")
 _IN_DIR = f"location_id = {HERE} and rel_path like '{DIR.replace('_', '~_')}/%' escape '~'"
 _EXCLUDED = f"(select h.file_id, h.hash_strong, h.hash_fast, case when {_IN_DIR.replace('location_id', 'f.location_id')} and f.stale = 0 then 1 else h.excluded end as excluded, h.stale from f_hashes h join f_line f using (file_id))"
 add("dup_15_set_exclude", "f_line f_hashes", lambda f, h: dups.set_dup_exclude(f, h, HERE, DIR).select("file_id", "excluded", "dup_count"), f"select file_id, excluded, n as dup_count from ({recount_sql(_EXCLUDED)})")
+add("dup_15_folders", "f_folders", lambda o: dups.exclude_folders(o, HERE, DIR).select("location_id", "rel_path", "dup_exclude"), f"select location_id, rel_path, (location_id = {HERE} and (rel_path = '{DIR}' or starts_with(rel_path, '{DIR}/')))::int as dup_exclude from f_folders")
 add("dup_16_affected", "f_hashes", lambda v: dups.affected_hashes(v, every(v)), f"select distinct {EFF} as hash from f_hashes where dup_count > 0 and {EFF} is not null")
 add("dup_17_cross_location", "f_hashes0", lambda v: dups.cross_location_candidates(v, HERE).select("file_id"), f"select file_id from f_hashes0 h where {_GATED} and location_id <> {HERE} and hash_fast is null and exists (select 1 from f_hashes0 x where x.excluded = 0 and x.stale = 0 and x.location_id = {HERE} and x.hash_fast is not null and x.hash_partial = h.hash_partial and x.file_size = h.file_size)")
 _ARRIVALS = lambda f: f.where("location_id = 1").select(F.col("file_id").alias("arrival_id"), "hash_partial", "file_size", F.when(F.col("file_id") % 24 == 0, F.col("content_fast")).alias("hash_fast"))
 add("dup_18_arrivals", "f_line f_hashes0", lambda f, h: dups.arrivals_dup_check(_ARRIVALS(f), h.where("location_id <> 1")).select("arrival_id", "match_id", "to_hash"),
     f"with k as (select * from f_hashes0 where location_id <> 1 and {ACT}), a as (select file_id as arrival_id, hash_partial, file_size, case when file_id % 24 = 0 then content_fast end as hash_fast from f_line where location_id = 1) select arrival_id, (select min(file_id) from k where k.hash_fast = a.hash_fast) as match_id, a.hash_fast is null and exists (select 1 from k where k.hash_partial = a.hash_partial and k.file_size = a.file_size and k.file_size > 0) as to_hash from a")
 add("dup_19_preview", "f_hashes f_line", lambda h, f: dups.consolidate_preview(h, f, every(h)), f"select selected_id, count(*) as members, count(*) filter (where a.filename = b.filename) as same_name from ({_PAIRS}) p join f_line a on a.file_id = p.file_id join f_line b on b.file_id = p.selected_id group by 1")
+add("dup_19_places", "f_hashes f_line f_locations", lambda h, f, w: dups.preview_places(h, f, w, here(h)),
+    f"with m as (select distinct file_id from ({_PAIRS} where s.location_id = {HERE})) select f.file_id, filename, rel_path, name as location_name, agent_name, location_id = {HERE} as selected from m join f_line f using (file_id) join f_locations using (location_id)")
 _PICK = lambda h: h.select("file_id", (F.col("file_id") * 7919 % 10007).alias("position"))
 add("dup_20_batch_unique", "f_hashes", lambda v: dups.batch_unique(v, _PICK(v)), f"with p as (select file_id, {EFF} as eff, row_number() over (partition by {EFF} order by file_id * 7919 % 10007, file_id) as k from f_hashes) select file_id from p where eff is null or k = 1")
 add("dup_top_groups", "f_hashes0 f_line", lambda h, f: dups.top_groups(three_gate(h, f)), f"with r as ({recount_sql(_FUNNEL)}) select eff as hash, count(*) as copies, max(file_size) as file_size, (count(*) - 1) * max(file_size) as wasted from r where {ACT} and n > 0 group by eff, ver order by wasted desc, hash limit 20")
@@ -272,7 +286,7 @@ add("flt_02_type_other", "f_line", lambda v: shown(v.where(search.of_type("other
 add("flt_03_description", "f_line", lambda v: shown(v.where(search.described("NOTE 1"))), "select file_id from f_line where description ilike '%note 1%'")
 add("flt_04_tags_any", "f_line f_tags", lambda f, t: shown(search.tagged(f, t, ["promo", "brand#3"])), "select distinct file_id from f_tags where tag in ('promo', 'brand#3')")
 add("flt_04_tags_none", "f_line f_tags", lambda f, t: shown(search.tagged(f, t, ["promo", "brand#3"], exclude=True)), "select file_id from f_line where file_id not in (select file_id from f_tags where tag in ('promo', 'brand#3'))")
-add("flt_05_size", "f_line", lambda v: shown(v.where(search.between("file_size", search.size_bytes("100KB"), search.size_bytes("0.2 mb")))), "select file_id from f_line where file_size between 102400 and 209715")
+add("flt_05_size", "f_line", lambda v: shown(v.where(search.between("file_size", fn.size_of("100KB"), fn.size_of("0.2 mb")))), "select file_id from f_line where file_size between 102400 and 209715")
 add("flt_06_duplicates", "f_hashes", lambda v: shown(v.where(search.condition({"field": "duplicates", "from": "1", "to": "x"}))), "select file_id from f_hashes where dup_count >= 1")
 add("flt_07_dates", "f_line", lambda v: shown(v.where(search.dated("1996-02-01", "1996-03-05"))), "select file_id from f_line where modified_at >= timestamp '1996-02-01' and modified_at < timestamp '1996-03-06'")
 _ONE_FAST, _ONE_STRONG = "000a0a094fd74cb2", "0215dac47c79725ba27e669f719e6773645409d52dd1acf39046cdae9b5762ff"
@@ -319,10 +333,11 @@ add("sch_07_media", "f_line f_locations", lambda f, w: search.media_ids(f, "imag
 add("srt_01_page", "f_line", lambda v: search.paged(v, "name", page=2).select("file_id", "filename"), "select file_id, filename from (select *, row_number() over (order by lower(filename), file_id) as k from f_line) where k between 241 and 360")
 add("srt_01_page_after", "f_line", lambda v: search.paged(v, "size", True, after=(65536, 30000)).select("file_id", "file_size"), "select file_id, file_size from f_line where file_size < 65536 or (file_size = 65536 and file_id > 30000) order by file_size desc, file_id limit 120")
 add("srt_02_page_of", "f_line", lambda v: search.page_of(v, 47838, "size", True), "select cast(floor(count(*) / 120) as bigint) as page from f_line f, (select file_size as s from f_line where file_id = 47838) where f.file_size > s or (f.file_size = s and f.file_id < 47838)")
-add("srt_03_top_files", "f_line", lambda v: search.top_files(v, 3).select("location_id", "rel_dir", "file_id", "rank"), "select location_id, rel_dir, file_id, k::int as rank from (select *, row_number() over (partition by location_id, rel_dir order by file_size desc, file_id) as k from f_line where stale = 0) where k <= 3")
+add("srt_03_top_files", "f_line", lambda v: search.top_files(v).select("location_id", "rel_dir", "file_id", "rank"), "select location_id, rel_dir, file_id, k::int as rank from (select *, row_number() over (partition by location_id, rel_dir order by file_size desc, file_id) as k from f_line where stale = 0) where k <= 50")
 add("srt_04_recent_scans", "f_scans f_locations", lambda s, w: search.recent_scans(s, w).select("scan_id", "location_name", "started_at"), "select scan_id, name as location_name, started_at from f_scans join f_locations using (location_id) order by started_at desc, scan_id desc limit 5")
 add("srt_05_last_attempt", "f_scans", search.last_scan_attempt, "select location_id, scan_id, status, coalesce(completed_at, started_at) as attempted_at from (select *, row_number() over (partition by location_id order by started_at desc, scan_id desc) as k from f_scans) where k = 1")
-add("srt_06_inode_order", "f_line", lambda v: search.inode_order(v).select("file_id", "inode"), "select file_id, inode from f_line")
+_TURN = lambda: Window.partitionBy("part", "location_id").orderBy("place")
+add("srt_06_inode_order", "f_line", lambda v: search.inode_order(v).select("file_id", "inode", "location_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).select("file_id", "inode", F.coalesce(F.lag("inode").over(_TURN()) <= F.col("inode"), F.lit(True)).alias("in_order")), "select file_id, inode, true as in_order from f_line")
 
 # --- aggregations ---
 _DIRECT = f"select f.location_id, f.rel_dir as rel_path, count(*) as file_count, cast(sum(f.file_size) as bigint) as total_size, count(*) filter (where hidden = 1) as hidden_count, count(*) filter (where n > 0) as duplicate_count from f_line f join ({recount_sql('f_hashes')}) h using (file_id) where f.stale = 0 group by 1, 2"
@@ -372,8 +387,8 @@ add("agg_06_recent_scans", "f_scans f_locations", lambda v, w: stats.recent_scan
 _PLANNED = lambda w: w.withColumns({"schedule_days": F.when(F.col("location_id") < 4, F.concat(F.col("location_id").cast("string"), F.lit(", 6,,x"))), "schedule_time": F.when(F.col("location_id") == 1, "22:15"), "schedule_enabled": F.col("location_id") % 2})
 add("agg_07_location_detail", "f_line f_folders f_hashes f_locations", lambda f, o, h, w: stats.location_detail(f, o, counted(h), _PLANNED(w)).withColumns({"types": _SHOWN(F.col("types")), "schedule_days": F.array_join("schedule_days", ",")}),
     f"select l.location_id, l.name, (select {_BY_TYPE} from (select type_high, count(*) as n from f_line f where stale = 0 and f.location_id = l.location_id group by 1)) as types, case when l.location_id < 4 then l.location_id || ',6' else '' end as schedule_days, case when l.location_id = 1 then '22:15' else '03:00' end as schedule_time, l.location_id % 2 = 1 as schedule_enabled, cast(sum(file_count) as bigint) as file_count, cast(sum(total_size) as bigint) as total_size, cast(sum(hidden_count) as bigint) as hidden_count, cast(sum(duplicate_count) as bigint) as duplicate_count, (select count(*) from f_folders o where o.location_id = l.location_id) as folder_count, (select count(*) from f_line f where f.location_id = l.location_id and stale = 1) as stale_count from f_locations l join ({_DIRECT}) d using (location_id) group by 1, 2")
-add("agg_08_folder_detail", "f_line f_folders f_hashes", lambda f, o, h: stats.folder_detail(f, o, counted(h)),
-    f"select t.*, (select count(*) from f_folders x where x.location_id = t.location_id and starts_with(x.rel_path, t.rel_path || '/')) as subfolder_count, (select count(*) from f_line f where f.stale = 1 and f.location_id = t.location_id and starts_with(f.rel_path, t.rel_path || '/')) as stale_count from ({_FSTATS}) t")
+add("agg_08_folder_detail", "f_line f_folders f_hashes", lambda f, o, h: stats.folder_detail(f, o, counted(h)).withColumn("breadcrumb", F.array_join(F.transform("breadcrumb", lambda x: F.concat(x["name"], F.lit("="), x["path"])), "|")),
+    f"select t.*, (select string_agg(regexp_extract(x.rel_path, '[^/]*$') || '=' || x.rel_path, '|' order by length(x.rel_path)) from f_folders x where x.location_id = t.location_id and (x.rel_path = t.rel_path or starts_with(t.rel_path, x.rel_path || '/'))) as breadcrumb, (select count(*) from f_folders x where x.location_id = t.location_id and starts_with(x.rel_path, t.rel_path || '/')) as subfolder_count, (select count(*) from f_line f where f.stale = 1 and f.location_id = t.location_id and starts_with(f.rel_path, t.rel_path || '/')) as stale_count from ({_FSTATS}) t")
 add("agg_09_types", "f_line", stats.type_breakdown, "select type_high, count(*) as n from f_line where stale = 0 group by 1")
 add("agg_10_pending", "f_pending", stats.pending_ops_count, "select status, count(*) as n from f_pending group by 1")
 add("agg_11_missing_stats", "f_locations f_line", lambda w, f: stats.missing_stats(w, f.where("location_id < 4")), "select location_id, name from f_locations where location_id >= 4")
@@ -401,7 +416,9 @@ add("tree_06_expand", "f_line f_folders f_hashes", lambda f, o, h: tree.expand_p
 _MAP = f"""select 'folder' as kind, name, total_size as size, (select count(*) from f_line f where f.stale = 0 and f.location_id = k.location_id and f.rel_dir = k.rel_path) as files from ({_KIDS}) k where location_id = {HERE} and parent_path = '{DIR}'
     union all select * from (select 'file', filename, file_size, 1 from f_line where stale = 0 and location_id = {HERE} and rel_dir = '{DIR}' order by file_size desc, file_id limit 50)"""
 add("tree_07_treemap", "f_line f_folders f_hashes", lambda f, o, h: tree.treemap(f, o, fstats(f, o, h), HERE, DIR), _MAP)
-_LEAF = "nation_15/supplier_000000079/2000"
+add("tree_07_totals", "f_line f_folders f_hashes", lambda f, o, h: tree.treemap_totals(f, o, fstats(f, o, h), HERE, _LEAF.rpartition("/")[0]),
+    f"""with a as (select count(*) as folders, coalesce(sum(total_size), 0) as s from ({_FSTATS}) where location_id = {HERE} and regexp_matches(rel_path, '^{_LEAF.rpartition("/")[0]}/[^/]*$')), b as (select count(*) as n, coalesce(sum(file_size), 0) as s from f_line where stale = 0 and location_id = {HERE} and rel_dir = '{_LEAF.rpartition("/")[0]}')
+    select folders, cast(a.s as bigint) as folder_size, n as direct_files, cast(b.s as bigint) as direct_size, cast(a.s + b.s as bigint) as total_size from a, b""")
 add("tree_08_treemap_items", "f_line f_folders f_hashes", lambda f, o, h: tree.treemap_items(tree.treemap(f, o, fstats(f, o, h), HERE, _LEAF)),
     f"""with t as (select 'file' as kind, filename as name, file_size as size from f_line where stale = 0 and location_id = {HERE} and rel_dir = '{_LEAF}' order by file_size desc, file_id limit 50), s as (select *, size >= (select sum(size) from t) * 0.01 as big from t where size > 0)
     select kind, name, size from s where big union all select 'other', printf('[%d other files]', count(*)), cast(sum(size) as bigint) from s where not big having count(*) > 0""")
@@ -470,7 +487,7 @@ add("dif_13_touch_seen", "f_line", lambda v: diff.touch_seen(v, 99, "2024-01-01
 add("dif_14_reclassify", "f_line", lambda v: diff.reclassify(v.withColumn("type_high", F.when(F.col("file_id") % 5 == 0, "other").otherwise(F.col("type_high")))), f"select file_id, 'other' as old_type, {_HIGH} as new_type from {_CLASS} where file_id % 5 = 0 and {_HIGH} <> 'other'")
 add("dif_15_freshness", "f_line", lambda v: diff.freshness(v, v.where("location_id < 4").select("file_id", (F.col("file_id") % 6 == 0).alias("found"), (F.col("file_size") + F.col("file_id") % 4).alias("size"))),
     "select * from (select file_id, case when file_id % 6 <> 0 and stale = 0 then 'stale' when file_id % 6 = 0 and stale = 1 then 'clear' when file_id % 6 = 0 and file_id % 4 <> 0 then 'update' end as action from f_line where location_id < 4) where action is not null")
-add("dif_16_invalid_names", "f_docs", lambda d: diff.invalid_names(d.where("content is not null").select("file_id", _bytes().alias("path_bytes"))).select("file_id"), f"select file_id from {_CUT} where strlen(left(content, j)) < 37 and strlen(content) > 37")
+add("dif_16_invalid_names", "f_docs", lambda d: diff.invalid_names(d.select("file_id", F.expr(_BYTES).alias("path_bytes"))).select("file_id"), "select file_id from f_docs where content is not null and file_id % 3 <> 0")
 add("dif_17_purge_everywhere", "f_line f_hashes f_folders f_tags f_scans f_ignore", lambda f, h, o, t, s, i: _sizes(diff.purge_everywhere({"files": f, "hashes": h, "folders": o, "tags": t, "scans": s, "rules": i}, HERE)),
     f"select 'files' as name, count(*) as n from f_line where location_id <> {HERE} union all select 'hashes', count(*) from f_hashes where location_id <> {HERE} union all select 'folders', count(*) from f_folders where location_id <> {HERE} union all select 'tags', count(*) from f_tags where file_id not in (select file_id from f_line where location_id = {HERE}) union all select 'scans', count(*) from f_scans where location_id <> {HERE} union all select 'rules', count(*) from f_ignore where location_id is distinct from {HERE}")
 add("dif_17_purge_location", "f_line f_hashes", lambda f, h: diff.purge_location(f, h, HERE)[1].select("file_id", "dup_count"), f"select file_id, n as dup_count from ({recount_sql(f'(select * from f_hashes where location_id <> {HERE})')})")
@@ -497,9 +514,37 @@ add("plan_05_move_to", "f_line f_hashes f_locations", lambda f, h, w: actions.co
 add("plan_06_copy", "f_line f_hashes f_locations", lambda f, h, w: actions.copy_plan(f, h, every(h), online(w)),
     f"""with c as (select selected_id, file_id from ({_PAIRS}) union select file_id, file_id from f_hashes), u as (select c.* from c join f_line f on f.file_id = c.file_id and f.stale = 0 where f.location_id in (select location_id from f_locations where online)),
     b as (select selected_id, arg_min(file_id, case when file_id = selected_id then -1 else file_id end) as source_id from u group by 1) select h.file_id as selected_id, source_id, case when source_id is null then 'error: no online copy' else 'copied' end as result from f_hashes h left join b on b.selected_id = h.file_id""")
+_LOCAL = lambda f: f.select("file_id", "location_id", "rel_path", "rel_dir", "filename", "file_size", "modified_at", "description", "hidden", "type_high", "stale")
+
+
+def _copied(f: DataFrame, h: DataFrame, t: DataFrame, w: DataFrame) -> DataFrame:
+    """Copies of one location's files into a folder of another, with their metadata; names of the copies are settled by the plan."""
+    rows, hashed, tagged = actions.copied_rows(actions.copy_plan(f, h, here(h), online(w)), _LOCAL(f), h, t, 3, "copies")
+    words = tagged.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), "|").alias("tags"))
+    both = rows.join(hashed.select("file_id", "hash_fast"), "file_id").join(words, "file_id", "left")
+    return both.select("location_id", "rel_dir", "file_size", "hidden", "hash_fast", "description", "modified_at", F.coalesce("tags", F.lit("")).alias("tags"))
+
+
+add("plan_06_copied_rows", "f_line f_hashes f_tags f_locations", _copied,
+    f"""with s as (select file_id from f_hashes where location_id = {HERE}), p as (select p.* from ({_PAIRS}) p where selected_id in (select file_id from s)),
+    live as (select p.selected_id, f.* from p join f_line f on f.file_id = p.file_id and f.stale = 0),
+    c as (select selected_id, file_id from p union select file_id, file_id from s),
+    ok as (select distinct c.selected_id from c join f_line f on f.file_id = c.file_id and f.stale = 0 where f.location_id in (select location_id from f_locations where online)),
+    g as (select selected_id, arg_min(description, file_id) filter (where coalesce(description, '') <> '') as d, min(modified_at) as m from live group by 1),
+    t as (select selected_id, string_agg(distinct tag, '|' order by tag) as tags from live join f_tags using (file_id) group by 1),
+    o as (select file_id as selected_id, string_agg(tag, '|' order by tag) as tags from f_tags group by 1)
+    select cast(3 as bigint) as location_id, 'copies' as rel_dir, f.file_size, (filename like '.%')::int as hidden, h.hash_fast, case when g.selected_id is null then f.description else d end as description, coalesce(m, f.modified_at) as modified_at, coalesce(case when g.selected_id is null then o.tags else t.tags end, '') as tags
+    from ok join f_line f on f.file_id = ok.selected_id join f_hashes h on h.file_id = ok.selected_id left join g on g.selected_id = ok.selected_id left join t on t.selected_id = ok.selected_id left join o on o.selected_id = ok.selected_id""")
 _STUB_PLAN = lambda f, w: f.join(w, "location_id").select("file_id", F.concat(F.lit("kept/"), "filename").alias("dest_path"), F.col("name").alias("dest_location"), F.col("agent_name").alias("dest_agent"))
 add("plan_07_stub_rows", "f_line f_locations", lambda f, w: actions.stub_rows(_STUB_PLAN(f, w), f, "2024-01-01"),
     "select file_id, location_id, rel_path || '.moved' as rel_path, filename || '.moved' as filename, 'text' as type_high, 'moved' as type_low, cast(strlen(concat('Consolidated', chr(10), 'Original: ', filename, chr(10), 'Moved to: ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': kept/', filename, chr(10), 'Date: 2024-01-01', chr(10))) as bigint) as file_size from f_line join f_locations using (location_id)")
+# One file in three becomes a stub; another file stands at the place of every other stub.
+_TAKEN = lambda f: f.unionByName(f.where("file_id % 6 = 0").withColumns({"file_id": -F.col("file_id"), "rel_path": F.concat("rel_path", F.lit(".moved")), "filename": F.concat("filename", F.lit(".moved"))}))
+add("plan_07_apply_stubs", "f_line f_locations", lambda f, w: actions.apply_stubs(_TAKEN(_LOCAL(f)), actions.stub_rows(_STUB_PLAN(f.where("file_id % 3 = 0"), w), f, "2024-01-01")).select("file_id", "rel_path", "filename", "type_high", F.when(F.col("type_high") != "text", F.col("file_size")).alias("other_size")),
+    """select file_id, case when file_id % 3 = 0 then rel_path || '.moved' else rel_path end as rel_path, case when file_id % 3 = 0 then filename || '.moved' else filename end as filename, case when file_id % 3 = 0 then 'text' else type_high end as type_high, case when file_id % 3 <> 0 and type_high <> 'text' then file_size end as other_size from f_line""")
+_KEPT = lambda f: f.where("content_fast is not null").groupBy("content_fast").agg(F.min("location_id").alias("location_id")).select("location_id", F.concat(F.lit("kept/"), F.col("content_fast")).alias("rel_path"))
+add("plan_08_catalog_rows", "f_line f_locations", lambda f, w: actions.sources_catalog_rows(_KEPT(f), actions.sources_rows(f.join(w, "location_id").select(F.concat(F.lit("kept/"), F.col("content_fast")).alias("canonical_path"), F.col("name").alias("location"), F.col("agent_name").alias("agent"), "rel_path").where("canonical_path is not null"))).select("location_id", "rel_path", "filename", "file_size", "type_low"),
+    "select min(location_id) as location_id, 'kept/' || content_fast || '.sources' as rel_path, content_fast || '.sources' as filename, cast(sum(strlen(concat('- ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': ', rel_path, chr(10)))) as bigint) as file_size, 'sources' as type_low from f_line join f_locations using (location_id) where content_fast is not null group by content_fast")
 add("plan_08_sources_rows", "f_line f_locations", lambda f, w: actions.sources_rows(f.join(w, "location_id").select(F.concat(F.lit("kept/"), F.col("content_fast")).alias("canonical_path"), F.col("name").alias("location"), F.col("agent_name").alias("agent"), "rel_path").where("canonical_path is not null")),
     "select 'kept/' || content_fast as canonical_path, string_agg(concat('- ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': ', rel_path, chr(10)), '' order by concat('- ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': ', rel_path, chr(10))) as content from f_line join f_locations using (location_id) where content_fast is not null group by 1")
 _CLAIMS = lambda f: f.select(F.col("file_id").alias("id"), F.concat(F.lit("d"), F.col("location_id")).alias("directory"), F.expr("concat(case when file_id % 2 = 0 then 'A' else 'a' end, file_id % 100, '.txt')").alias("filename"), "rel_path")
@@ -532,11 +577,19 @@ add("plan_12_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.del
     f"select file_id, location_id, case when location_id in (select location_id from f_locations where online) then 'delete' else 'deferred' end as action from f_line where file_id in (select file_id from ({_PAIRS} where s.location_id = {HERE}) union select file_id from f_hashes where location_id = {HERE})")
 add("plan_12_after_delete", "f_line f_hashes f_locations", lambda f, h, w: actions.after_delete(h, actions.delete_plan(f, h, every(h.where("location_id < 3")), online(w))).select("file_id", "dup_count"),
     f"select file_id, n as dup_count from ({recount_sql('(select * from f_hashes where not (location_id < 3 and location_id in (select location_id from f_locations where online)))')})")
+add("plan_12_deltas", "f_line f_hashes f_locations", lambda f, h, w: actions.delete_deltas(f, actions.delete_plan(f, h, every(h.where("location_id < 3")), online(w))),
+    "select location_id, rel_dir, -count(*) as file_count, cast(-sum(file_size) as bigint) as total_size, cast(-sum(hidden) as bigint) as hidden_count, cast(0 as bigint) as duplicate_count from f_line where location_id < 3 and stale = 0 and location_id in (select location_id from f_locations where online) group by 1, 2")
 add("plan_13_delete_folder", "f_line f_folders", lambda f, o: actions.delete_folder(f, o, HERE, DIR)[0].select("file_id"), f"select file_id from f_line where not ({_IN_DIR})")
 add("plan_13_deltas", "f_line f_hashes", lambda f, h: actions.delete_folder_effects(f, h, HERE, DIR)[0], f"select location_id, rel_dir, -count(*) as file_count, cast(-sum(file_size) as bigint) as total_size, cast(-sum(hidden) as bigint) as hidden_count, cast(0 as bigint) as duplicate_count from f_line where {_IN_DIR} and stale = 0 group by 1, 2")
 add("plan_13_recount", "f_line f_hashes", lambda f, h: actions.delete_folder_effects(f, h, HERE, DIR)[1].select("file_id", "dup_count"), f"select file_id, n as dup_count from ({recount_sql(f'(select * from f_hashes where file_id not in (select file_id from f_line where {_IN_DIR}))')})")
 add("plan_14_drain", "f_pending f_line f_locations", lambda p, f, w: actions.drain_pending(p, f.withColumn("pending_op", F.when(F.col("file_id") % 4 == 0, "click").otherwise("view")), online(w)),
     "select op_id, p.file_id, case when f.file_id is null or (case when f.file_id % 4 = 0 then 'click' else 'view' end) <> op_type then 'completed' when l.online then 'run' else 'wait' end as state from f_pending p left join f_line f on f.file_id = p.file_id left join f_locations l on l.location_id = f.location_id where status = 'pending'")
+_MARKED = lambda f: f.withColumn("pending_op", F.when(F.col("file_id") % 4 == 0, "click").otherwise("view"))
+_RAN = lambda p: p.where("op_id % 3 < 2 or op_id % 5 = 0").select("op_id", F.when(F.col("op_id") % 5 == 0, F.concat(F.lit("no access to "), F.col("op_id").cast("string"))).alias("error"))
+add("plan_14_outcomes", "f_pending f_line f_locations", lambda p, f, w: actions.record_outcomes(p, actions.drain_pending(p, _MARKED(f), online(w)), _RAN(p), "2024-01-01").select("op_id", "status", "error", F.col("completed_at").isNotNull().alias("closed")),
+    """with d as (select op_id, case when f.file_id is null or (case when f.file_id % 4 = 0 then 'click' else 'view' end) <> op_type then 'completed' when l.online then 'run' else 'wait' end as state from f_pending p left join f_line f on f.file_id = p.file_id left join f_locations l on l.location_id = f.location_id where status = 'pending'),
+    s as (select p.*, state, (op_id % 3 < 2 or op_id % 5 = 0) as told, op_id % 5 = 0 as bad from f_pending p left join d using (op_id))
+    select op_id, case when state = 'run' and told and bad then 'failed' when state = 'completed' or (state = 'run' and told) then 'completed' else status end as status, case when state = 'run' and told and bad then 'no access to ' || op_id end as error, coalesce(state = 'completed' or (state = 'run' and told), false) as closed from s""")
 add("plan_15_cancel", "f_pending", lambda p: actions.cancel_pending(p, p.where("op_id % 2 = 0")).select("op_id"), "select op_id from f_pending where op_id % 2 <> 0")
 add("plan_15_clear_marks", "f_pending f_line", lambda p, f: actions.clear_marks(f.withColumn("pending_op", F.when(F.col("file_id") % 4 == 0, "click").otherwise("view")), p, p.where("status = 'pending'")).select("file_id", "pending_op"),
     "select file_id, case when exists (select 1 from f_pending p where p.status = 'pending' and p.file_id = f.file_id and p.op_type = m) then null else m end as pending_op from (select *, case when file_id % 4 = 0 then 'click' else 'view' end as m from f_line) f")
@@ -546,6 +599,8 @@ add("tag_02_add", "f_tags f_hashes", lambda t, h: tags.add_tags(t, h, here(h), [
 add("tag_03_remove", "f_tags", lambda t: tags.remove_tags(t, every(t), ["promo", "brand#3"]), "select file_id, tag from f_tags where tag not in ('promo', 'brand#3')")
 add("tag_04_set", "f_tags f_hashes", lambda t, h: tags.set_tags(t, h, 20250, ["medium", "new"]),
     f"with g as (select x as tag from (values ('medium'), ('new')) v(x) where x not in (select tag from f_tags where file_id = 20250)), e as (select file_id from ({_PAIRS} where s.file_id = 20250) union select file_id from f_hashes where file_id = 20250) select file_id, tag from f_tags where file_id <> 20250 or tag in ('medium', 'new') union select e.file_id, g.tag from e, g")
+add("tag_04_propagated", "f_tags f_hashes", lambda t, h: tags.propagated(t, h, 20250, ["medium", "new"]),
+    f"with g as (select x as tag from (values ('medium'), ('new')) v(x) where x not in (select tag from f_tags where file_id = 20250)) select count(distinct p.file_id) as propagated from ({_PAIRS}) p, g where p.selected_id = 20250 and p.file_id <> 20250 and not exists (select 1 from f_tags t where t.file_id = p.file_id and t.tag = g.tag)")
 add("tag_05_copy", "f_tags f_line", lambda t, f: tags.copy_tags(t, 684, here(f)), f"select file_id, tag from f_tags union select f.file_id, t.tag from f_line f, f_tags t where f.location_id = {HERE} and t.file_id = 684")
 add("tag_06_intern", "f_tags", lambda t: tags.intern_tags(t.where("tag like 'b%'").select("tag").distinct().withColumn("tag_id", F.length("tag").cast("long")), t),
     "with v as (select distinct tag, length(tag) as tag_id from f_tags where tag like 'b%'), n as (select distinct tag from f_tags where tag not like 'b%') select tag_id, tag from v union all select (select max(tag_id) from v) + row_number() over (order by tag), tag from n")

@@ -196,6 +196,17 @@ def test_scan_catalog_and_log(spark, tmp_path, views):
     assert catalog.op_log_catalog_row(spark, "merge", 2, "logs", 10, "2024-05-06 07:08:09").first().rel_path == "logs/merge-result-20240506-070809.csv"
 
 
+def test_sizes_in_plans_follow_the_column_rule(spark):
+    texts = ["5MB", " 1.5 gb", "12", "1e6", "x", "", None, "1.2.3MB", "0.2 mb", "7 B", "-5"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", fn.parse_size(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == {t: fn.size_of(t) for t in texts}
+
+
+def test_folded_tags(spark):
+    rows = spark.createDataFrame([("ﬁne, Ｆine ,ﬁne，x,ｘ",), (None,), ("a,A",)], "t string")
+    assert [r[0] for r in rows.select(fn.parse_tags(F.col("t"), nfkc=True)).collect()] == [["fine", "fine x", "x"], [], ["a"]]
+
+
 def test_failed_listing(spark):
     records = catalog.parse_listing(spark.createDataFrame([("X\tboom",), ("F\ta",), ("Q\tx",), (None,)], "value string"))
     assert [r.message for r in catalog.failed_listing(records).collect()] == ["boom"]
