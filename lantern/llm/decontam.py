@@ -17,8 +17,9 @@ from lantern.llm.common import BROADCAST_ROWS, broadcast_if_small, read, written
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Positions that are hashed from one part of a text.
 PART = 512
-#: Items of fewer tokens are not looked for.
-LEAST_TOKENS = 5
+#: Items of fewer tokens are not looked for. A benchmark whose items may be everyday words calls for more.
+LEAST_TOKENS = 1
+_WORD = r"[\p{L}\p{M}\p{N}]"
 # Fixed masks: the positions that each selects. However two tokens of thirteen differ, one of these, somewhere in the
 # thirteen, selects neither; a test goes through all cases.
 MASKS = ((0, 2, 6, 7, 8, 10, 11), (0, 1, 2, 3, 5, 7, 8), (0, 1, 3, 4, 7, 8, 9))
@@ -96,8 +97,10 @@ def _whole(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     if not lengths:
         return None
     spots = docs.select("doc_id", "key", "h", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.size("h") >= F.col("n"))
-    spots = spots.select("doc_id", "key", "h", "n", F.explode(F.expr("sequence(0, size(h) - n)")).alias("at")).select("doc_id", "key", "at", F.expr("slice(h, at + 1, n)").alias("own"))
-    found = spots.withColumn("seed", F.xxhash64("own")).join(broadcast_if_small(items.withColumn("seed", F.xxhash64("item")), broadcast_rows), "seed").where("own = item")
+    spots = spots.select("doc_id", "key", "h", "n", F.explode(F.expr("sequence(0, size(h) - n)")).alias("at")).select("doc_id", "key", "at", F.expr("slice(h, at + 1, n)").alias("own")).withColumn("seed", F.xxhash64("own"))
+    seeded = written(items.withColumn("seed", F.xxhash64("item")))
+    likely = _known_seeds(spots, seeded.select("seed").distinct(), broadcast_rows)
+    found = likely.join(broadcast_if_small(seeded, broadcast_rows), "seed").where("own = item")
     n = F.size("item").cast("long")
     return found.dropDuplicates(["doc_id", "key", "item_id", "item", "at"]).select("doc_id", "item_id", F.col("at").cast("long").alias("doc_start"), (F.col("at") + n).alias("doc_end"), n.alias("n_matched"), n.alias("n_covered"))
 
@@ -108,12 +111,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     An overlap is one alignment's windows of 13 tokens that agree in at least 11: doc_start and doc_end (exclusive)
     bound them in the document's tokens, n_covered counts the item's tokens in them and n_matched those that agree.
     Substitutions only, no insertions. Of items of fewer than 13 tokens all must stand in the document, in order and
-    side by side; items of fewer than `least_tokens` are everyday phrases and are left out. Null and empty texts have
-    no overlap. Documents with a null id are reported with it; rows that repeat both id and text are reported once;
+    side by side. Items of fewer than `least_tokens` (by default none) are left out, and so are those without a word. Null
+    and empty texts have no overlap. Documents with a null id are reported with it; rows that repeat both id and text are reported once;
     items likewise. Extra columns are not read. Benchmark seeds are broadcast up to a counted bound; beyond it a bitmap
     of fixed size keeps most of the documents' seeds from the shuffle.
     """
-    items = written(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item")).where(F.size("item") >= least_tokens).distinct())
+    items = written(benchmark.where(F.col(item_text_col).rlike(_WORD)).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item")).where(F.size("item") >= least_tokens).distinct())
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     keyed = source.withColumn("key", F.xxhash64("text"))
     hashed = keyed.select("doc_id", "key", tokens(F.col("text")).alias("h"))

@@ -631,7 +631,7 @@ def plain_overlaps(docs, items):
     out = set()
     for d, i in itertools.product(docs, items):
         x, y = token(d[1]), token(i[1])
-        if 5 <= len(y) < 13:
+        if 1 <= len(y) < 13:
             out |= {(d[0], i[0], k, k + len(y), len(y), len(y)) for k in range(len(x) - len(y) + 1) if x[k : k + len(y)] == y}
             continue
         for shift in range(13 - len(y), len(x) - 12):
@@ -648,7 +648,7 @@ def test_overlaps_match_all_alignments(spark, docs, broadcast_rows):
     random.seed(11)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(random.choice(vocabulary) for _ in range(random.randint(10, 40)))) for i in range(12)]
-    items += [(20, "w1 w2 w3 w4 w5"), (21, "w1 w2 w3 w4"), (22, "w7 w7 w7 w7 w7 w7"), (20, "w5 w5 w6 w6 w8 w9")]
+    items += [(20, "w1 w2 w3 w4 w5"), (21, "w1 w2 w3 w4"), (22, "w7 w7 w7 w7 w7 w7"), (20, "w5 w5 w6 w6 w8 w9"), (23, "w3"), (24, "w1 w2"), (25, "--"), (26, "W9, w9")]
     rows = []
     for i in range(40):
         text = [random.choice(vocabulary) for _ in range(random.randint(5, 60))]
