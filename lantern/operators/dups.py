@@ -204,22 +204,19 @@ def batch_unique(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
 def three_gate(files: DataFrame, hashes: DataFrame, contents: DataFrame) -> DataFrame:
     """The whole funnel: hashes with fast hashes for all candidates, and duplicate counts.
 
-    Gate 1 and 2 group by partial hash and size; small members take their partial hash; contents (file_id,
-    content_hash) is joined for the other members only, so nothing else is read; gate 3 counts equal hashes. hashes is
-    scanned twice, for the groups and for the rows; the filled rows are written before they are counted.
+    Gate 1 and 2 group by partial hash and size; small members take their partial hash, the others that of contents
+    (file_id, content_hash; each file once); gate 3 counts equal hashes. hashes is scanned twice, for the groups and for the
+    rows, and its rows are dealt by gate and then once by file, to files and contents together; the filled rows are
+    written before they are counted.
     """
     groups = candidate_groups(hashes).select(*GATE, F.lit(True).alias("__met"))
     key = spread_key(F.col("hash_partial"), F.col("file_id"))
     gated = hashes.withColumn("__partial", F.col("hash_partial")).withColumn("hash_partial", key).join(groups, GATE, "left").withColumn("hash_partial", F.col("__partial"))
-    wanted = F.expr(ACTIVE) & F.col("hash_fast").isNull() & F.col("__met").isNotNull()
-    large = F.when(wanted & (F.col("file_size") > SMALL), F.col("file_id"))
-    there = files.where("stale = 0").select("file_id")
-    read = contents.join(there, "file_id", "left_semi").select(F.col("file_id").cast("string").alias("__read"), F.col("content_hash").alias("__fast"))
-    small = there.select(F.col("file_id").cast("string").alias("__small"), F.lit(True).alias("__there"))
-    filled = gated.withColumn("__read", spread_key(large.cast("string"), F.col("file_id"))).join(read, "__read", "left")
-    filled = filled.withColumn("__small", spread_key(F.when(wanted & (F.col("file_size") <= SMALL), F.col("file_id").cast("string")), F.col("file_id"))).join(small, "__small", "left")
-    fast = F.coalesce("hash_fast", F.when(F.col("__there"), F.col("hash_partial")), "__fast")
-    return dup_recount(written(filled.withColumn("hash_fast", fast).select(*hashes.columns)))
+    read = files.where("stale = 0").select("file_id", F.lit(True).alias("__there")).join(contents.select("file_id", F.col("content_hash").alias("__fast")), "file_id", "left")
+    wanted = F.expr(ACTIVE) & F.col("hash_fast").isNull() & F.col("__met").isNotNull() & F.col("__there")
+    fast = F.when(F.col("file_size") <= SMALL, F.col("hash_partial")).otherwise(F.col("__fast"))
+    filled = gated.join(read, "file_id", "left").withColumn("hash_fast", F.coalesce("hash_fast", F.when(wanted, fast)))
+    return dup_recount(written(filled.select(*hashes.columns)))
 
 
 def top_groups(hashes: DataFrame, k: int = 20) -> DataFrame:

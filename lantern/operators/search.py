@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from lantern.functions.fn import KNOWN_TYPES, effective_hash, escape_like, name_matches, size_of, spread_key
 from lantern.operators.dups import live_dup_counts
 from lantern.operators.tree import KEY, below
+from lantern.tables import written
 
 PAGE = 120
 RESULT = ["file_id", "filename", "type_high", "file_size", "modified_at", "stale", "hidden", "location_id", "location_name", "hash_strong", "hash_fast", "dup_count", "file_count"]
@@ -122,9 +123,12 @@ def folder_condition(c: dict) -> Column | None:
     return between(column, _count_bound(c.get("from")), _count_bound(c.get("to"))) if column else None
 
 
-def live_counts(rows: DataFrame, hashes: DataFrame) -> DataFrame:
-    """rows with their hashes and live duplicate counts (of the strong hash, or else the fast one)."""
-    rows = rows.drop("dup_count", "hash_strong", "hash_fast").join(hashes.select("file_id", "hash_strong", "hash_fast"), "file_id", "left")
+def live_counts(rows: DataFrame, hashes: DataFrame, few: bool = False) -> DataFrame:
+    """rows with their hashes and live duplicate counts (of the strong hash, or else the fast one). few: rows are a page's, so hashes need not be dealt anew to meet them."""
+    own = hashes.select("file_id", "hash_strong", "hash_fast")
+    if few:
+        own = own.join(F.broadcast(rows.select("file_id")), "file_id", "left_semi")
+    rows = rows.drop("dup_count", "hash_strong", "hash_fast").join(own, "file_id", "left")
     rows = rows.withColumn("hash", effective_hash(F.col("hash_strong"), F.col("hash_fast")))
     strong = rows.where("hash_strong <> ''").select(F.col("hash_strong").alias("hash")).distinct()
     fast = rows.where("coalesce(hash_strong, '') = '' and hash_fast <> ''").select(F.col("hash_fast").alias("hash")).distinct()
@@ -133,18 +137,18 @@ def live_counts(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     return keyed.join(counts, "hash", "left").withColumn("dup_count", F.coalesce("dup_count", F.lit(0)))
 
 
-def _shown(files: DataFrame, hashes: DataFrame, locations: DataFrame) -> DataFrame:
+def _shown(files: DataFrame, hashes: DataFrame, locations: DataFrame, few: bool = False) -> DataFrame:
     """Search results: names of locations, hashes, and live duplicate counts of the hashes found."""
     rows = files.join(locations.select("location_id", F.col("name").alias("location_name")), "location_id")
-    return live_counts(rows, hashes).withColumn("file_count", F.lit(None).cast("long")).select(*RESULT)
+    return live_counts(rows, hashes, few).withColumn("file_count", F.lit(None).cast("long")).select(*RESULT)
 
 
-def search(
-    files: DataFrame, hashes: DataFrame, locations: DataFrame, *, name: str = "", name_match: str = "anywhere", file_type: str = "", description: str = "", tags: list[str] | None = None,
+def matching(
+    files: DataFrame, hashes: DataFrame, *, name: str = "", name_match: str = "anywhere", file_type: str = "", description: str = "", tags: list[str] | None = None,
     tag_rows: DataFrame | None = None, size_min=None, size_max=None, date_from: str = "", date_to: str = "", dupes_only: bool = False, min_dups=None, max_dups=None, hash_value: str = "",
     location_id: int | None = None, folder: str | None = None, show_hidden: bool = True,
 ) -> DataFrame:
-    """All given filters by AND. files needs the stored dup_count; stale files are included."""
+    """The files that pass all given filters. files needs the stored dup_count where a filter asks for it; stale files are included."""
     if location_id is not None:
         files = files.where(F.col("location_id") == location_id)
     if folder is not None:
@@ -164,7 +168,29 @@ def search(
         files = tagged(files, tag_rows, tags)
     if hash_value:
         files = with_hash(files, hashes, hash_value)
-    return _shown(files, hashes, locations)
+    return files
+
+
+def search(files: DataFrame, hashes: DataFrame, locations: DataFrame, **filters) -> DataFrame:
+    """All results of matching()'s filters, as they are shown."""
+    return _shown(matching(files, hashes, **filters), hashes, locations)
+
+
+def search_page(
+    files: DataFrame, hashes: DataFrame, locations: DataFrame, folders_found: DataFrame | None = None, by: str = "name", descending: bool = False, page: int = 0, size: int = PAGE, after: tuple | None = None, **filters
+) -> DataFrame:
+    """One page of search() and the folders found, sorted. The page is cut first and only its rows are joined with hashes,
+    counts and locations, unless duplicates, which must be counted for that, are sorted by."""
+    found = matching(files, hashes, **filters)
+    none = found.sparkSession.createDataFrame([], _shown(files.limit(0), hashes, locations).schema) if folders_found is None else folders_found
+    if by == "dups":
+        return paged(search_all(_shown(found, hashes, locations), none), by, descending, page, size, after)
+    known = locations.select("location_id").distinct()
+    narrow = found.join(known, "location_id", "left_semi").select("file_id", "filename", "type_high", "file_size", "modified_at", F.lit(True).alias("__file"))
+    cut = written(paged(narrow.unionByName(none.withColumn("__file", F.lit(False)), allowMissingColumns=True), by, descending, page, size, after))
+    ids = F.broadcast(cut.where("__file").select("file_id"))  # at most a page
+    rows = written(files.join(ids, "file_id", "left_semi"))
+    return search_all(_shown(rows, hashes, locations, few=True), cut.where("not __file").select(*RESULT)).orderBy(*_sort(by, descending))
 
 
 def search_advanced(files: DataFrame, hashes: DataFrame, locations: DataFrame, conditions: list[dict], tags: DataFrame | None = None) -> DataFrame:
