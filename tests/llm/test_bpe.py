@@ -111,3 +111,24 @@ def test_offsets_decode_a_part(spark, library, docs):
 
     with pytest.raises(Exception, match="do not belong together"):
         bpe.decode(coded.withColumn("ends", F.lit(b"\x01\x00\x00\x00")), path).collect()
+
+
+def test_scratch_folders_belong_to_one_thread(spark):
+    import threading
+    from pathlib import Path
+
+    from lantern.llm.common import scratch, shared_dir
+
+    found = {}
+
+    def other():
+        found["dir"] = Path(shared_dir(spark).removeprefix("file:"))
+        found["dir"].mkdir()
+
+    with scratch(spark):
+        mine = Path(shared_dir(spark).removeprefix("file:"))
+        mine.mkdir()
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+    assert not mine.exists() and found["dir"].exists()
