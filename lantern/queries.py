@@ -87,6 +87,8 @@ def _planted(docs: DataFrame) -> DataFrame:
     """A tree of one file per document, some of them and of their folders hidden, with a symbolic link beside each hidden file."""
     prepare(docs.sparkSession)
     root = shared_folder(docs.sparkSession).removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError("a tree with symbolic links needs a shared folder that is a path")
 
     def plant(parts):
         for b in parts:
