@@ -1,9 +1,13 @@
 """Interpolated modified Kneser-Ney n-gram model of order 2 or 3, counted in Spark and scored from memory-mapped sorted hash arrays.
 
-Tasks count the n-grams of their texts and deal the distinct ones to shards by hash: trigrams by their last two words, so
-that a shard knows how many words stand before each such pair; bigrams by both words. A shard merges its n-grams, writes
-their sorted hashes and counts, and reports what shorter contexts need: pairs as contexts of trigrams, to the pair's shard,
-and words. To score, workers map the arrays into memory and look up a block of sorted hashes at once.
+Tasks count the n-grams of their texts and deal the distinct ones to shards by hash: bigrams by both words, trigrams by
+their middle word, so that a shard knows how many words stand before each pair and what follows each context. Trigrams of
+a frequent middle word are dealt by their last two words instead, and their contexts are reported to the shards of the
+contexts' own hashes. A shard merges its n-grams, writes their sorted hashes and counts, and reports what it knows of
+words. To score, workers map the arrays into memory and look up a block of sorted hashes at once.
+
+Blobs name words of a book, frequent ones of a sample of the texts, by their place in it, and carry the hashes of others.
+What the book holds changes how much is moved, and no count.
 
 Texts are padded with order - 1 starts. At the highest order counts are occurrences, below it the number of different words
 that stand before. Where a context was never seen, the shorter one's probability stands.
@@ -32,6 +36,10 @@ SHARD_BYTES = 16 << 20
 DEAL_BITS = 10
 #: Tokens that a task gathers before it counts or scores them, and words whose hash it remembers.
 BLOCK_TOKENS, SCORE_TOKENS, REMEMBERED = 1_500_000, 400_000, 250_000
+#: Words of the book, and bytes of text in the sample that it is counted in.
+BOOK, SAMPLE_BYTES = 1 << 16, 32 << 20
+#: A middle word is frequent if it has more than this part of a shard's share of all tokens.
+FREQUENT = 1 / 16
 #: Model files that a worker keeps mapped.
 MAPPED = 1000
 # No word holds a space, so these two stand beside all words.
@@ -106,10 +114,61 @@ def _slices(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs, and the places where."""
     order = np.argsort(shards.astype(np.uint32), kind="stable")
     first = _runs(shards[order])
+    if not len(first):
+        return
     for lo, hi in zip(first, np.append(first[1:], len(order)), strict=True):
         yield int(shards[order[lo]]), order[lo:hi]
 
 
+# --- the book ---
+class Book:
+    """Frequent words, and which middle words are dealt by pairs. Its rows are bounded by BOOK, whatever the corpus."""
+
+    def __init__(self, words: np.ndarray, frequent: np.ndarray | None) -> None:
+        """words: the most frequent first. frequent: sorted; None for all words."""
+        self.words, self.frequent = words, frequent
+        self.places = np.argsort(words)
+        self.ordered = words[self.places]
+
+    def code(self, words: np.ndarray) -> np.ndarray:
+        """Places in the book, -1 for words that it does not hold."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.ordered, words), len(self.ordered) - 1)
+        return np.where(self.ordered[at] == words, self.places[at], -1)
+
+    def by_pair(self, middle: np.ndarray) -> np.ndarray:
+        if self.frequent is None or not len(self.frequent):
+            return np.full(len(middle), self.frequent is None)
+        return self.frequent[np.minimum(np.searchsorted(self.frequent, middle), len(self.frequent) - 1)] == middle
+
+    def dealt(self, columns: list[np.ndarray] | tuple[np.ndarray, ...]) -> np.ndarray:
+        """The hashes that n-grams are dealt by."""
+        pair = pair_key(columns[-2], columns[-1])
+        return pair if len(columns) == 2 else np.where(self.by_pair(columns[1]), pair, columns[1])
+
+
+def _book(texts: DataFrame, size: int, bits: int) -> Book:
+    """The book of texts of so many bytes that are dealt to 2 ** bits shards, from some SAMPLE_BYTES of them, by their hash."""
+    if size > SAMPLE_BYTES:
+        texts = texts.where(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit((1 << 62) * SAMPLE_BYTES // size))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            held = [known.of(text.as_py()) for text in b.column(0)]
+            words, times = np.unique(np.concatenate([*held, np.full(len(held), START)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], ["word", "n"])
+
+    counted = written(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counted.orderBy(F.desc("n"), "word").limit(BOOK).toArrow()
+    words, n = np.array(top.column("word"), dtype=np.int64).view(np.uint64), np.array(top.column("n"), dtype=np.int64)
+    often = n > FREQUENT * total / (1 << bits)
+    # where even the book's last word is frequent, words outside it may be
+    return Book(words, None if len(words) == BOOK and often[-1] else np.sort(words[often]))
+
+
 # --- blobs: what moves between tasks ---
 def _narrow(x: np.ndarray) -> np.ndarray:
     most = int(x.max(initial=0))
@@ -134,22 +193,30 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _grams_blob(columns: list[np.ndarray], times: np.ndarray, words: np.ndarray) -> bytes:
-    """n-grams as columns of places in words; only the words that occur go along."""
+def _grams_blob(columns: list[np.ndarray], times: np.ndarray, words: np.ndarray, codes: np.ndarray, book: int) -> bytes:
+    """n-grams as columns of places in words, whose places in a book of so many words are codes; other words go along if they occur."""
     if len(words) > 16 * len(times):
         used = np.unique(np.concatenate(columns))
-        columns = [np.searchsorted(used, c) for c in columns]
     else:
         mark = np.zeros(len(words), dtype=bool)
         for c in columns:
             mark[c] = True
-        used, place = np.flatnonzero(mark), np.cumsum(mark) - 1
-        columns = [place[c] for c in columns]
-    return _pack(words[used], times, *columns)
+        used = np.flatnonzero(mark)
+    code = codes[used]
+    own = code < 0
+    code[own] = book + np.arange(own.sum())
+    if len(words) > 16 * len(times):
+        columns = [code[np.searchsorted(used, c)] for c in columns]
+    else:
+        table = np.empty(len(words), dtype=np.int64)
+        table[used] = code
+        columns = [table[c] for c in columns]
+    return _pack(words[used[own]], times, *columns)
 
 
-def _grams(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(blob: bytes, book: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     words, times, *columns = _unpack(blob)
+    words = np.concatenate([book, words])
     return [words[c] for c in columns], times.astype(np.int64)
 
 
@@ -256,9 +323,9 @@ def _discounted(counts: np.ndarray, d: tuple) -> np.ndarray:
 class Model:
     """What scoring needs besides the arrays: where they are, and the totals and discounts."""
 
-    def __init__(self, folder: str, bits: int, order: int, totals: dict[str, int], counted: list[list[int]]) -> None:
+    def __init__(self, folder: str, bits: int, order: int, book: Book, totals: dict[str, int], counted: list[list[int]]) -> None:
         """counted: per level, words first, the numbers of n-grams with counts 1, 2, 3, 4 and above 2."""
-        self.folder, self.bits, self.order = folder, bits, order
+        self.folder, self.bits, self.order, self.book = folder, bits, order, book
         self.tokens, self.words, self.preceding = (totals[k] for k in ("tokens", "words", "preceding"))
         self.discount = [discounts(*c[:4]) for c in counted]
         d1, d2, d3 = self.discount[0]
@@ -275,19 +342,23 @@ class Model:
 
     def counts(self, keys: np.ndarray, shards: np.ndarray, level: int) -> np.ndarray:
         out = np.zeros(len(keys), dtype=np.int64)
-        for table, own, at, below in self._found(keys, shards, "grams", slice(0, 5) if level == self.order else slice(5, 10), self.bits if level == 2 else 0):
+        for table, own, at, below in self._found(keys, shards, "grams", slice(0, 5) if level == self.order else slice(5, 10), self.bits if self.order == 2 else 0):
             out[own] = table[2][at]
             over = np.flatnonzero(out[own] == 255)
             out[own[over]] = table[4][np.searchsorted(table[3], below[over])]
         return out
 
-    def contexts(self, keys: np.ndarray) -> np.ndarray:
+    def contexts(self, keys: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """What follows contexts, whose second words are given."""
         out = np.zeros((len(keys), 4), dtype=np.int64)
-        for table, own, at, below in self._found(keys, _shard(keys, self.bits), "reports", slice(0, 6), self.bits):
-            code = table[2][at].astype(np.int64)
-            near, far = np.flatnonzero(code < 255), np.flatnonzero(code == 255)
-            out[own[near]] = table[3].reshape(-1, 4)[code[near]]
-            out[own[far]] = table[5].reshape(-1, 4)[np.searchsorted(table[4], below[far])]
+        by_pair = self.book.by_pair(middle)
+        for name, arrays, bits, asked, dealt in (("grams", slice(10, 16), 0, ~by_pair, middle), ("reports", slice(0, 6), self.bits, by_pair, keys)):
+            asked = np.flatnonzero(asked)
+            for table, own, at, below in self._found(keys[asked], _shard(dealt[asked], self.bits), name, arrays, bits):
+                own, code = asked[own], table[2][at].astype(np.int64)
+                near, far = np.flatnonzero(code < 255), np.flatnonzero(code == 255)
+                out[own[near]] = table[3].reshape(-1, 4)[code[near]]
+                out[own[far]] = table[5].reshape(-1, 4)[np.searchsorted(table[4], below[far])]
         return out
 
     def of_words(self, words: np.ndarray) -> list[np.ndarray]:
@@ -317,16 +388,17 @@ class Model:
         low = (_discounted(preceding, self.discount[0]) + self.spare / (self.words + 1)) / self.preceding if self.preceding else np.full(len(known), 1.0 / (self.words + 1))
         p, d = low[of_word], self.discount[1]
         pair = pair_key(context, word)
-        keys, at = np.unique(pair, return_inverse=True)
-        seen = _discounted(self.counts(keys, _shard(keys, self.bits), 2), d)[at]
+        shards = _shard(self.book.dealt(columns), self.bits)
+        keys, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        seen = _discounted(self.counts(keys, shards[first], 2), d)[at]
         whole, spare = total[of_context], (d[0] * n1 + d[1] * n2 + d[2] * n3)[of_context]
         p = np.where(whole > 0, (seen + spare * p) / np.maximum(whole, 1), p)
         if self.order == 3:
             d, before = self.discount[2], pair_key(columns[0], context)
             keys, first, at = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
-            seen = _discounted(self.counts(keys, _shard(pair[first], self.bits), 3), d)[at]
-            keys, at = np.unique(before, return_inverse=True)
-            stats = self.contexts(keys)
+            seen = _discounted(self.counts(keys, shards[first], 3), d)[at]
+            keys, first, at = np.unique(before, return_index=True, return_inverse=True)
+            stats = self.contexts(keys, context[first])
             whole, spare = stats[:, 0][at], (stats[:, 1:] @ np.array(d))[at]
             p = np.where(whole > 0, (seen + spare * p) / np.maximum(whole, 1), p)
         base = np.log10((count[of_word] + 1) / (self.tokens + self.words + 1))
@@ -354,14 +426,26 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
     if not rows:
         return None
     bits = max(0, int(np.ceil(np.log2(max(size, 1) / shard_bytes))))
-    shard_key = lambda columns: pair_key(columns[-2], columns[-1])
+    book = _book(texts, size, bits)
+
+    def blobs_of(columns: list[np.ndarray], times: np.ndarray, words: np.ndarray, codes: np.ndarray, to: int) -> pa.RecordBatch:
+        shards = _shard(book.dealt([words[c] for c in columns]), to)
+        return _rows([(s, _grams_blob([c[at] for c in columns], times[at], words, codes, len(book.words))) for s, at in _slices(shards)])
+
+    def by_code(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, those of the book first and the frequent ones before others; their codes; places in them instead of those in words."""
+        codes = book.code(words)
+        at = np.argsort(np.where(codes < 0, len(book.words), codes), kind="stable")
+        place = np.empty_like(at)
+        place[at] = np.arange(len(at))
+        return words[at], codes[at], place[ids]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n = Words(), [], 0
 
         def merged() -> Iterator[pa.RecordBatch]:
             for _, _, lead, own, starts in _blocks(held, order, block_tokens):
-                words, ids = np.unique(np.append(own, START), return_inverse=True)
+                words, codes, ids = by_code(*np.unique(np.append(own, START), return_inverse=True))
                 columns = [c[lead:] for c in _columns(ids[:-1].astype(np.uint64), starts, order, _U(ids[-1]))]
                 # the last two words first, so that n-grams with equal ones lie together
                 width = _U(max(int(len(words) - 1).bit_length(), 1))
@@ -373,8 +457,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
                 times, both, mask = np.diff(np.append(first, len(both))), both[first], (_U(1) << width) - _U(1)
                 found = [(both >> (width * _U(k)) & mask).astype(np.int64) for k in range(order)]  # the last packed first
                 found = [*found[: order - 2], found[-1], found[-2]]
-                shards = _shard(shard_key([words[c] for c in found]), min(bits, deal_bits))
-                yield _rows([(s, _grams_blob([c[at] for c in found], times[at], words)) for s, at in _slices(shards)])
+                yield blobs_of(found, times, words, codes, min(bits, deal_bits))
 
         for b in batches:
             for text in b.column(0):
@@ -387,7 +470,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
             yield from merged()
 
     def deal_on(done: int, to: int):
-        """Splits the blobs of 2 ** done shards into those of 2 ** to, gathering a block's worth first."""
+        """Splits the blobs of 2 ** done shards into those of 2 ** to, gathering a block's worth first and adding up equal n-grams."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
@@ -395,13 +478,16 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
             def split() -> pa.RecordBatch:
                 parts, times = zip(*held, strict=True)
                 columns, counts = [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(times)
-                words, ids = np.unique(np.concatenate(columns), return_inverse=True)
+                words, codes, ids = by_code(*np.unique(np.concatenate(columns), return_inverse=True))
                 found = np.split(ids, order)
-                return _rows([(s, _grams_blob([c[own] for c in found], counts[own], words)) for s, own in _slices(_shard(shard_key(columns), to))])
+                at = np.lexsort((*found[:-2], found[-1], found[-2]))
+                found = [c[at] for c in found]
+                first = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in found], axis=0)))
+                return blobs_of([c[first] for c in found], np.add.reduceat(counts[at], first), words, codes, to)
 
             for b in batches:
                 for blob in b.column(1):
-                    held.append(_grams(blob.as_py()))
+                    held.append(_grams(blob.as_py(), book.words))
                     n += len(held[-1][1])
                     if n >= block_tokens:
                         yield split()
@@ -413,10 +499,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
 
     def merge_grams(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        parts, times = zip(*(_grams(blob.as_py()) for blob in table.column("data")), strict=True)
+        parts, times = zip(*(_grams(blob.as_py(), book.words) for blob in table.column("data")), strict=True)
         columns, times = [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(times)
         del parts
-        suffix = shard_key(columns)
+        suffix = pair_key(columns[-2], columns[-1])
         before = pair_key(columns[0], columns[1]) if order == 3 else columns[0]
         whole = pair_key(before, columns[-1])
         at = np.argsort(whole)
@@ -424,20 +510,23 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
         first = _runs(whole)
         n, whole, at = np.add.reduceat(times[at], first), whole[first], at[first]
         del times
-        tables = _count_table(_below(whole, bits if order == 2 else 0), n)  # trigrams are not dealt by their own hash
+        tables = _count_table(_below(whole, bits if order == 2 else 0), n)  # only bigrams are dealt by their own hash
         del whole
         columns, suffix, before = [c[at] for c in columns], suffix[at], before[at]
         levels, made = [_counts_of_counts(n)], []
         counted, occurrences = columns[-1], n
         if order == 3:
-            found = _by_context(before, n)
+            by_pair = book.by_pair(columns[1])
+            found = _by_context(before[by_pair], n[by_pair])
             for target, own in _slices(_shard(found[0], bits)):
                 keys = _below(found[0][own], bits)
                 made.append((target, 0, _pack(np.diff(keys, prepend=_U(0)) & _MASK32, np.diff(keys, prepend=_U(0)) >> _U(32), *(f[own] for f in found[1:]))))
             order_of = np.argsort(suffix)
             first = _runs(suffix[order_of])
             below = np.diff(np.append(first, len(order_of)))
-            tables += _count_table(_below(suffix[order_of][first], bits), below)
+            tables += _count_table(_below(suffix[order_of][first], 0), below)
+            found = _by_context(before[~by_pair], n[~by_pair])
+            tables += _context_table(_below(found[0], 0), np.stack(found[1:], axis=1))
             levels.append(_counts_of_counts(below))
             one = order_of[first]
             context, word, n = columns[1][one], columns[2][one], below
@@ -487,7 +576,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
     merged = written(reports.groupBy("shard").applyInArrow(merge_reports, ", ".join(f"w{i} long" for i in range(18))))
     w = list(merged.agg(*(F.sum(f"w{i}") for i in range(18))).first())
     levels = [w[3:8], w[8:13]] if order == 2 else [w[3:8], w[13:18], w[8:13]]
-    return Model(folder, bits, order, {"tokens": w[0], "words": w[1], "preceding": w[2]}, levels)
+    return Model(folder, bits, order, book, {"tokens": w[0], "words": w[1], "preceding": w[2]}, levels)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = SCORE_TOKENS) -> DataFrame:

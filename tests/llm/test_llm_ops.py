@@ -336,11 +336,18 @@ def kneser_ney(train, order):
     return p, base, uni
 
 
-@pytest.mark.parametrize(("order", "shard_bytes", "block", "deal_bits"), [(2, 1 << 24, 1_500_000, 10), (2, 40_000, 700, 1), (3, 1 << 24, 1_500_000, 10), (3, 40_000, 700, 1)])
-def test_ngram_scores_match_a_plain_model(spark, order, shard_bytes, block, deal_bits):
+#: Whole, in many shards with frequent middle words, and with a book so small that words outside it may be frequent.
+NGRAM_CASES = [(2, 1 << 24, 1_500_000, 10, 1 << 16), (2, 40_000, 700, 1, 30), (3, 1 << 24, 1_500_000, 10, 1 << 16), (3, 40_000, 700, 1, 1 << 16), (3, 40_000, 700, 10, 2000), (3, 40_000, 700, 1, 5)]
+
+
+@pytest.mark.parametrize(("order", "shard_bytes", "block", "deal_bits", "book"), NGRAM_CASES)
+def test_ngram_scores_match_a_plain_model(spark, monkeypatch, order, shard_bytes, block, deal_bits, book):
+    monkeypatch.setattr(ngram, "BOOK", book)
     docs = table(spark, "documents").limit(80)
     texts = {r.doc_id: words(r.text) for r in docs.collect()}
     model = ngram.train(docs.where("doc_id % 3 <> 0"), order=order, shard_bytes=shard_bytes, deal_bits=deal_bits, block_tokens=block)
+    if order == 3:
+        assert (model.book.frequent is None) == (book == 5) and (book == 5 or bool(len(model.book.frequent)) == (model.bits > 0))
     p, base, uni = kneser_ney([w for i, w in texts.items() if i % 3], order)
     for context in (("the",), ("of", "the"), ("<s >", "<s >"), ("never", "seen")):
         context = context[-order + 1 :]
@@ -353,6 +360,24 @@ def test_ngram_scores_match_a_plain_model(spark, order, shard_bytes, block, deal
         assert math.isclose(r.score, sum(math.log10(p(g)) for g in zip(*(own[k:] for k in range(order)), strict=False)), rel_tol=1e-9)
 
 
+def test_ngram_book_comes_from_a_sample_and_changes_no_count(spark, monkeypatch):
+    docs = table(spark, "documents")
+    found = []
+    for sample in (ngram.SAMPLE_BYTES, 20_000, 0):
+        monkeypatch.setattr(ngram, "SAMPLE_BYTES", sample)
+        model = ngram.train(docs, shard_bytes=100_000)
+        found.append((len(model.book.words), {(r.doc_id, r.score) for r in ngram.score(docs, model).collect()}))
+    assert found[0][0] > found[1][0] > found[2][0] and found[0][1] == found[1][1] == found[2][1]
+
+
+def test_ngram_dealing_adds_equal_ngrams_up(spark, docs):
+    """A pair that every block holds: its shards' blobs carry it once a block's worth."""
+    corpus = docs(*((i, "same old words again " * 50) for i in range(64)))
+    model = ngram.train(corpus, shard_bytes=400, deal_bits=1, block_tokens=500)
+    assert model.tokens == 64 * 201 and model.words == 5
+    assert ngram.score(corpus, model).select(F.round("score", 9)).distinct().count() == 1
+
+
 def test_ngram_tables_of_large_counts():
     keys, counts = np.arange(1, 5000, dtype=np.uint64) * np.uint64(50_000_000_000), np.arange(1, 5000)
     assert sorted(np.concatenate(ngram._search(ngram._count_table(keys, counts), keys)).tolist()) == sorted([*range(4999)] * 2)
