@@ -107,7 +107,7 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys)
     ordered = keys[order]
     first = _runs(ordered)
-    return ordered[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
+    return ordered[first], *(np.add.reduceat(v[order], first, dtype=np.int64) if len(keys) else v.astype(np.int64) for v in values)
 
 
 def _slices(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -217,7 +217,7 @@ def _grams_blob(columns: list[np.ndarray], times: np.ndarray, words: np.ndarray,
 def _grams(blob: bytes, book: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     words, times, *columns = _unpack(blob)
     words = np.concatenate([book, words])
-    return [words[c] for c in columns], times.astype(np.int64)
+    return [words[c] for c in columns], times
 
 
 def _rows(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -246,8 +246,10 @@ def _count_table(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 
 def _context_table(keys: np.ndarray, stats: np.ndarray) -> list[np.ndarray]:
     """Contexts with (total, n1, n2, n3): the 255 most frequent such rows have a code, others stand apart."""
-    small = (stats < 1 << 15).all(axis=1)
-    packed = np.where(small, (stats.astype(np.uint64) << np.array([48, 32, 16, 0], dtype=np.uint64)).sum(axis=1, dtype=np.uint64), _U(0))
+    small = stats.max(axis=1, initial=0) < 1 << 15
+    packed = np.zeros(len(keys), dtype=np.uint64)
+    for k, shift in enumerate((48, 32, 16, 0)):
+        packed[small] |= stats[small, k].astype(np.uint64) << _U(shift)
     known, place, times = np.unique(packed, return_inverse=True, return_counts=True)
     best = np.argsort(-times, kind="stable")[:255]
     code = np.full(len(known), 255)
@@ -411,7 +413,7 @@ def _counts_of_counts(x: np.ndarray) -> list[int]:
 
 def _by_context(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per context: total, and the numbers of counts 1, 2 and above 2."""
-    return _sums(keys, counts, *(x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2)))
+    return _sums(keys, counts, *(x.view(np.uint8) for x in (counts == 1, counts == 2, counts > 2)))
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD_BYTES, deal_bits: int = DEAL_BITS, block_tokens: int = BLOCK_TOKENS) -> Model | None:
@@ -483,7 +485,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
                 at = np.lexsort((*found[:-2], found[-1], found[-2]))
                 found = [c[at] for c in found]
                 first = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in found], axis=0)))
-                return blobs_of([c[first] for c in found], np.add.reduceat(counts[at], first), words, codes, to)
+                return blobs_of([c[first] for c in found], np.add.reduceat(counts[at], first, dtype=np.int64), words, codes, to)
 
             for b in batches:
                 for blob in b.column(1):
@@ -499,50 +501,54 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
 
     def merge_grams(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        parts, times = zip(*(_grams(blob.as_py(), book.words) for blob in table.column("data")), strict=True)
-        columns, times = [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(times)
+        # what is no longer needed goes at once: a worker's memory holds few arrays of a shard's length
+        parts = [_grams(blob.as_py(), book.words) for blob in table.column("data")]
+        times = np.concatenate([own for _, own in parts])
+        columns = [np.concatenate([own.pop(0) for own, _ in parts]) for _ in range(order)]
         del parts
-        suffix = pair_key(columns[-2], columns[-1])
-        before = pair_key(columns[0], columns[1]) if order == 3 else columns[0]
-        whole = pair_key(before, columns[-1])
+        whole = pair_key(columns[0], columns[1]) if order == 2 else pair_key(pair_key(columns[0], columns[1]), columns[2])
         at = np.argsort(whole)
         whole = whole[at]
         first = _runs(whole)
-        n, whole, at = np.add.reduceat(times[at], first), whole[first], at[first]
-        del times
+        n, whole, at = np.add.reduceat(times[at], first, dtype=np.int64), whole[first], at[first]
+        del times, first
         tables = _count_table(_below(whole, bits if order == 2 else 0), n)  # only bigrams are dealt by their own hash
         del whole
-        columns, suffix, before = [c[at] for c in columns], suffix[at], before[at]
+        for k in range(order):
+            columns[k] = columns[k][at]
+        del at
         levels, made = [_counts_of_counts(n)], []
-        counted, occurrences = columns[-1], n
+        occurrences = _sums(columns[-1], n)
         if order == 3:
-            by_pair = book.by_pair(columns[1])
+            before, by_pair = pair_key(columns[0], columns[1]), book.by_pair(columns[1])
+            columns[0] = None
             found = _by_context(before[by_pair], n[by_pair])
             for target, own in _slices(_shard(found[0], bits)):
                 keys = _below(found[0][own], bits)
                 made.append((target, 0, _pack(np.diff(keys, prepend=_U(0)) & _MASK32, np.diff(keys, prepend=_U(0)) >> _U(32), *(f[own] for f in found[1:]))))
-            order_of = np.argsort(suffix)
-            first = _runs(suffix[order_of])
-            below = np.diff(np.append(first, len(order_of)))
-            tables += _count_table(_below(suffix[order_of][first], 0), below)
-            found = _by_context(before[~by_pair], n[~by_pair])
-            tables += _context_table(_below(found[0], 0), np.stack(found[1:], axis=1))
-            levels.append(_counts_of_counts(below))
-            one = order_of[first]
-            context, word, n = columns[1][one], columns[2][one], below
-        else:
-            context, word = columns
+            keys, *found = _by_context(before[~by_pair], n[~by_pair])
+            del before, by_pair, n
+            found = np.stack([_narrow(x) for x in found], axis=1)
+            contexts = _context_table(_below(keys, 0), found)
+            del keys, found
+            suffix = pair_key(columns[1], columns[2])
+            at = np.argsort(suffix)
+            suffix = suffix[at]
+            first = _runs(suffix)
+            n = np.diff(np.append(first, len(at)))
+            tables += _count_table(_below(suffix[first], 0), n) + contexts
+            levels.append(_counts_of_counts(n))
+            columns = [c[at[first]] for c in columns[1:]]
+            del suffix, at, first
         _save(folder, f"grams-{s}", tables)
+        del tables
         # words: occurrences, different words before, and what they need as contexts of pairs
+        context, word = columns
+        counted = (occurrences, _sums(word, np.ones(len(word), dtype=np.uint8)), _sums(context, n, *(x.view(np.uint8) for x in (n == 1, n == 2, n > 2))))
+        sizes = [len(keys) for keys, *_ in counted]
         none = lambda k: np.zeros(k, dtype=np.int64)
-        k, m = len(counted), len(word)
-        stats = (n, n == 1, n == 2, n > 2)
-        found = _sums(
-            np.concatenate([counted, word, context]),
-            np.concatenate([occurrences, none(2 * m)]),
-            np.concatenate([none(k), none(m) + 1, none(m)]),
-            *(np.concatenate([none(k + m), x.astype(np.int64)]) for x in stats),
-        )
+        spread = [np.concatenate([none(sum(sizes[:i])), x, none(sum(sizes[i + 1 :]))]) for i, (_, *values) in enumerate(counted) for x in values]
+        found = _sums(np.concatenate([keys for keys, *_ in counted]), *spread)
         made += [(target, 1, _pack(*(f[own] for f in found))) for target, own in _slices(_shard(found[0], bits))]
         tally = [x for level in levels for x in level] + [0] * (10 - 5 * len(levels))
         out = {"shard": pa.array([t for t, _, _ in made], pa.int64()), "kind": pa.array([x for _, x, _ in made], pa.int32()), "data": pa.array([x for _, _, x in made], pa.binary())}
