@@ -322,10 +322,11 @@ fstats = lambda f, o, h: stats.folder_stats(f, o, counted(h))
 _FOLDER_CONDITIONS = [{"field": "name", "value": "199*", "match": "wildcard"}, {"field": "files", "from": "20", "to": ""}, {"field": "date", "from": "1990-01-01"}]
 add("sch_03_folders", "f_line f_folders f_hashes f_locations", lambda f, o, h, w: search.search_folders(o, fstats(f, o, h), w, _FOLDER_CONDITIONS).select("filename", "location_id", "file_size", "file_count", "dup_count"),
     f"select regexp_extract(rel_path, '[^/]*$') as filename, location_id, total_size as file_size, file_count, duplicate_count as dup_count from ({_FSTATS}) where regexp_extract(rel_path, '[^/]*$') like '199%' and file_count >= 20")
-add("sch_04_search_all", "f_line f_folders f_hashes f_locations",
-    lambda f, o, h, w: search.search_page(f, h, w, search.search_folders(o, fstats(f, o, h), w, _FOLDER_CONDITIONS), "size", True, page=1, name="9", location_id=HERE).select("filename", "type_high", "file_size"),
-    f"""with r as (select filename, type_high, file_size, file_id from f_line where filename like '%9%' and location_id = {HERE} union all select regexp_extract(rel_path, '[^/]*$'), 'folder', total_size, -1 from ({_FSTATS}) where regexp_extract(rel_path, '[^/]*$') like '199%' and file_count >= 20)
-    select filename, type_high, file_size from (select *, row_number() over (order by file_size desc, file_id) as k from r) where k between 121 and 240""")
+for _page, _name in enumerate(("sch_04_first_page", "sch_04_search_all")):
+    add(_name, "f_line f_folders f_hashes f_locations",
+        lambda f, o, h, w, page=_page: search.search_page(f, h, w, search.search_folders(o, fstats(f, o, h), w, _FOLDER_CONDITIONS), "size", True, page=page, name="9", location_id=HERE).select("filename", "type_high", "file_size"),
+        f"""with r as (select filename, type_high, file_size, file_id from f_line where filename like '%9%' and location_id = {HERE} union all select regexp_extract(rel_path, '[^/]*$'), 'folder', total_size, -1 from ({_FSTATS}) where regexp_extract(rel_path, '[^/]*$') like '199%' and file_count >= 20)
+        select filename, type_high, file_size from (select *, row_number() over (order by file_size desc, file_id) as k from r) where k between {120 * _page + 1} and {120 * _page + 120}""")
 add("sch_04_totals", "f_line f_folders f_hashes f_locations", lambda f, o, h, w: search.totals(search.search_all(search.search(dup(f, h), h, w, name="9"), search.search_folders(o, fstats(f, o, h), w, _FOLDER_CONDITIONS))),
     f"select (select count(*) from f_line where filename like '%9%') + count(*) as total, count(*) as folders from ({_FSTATS}) where regexp_extract(rel_path, '[^/]*$') like '199%' and file_count >= 20")
 add("sch_05_by_hash", "f_line f_hashes f_locations", lambda f, h, w: search.search_by_hash(f, h, w, _ONE_STRONG).select(*_COLS), _found_sql(f"hs.hash_strong = '{_ONE_STRONG}' or hs.hash_fast = '{_ONE_STRONG}'"))
