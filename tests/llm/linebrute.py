@@ -27,16 +27,20 @@ def edits(a, b):
     return row[-1]
 
 
-def blocks(words):
-    """What a line's blocks hold; lines that agree in one meet."""
+def blocks(words, similarity=0.8):
+    """What lines meet in: blocks, words but for two, characters but for two."""
     n, hashed = len(words), [(xxhash.xxh64_intdigest(w, 42), w) for w in words]
-    bits = max(2, (n // 4).bit_length() - 1)
-    if n < 10:
-        own = {(0, two): tuple(sorted(w for h, w in hashed if h >> 62 in two)) for two in itertools.combinations(range(4), 2)}
-        return {(k, v) for k, v in own.items() if len(v) >= 2}
-    times = Counter(words)
-    own = {(bits, i): tuple(sorted(w for h, w in hashed if h >> (64 - bits) == i and times[w] == 1)) for i in range(6)}
-    return {(k, v) for k, v in own.items() if len(v) >= (3 if bits > 2 else 2)}
+    own, line = set(), " ".join(words)
+    if n >= 10:
+        bits = max(2, (n // 4).bit_length() - 1)
+        times = Counter(words)
+        held = {(bits, i): tuple(sorted(w for h, w in hashed if h >> (64 - bits) == i and times[w] == 1)) for i in range(6)}
+        own |= {(k, v) for k, v in held.items() if len(v) >= (3 if bits > 2 else 2)}
+    if 2 <= n <= 10:
+        own |= {("words", x) for k in range((n >= 3) + (n >= 5) + 1) for x in itertools.combinations(words, n - k)}
+    if len(line) <= 14:
+        own |= {("characters", x) for k in range(int((1 - similarity) * len(line) + 1e-6) + 1) for x in itertools.combinations(line, len(line) - k)}
+    return own
 
 
 def alike(a, b, similarity=0.8):
@@ -45,7 +49,8 @@ def alike(a, b, similarity=0.8):
 
 
 def meet(a, b, radius=16):
-    return not _blocks(a).isdisjoint(_blocks(b)) and (_simhash(a) ^ _simhash(b)).bit_count() <= radius
+    short = min(len(a.split(" ")), len(b.split(" "))) < 10
+    return not _blocks(a).isdisjoint(_blocks(b)) and (short or (_simhash(a) ^ _simhash(b)).bit_count() <= radius)
 
 
 @lru_cache(maxsize=None)
