@@ -25,7 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with alike 5-word shingles (Jaccard 0.8 or more) stays, the one with the smallest id."""
+    """One document of each group with alike 5-word shingles (Jaccard 0.8 or more) stays, the one with the smallest id.
+
+    Candidates are those of operator 6, and for what its two bits do not reach those of MinHash; see shingledup.
+    """
     return keep_one_alike(docs).select(*docs.columns)
 
 

@@ -1,7 +1,9 @@
 """Near-duplicate documents by the exact Jaccard similarity of their word shingles.
 
-MinHash only proposes candidates: 32 bands of 4 values each, so a pair at similarity 0.8 meets in no band with a
-probability of (1 - 0.8 ** 4) ** 32, some 5 in 100 million. Exact similarity of the shingle sets decides.
+Candidates come from two sides. Operator 6's SimHash, over the same shingles, brings texts together whose fingerprints
+link at 2 or fewer differing bits; at a similarity of 0.8 fingerprints differ in some 10 bits, so it meets the nearest
+copies only. MinHash brings the rest: 32 bands of 4 values each, so a pair at similarity 0.8 meets in no band with a
+probability of (1 - 0.8 ** 4) ** 32, some 5 in 100 million. Exact similarity of the shingle sets decides for both.
 
 Documents with equal sets are one node. In each bucket the members are compared with leaders first; see buckets.py.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lantern.llm.buckets import dealt, linked_in_buckets
 from lantern.llm.common import prepare, written
-from lantern.llm.simhash import keep_least
+from lantern.llm.simhash import fingerprint, fingerprint_groups, keep_least
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
@@ -59,7 +61,7 @@ def bands(values: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, key, node, n, bands): per row, the text's hash, the hash of its shingle set, the set's size and bands."""
+    """(doc_id, key, node, n, fp, bands): per row, the text's hash, the hash of its shingle set, the set's size, the SimHash of operator 6 and the set's bands."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("key"), F.col(text_col).cast("binary").alias("text"))
 
@@ -67,10 +69,10 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
         for b in batches:
             sets = [shingles(x.as_py(), width) for x in b.column(2)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "bands"])
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(x.as_py(), width) for x in b.column(2)], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "fp", "bands"])
 
-    return source.mapInArrow(run, "doc_id long, key long, node long, n int, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, key long, node long, n int, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -95,7 +97,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def alike_nodes(docs: DataFrame, marked: DataFrame, nodes: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
     """(node, component) of the nodes that have a similar other one."""
-    placed = marked.dropDuplicates(["node"]).select("node", F.struct("n").alias("info"), F.explode(F.array_distinct("bands")).alias("bucket"))
+    by_band = marked.dropDuplicates(["node"]).select("node", F.struct("n").alias("info"), F.explode(F.array_distinct("bands")).alias("bucket"))
+    # one set of shingles may have several fingerprints, as those count repeats
+    prints = written(marked.where("n > 0").select("node", "n", "fp").distinct())
+    groups = fingerprint_groups(prints.select("fp").distinct())
+    by_print = prints.join(groups, "fp").select("node", F.struct("n").alias("info"), F.xxhash64(F.lit("simhash"), "component").alias("bucket")).distinct()
+    placed = by_band.unionByName(by_print)
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = written(placed.join(shared, "bucket"))
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("key")

@@ -93,6 +93,12 @@ def near_pairs(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     ).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
+def fingerprint_groups(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, component): the different fingerprints of column fp, each with the smallest one that links of at most `radius` bits reach, itself included."""
+    linked = connected_components(near_pairs(distinct_fps, radius)).withColumnRenamed("node", "fp")
+    return distinct_fps.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): per input row, its fingerprint and the smallest id its links reach, itself included.
 
@@ -102,8 +108,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = written(fingerprints(docs, id_col, text_col, width))
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = connected_components(near_pairs(nodes, radius))
-    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = fingerprint_groups(nodes, radius)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     groups = written(named.select("fp", "component").join(least, "component").select("fp", "component_id"))
     return marked.join(groups, "fp").select("doc_id", "fp", "component_id")

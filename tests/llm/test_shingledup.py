@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lantern.llm import buckets, shingledup
+from lantern.llm.common import written
 from tests.llm.test_llm_ops import words
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,17 @@ def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
         monkeypatch.setattr(buckets, "DEALT", dealt)
         found.append({r.node: r.component for r in buckets.linked_in_buckets(met, near, judge).collect()})
     assert found[0] == found[1] == found[2] == {x: x // 100 * 100 for x in values if x < 900}
+
+
+def test_operator_6_proposes_pairs_that_no_band_holds(docs):
+    """Without any MinHash band, texts whose fingerprints differ in two bits at most still meet; exact similarity decides."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    spam = "buy " * 3000
+    df = docs((1, long), (2, long.replace("w1500 ", "")), (3, spam + "a b c d e f"), (4, spam + " ".join(f"x{i}" for i in range(40))))
+    marked = written(shingledup._marked(df, "doc_id", "text", 5)).withColumn("bands", F.array().cast("array<bigint>"))
+    own = {r.doc_id: r.node for r in marked.collect()}
+    prints = {r.doc_id: r.fp for r in marked.collect()}
+    assert all(((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= 2 for a, b in ((1, 2), (3, 4)))
+    nodes = marked.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    linked = {r.node: r.component for r in shingledup.alike_nodes(df, marked, nodes, "text", 5, 0.8).collect()}
+    assert linked == {own[i]: min(own[1], own[2]) for i in (1, 2)}
