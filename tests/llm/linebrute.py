@@ -34,8 +34,10 @@ def blocks(words, similarity=0.8):
     if n >= 10:
         bits = max(2, (n // 4).bit_length() - 1)
         times = Counter(words)
-        held = {(bits, i): tuple(sorted(w for h, w in hashed if h >> (64 - bits) == i and times[w] == 1)) for i in range(6)}
-        own |= {(k, v) for k, v in held.items() if len(v) >= (3 if bits > 2 else 2)}
+        held = {}
+        for h, w in sorted((h, w) for h, w in hashed if times[w] == 1):
+            held.setdefault((bits, h >> (64 - bits)), []).append(w)
+        own |= {(k, tuple(sorted(v))) for k, v in held.items() if len(v) >= (3 if bits > 2 else 2)}
     if 2 <= n <= 10:
         own |= {("words", x) for k in range((n >= 3) + (n >= 5) + 1) for x in itertools.combinations(words, n - k)}
     if len(line) <= 14:

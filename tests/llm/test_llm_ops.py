@@ -463,6 +463,21 @@ def test_short_lines_meet_but_for_a_changed_word_or_two(docs):
     assert got == linebrute.dedup(lines) and sum(t == "" for t in got.values()) >= 0.9 * len(rows)
 
 
+def test_lines_meet_in_any_of_their_blocks(docs):
+    """A line of 64 words has 16 blocks; here the first six differ, as many as were once looked at."""
+    random.seed(12)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}word{random.randrange(10**6)}" for _ in range(64)]
+        place = [xxhash.xxh64_intdigest(w, 42) >> 60 for w in base]
+        changed = {place.index(b) for b in range(6) if b in place}
+        rows.append((" ".join(base), " ".join(f"{w}x" if i in changed else w for i, w in enumerate(base))))
+    assert all(linebrute.meet(a, b) and linebrute.alike(a, b) for a, b in rows)
+    lines = [(2 * i + k, x) for i, pair in enumerate(rows) for k, x in enumerate(pair)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(*lines)).collect()}
+    assert got == linebrute.dedup(lines) and all(got[2 * i + 1] == "" for i in range(len(rows)))
+
+
 def test_line_dedup_odd_rows(odd):
     out = linededup.dedup_lines(odd.withColumn("drop", F.lit(1)).withColumn("key", F.lit("k")))
     got = [(r.doc_id, r.text) for r in out.collect()]
