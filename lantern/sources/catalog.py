@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,14 +145,16 @@ def _looked_up(root: str, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 
 def parse_listing(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed rows of tab-separated records D, F, P, H, E, X; records with too few fields or unknown kinds are dropped."""
-    parts = F.split(F.col(column), "\t")
+    # exploded, as an array of one: the optimizer would put the whole expression of a line in each place that names a field
+    fields = lines.select(*(c for c in lines.columns if c != column), F.explode(F.array(F.split(F.col(column), "\t"))).alias("__parts"))
+    parts = F.col("__parts")
     field = lambda i: F.get(parts, F.lit(i))
     kind = field(0)
     enough = F.when(kind.isin("P", "E", "X"), True)
     for k, n in MINIMUM_FIELDS.items():
         enough = F.when(kind == k, F.size(parts) >= n).otherwise(enough)
     is_file = kind == "F"
-    return lines.where(enough).select(
+    return fields.where(enough).select(
         *(c for c in lines.columns if c != column),
         kind.alias("kind"),
         F.when(kind.isin("D", "F", "H", "X"), field(1)).alias("path"),
@@ -174,9 +178,11 @@ def failed_listing(records: DataFrame) -> DataFrame:
 def assemble_listing(records: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Files with their partial hashes, one row per path; a hash may be missing. Of repeated files the smallest record counts."""
     key = [*(key or []), "path"]
-    files = records.where("kind = 'F'").groupBy(*key).agg(F.min(F.struct("file_size", "mtime", "inode")).alias("f")).select(*key, "f.*")
-    found = records.where("kind = 'H'").groupBy(*key).agg(F.max(F.nullif("hash_partial", F.lit(""))).alias("hash_partial"))
-    return files.join(found, key, "left").withColumnRenamed("path", "rel_path")
+    file = F.when(F.col("kind") == "F", F.struct("file_size", "mtime", "inode"))
+    found = F.when(F.col("kind") == "H", F.nullif("hash_partial", F.lit("")))
+    both = records.where("kind in ('F', 'H')").groupBy(*key).agg(F.min(file).alias("f"), F.max(found).alias("__found")).where("f is not null")
+    known = reduce(and_, (F.col(c).isNotNull() for c in key))  # a null key equals none
+    return both.select(*key, "f.*", F.when(known, F.col("__found")).alias("hash_partial")).withColumnRenamed("path", "rel_path")
 
 
 def _upsert(old: DataFrame, new: DataFrame, key: list[str], take: dict[str, Column]) -> DataFrame:
