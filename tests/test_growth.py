@@ -1,6 +1,8 @@
 """What must not grow faster than the input: rows of one task, calls, and how often a plan runs what it comes from."""
 
+from lantern.operators import hashing
 from lantern.sources import catalog
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 HASHES = "file_id long, location_id long, file_size long, hash_partial string, hash_fast string, hash_strong string, dup_count long, excluded int, stale int"
@@ -15,6 +17,19 @@ def reads(df, path):
     return any(str(path) in x for x in df.inputFiles())
 
 
+def test_byte_batches_cut_a_disk_of_few_inodes(spark):
+    n, coalesce = 40_000, "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(0, n, 1, 4).selectExpr("1L as location_id", "id as file_id", "id % 100 as inode", "10L as file_size")
+    spark.conf.set(coalesce, "false")
+    try:
+        parts = hashing.byte_batches(rows, 1000)
+        assert parts.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < n
+    finally:
+        spark.conf.unset(coalesce)
+    ahead = F.col("inode") * 400 + F.floor(F.col("file_id") / 100)
+    assert parts.where(F.col("batch") != F.floor(ahead * 10 / 1000)).count() == 0 and parts.count() == n
+
+
 def test_listing_is_grouped_once(spark):
     lines = [(1, "F\ta\t5\t1\t2\t3"), (1, "H\ta\tx"), (1, "H\ta\t"), (1, "H\tb\ty"), (None, "F\ta\t6\t1\t2\t3"), (None, "H\ta\tz"), (1, "F\tc\tno"), (1, None)]
     listed = catalog.assemble_listing(catalog.parse_listing(spark.createDataFrame(lines, "location_id long, value string")), ["location_id"])
