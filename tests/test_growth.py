@@ -1,7 +1,9 @@
 """What must not grow faster than the input: rows of one task, calls, and how often a plan runs what it comes from."""
 
+import pandas as pd
 from lantern.operators import hashing
 from lantern.sources import catalog
+from lantern.streaming import stream
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -17,6 +19,30 @@ def reads(df, path):
     return any(str(path) in x for x in df.inputFiles())
 
 
+def test_arrivals_of_a_bucket_are_one_call():
+    class State:
+        exists, kept = False, None
+
+        def get(self):
+            return self.kept
+
+        get = property(get)
+
+        def update(self, value):
+            self.exists, self.kept = True, value
+
+    def told(rows, state):
+        part = pd.DataFrame(rows, columns=["key", "asking", "silent", "known_id", "met"])
+        (out,) = stream._answered((0,), iter([part]), state)
+        return [(a, None if pd.isna(m) else m, t) for a, m, t in zip(out["arrival_id"], out["match_id"], out["to_hash"], strict=True)]
+
+    state = State()
+    first = [("f:x", [2, 1], False, None, False), ("f:k", [3], False, 9.0, False), ("g:p:1", [4], False, None, False), ("g:q:1", [5], False, None, True), ("o:6", [6], False, None, False)]
+    assert told(first, state) == [(1, None, False), (2, 1, False), (3, 9, False), (4, None, False), (5, None, True), (6, None, False)]
+    assert told([("f:x", [7], False, None, False), ("g:p:1", [], True, None, False), ("g:q:1", [8], False, None, False)], state) == [(7, 1, False), (4, None, True), (8, None, True)]
+    assert set(state.kept[0]) == {"f:x", "f:k", "g:p:1", "g:q:1"}
+
+
 def test_byte_batches_cut_a_disk_of_few_inodes(spark):
     n, coalesce = 40_000, "spark.sql.adaptive.coalescePartitions.enabled"
     rows = spark.range(0, n, 1, 4).selectExpr("1L as location_id", "id as file_id", "id % 100 as inode", "10L as file_size")
