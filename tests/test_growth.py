@@ -1,7 +1,7 @@
 """What must not grow faster than the input: rows of one task, calls, and how often a plan runs what it comes from."""
 
 import pandas as pd
-from lantern.operators import hashing
+from lantern.operators import dups, hashing
 from lantern.sources import catalog
 from lantern.streaming import stream
 from pyspark.sql import functions as F
@@ -56,6 +56,13 @@ def test_byte_batches_cut_a_disk_of_few_inodes(spark):
     assert parts.where(F.col("batch") != F.floor(ahead * 10 / 1000)).count() == 0 and parts.count() == n
 
 
+def test_recount_runs_its_hashes_once(spark, tmp_path):
+    h = stored(spark.createDataFrame([(1, 1, 9, "p", "a", None, 5, 0, 0), (2, 1, 9, "p", "a", None, 1, 0, 0), (3, 1, 9, "p", "a", None, 1, 1, 0), (4, 1, 9, "p", "b", None, 7, 0, 0)], HASHES), tmp_path / "h")
+    flips = dups.recount_hashes(h, spark.createDataFrame([("a",)], "hash string"))
+    assert not reads(flips, tmp_path)
+    assert {tuple(r) for r in flips.collect()} == {(1, 1, 5, 1, 0), (3, 1, 1, 0, -1)}
+
+
 def test_listing_is_grouped_once(spark):
     lines = [(1, "F\ta\t5\t1\t2\t3"), (1, "H\ta\tx"), (1, "H\ta\t"), (1, "H\tb\ty"), (None, "F\ta\t6\t1\t2\t3"), (None, "H\ta\tz"), (1, "F\tc\tno"), (1, None)]
     listed = catalog.assemble_listing(catalog.parse_listing(spark.createDataFrame(lines, "location_id long, value string")), ["location_id"])
