@@ -74,8 +74,9 @@ _SPARK = {
         select location_id, explode(array(split_part(rel_dir,'/',1), concat(split_part(rel_dir,'/',1),'/',split_part(rel_dir,'/',2)), rel_dir)) as rel_path
         from (select distinct location_id, rel_dir from f_line) d union all select location_id, 'empty' as rel_path from f_locations) u""",
 }
-#: Views that are small beside the files, used several times by most queries, and so written once a query.
-_WRITTEN = {"f_folders"}
+#: Views that most queries use several times, and so written once a query: folders, and the five narrow columns that all
+#: columns of files come from, so that lineitem is grouped once and not in each branch of a plan.
+_WRITTEN = {"f_folders", "f_base"}
 
 
 def needed(*names: str) -> list[str]:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lantern.functions.fn import classify_high, classify_low, dirname, effective_hash, hidden_inherited, location_label, sources_text, stub_text, suffix_name
-from lantern.operators.dups import batch_unique, dup_recount, expand_to_duplicates, group_members, selected_groups
+from lantern.functions.fn import classify_high, classify_low, dirname, effective_hash, hidden_inherited, location_label, sources_text, spread_key, stub_text, suffix_name
+from lantern.operators.dups import ACTIVE, dup_recount, expand_to_duplicates, kind_and_hash, selected_groups
 from lantern.operators.tree import below
 from lantern.tables import numbered, written
 
@@ -65,17 +65,23 @@ def consolidate_plan(files: DataFrame, hashes: DataFrame, file_ids: DataFrame, o
     Of selected files with one hash the first by position counts. keep_here keeps it; move_to keeps the copy that lies in
     the destination folder, or a new one there (file_id null). Excluded copies are skipped, offline ones queued.
     """
-    own = batch_unique(hashes, file_ids)
-    members = group_members(hashes, own).select("selected_id", "file_id")
-    alone = own.select(F.col("file_id").alias("selected_id"), "file_id")
-    copies = members.union(alone).distinct().join(files.where("stale = 0").select("file_id", "location_id", "rel_dir", "excluded"), "file_id")
-    copies = copies.join(online.select("location_id", F.lit(True).alias("__on")).distinct(), "location_id", "left")
+    key = ["__verified", "__hash"]
+    rows = hashes.select("file_id", *(c.alias(k) for c, k in zip(kind_and_hash(), key, strict=True)), F.coalesce(F.expr(ACTIVE), F.lit(False)).alias("__active"))
+    wanted = file_ids.groupBy("file_id").agg(F.min("position").alias("position"), F.lit(True).alias("__wanted"))
+    both = rows.join(wanted, "file_id", "full_outer").withColumn("__key", spread_key(F.col("__hash"), F.col("file_id")))
+    # the first of each hash by position; a file without hash is its own group
+    own = both.where("__wanted").groupBy("__key").agg(F.min(F.struct("position", "file_id", "__verified")).alias("__own")).select("__key", F.col("__own.file_id").alias("selected_id"), F.col("__own.__verified").alias("__as"))
+    in_group = (F.col("file_id") == F.col("selected_id")) | (F.col("__hash").isNotNull() & F.col("__active") & (F.col("__verified") == F.col("__as")))
+    members = both.join(own, "__key").where(in_group).select("selected_id", "file_id")
+    there = (F.col("location_id") == dest_id) & (F.col("rel_dir") == dest_folder) if mode != "keep_here" else F.lit(False)
+    copies = members.join(files.where("stale = 0").select("file_id", "location_id", "excluded", there.alias("__there")), "file_id")
+    copies = copies.join(online.select("location_id", F.lit(True).alias("__on")).distinct(), "location_id", "left").select("selected_id", "file_id", "excluded", "__on", "__there")
     if mode == "keep_here":
         kept = F.col("file_id") == F.col("selected_id")
         rows = copies
     else:
-        there = (F.col("location_id") == dest_id) & (F.col("rel_dir") == dest_folder)
-        best = copies.where(there).groupBy("selected_id").agg(F.min("file_id").alias("__best"))
+        copies = written(copies)  # read for the copies there, all copies, and groups without one there
+        best = copies.where("__there").groupBy("selected_id").agg(F.min("file_id").alias("__best"))
         rows = copies.join(best, "selected_id", "left")
         kept = F.coalesce(F.col("file_id") == F.col("__best"), F.lit(False))
     role = F.when(kept, "canonical").when(F.col("excluded") == 1, "skipped").otherwise("stub")

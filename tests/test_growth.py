@@ -1,7 +1,9 @@
 """What must not grow faster than the input: rows of one task, calls, and how often a plan runs what it comes from."""
 
 import pandas as pd
+from lantern.fixtures import spark_views
 from lantern.operators import dups, hashing
+from lantern.plans import actions
 from lantern.sources import catalog
 from lantern.streaming import stream
 from pyspark.sql import functions as F
@@ -19,6 +21,11 @@ def reads(df, path):
     return any(str(path) in x for x in df.inputFiles())
 
 
+def test_files_come_from_one_grouping_of_lineitem(spark):
+    files, listing = spark_views(spark, SF, "f_line", "f_listing")
+    assert not reads(files, "lineitem") and not reads(listing, "lineitem")
+
+
 def test_arrivals_of_a_bucket_are_one_call():
     class State:
         exists, kept = False, None
@@ -68,3 +75,13 @@ def test_listing_is_grouped_once(spark):
     listed = catalog.assemble_listing(catalog.parse_listing(spark.createDataFrame(lines, "location_id long, value string")), ["location_id"])
     assert "Join" not in listed._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.location_id, r.rel_path, r.file_size, r.hash_partial) for r in listed.collect()} == {(1, "a", 5, "x"), (None, "a", 6, None)}
+
+
+def test_copies_to_move_are_run_once(spark, tmp_path):
+    h = stored(spark.createDataFrame([(1, 1, 9, "p", "a", None, 0, 0, 0), (2, 1, 9, "p", "a", None, 0, 1, 0), (3, 2, 9, "p", "a", None, 0, 0, 0), (4, 2, 9, "p", "a", "s", 0, 0, 0), (5, 1, 9, None, None, None, 0, 0, 0)], HASHES), tmp_path / "h")
+    f = stored(h.selectExpr("file_id", "location_id", "'d' as rel_dir", "excluded", "stale").union(spark.createDataFrame([(6, 1, "e", 0, 0)], "file_id long, location_id long, rel_dir string, excluded int, stale int")), tmp_path / "f")
+    picked = spark.createDataFrame([(i, 10 - i) for i in (1, 2, 5, 6)], "file_id long, position long")
+    plan = actions.consolidate_plan(f, h, picked, spark.createDataFrame([(1,)], "location_id long"), "move_to", 2, "d")
+    assert not reads(plan, tmp_path)
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in plan.collect())
+    assert got == [(2, 1, "stub", "stubbed"), (2, 2, "skipped", "skipped (excluded)"), (2, 3, "canonical", "kept"), (5, -1, "canonical", "copied"), (5, 5, "stub", "stubbed"), (6, -1, "canonical", "copied"), (6, 6, "stub", "stubbed")]
