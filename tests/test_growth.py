@@ -77,6 +77,13 @@ def test_listing_is_grouped_once(spark):
     assert {(r.location_id, r.rel_path, r.file_size, r.hash_partial) for r in listed.collect()} == {(1, "a", 5, "x"), (None, "a", 6, None)}
 
 
+def test_claims_are_run_once(spark, tmp_path):
+    claims = stored(spark.createDataFrame([(1, "d", "a.txt", "x/a.txt"), (2, "d", "A.txt", "y/A.txt"), (3, "d", "a_1.txt", "z"), (4, "d", "b.txt", "b")], "id long, directory string, filename string, rel_path string"), tmp_path / "c")
+    named = actions.resolve_names(claims, claims.limit(0).select("directory", "filename"))
+    assert not reads(named, tmp_path)
+    assert {r.id: r.final_name for r in named.collect()} == {1: "a.txt", 2: "A_2.txt", 3: "a_1.txt", 4: "b.txt"}
+
+
 def test_copies_to_move_are_run_once(spark, tmp_path):
     h = stored(spark.createDataFrame([(1, 1, 9, "p", "a", None, 0, 0, 0), (2, 1, 9, "p", "a", None, 0, 1, 0), (3, 2, 9, "p", "a", None, 0, 0, 0), (4, 2, 9, "p", "a", "s", 0, 0, 0), (5, 1, 9, None, None, None, 0, 0, 0)], HASHES), tmp_path / "h")
     f = stored(h.selectExpr("file_id", "location_id", "'d' as rel_dir", "excluded", "stale").union(spark.createDataFrame([(6, 1, "e", 0, 0)], "file_id long, location_id long, rel_dir string, excluded int, stale int")), tmp_path / "f")
