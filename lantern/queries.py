@@ -19,7 +19,7 @@ from lantern.plans.repair import repair
 from lantern.sources import catalog
 from lantern.sources.snapshots import publish, snapshot
 from lantern.streaming import stream
-from lantern.tables import prepare, shared_folder
+from lantern.tables import prepare, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,8 +76,66 @@ def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
 
 
 # --- sources and sinks ---
+#: Bytes of lines that are written at a time.
+_BLOCK = 4 << 20
+
+
+def _lines(parts):
+    """Blocks of the lines of each folder."""
+    import pandas as pd
+
+    for b in parts:
+        rows, folders = [], b["rel_dir"].fillna("__HIVE_DEFAULT_PARTITION__")
+        for folder, own in b["content"].groupby(folders):
+            block, size = [], 0
+            for text in own:
+                line = (text or "").encode() + b"\n"
+                if block and size + len(line) > _BLOCK:
+                    rows.append((folder, b"".join(block), size))
+                    block, size = [], 0
+                block.append(line)
+                size += len(line)
+            rows.append((folder, b"".join(block), size))
+        yield pd.DataFrame(rows, columns=["rel_dir", "lines", "size"])
+
+
+def _texts(docs: DataFrame) -> str:
+    """A tree of one text file per folder, a line per document.
+
+    Many tasks write a file, each its blocks of lines at their places, so none reads a whole folder. Where the shared folder is
+    no path, a file has one writer, as file systems there have it.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    root = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        return stored(docs.select("rel_dir", "content").repartition("rel_dir"), lambda w, f: w.partitionBy("rel_dir").text(f))
+    blocks = written(docs.select("rel_dir", "content").mapInPandas(_lines, "rel_dir string, lines binary, size long").withColumn("block", F.monotonically_increasing_id()))
+    before = Window.partitionBy("rel_dir").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    starts = blocks.select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+
+    def place(parts):
+        import os
+
+        for b in parts:
+            for folder, lines, start in zip(b["rel_dir"], b["lines"], b["start"], strict=True):
+                at = Path(root, f"rel_dir={folder}", "part-0.txt")
+                at.parent.mkdir(parents=True, exist_ok=True)
+                file = os.open(at, os.O_WRONLY | os.O_CREAT, 0o644)
+                try:
+                    done = 0
+                    while done < len(lines):
+                        done += os.pwrite(file, lines[done:], start + done)
+                finally:
+                    os.close(file)
+            yield b[["block"]]
+
+    blocks.join(starts, "block").select("block", "rel_dir", "lines", "start").mapInPandas(place, "block long").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def _scanned(docs: DataFrame, level: bool = False) -> DataFrame:
-    folder = stored(docs.select("rel_dir", "content").repartition("rel_dir"), lambda w, f: w.partitionBy("rel_dir").text(f))
+    folder = _texts(docs)
     found = catalog.scan_level(docs.sparkSession, f"{folder}/rel_dir=en") if level else catalog.scan_tree(docs.sparkSession, folder)
     return found.select(F.when(F.contains("rel_path", F.lit("/")), F.substring_index("rel_path", "/", 1)).otherwise("").alias("folder"), "file_size", "type_high").groupBy("folder", "type_high").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
 

@@ -1,6 +1,7 @@
 """What must not grow faster than the input: rows of one task, calls, and how often a plan runs what it comes from."""
 
 import pandas as pd
+from lantern import queries
 from lantern.fixtures import spark_views
 from lantern.operators import dups, hashing
 from lantern.plans import actions
@@ -77,6 +78,15 @@ def test_listing_is_grouped_once(spark):
     assert {(r.location_id, r.rel_path, r.file_size, r.hash_partial) for r in listed.collect()} == {(1, "a", 5, "x"), (None, "a", 6, None)}
 
 
+def test_several_tasks_write_a_folders_text(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_BLOCK", 50)
+    rows = [("en" if i % 3 else "de", None if i == 7 else f"text é {i}") for i in range(200)]
+    root = queries._texts(spark.createDataFrame(rows, "rel_dir string, content string").repartition(5))
+    for folder in ("en", "de"):
+        with open(f"{root}/rel_dir={folder}/part-0.txt", encoding="utf-8") as f:
+            assert sorted(f.read().split("\n")[:-1]) == sorted(c or "" for d, c in rows if d == folder)
+
+
 def test_claims_are_run_once(spark, tmp_path):
     claims = stored(spark.createDataFrame([(1, "d", "a.txt", "x/a.txt"), (2, "d", "A.txt", "y/A.txt"), (3, "d", "a_1.txt", "z"), (4, "d", "b.txt", "b")], "id long, directory string, filename string, rel_path string"), tmp_path / "c")
     named = actions.resolve_names(claims, claims.limit(0).select("directory", "filename"))
