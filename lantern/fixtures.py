@@ -92,8 +92,8 @@ def needed(*names: str) -> list[str]:
     return [x for x in CTES if x in found]
 
 
-def spark_views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """The named views as DataFrames over the Parquet tables of sf_dir."""
+def spark_views(spark: SparkSession, sf_dir: str, *names: str, once: tuple[str, ...] = ()) -> list[DataFrame]:
+    """The named views as DataFrames over the Parquet tables of sf_dir; those in `once`, which a query reads many times, are written, too."""
     import re
 
     made: dict[str, DataFrame] = {}
@@ -104,7 +104,7 @@ def spark_views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
             made.setdefault(x, spark.read.parquet(f"{sf_dir}/{x}.parquet"))
         text = reduce(lambda t, x: re.sub(rf"\b(from|join)\s+{x}\b", rf"\1 {{{x}}} as {x}", t), used, text)
         made[name] = spark.sql(text, **{x: made[x] for x in used})
-        if name in _WRITTEN:
+        if name in _WRITTEN or name in once:
             made[name] = written(made[name])
     return [made[x] for x in names]
 

@@ -51,7 +51,7 @@ def merged_metadata(files: DataFrame, hashes: DataFrame, tags: DataFrame, file_i
     key = ["__verified", "__hash"] + ["filename"] * same_name
     if same_name:
         own = own.join(files.select(F.col("file_id").alias("selected_id"), "filename"), "selected_id")
-    copies = members.select("__verified", "__hash", "file_id").join(info, "file_id")
+    copies = written(members.select("__verified", "__hash", "file_id").join(info, "file_id"))  # read for tags, and for what else they say
     words = copies.join(tags, "file_id").groupBy(*key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     said = F.when(F.coalesce("description", F.lit("")) != "", F.col("file_id"))
     rest = copies.groupBy(*key).agg(F.min_by("description", said).alias("description"), F.min("modified_at").alias("modified_at"))
@@ -112,13 +112,13 @@ def copied_rows(plan: DataFrame, files: DataFrame, hashes: DataFrame, tags: Data
     Names that are taken there, or wanted twice, get a number. Description, time and tags are merged_metadata's over the
     selected file's group (of its name alone with same_name); a file without hash keeps its own. The originals stay.
     """
-    done = plan.where("source_id is not null").select("selected_id", "source_id")
+    # the plan is run once: its files' names are written with their claims, and all that follows comes from those
+    done = plan.where("source_id is not null").select("selected_id")
     wanted = done.join(files.select(F.col("file_id").alias("selected_id"), "filename", "rel_path"), "selected_id")
     claims = wanted.select(F.col("selected_id").alias("id"), F.lit(folder).alias("directory"), "filename", "rel_path")
     taken = files.where((F.col("location_id") == location_id) & (F.col("rel_dir") == folder)).select(F.col("rel_dir").alias("directory"), "filename")
     path = F.concat(F.lit(f"{folder}/" if folder else ""), F.col("final_name"))
-    placed = resolve_names(claims, taken).select(F.col("id").alias("selected_id"), path.alias("rel_path"))
-    at = written(done.join(placed, "selected_id").select(F.col("selected_id").alias("file_id"), F.lit(location_id).cast("long").alias("location_id"), "rel_path"))
+    at = written(resolve_names(claims, taken).select(F.col("id").alias("file_id"), F.lit(location_id).cast("long").alias("location_id"), path.alias("rel_path")))
     made, hashed, _ = copy_rows(at, files, hashes, tags.limit(0))
     made = written(made)
     ids = made.select("location_id", "rel_path", F.col("file_id").alias("__new")).join(at, ["location_id", "rel_path"]).select(F.col("file_id").alias("selected_id"), "__new")

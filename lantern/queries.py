@@ -25,14 +25,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def add(name: str, views: str, run: Callable[..., DataFrame], sql: str | None) -> None:
-    """run gets the named views as DataFrames."""
+def add(name: str, views: str, run: Callable[..., DataFrame], sql: str | None, once: tuple[str, ...] = ()) -> None:
+    """run gets the named views as DataFrames, which stand as written tables where `once` names them or what they come from."""
     import re
 
     names = views.split()
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(*spark_views(spark, sf_dir, *names))
+        return run(*spark_views(spark, sf_dir, *names, once=once))
 
     QUERIES[name] = query
     if sql is not None:
@@ -595,7 +595,7 @@ add("plan_06_copied_rows", "f_line f_hashes f_tags f_locations", _copied,
     t as (select selected_id, string_agg(distinct tag, '|' order by tag) as tags from live join f_tags using (file_id) group by 1),
     o as (select file_id as selected_id, string_agg(tag, '|' order by tag) as tags from f_tags group by 1)
     select cast(3 as bigint) as location_id, 'copies' as rel_dir, f.file_size, (filename like '.%')::int as hidden, h.hash_fast, case when g.selected_id is null then f.description else d end as description, coalesce(m, f.modified_at) as modified_at, coalesce(case when g.selected_id is null then o.tags else t.tags end, '') as tags
-    from ok join f_line f on f.file_id = ok.selected_id join f_hashes h on h.file_id = ok.selected_id left join g on g.selected_id = ok.selected_id left join t on t.selected_id = ok.selected_id left join o on o.selected_id = ok.selected_id""")
+    from ok join f_line f on f.file_id = ok.selected_id join f_hashes h on h.file_id = ok.selected_id left join g on g.selected_id = ok.selected_id left join t on t.selected_id = ok.selected_id left join o on o.selected_id = ok.selected_id""", once=("f_line",))
 _STUB_PLAN = lambda f, w: f.join(w, "location_id").select("file_id", F.concat(F.lit("kept/"), "filename").alias("dest_path"), F.col("name").alias("dest_location"), F.col("agent_name").alias("dest_agent"))
 add("plan_07_stub_rows", "f_line f_locations", lambda f, w: actions.stub_rows(_STUB_PLAN(f, w), f, "2024-01-01"),
     "select file_id, location_id, rel_path || '.moved' as rel_path, filename || '.moved' as filename, 'text' as type_high, 'moved' as type_low, cast(strlen(concat('Consolidated', chr(10), 'Original: ', filename, chr(10), 'Moved to: ', name, case when agent_name is null then '' else concat(' [', agent_name, ']') end, ': kept/', filename, chr(10), 'Date: 2024-01-01', chr(10))) as bigint) as file_size from f_line join f_locations using (location_id)")

@@ -102,3 +102,27 @@ def test_copies_to_move_are_run_once(spark, tmp_path):
     assert not reads(plan, tmp_path)
     got = sorted(tuple(-1 if x is None else x for x in r) for r in plan.collect())
     assert got == [(2, 1, "stub", "stubbed"), (2, 2, "skipped", "skipped (excluded)"), (2, 3, "canonical", "kept"), (5, -1, "canonical", "copied"), (5, 5, "stub", "stubbed"), (6, -1, "canonical", "copied"), (6, 6, "stub", "stubbed")]
+
+
+def test_a_copys_plan_is_run_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    h = stored(spark.createDataFrame([(1, 1, 9, "p", "a", None, 0, 0, 0), (2, 1, 9, "p", "b", None, 0, 0, 0), (3, 1, 9, "p", "c", None, 0, 0, 0), (4, 2, 9, "p", "a", None, 0, 0, 0)], HASHES), tmp_path / "h")
+    names = spark.createDataFrame([(1, "d", "x.txt", "x"), (2, "e", "X.txt", None), (3, "d", "z.txt", "z"), (4, "e", "y.txt", "y")], "file_id long, rel_dir string, filename string, description string")
+    kept = h.select("file_id", "location_id", "file_size", "stale", F.lit("2024-01-01").cast("timestamp").alias("modified_at"), F.lit(0).alias("hidden"), F.lit("text").alias("type_high"))
+    f = stored(kept.join(names, "file_id").withColumn("rel_path", F.concat_ws("/", "rel_dir", "filename")), tmp_path / "f")
+    tags = spark.createDataFrame([(4, "red"), (2, "blue")], "file_id long, tag string")
+    plan = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "selected_id long, source_id long").withColumn("selected_id", counted("selected_id"))
+    rows, hashed, tagged = actions.copied_rows(plan, f, h, tags, 3, "copies")
+    words = {(r.rel_path, r.tag) for r in rows.join(tagged, "file_id").collect()}
+    assert {(r.rel_path, r.description, r.hash_fast) for r in rows.join(hashed.select("file_id", "hash_fast"), "file_id").collect()} == {("copies/x.txt", "x", "a"), ("copies/X_1.txt", None, "b")}
+    assert words == {("copies/x.txt", "red"), ("copies/X_1.txt", "blue")}
+    assert seen.value == 3
+
+
+def test_copies_metadata_reads_files_once(spark, tmp_path):
+    h = spark.createDataFrame([(1, 1, 9, "p", "a", None, 0, 0, 0), (2, 1, 9, "p", "a", None, 0, 0, 0)], HASHES)
+    f = stored(spark.createDataFrame([(1, "x", None, None, 0), (2, "y", "said", None, 0)], "file_id long, filename string, description string, modified_at timestamp, stale int"), tmp_path / "f")
+    told = actions.merged_metadata(f, h, spark.createDataFrame([(2, "red")], "file_id long, tag string"), h.select("file_id"))
+    assert not reads(told, tmp_path / "f")
+    assert {(r.selected_id, *r.tags, r.description) for r in told.collect()} == {(1, "red", "said"), (2, "red", "said")}
