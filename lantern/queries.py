@@ -730,7 +730,7 @@ def _arrived(f: DataFrame, h: DataFrame) -> DataFrame:
 
 add("str_01_listing", "f_listing_tsv", lambda v: drained(stream.stream_listing(v.sparkSession, stored(v.select("value"), lambda w, f: w.text(f)))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes")),
     """with p as (select string_split(value, chr(9)) as x from f_listing_tsv) select x[1] as kind, count(*) as n, cast(sum(case when x[1]='F' then cast(x[3] as bigint) end) as bigint) as bytes from p where (x[1]='F' and len(x)>=6) or (x[1]='D' and len(x)>=2) or (x[1]='H' and len(x)>=3) group by 1""")
-add("str_02_ingest", "f_line f_listing", _ingested, _UPSERTED)
+add("str_02_ingest", "f_line f_listing", _ingested, _UPSERTED, once=("f_listing",))
 add("str_03_stats", "f_line", _counted_up,
     "select o.location_id, o.rel_path, count(*) as file_count, cast(sum(f.file_size) as bigint) as total_size from (select location_id, rel_path from f_folders union all select location_id, '' from f_locations) o join f_line f on f.location_id = o.location_id and f.stale = 0 and (o.rel_path = '' or starts_with(f.rel_path, o.rel_path || '/')) group by 1, 2")
 add("str_04_dup_recount", "f_hashes", _bursts, ORACLES["dup_09_recount_hashes"][len(duck_views("f_hashes")):].lstrip().replace(", r as", "with r as", 1))

@@ -5,7 +5,7 @@ from lantern import queries
 from lantern.fixtures import spark_views
 from lantern.operators import dups, hashing
 from lantern.plans import actions
-from lantern.sources import catalog
+from lantern.sources import catalog, snapshots
 from lantern.streaming import stream
 from pyspark.sql import functions as F
 
@@ -126,3 +126,11 @@ def test_copies_metadata_reads_files_once(spark, tmp_path):
     told = actions.merged_metadata(f, h, spark.createDataFrame([(2, "red")], "file_id long, tag string"), h.select("file_id"))
     assert not reads(told, tmp_path / "f")
     assert {(r.selected_id, *r.tags, r.description) for r in told.collect()} == {(1, "red", "said"), (2, "red", "said")}
+
+
+def test_rows_of_a_key_are_sorted_once(spark):
+    schema = "location_id long, rel_path string, file_id long, description string, __at long, __row long"
+    rows = spark.createDataFrame([(1, "a", 5, None, -1, 0), (1, "a", 6, "later", 1, 0), (1, "a", 7, "last", 2, 0), (1, "b", None, "b", 1, 1)], schema)
+    merged = snapshots.FILES.merged(rows, rows.drop("__at", "__row").schema)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert {tuple(r) for r in merged.collect()} == {(1, "a", 5, "later"), (1, "b", None, "b")}
