@@ -478,6 +478,30 @@ def test_lines_meet_in_any_of_their_blocks(docs):
     assert got == linebrute.dedup(lines) and all(got[2 * i + 1] == "" for i in range(len(rows)))
 
 
+def test_lines_are_cut_once(docs):
+    """A condition on a line's words once moved below the cut, which was then made twice."""
+    plan = linededup.occurrences(docs((1, "a b"), (2, None), (3, " \n"))).where("c > 0")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+    assert [(r.pos, r.c) for r in plan.collect()] == [(0, 3)]
+
+
+def test_edits_between_anchors_bound_all_edits(spark):
+    """Lines with words put in, left out, changed and moved: the bound is never below the edits, and mostly settles similar lines."""
+    random.seed(21)
+    rows = []
+    for i in range(240):
+        a = [random.choice(["the", "of"]) if random.random() < 0.3 else f"word{random.randrange(60)}" for _ in range(random.randint(1, 40))]
+        b = [x for w in a for x in random.choices(([w], [], [w + "x"], ["another", w], ["the"]), (20, 1, 1, 1, 1))[0]] or ["q"]
+        k = random.randrange(len(b))
+        rows.append((i, " ".join(a), " ".join(b[k:] + b[:k] if i % 8 == 0 else b)))
+    pairs = spark.createDataFrame(rows, "i long, x string, y string").withColumns({"wx": F.split("x", " "), "wy": F.split("y", " ")})
+    bounds = {r.i: r.e for r in pairs.select("i", F.expr(linededup._ANCHORED).alias("e")).collect()}
+    least = {i: linebrute.edits(a, b) for i, a, b in rows}
+    assert all(bounds[i] is None or bounds[i] >= least[i] for i in bounds)
+    similar = [i for i, a, b in rows if linebrute.alike(a, b)]
+    assert len(similar) > 100 and sum(bounds[i] is not None and bounds[i] <= 0.2 * max(len(rows[i][1]), len(rows[i][2])) for i in similar) > 0.7 * len(similar)
+
+
 def test_line_dedup_odd_rows(odd):
     out = linededup.dedup_lines(odd.withColumn("drop", F.lit(1)).withColumn("key", F.lit("k")))
     got = [(r.doc_id, r.text) for r in out.collect()]
