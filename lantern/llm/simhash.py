@@ -83,7 +83,8 @@ def near_pairs(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
         for digit in [F.shiftrightunsigned(key, 4 * i).bitwiseAND(F.lit(15))]
     ]
     placed = distinct_fps.select("fp", segment_counts(F.col("fp")).alias("key")).select("fp", "key", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-    a, b = placed.alias("a"), placed.alias("b")
+    # Spark sizes an exploded table as if each row gave one, and would broadcast 33 times what it takes it for
+    a, b = placed.alias("a"), placed.alias("b").hint("merge")
     return a.join(
         b,
         F.expr(

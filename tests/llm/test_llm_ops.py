@@ -18,7 +18,7 @@ import pytest
 import xxhash
 import zstandard as zstd
 from lantern.llm import decontam, linededup, ngram, packing, pii, quality, shingledup, simhash, toxicity, urls, warc
-from lantern.llm.common import shared_dir
+from lantern.llm.common import shared_dir, written
 from lantern.llm.graph import connected_components
 from lantern.llm.queries import oracle_sql, queries
 from pyspark.sql import functions as F
@@ -567,6 +567,14 @@ def test_near_pairs_are_all_found_once(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_pairs_broadcast_no_cells(spark):
+    fps = written(spark.range(300).selectExpr("id * 1234567890123 as fp"))
+    pairs = simhash.near_pairs(fps)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_odd_rows(odd):
     got = simhash.near_duplicates(odd.withColumn("fp", F.lit("x"))).collect()
     assert len(got) == odd.count()
