@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lantern.llm import buckets, shingledup
+from lantern.llm import buckets, shingledup, simhash
 from lantern.llm.common import written
 from tests.llm.test_llm_ops import words
 
@@ -84,3 +84,11 @@ def test_operator_6_proposes_pairs_that_no_band_holds(docs):
     nodes = marked.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"))
     linked = {r.node: r.component for r in shingledup.alike_nodes(df, marked, nodes, "text", 5, 0.8).collect()}
     assert linked == {own[i]: min(own[1], own[2]) for i in (1, 2)}
+
+
+def test_fingerprints_cells_are_not_broadcast(docs, monkeypatch):
+    seen, real = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: seen.append(edges) or real(edges))
+    assert shingledup.keep_one_alike(docs(*((i, f"one text of a few words with a number {i // 2}") for i in range(20)))).count() == 10
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
