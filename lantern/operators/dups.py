@@ -107,10 +107,14 @@ def group_members(hashes: DataFrame, file_ids: DataFrame) -> DataFrame:
     return own.join(rows.where(ACTIVE).select("__verified", "__hash", "file_id", "location_id"), ["__verified", "__hash"]).select("selected_id", "file_id", "location_id")
 
 
-def selected_groups(hashes: DataFrame, file_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The selected files (selected_id, __active) with their group's __verified and __hash, and the groups' active rows: in proportion to the files."""
+def selected_groups(hashes: DataFrame, file_ids: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The selected files (selected_id, __active) with their group's __verified and __hash, and the groups' active rows: in proportion to the files.
+
+    With `once` the selected files are written, for a caller that reads both: all hashes are dealt by file to find them.
+    """
     rows = hashes.withColumns(dict(zip(("__verified", "__hash"), kind_and_hash(), strict=True))).where("__hash is not null")
     own = rows.join(file_ids.select("file_id").distinct(), "file_id", "left_semi").select("__verified", "__hash", F.col("file_id").alias("selected_id"), F.coalesce(F.expr(ACTIVE), F.lit(False)).alias("__active"))
+    own = written(own) if once else own
     return own, rows.where(ACTIVE).join(own.select("__verified", "__hash").distinct(), ["__verified", "__hash"], "left_semi")
 
 

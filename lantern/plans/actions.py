@@ -47,7 +47,7 @@ def merge_plan(files: DataFrame, hashes: DataFrame, source_id: int, dest_id: int
 def merged_metadata(files: DataFrame, hashes: DataFrame, tags: DataFrame, file_ids: DataFrame, same_name: bool = False) -> DataFrame:
     """(selected_id, tags, description, modified_at) over each selected file's active, non-stale copies: all tags, the first description by id, the earliest time."""
     info = files.where("stale = 0").select("file_id", "filename", "description", "modified_at")
-    own, members = selected_groups(hashes, file_ids)
+    own, members = selected_groups(hashes, file_ids, once=True)
     key = ["__verified", "__hash"] + ["filename"] * same_name
     if same_name:
         own = own.join(files.select(F.col("file_id").alias("selected_id"), "filename"), "selected_id")
@@ -112,8 +112,8 @@ def copied_rows(plan: DataFrame, files: DataFrame, hashes: DataFrame, tags: Data
     Names that are taken there, or wanted twice, get a number. Description, time and tags are merged_metadata's over the
     selected file's group (of its name alone with same_name); a file without hash keeps its own. The originals stay.
     """
-    # the plan is run once: its files' names are written with their claims, and all that follows comes from those
-    done = plan.where("source_id is not null").select("selected_id")
+    # the plan is run once and by itself, so that its shuffles are gone when names are joined; all that follows comes from the claims
+    done = written(plan.where("source_id is not null").select("selected_id"))
     wanted = done.join(files.select(F.col("file_id").alias("selected_id"), "filename", "rel_path"), "selected_id")
     claims = wanted.select(F.col("selected_id").alias("id"), F.lit(folder).alias("directory"), "filename", "rel_path")
     taken = files.where((F.col("location_id") == location_id) & (F.col("rel_dir") == folder)).select(F.col("rel_dir").alias("directory"), "filename")

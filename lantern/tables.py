@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +39,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's setting that has a query's shuffle files deleted when it ends, and not when the driver's memory is cleaned up.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: nothing else reads them."""
+    before = spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANED)
+        else:
+            spark.conf.set(_CLEANED, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a written table: its lineage ends here, and later steps read the same rows."""
+    """df as a written table: its lineage ends here, and later steps read the same rows.
+
+    Zstandard, as hashes are hexadecimal digits, which Snappy leaves at their length.
+    """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,9 @@
 """What must not grow faster than the input: rows of one task, calls, and how often a plan runs what it comes from."""
 
+import time
+
 import pandas as pd
-from lantern import queries
+from lantern import queries, tables
 from lantern.fixtures import spark_views
 from lantern.operators import dups, hashing
 from lantern.plans import actions
@@ -134,3 +136,24 @@ def test_rows_of_a_key_are_sorted_once(spark):
     merged = snapshots.FILES.merged(rows, rows.drop("__at", "__row").schema)
     assert merged._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     assert {tuple(r) for r in merged.collect()} == {(1, "a", 5, "later"), (1, "b", None, "b")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in (f.getName() for f in seq(disk.getAllFiles())) if x.startswith("shuffle_")}
+    seq = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    before, was = held(), spark.conf.get(tables._CLEANED)
+    table = tables.written(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.monotonic() + 10
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(tables._CLEANED) == was
+    assert {r["count"] for r in table.collect()} == {100} and all(x.endswith(".zstd.parquet") for x in table.inputFiles())
+
+
+def test_metadata_finds_selected_files_once(spark, tmp_path):
+    h = stored(spark.createDataFrame([(1, 1, 9, "p", "a", None, 0, 0, 0), (2, 2, 9, "p", "a", None, 0, 0, 0)], HASHES), tmp_path / "h")
+    f = spark.createDataFrame([(1, "x", None, None, 0), (2, "y", "said", None, 0)], "file_id long, filename string, description string, modified_at timestamp, stale int")
+    told = actions.merged_metadata(f, h, spark.createDataFrame([(2, "red")], "file_id long, tag string"), spark.createDataFrame([(1,)], "file_id long"))
+    assert not reads(told, tmp_path)
+    assert [(r.selected_id, *r.tags, r.description) for r in told.collect()] == [(1, "red", "said")]
