@@ -104,3 +104,15 @@ def test_a_first_upsert_may_repeat_a_key(spark, tmp_path):
     assert content(snapshot(spark, folder).table("counters")) == [(1, "x", 2)]
     upsert(spark, folder, {"counters": rows.limit(0)}, "s", 1, order="seq")  # an empty batch is applied, too
     assert snapshots.applied(snapshot(spark, folder), "s", 1) and snapshot(spark, folder).table("counters").count() == 1
+
+
+def test_an_upsert_writes_one_file_a_part(spark, tmp_path):
+    """However many tasks its rows come from; of equal keys the last read still counts."""
+    folder, rules = str(tmp_path / "s"), {"h": snapshots.HASHES}
+    snapshots.publish(spark, folder, {"h": spark.range(500).selectExpr("id as file_id", "0L as n")}, rules)
+    rows = spark.range(0, 1000, 1, 8).selectExpr("id % 500 as file_id", "id as n")
+    snapshots.upsert(spark, folder, {"h": rows}, "x", 0, rules=rules)
+    pieces = snapshots.snapshot(spark, folder).pieces("h")
+    assert all(len(list((tmp_path / "s" / x[-1]).glob("*.parquet"))) == 1 for x in pieces.values() if len(x) > 1) and max(map(len, pieces.values())) == 2
+    got = {r.file_id: r.n for r in snapshots.snapshot(spark, folder).table("h").collect()}
+    assert got == {i: i + 500 for i in range(500)}
