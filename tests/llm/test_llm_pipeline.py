@@ -1,3 +1,5 @@
+import time
+
 import corpus_pipeline
 import pytest
 from lantern.llm.common import written
@@ -54,3 +56,16 @@ def test_packed(steps):
 
 def test_run_gives_the_last_stage(spark, steps):
     assert corpus_pipeline.run(spark, SF).select("doc_id", "piece").exceptAll(steps[5].select("doc_id", "piece")).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    held = lambda: {x for x in (f.getName() for f in listed(disk.getAllFiles())) if x.startswith("shuffle_")}
+    before = held()
+    table = written(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.monotonic() + 10
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not held() - before
+    assert {r["count"] for r in table.collect()} == {100}
